@@ -80,3 +80,23 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.
     new[1:] = (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])
     owner, key = owner[new], key[new]
     return key, np.searchsorted(owner, np.arange(n + 1))
+
+
+# classes of bytes: 0 white space, 1 letter (every byte of a longer UTF-8 character too), 2 digit, 3 other
+CLASS = np.full(256, 3, np.uint8)
+CLASS[SPACE] = 0
+CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+CLASS[48:58] = 2
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and owners of maximal runs of letters, of digits and of other marks."""
+    kind = CLASS[data]
+    cut = np.ones(len(data) + 1, bool)
+    cut[1:-1] = kind[1:] != kind[:-1]
+    cut[offsets] = True
+    at = np.flatnonzero(cut)
+    starts, ends = at[:-1], at[1:]
+    keep = kind[starts] > 0
+    starts, ends = starts[keep], ends[keep]
+    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
