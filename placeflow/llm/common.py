@@ -17,10 +17,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; a temporary one only where it is unset (tests on one machine)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='placeflow-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='placeflow-')}")
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
