@@ -47,8 +47,8 @@ class Scratch:
 
 
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a string column, and int64 offsets; null counts as empty."""
-    column = pc.fill_null(column, "").cast(pa.large_string())
+    """Bytes (UTF-8) of a string or binary column, and int64 offsets; null counts as empty."""
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     buffers = column.buffers()
     at = np.frombuffer(buffers[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)

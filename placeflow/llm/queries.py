@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import chat, media, mixing, neardup, packing, quality, secrets, toxicity
+from . import chat, media, mixing, neardup, packing, quality, repeats, secrets, toxicity
 from . import embed as embedding
 
 
@@ -32,6 +32,11 @@ def op2_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -60,6 +65,6 @@ def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_pairs(table(spark, sf_dir, "conversations"), *chat.consecutive())
 
 
-QUERIES = {f.__name__: f for f in (op1_interleaved_media, op2_minhash_near_dup, op4_best_fit_packing, op5_pu_toxicity, op6_secret_scan, op7_source_mixing, op8_indexed_quality, op9_cross_polytope, op10_preference_format)}
+QUERIES = {f.__name__: f for f in (op1_interleaved_media, op2_minhash_near_dup, op3_prefix_free_dedup, op4_best_fit_packing, op5_pu_toxicity, op6_secret_scan, op7_source_mixing, op8_indexed_quality, op9_cross_polytope, op10_preference_format)}
 
 ORACLE = {"op7_source_mixing": mixing.ORACLE.format(docs="documents"), "op10_preference_format": chat.ORACLE}
