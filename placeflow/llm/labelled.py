@@ -36,9 +36,13 @@ def _mapped(features: Features):
     return run
 
 
-def sampled_features(docs: DataFrame, chosen: DataFrame, features: Features, id_col: str, text_col: str) -> list:
-    """(y, features) of the chosen (id, y), a bounded table, in order of id."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text")
+def sampled_rows(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, y, text) of the chosen (id, y), a bounded table."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text")
+
+
+def collected(rows: DataFrame, features: Features) -> list:
+    """(id, y, features) of sampled rows, in order of id."""
     got = rows.mapInArrow(_mapped(features), "id long, y int, x binary").collect()
     return sorted(((r["id"], r["y"], bytes(r["x"])) for r in got))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import pieces, strings
-from .labelled import sample, sampled_features, scored, training_labels, verdict
+from .labelled import collected, sample, sampled_rows, scored, training_labels, verdict
 
 WORDS, DIM, SIGNS, NEAR = 1 << 13, 32, 2, 2
 
@@ -134,7 +134,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     n, good = known.agg(F.count("*"), F.sum("y")).first()
     share = (good or 0) / n if n else 0.0
     vectors = spark.sparkContext.broadcast(word_vectors(docs, text_col) if 0 < share < 1 else np.zeros((WORDS, DIM), np.float32))
-    got = sampled_features(docs, sample(known, rows, 3), lambda d, o: [r.tobytes() for r in pooled(vectors.value, d, o)], id_col, text_col) if 0 < share < 1 else []
+    got = collected(sampled_rows(docs, sample(known, rows, 3), id_col, text_col), lambda d, o: [r.tobytes() for r in pooled(vectors.value, d, o)]) if 0 < share < 1 else []
     x, y = np.array([np.frombuffer(r[2]) for r in got]), np.array([r[1] for r in got])
     model = spark.sparkContext.broadcast(fit(x, y) if len(set(y.tolist())) > 1 else None)
 

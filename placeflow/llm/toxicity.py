@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import held_out
-from .labelled import sample, sampled_features, scored, training_labels, verdict
+from .common import Scratch, held_out, pieces, strings
+from .labelled import collected, sample, sampled_rows, scored, training_labels, verdict
 
 BUCKETS, STARTS, FULL = 1 << 20, (5, 6, 7, 8), 20
 
@@ -42,10 +45,60 @@ def _terms(data: np.ndarray, offsets: np.ndarray, live: np.ndarray | None = None
     return both % BUCKETS, count, np.searchsorted(both, np.arange(n + 1) * BUCKETS), np.bincount(owner, minlength=n)
 
 
-def _features(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    term, count, bound, words = _terms(data, offsets)
-    out = np.stack([term, count]).astype(np.int32)
-    return [np.concatenate([[w], out[0, s:e], out[1, s:e]]).astype(np.int32).tobytes() for s, e, w in zip(bound, bound[1:], words, strict=False)]
+def _dense(count: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """A term's share of the words, FULL times, at most 1."""
+    return np.minimum(1.0, FULL * count / np.maximum(words, 1))
+
+
+def _features(live: np.ndarray):
+    """Per text its words, then its terms among `live` and their counts."""
+
+    def run(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        mask = np.zeros(BUCKETS, bool)
+        mask[live] = True
+        term, count, bound, words = _terms(data, offsets, mask)
+        out = np.stack([term, count]).astype(np.int32)
+        return [np.concatenate([[w], out[0, s:e], out[1, s:e]]).astype(np.int32).tobytes() for s, e, w in zip(bound, bound[1:], words, strict=False)]
+
+    return run
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's sums by term over (id, y, text): texts and densities of both kinds; term -1 counts the texts."""
+    total = np.zeros((4, BUCKETS))
+    texts = np.zeros(2)
+    for batch in batches:
+        data, offsets = strings(batch.column(2))
+        y = batch.column(1).to_numpy()
+        for i, j in pieces(offsets, 1 << 20):
+            at = offsets[i : j + 1]
+            term, count, bound, words = _terms(data[at[0] : at[-1]], at - at[0])
+            owner = np.repeat(np.arange(j - i), np.diff(bound))
+            dense = _dense(count, words[owner])
+            for k in (0, 1):
+                on = y[i:j][owner] == 1 - k
+                texts[k] += (y[i:j] == 1 - k).sum()
+                total[k] += np.bincount(term[on], minlength=BUCKETS)
+                total[2 + k] += np.bincount(term[on], dense[on], minlength=BUCKETS)
+    live = np.flatnonzero(total[:2].any(0))
+    rows = np.hstack([[[texts[0]], [texts[1]], [0.0], [0.0]], total[:, live]])
+    yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, live]), *(pa.array(r) for r in rows)], names=["term", "in_p", "in_u", "d_p", "d_u"])
+
+
+def telling_terms(rows: DataFrame, prior: float, seen: int = 3, apart: float = 4.0) -> np.ndarray:
+    """Terms worth a weight: held by at least `seen` positives and one in a hundred, with a share among them `apart`
+    standard errors above the unlabelled one, and a density that makes toxicity likelier than not.
+
+    Sums by term are made and judged on the cluster; only the terms that stand come to the driver.
+    """
+    sums = rows.mapInArrow(_tally, "term long, in_p double, in_u double, d_p double, d_u double").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("in_p", "in_u", "d_p", "d_u")])
+    texts = sums.filter("term = -1").select(F.greatest("in_p", F.lit(1)).alias("n_p"), F.greatest("in_u", F.lit(1)).alias("n_u"))
+    t = sums.filter("term >= 0").withColumn("k", F.lit(0)).join(F.broadcast(texts.withColumn("k", F.lit(0))), "k")
+    both = (F.col("in_p") + F.col("in_u")) / (F.col("n_p") + F.col("n_u"))
+    error = F.sqrt(F.greatest(both * (1 - both), F.lit(1e-12)) * (1 / F.col("n_p") + 1 / F.col("n_u")))
+    gap = (F.col("in_p") / F.col("n_p") - F.col("in_u") / F.col("n_u")) / error
+    fine = (gap >= apart) & (F.col("in_p") >= F.greatest(F.lit(float(seen)), F.col("n_p") / 100)) & (F.lit(prior) * F.col("d_p") / F.col("n_p") >= 0.5 * F.col("d_u") / F.col("n_u"))
+    return np.sort(np.array([r[0] for r in t.filter(fine).select("term").collect()], np.int64))
 
 
 def _logits(weights: np.ndarray, bias: float, term: np.ndarray, dense: np.ndarray, bound: np.ndarray) -> np.ndarray:
@@ -54,31 +107,20 @@ def _logits(weights: np.ndarray, bias: float, term: np.ndarray, dense: np.ndarra
     return total[bound[1:]] - total[bound[:-1]] + bias
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 200, rate: float = 0.05, decay: float = 1e-4, seen: int = 3, apart: float = 4.0) -> tuple[np.ndarray, float]:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 200, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights (presence and density by term) and bias of a logistic scorer that minimises the non-negative PU risk by Adam.
 
     The risk is prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]) for the logistic loss l. Where the
     bracket turns negative the step goes against it, so the scorer can't win by fitting the unlabelled
-    positives. Only terms that at least `seen` positives (and one in a hundred) hold, whose share among the
-    positives lies `apart` standard errors above the unlabelled one, and whose density makes toxicity likelier
-    than not (prior times the densities' ratio) get weights: others would favour long texts, or learn few
-    positives by heart. Density counts a term's share of the words, FULL times, at most 1.
+    positives. Texts hold telling terms only: others would favour long texts, or learn few positives by heart.
     """
     texts = positive + unlabelled
     sizes = np.array([len(t) // 2 for t in texts])
     term = np.concatenate([t[1 : n + 1] for t, n in zip(texts, sizes, strict=True)]).astype(np.int64)
-    dense = np.concatenate([np.minimum(1.0, FULL * t[n + 1 :] / max(t[0], 1)) for t, n in zip(texts, sizes, strict=True)])
+    dense = np.concatenate([_dense(t[n + 1 :], t[0]) for t, n in zip(texts, sizes, strict=True)])
     owner = np.repeat(np.arange(len(texts)), sizes)
     p = np.arange(len(texts)) < len(positive)
     n_p, n_u = max(p.sum(), 1), max((~p).sum(), 1)
-    by = lambda on, values=None: np.bincount(term[on], None if values is None else values[on], minlength=BUCKETS)
-    mine = p[owner]
-    in_p, in_u = by(mine), by(~mine)
-    both = (in_p + in_u) / (n_p + n_u)
-    gap = (in_p / n_p - in_u / n_u) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n_p + 1 / n_u))
-    live = (gap >= apart) & (in_p >= max(seen, n_p / 100)) & (prior * by(mine, dense) / n_p >= 0.5 * by(~mine, dense) / n_u)
-    keep = live[term]
-    term, dense, owner = term[keep], dense[keep], owner[keep]
     common, term = np.unique(term, return_inverse=True)
     bound = np.searchsorted(owner, np.arange(len(texts) + 1))
     w, bias = np.zeros((2, len(common))), float(np.log(prior / (1 - prior)))
@@ -120,7 +162,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         yes = sample(known.filter("y = 1"), positives, 1)
         ids = docs.select(F.col(id_col).cast("long").alias("id")).filter(F.col("id").isNotNull() & ~held_out("id"))
         rest = sample(ids, unlabelled, 2).withColumn("y", F.lit(0))
-        got = sampled_features(docs, yes.unionAll(rest), _features, id_col, text_col)
+        rows = Scratch(spark).save(sampled_rows(docs, yes.unionAll(rest), id_col, text_col))
+        got = collected(rows, _features(telling_terms(rows, prior)))
         sets = {y: [np.frombuffer(x, np.int32) for _, k, x in got if k == y] for y in (0, 1)}
         weights, bias = fit(sets[1], sets[0], prior)
     else:
@@ -133,7 +176,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         w = np.zeros((2, BUCKETS))
         w[:, live] = some
         term, count, bound, words = _terms(data, offsets, w.any(0))
-        dense = np.minimum(1.0, FULL * count / np.repeat(np.maximum(words, 1), np.diff(bound)))
+        dense = _dense(count, np.repeat(words, np.diff(bound)))
         return 1 / (1 + np.exp(-np.clip(_logits(w, bias, term, dense, bound), -700, 700)))
 
     return verdict(scored(docs, score, id_col, text_col), 0.5, id_col)
