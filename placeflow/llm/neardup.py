@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +16,13 @@ from .components import connected_components
 
 BANDS, ROWS, BATCH, MISS = 32, 6, 32, 1e-7
 N = BANDS * ROWS
+MORE, BLOCK = 768, 512
 _rng = np.random.default_rng(77)
 MULTIPLY = _rng.integers(1, 2**63, N, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _rng.integers(1, 2**63, N, dtype=np.uint64)
 BAND = _rng.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
+MORE_MULTIPLY = _rng.integers(1, 2**63, MORE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+MORE_ADD = _rng.integers(1, 2**63, MORE, dtype=np.uint64)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,8 +61,10 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def least_matches(threshold: float, n: int, miss: float) -> int:
     """The fewest of n equal minima at which P(similarity >= threshold) is at least miss, from a uniform prior."""
+    tail = 0.0
     for m in range(n + 1):  # the posterior is Beta(m + 1, n - m + 1); its tail is a binomial sum
-        if sum(comb(n + 1, i) * threshold**i * (1 - threshold) ** (n + 1 - i) for i in range(m + 1)) >= miss:
+        tail += exp(lgamma(n + 2) - lgamma(m + 1) - lgamma(n + 2 - m) + m * log(threshold) + (n + 1 - m) * log(1 - threshold))
+        if tail >= miss:
             return m
     return n
 
@@ -81,6 +86,63 @@ def _prune(threshold: float, miss: float):
     return run
 
 
+def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """MORE further minima of a text, 16 bits of each, and its number of shingles."""
+    for batch in batches:
+        data, offsets = strings(batch.column(1))
+        for i, j in pieces(offsets, 1 << 20):
+            at = offsets[i : j + 1]
+            key, bound = K.shingles(data[at[0] : at[-1]], at - at[0])
+            sig = np.zeros((j - i, MORE), np.uint16)
+            for k in range(MORE):  # texts without words aren't among these
+                sig[:, k] = (np.minimum.reduceat(key * MORE_MULTIPLY[k] + MORE_ADD[k] >> np.uint64(32), bound[:-1]) & np.uint64(0xFFFF)).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(bound).astype(np.int64)), blobs([r.tobytes() for r in sig])], names=["id", "n", "more"])
+
+
+def _compare(threshold: float, miss: float):
+    """Likely pairs of each (key, size, i, j): stragglers against members of other components, a few minima at a time.
+
+    A pair that shares several keys comes from the least one, one of two stragglers from the smaller id.
+    """
+    need = [(n, least_matches(threshold, n, miss)) for n in (32, 64, 128, 256, 512, MORE)]
+
+    def likely(g: pa.Table) -> pa.RecordBatch:
+        side, ids, part = (g.column(c).to_numpy() for c in ("side", "id", "component"))
+        sig = np.frombuffer(b"".join(g.column("more").to_pylist()), np.uint16).reshape(len(g), MORE)
+        few, lists = g.column("few").to_numpy(), g.column("keys").combine_chunks()
+        count = np.diff(lists.offsets.to_numpy())
+        keys = np.full((len(g), BANDS), np.iinfo(np.int64).max)
+        keys[np.repeat(np.arange(len(g)), count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)] = lists.flatten().to_numpy()
+        key = g.column("key")[0].as_py()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x in left:
+            alive = right[(part[right] != part[x]) & (~few[right] | (ids[x] < ids[right]))]
+            equal, done = np.zeros(len(alive), np.int64), 0
+            for n, least in need:
+                equal += (sig[alive, done:n] == sig[x, done:n]).sum(1)
+                alive, equal, done = alive[equal >= least], equal[equal >= least], n
+            if len(alive):
+                alive = alive[np.where(np.isin(keys[alive], keys[x, : count[x]]), keys[alive], np.iinfo(np.int64).max).min(1) == key]
+            a.append(np.full(len(alive), ids[x]))
+            b.append(ids[alive])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+            keys = np.stack([held.column(c).to_numpy() for c in ("key", "size", "i", "j")])
+            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist()]
+            for s, e in zip(edges, edges[1:], strict=False):
+                yield likely(held.slice(s, e - s))
+            held = held.slice(edges[-1])
+        if held is not None and len(held):
+            yield likely(held)
+
+    return run
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = strings(batch.column(1))
@@ -112,8 +174,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     link where 100 * intersection >= percent * union. Equal sets collapse to one representative first;
     representatives sharing a band meet the band bucket's least and greatest member, candidates are
     pruned by the posterior over batches of minima, survivors are confirmed on whole sets. Buckets that
-    still hold several components are compared again, at last each straggler with all of its bucket,
-    so hot buckets cost their size and not its square, and no candidate link is left out.
+    still hold several components are compared again, at last each straggler (outside its bucket's largest
+    component) with the rest of its bucket of about its size. That goes by blocks of at most about BLOCK rows on
+    each side, with MORE minima of those texts, and only likely pairs leave a block; no candidate link is
+    left out.
 
     Null or empty text, or one without words: n_shingles 0, component_id its own id, kept. A null id
     links with nothing: component_id null, kept true. Rows that repeat an id count as one node. Other
@@ -134,7 +198,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """Those of pairs (a, b) that are links."""
         pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         a, b = (rep_sig.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-        likely = scratch.save(pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(percent / 100, miss), "a long, b long").distinct())
+        return confirmed(pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(percent / 100, miss), "a long, b long"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        likely = scratch.save(pairs.distinct())
         ends = likely.select(F.col("a").alias("id")).unionAll(likely.select("b")).distinct()
         sets = scratch.save(docs.join(ends, "id", "left_semi").mapInArrow(_sets, "id long, items binary"))
         a, b = (sets.select(F.col("id").alias(x), F.col("items").alias(f"set_{x}")) for x in "ab")
@@ -152,12 +219,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         if last:  # every straggler with all of its bucket outside its component
             main = now.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-            few = now.join(main, "key").filter("component <> main").select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
-            pairs = few.join(now, (few.key == now.key) & (F.col("ca") != F.col("component"))).select("a", F.col("id").alias("b"))
+            ids = now.select("id").distinct()
+            keys = now.groupBy("id").agg(F.collect_list("key").alias("keys"))  # at most BANDS
+            longer = scratch.save(docs.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_longer, "id long, n long, more binary"))
+            size = F.floor(F.log("n") / log(100 / percent)).cast("int")
+            rows = now.join(main, "key").join(longer.join(keys, "id"), "id").select("key", "id", "component", "more", "keys", size.alias("size"), (F.col("component") != F.col("main")).alias("few"))
+            left = rows.filter("few").withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))).withColumn("side", F.lit(0))
+            both = left.unionByName(rows.withColumn("side", F.lit(1)))
+            n = both.groupBy("key", "size").agg(*[F.ceil(F.count_if(F.col("side") == k) / BLOCK).cast("int").alias(f"n{k}") for k in (0, 1)]).filter("n0 > 0 and n1 > 0")
+            mine, other = F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1")), F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0"))
+            both = both.join(n, ["key", "size"]).withColumn("own", F.pmod(F.xxhash64("id"), mine).cast("int")).withColumn("their", F.explode(F.sequence(F.lit(0), other - 1)))
+            both = both.select("key", "size", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("their")).alias("i"), F.when(F.col("side") == 0, F.col("their")).otherwise(F.col("own")).alias("j"), "side", "id", "component", "more", "few", "keys")
+            blocks = both.repartition("key", "size", "i", "j").sortWithinPartitions("key", "size", "i", "j")
+            found = blocks.mapInArrow(_compare(percent / 100, miss), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            links = links.unionAll(confirmed(found))
         else:  # two more members of each bucket, drawn by hash
             drawn = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "component")).alias("x"), F.max(F.struct(F.xxhash64("id").alias("h"), "id", "component")).alias("y"))
             pairs = now.join(drawn, "key").select(F.col("id").alias("a"), "component", F.explode(F.array("x", "y")).alias("e")).filter("e.component <> component").select("a", F.col("e.id").alias("b"))
-        links = links.unionAll(verified(pairs))
+            links = links.unionAll(verified(pairs))
         labels = connected_components(links, scratch)
     label = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     out = sigs.select("id", "n", F.when(F.col("n") > 0, F.col("k1")).alias("k1"), "k2").join(label, ["k1", "k2"], "left")
