@@ -223,13 +223,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             keys = now.groupBy("id").agg(F.collect_list("key").alias("keys"))  # at most BANDS
             longer = scratch.save(docs.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_longer, "id long, n long, more binary"))
             size = F.floor(F.log("n") / log(100 / percent)).cast("int")
-            rows = now.join(main, "key").join(longer.join(keys, "id"), "id").select("key", "id", "component", "more", "keys", size.alias("size"), (F.col("component") != F.col("main")).alias("few"))
+            rows = now.join(main, "key").join(longer.select("id", "n"), "id").select("key", "id", "component", size.alias("size"), (F.col("component") != F.col("main")).alias("few"))
             left = rows.filter("few").withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))).withColumn("side", F.lit(0))
             both = left.unionByName(rows.withColumn("side", F.lit(1)))
             n = both.groupBy("key", "size").agg(*[F.ceil(F.count_if(F.col("side") == k) / BLOCK).cast("int").alias(f"n{k}") for k in (0, 1)]).filter("n0 > 0 and n1 > 0")
             mine, other = F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1")), F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0"))
             both = both.join(n, ["key", "size"]).withColumn("own", F.pmod(F.xxhash64("id"), mine).cast("int")).withColumn("their", F.explode(F.sequence(F.lit(0), other - 1)))
-            both = both.select("key", "size", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("their")).alias("i"), F.when(F.col("side") == 0, F.col("their")).otherwise(F.col("own")).alias("j"), "side", "id", "component", "more", "few", "keys")
+            both = both.select("key", "size", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("their")).alias("i"), F.when(F.col("side") == 0, F.col("their")).otherwise(F.col("own")).alias("j"), "side", "id", "component", "few")
+            both = both.join(longer.select("id", "more").join(keys, "id"), "id")  # the wide columns move once, to their block
             blocks = both.repartition("key", "size", "i", "j").sortWithinPartitions("key", "size", "i", "j")
             found = blocks.mapInArrow(_compare(percent / 100, miss), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             links = links.unionAll(confirmed(found))

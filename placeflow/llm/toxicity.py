@@ -151,7 +151,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     whole text alone.
 
     Null or empty text scores as no words. Null id: scored, id null, held_out false. Repeated rows score
-    alike. Without a toxic label to learn from, every score is the prior (0 without labels). An empty table
+    alike. Without a toxic row to learn from, every score is the prior (0 without labels). An empty table
     gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -165,7 +165,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         rows = Scratch(spark).save(sampled_rows(docs, yes.unionAll(rest), id_col, text_col))
         got = collected(rows, _features(telling_terms(rows, prior)))
         sets = {y: [np.frombuffer(x, np.int32) for _, k, x in got if k == y] for y in (0, 1)}
-        weights, bias = fit(sets[1], sets[0], prior)
+        weights, bias = fit(sets[1], sets[0], prior) if sets[1] else (np.zeros((2, BUCKETS)), float(np.log(prior / (1 - prior))))
     else:
         weights, bias = np.zeros((2, BUCKETS)), -np.inf
     live = np.flatnonzero(weights.any(0))
