@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -34,7 +35,12 @@ class Scratch:
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/t{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        was = self.spark.conf.get(_CLEAN, "false")
+        try:  # what the write shuffled is in the table; its shuffle files may go at once
+            self.spark.conf.set(_CLEAN, "true")
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEAN, was)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
