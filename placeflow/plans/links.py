@@ -240,7 +240,7 @@ def extract_chain(spark, sf_dir):
 
 @query()
 def extracted_posts(spark, sf_dir):
-    """No oracle: the record has arrays; the tests hold known values against it."""
+    """No oracle: the record has arrays. The tests only run it."""
     payload = '{"title":"T","entries":[{"thumbnail":"a.jpg","description":"d #Tag"},{"thumbnails":[{"url":"b.jpg"}]}],"channel":"c"}'
     return rows(spark, "id long, body string", [(1, payload), (2, "not json"), (3, "{}")]).select("id", V.post(F.col("body")).alias("p")).select("id", "p.*")
 
