@@ -179,14 +179,13 @@ def error_kind(spark, sf_dir):
 
 
 _SHARES = f"""SELECT o_orderkey::BIGINT AS pos, concat('U', o_custkey % 150) AS user_id, concat('PL', (o_orderkey * 7) % 700) AS place_id, concat('https://www.tiktok.com/@u', (o_custkey * 3) % 50, '/video/', o_orderkey % 900, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE '/' END) AS url FROM orders WHERE o_orderkey % 5 = 1"""
-_SHARES_SPARK = """SELECT cast(o_orderkey AS bigint) AS pos, concat('U', o_custkey % 150) AS user_id, concat('PL', (o_orderkey * 7) % 700) AS place_id, concat('https://www.tiktok.com/@u', (o_custkey * 3) % 50, '/video/', o_orderkey % 900, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE '/' END) AS url FROM <orders> WHERE o_orderkey % 5 = 1"""
 
 
 def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of every fifth key as links shared again; the keys are part of the scenario."""
-    from ..sources.tables import sql
-
-    return sql(spark, sf_dir, _SHARES_SPARK)
+    """Every order as a link shared again. The SQL above holds a fifth of them."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    url = F.concat(F.lit("https://www.tiktok.com/@u"), c * 3 % 50, F.lit("/video/"), k % 900, F.when(k % 2 == 0, "").otherwise("/"))
+    return frame(spark, sf_dir, "orders").select(k.cast("long").alias("pos"), F.concat(F.lit("U"), c % 150).alias("user_id"), F.concat(F.lit("PL"), k * 7 % 700).alias("place_id"), url.alias("url"))
 
 
 @query(f"""WITH s AS ({_SHARES}), p AS (SELECT pin_id, user_id, place_id, url, {_NORMAL} AS normal FROM <pins>), s2 AS (SELECT *, {_NORMAL} AS normal FROM s)
@@ -216,10 +215,11 @@ def write_batch(spark, sf_dir):
 k AS (SELECT pos, pin_url, share, (SELECT {_NORMAL} FROM (SELECT pin_url AS url)) = (SELECT {_NORMAL} FROM (SELECT share AS url)) OR coalesce((SELECT {_CID} FROM (SELECT pin_url AS url)) = (SELECT {_CID} FROM (SELECT share AS url)), false) AS known FROM j)
 SELECT pos, NOT known AS added, CASE WHEN known THEN 0 ELSE 1 END::BIGINT AS n_sources, pin_url AS url FROM k""")
 def source_append(spark, sf_dir):
-    pins = frame(spark, sf_dir, "pins").select(F.col("pin_id"), F.col("url").alias("pin_url"))
-    both = shares(spark, sf_dir).withColumn("pin_id", F.concat(F.lit("P"), F.col("pos") + 3)).join(pins, "pin_id")
-    r = both.select("pos", dedup.source_append(F.col("pin_url"), F.array().cast("array<string>"), F.col("url")).alias("r"))
-    return r.select("pos", "r.added", F.size("r.sources").cast("long").alias("n_sources"), "r.url")
+    """A share of a pin that doesn't exist adds nothing."""
+    pins = frame(spark, sf_dir, "pins").select(F.col("pin_id"), F.col("url").alias("pin_url"), F.lit(True).alias("there"))
+    both = shares(spark, sf_dir).withColumn("pin_id", F.concat(F.lit("P"), F.col("pos") + 3)).join(pins, "pin_id", "left")
+    r = both.select("pos", F.when(F.col("there"), dedup.source_append(F.col("pin_url"), F.array().cast("array<string>"), F.col("url"))).alias("r"))
+    return r.select("pos", F.coalesce("r.added", F.lit(False)).alias("added"), F.coalesce(F.size("r.sources"), F.lit(0)).cast("long").alias("n_sources"), "r.url")
 
 
 CACHE = [("https://www.yelp.com/biz/joe", "cached", "2024-02-01 00:00:00"), ("https://x.com/t/1", "old", "2024-01-01 00:00:00"), ("https://youtu.be/abc_9", "tube", "2024-03-01 00:00:00")]

@@ -243,7 +243,7 @@ SELECT c.job::BIGINT AS job_id, CASE WHEN h.place_id IS NULL THEN 'unresolved' W
 FROM c LEFT JOIN h ON h.q = c.q LEFT JOIN (SELECT place_id FROM <places> WHERE types_csv IS NOT NULL) d ON d.place_id = h.place_id LEFT JOIN (SELECT user_id, place_id, min(pin_id) AS pin FROM <pins> GROUP BY 1, 2) e ON e.user_id = c.user_id AND e.place_id = h.place_id""")
 def candidate_resolution(spark, sf_dir):
     c = frame(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("job_id"), F.concat(F.lit("U"), F.col("o_custkey") % 150).alias("user_id"), F.lit("name").alias("name"), (F.col("o_orderkey") % 300).cast("string").alias("address"), F.lit("").alias("city"))
-    hits = frame(spark, sf_dir, "part").filter("p_partkey % 3 <> 0").select(F.concat(F.lit("name "), "p_partkey").alias("query_key"), F.lit(1).alias("rank"), F.concat(F.lit("PL"), "p_partkey").alias("place_id"))
+    hits = frame(spark, sf_dir, "part").select(F.concat(F.when(F.col("p_partkey") % 3 == 0, "other ").otherwise("name "), "p_partkey").alias("query_key"), F.lit(1).alias("rank"), F.concat(F.lit("PL"), "p_partkey").alias("place_id"))
     return E.resolve(c, hits, frame(spark, sf_dir, "places").filter("types_csv is not null"), frame(spark, sf_dir, "pins")).select("job_id", "state", "place_id", "existing_pin")
 
 

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import duckdb
+import pytest
 
 from placeflow import plans
 
@@ -38,3 +39,38 @@ def test_confidence_of_every_document(spark, small):
     got = [tuple(r) for r in plans.QUERIES["confidence_score"](spark, small).select("id", "score").collect()]
     assert len(got) == len(rows)
     assert dict(got) == want
+
+
+FIFTH = " WHERE o_orderkey % 5 = 1"
+
+
+@pytest.mark.parametrize("name", ["dedup_precedence", "pin_by_url_and_content", "source_append"])
+def test_every_order_is_a_share(spark, small, name):
+    con = db(small)
+    want = {r[0]: r for r in con.execute(plans.ORACLE[name].replace(FIFTH, "")).fetchall()}
+    columns = [d[0] for d in con.description]
+    keys = {k for (k,) in con.execute("SELECT o_orderkey FROM orders").fetchall()}
+    got = [tuple(r) for r in plans.QUERIES[name](spark, small).select(columns).collect()]
+    assert sorted(r[0] for r in got) == sorted(keys)
+    for r in got:  # the SQL leaves out shares of pins that don't exist
+        assert r == (want[r[0]] if r[0] in want else (r[0], False, 0, None))
+    if name == "dedup_precedence":
+        assert {r[columns.index("via")] for r in got} == {"place", "url", "normal_url", "new"}
+    assert keys - want.keys() == ({k for k in keys if k + 3 not in keys} if name == "source_append" else set())
+
+
+def test_every_order_is_written(spark, small):
+    n = db(small).execute("SELECT count(*) FROM orders").fetchone()[0]
+    rows = plans.QUERIES["write_batch"](spark, small).collect()
+    found = {r.pos: r.existing_pin for r in plans.QUERIES["dedup_precedence"](spark, small).collect()}
+    assert len(rows) == n and {r.inserted for r in rows} == {True, False}
+    assert all(r.pin_id == found[r.pos] for r in rows if found[r.pos])
+
+
+def test_candidates_take_every_hit(spark, small, monkeypatch):
+    from placeflow.operators import enrich
+
+    seen, resolve = [], enrich.resolve
+    monkeypatch.setattr(enrich, "resolve", lambda c, hits, *more: seen.append(hits.count()) or resolve(c, hits, *more))
+    states = {r.state for r in plans.QUERIES["candidate_resolution"](spark, small).collect()}
+    assert seen == [db(small).execute("SELECT count(*) FROM part").fetchone()[0]] and states == {"unresolved", "existing", "new"}
