@@ -29,8 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the least doc_id; null ids stay."""
-    gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    """One document of each group of near duplicates (a similarity of 0.8 or more), the one with the least doc_id; null ids stay."""
+    gone = near_duplicates(docs, percent=80).filter("not kept").select("doc_id").distinct()
     return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").dropDuplicates(COLUMNS).select(COLUMNS)
 
 

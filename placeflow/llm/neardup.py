@@ -50,13 +50,26 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), N)
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, len(batch), 4096):
-            part = batch.slice(i, 4096)
-            sig = _matrix(part.column(1)).reshape(-1, BANDS, ROWS).astype(np.uint64)
-            key = K.mix((sig * BAND).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), BANDS))], names=["key", "id"])
+def banding(percent: int, slip: float = 3e-7) -> tuple[int, int]:
+    """(bands, rows): the longest bands, up to ROWS minima, that a pair at the threshold shares none of with a chance of at most slip."""
+    for rows in range(ROWS, 0, -1):
+        if (1 - (percent / 100) ** rows) ** (N // rows) <= slip:
+            return N // rows, rows
+    return N, 1
+
+
+def _bands(bands: int, rows: int):
+    by = BAND.ravel()[: bands * rows].reshape(bands, rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 4096):
+                part = batch.slice(i, 4096)
+                sig = _matrix(part.column(1))[:, : bands * rows].reshape(-1, bands, rows).astype(np.uint64)
+                key = K.mix((sig * by).sum(2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), bands))], names=["key", "id"])
+
+    return run
 
 
 def least_matches(threshold: float, n: int, miss: float) -> int:
@@ -99,7 +112,7 @@ def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(bound).astype(np.int64)), blobs([r.tobytes() for r in sig])], names=["id", "n", "more"])
 
 
-def _compare(threshold: float, miss: float):
+def _compare(threshold: float, miss: float, bands: int):
     """Likely pairs of each (key, size, i, j): stragglers against members of other components, a few minima at a time.
 
     A pair that shares several keys comes from the least one, one of two stragglers from the smaller id.
@@ -111,7 +124,7 @@ def _compare(threshold: float, miss: float):
         sig = np.frombuffer(b"".join(g.column("more").to_pylist()), np.uint16).reshape(len(g), MORE)
         few, lists = g.column("few").to_numpy(), g.column("keys").combine_chunks()
         count = np.diff(lists.offsets.to_numpy())
-        keys = np.full((len(g), BANDS), np.iinfo(np.int64).max)
+        keys = np.full((len(g), bands), np.iinfo(np.int64).max)
         keys[np.repeat(np.arange(len(g)), count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)] = lists.flatten().to_numpy()
         key = g.column("key")[0].as_py()
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -185,12 +198,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
+    n_bands, n_rows = banding(percent)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sigs = scratch.save(docs.mapInArrow(_signatures, "id long, n long, k1 long, k2 long, sig binary"))
     named = sigs.filter("n > 0 and id is not null")
     reps = scratch.save(named.groupBy("k1", "k2").agg(F.min("id").alias("rep")))
     rep_sig = scratch.save(named.join(reps.withColumnRenamed("rep", "id"), ["k1", "k2", "id"], "left_semi").select("id", "sig"))
-    bands = rep_sig.mapInArrow(_bands, "key long, id long")
+    bands = rep_sig.mapInArrow(_bands(n_bands, n_rows), "key long, id long")
     shared = bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
     cand = scratch.save(bands.join(shared, "key"))
 
@@ -220,7 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if last:  # every straggler with all of its bucket outside its component
             main = now.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
             ids = now.select("id").distinct()
-            keys = now.groupBy("id").agg(F.collect_list("key").alias("keys"))  # at most BANDS
+            keys = now.groupBy("id").agg(F.collect_list("key").alias("keys"))  # at most n_bands
             longer = scratch.save(docs.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_longer, "id long, n long, more binary"))
             size = F.floor(F.log("n") / log(100 / percent)).cast("int")
             rows = now.join(main, "key").join(longer.select("id", "n"), "id").select("key", "id", "component", size.alias("size"), (F.col("component") != F.col("main")).alias("few"))
@@ -232,7 +246,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             both = both.select("key", "size", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("their")).alias("i"), F.when(F.col("side") == 0, F.col("their")).otherwise(F.col("own")).alias("j"), "side", "id", "component", "few")
             both = both.join(longer.select("id", "more").join(keys, "id"), "id")  # the wide columns move once, to their block
             blocks = both.repartition("key", "size", "i", "j").sortWithinPartitions("key", "size", "i", "j")
-            found = blocks.mapInArrow(_compare(percent / 100, miss), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            found = blocks.mapInArrow(_compare(percent / 100, miss, n_bands), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             links = links.unionAll(confirmed(found))
         else:  # two more members of each bucket, drawn by hash
             drawn = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "component")).alias("x"), F.max(F.struct(F.xxhash64("id").alias("h"), "id", "component")).alias("y"))
