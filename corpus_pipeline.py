@@ -19,34 +19,42 @@ from placeflow.llm.toxicity import toxicity
 from placeflow.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+OWN = ("text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject. A null doc_id is never rejected."""
-    found = toxicity(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"))
-    bad = found.filter("predicted = 1 and doc_id is not null").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(bad, "doc_id", "left_anti").select(COLUMNS)
+    """Documents that the classifier doesn't reject, each by its own text."""
+    return toxicity(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"), keep=OWN).filter("predicted = 0").select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (a similarity of 0.8 or more), the one with the least doc_id; null ids stay."""
-    gone = near_duplicates(docs, percent=80).filter("not kept").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").dropDuplicates(COLUMNS).select(COLUMNS)
+    """One document of each group of near duplicates (a similarity of 0.8 or more), the one with the least doc_id; null ids stay.
+
+    Rows that share a doc_id are judged each by itself, under a hash of the whole row; of equal rows one stays.
+    """
+    scratch = Scratch(ship(spark))
+    row = F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS])
+    rows = docs.select(*COLUMNS, F.when(F.col("doc_id").isNotNull(), row).alias("row"))
+    found = scratch.save(near_duplicates(rows, "row", percent=80).filter("row is not null").select("row", "component_id").distinct())
+    several = found.filter("row <> component_id").select("component_id").distinct()
+    linked = found.join(several, "component_id", "left_semi").join(rows.select("row", "doc_id").distinct(), "row")
+    linked = scratch.save(linked)
+    first = linked.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row")
+    return rows.join(linked.select("row").join(first, "row", "left_anti"), "row", "left_anti").dropDuplicates(COLUMNS).select(COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its secrets replaced by a mark; n_chars counts the new text's characters where it changed."""
     pair = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))
     spans = F.concat(F.transform("base", pair), F.transform("random", pair))
-    found = scan(docs).select("doc_id", spans.alias("spans")).filter("size(spans) > 0 and doc_id is not null").dropDuplicates(["doc_id"])
-    clean = docs.select(COLUMNS).join(found, "doc_id", "left").withColumn("text", F.coalesce(redacted(F.col("text"), F.col("spans")), "text"))
-    return clean.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(COLUMNS)
+    found = scan(docs, keep=OWN).withColumn("spans", spans)
+    clean = found.withColumn("text", F.when(F.size("spans") > 0, redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
+    return clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the one at a source's cut gives the words that still fit."""
-    taken = mix_sources(docs).select("doc_id", "size", "taken").filter("taken > 0").dropDuplicates(["doc_id"])
-    rows = docs.select(COLUMNS).join(taken, "doc_id")
+    rows = mix_sources(docs, keep=("text", "lang", "n_chars")).filter("taken > 0")
     left = F.col("taken") % F.col("size")
     copies = F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), F.floor(F.col("taken") / F.col("size")).cast("int")), F.filter(F.array(left), lambda x: x > 0)))
     rows = rows.withColumn("words", copies)

@@ -47,8 +47,9 @@ def collected(rows: DataFrame, features: Features) -> list:
     return sorted(((r["id"], r["y"], bytes(r["x"])) for r in got))
 
 
-def scored(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], id_col: str, text_col: str, schema: str = "long") -> DataFrame:
-    """(id, score) of every row; score maps bytes and offsets of many texts to doubles."""
+def scored(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], id_col: str, text_col: str, schema: str = "long", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, score) of every row, and its columns `keep`; score maps bytes and offsets of many texts to doubles."""
+    more = [c for c in keep if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,10 +58,13 @@ def scored(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray
             for i, j in pieces(offsets, 1 << 20):
                 at = offsets[i : j + 1]
                 out[i:j] = score(data[at[0] : at[-1]], at - at[0])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["id", "score"])
+            kept = [batch.column(1 if c == text_col else 2 + more.index(c)) for c in keep]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), *kept], names=["_id", "_score", *keep])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double")
+    fields = ["_id long", "_score double", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)]
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *more).mapInArrow(run, ", ".join(fields))
+    return rows.select(F.col("_id").alias("id"), F.col("_score").alias("score"), *keep)
 
 
-def verdict(scores: DataFrame, cut: float, id_col: str) -> DataFrame:
-    return scores.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+def verdict(scores: DataFrame, cut: float, id_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    return scores.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), *keep)

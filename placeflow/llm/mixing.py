@@ -30,8 +30,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     return w.select("source", "source_size", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, buckets: int = 1024) -> DataFrame:
-    """One row per input row: id, size, source_size, target, taken (words the mix takes of it, repeats counted).
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, buckets: int = 1024, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: id, size, source_size, target, taken (words the mix takes of it, repeats counted), source, then its own
+    columns `keep`.
 
     A row's key is the md5 of its id, so reruns agree. Keys are range-partitioned into `buckets` ranges per
     source; sums of ranges, then sums within a range, give each row the words before it, and no task holds
@@ -40,12 +41,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null or empty text, or one without words: size 0, taken 0. Null source: a source, last. Null id: sorts as
     the text ''. Rows alike share the budget evenly only in order; ties of equal ids and sizes are
-    interchangeable. A source without words has target 0. Other columns are not read.
+    interchangeable. A source without words has target 0. Columns besides these are not read.
     """
     scratch = Scratch(docs.sparkSession)
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = scratch.save(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key")).withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / 2**32).cast("int")))
+    rows = scratch.save(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"), *([F.struct(*keep).alias("own")] if keep else [])).withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / 2**32).cast("int")))
     ranges = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     targets = source_targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -59,7 +60,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size")).cast("long")).otherwise(F.lit(0))
     left = budget - whole * F.col("source_size") - F.col("before") - F.col("inside")
     taken = whole * F.col("size") + F.least(F.greatest(left, F.lit(0)), F.col("size"))
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), F.col("source").alias(source_col))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), F.col("source").alias(source_col), *(f"own.{c}" for c in keep))
 
 
 #: DuckDB: one row per document with the columns of mix_sources, for the table {docs}.

@@ -110,8 +110,8 @@ def text_likeness(token: Column) -> Column:
     return _upper_tail((changes - 0.5 - n / 8) / F.sqrt(n * 7 / 64))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.01, least_p: float = 0.001) -> DataFrame:
-    """One row per input row: id, base (array of kind, s, e by start and kind), random (array of s, e, p).
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.01, least_p: float = 0.001, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: id, base (array of kind, s, e by start and kind), random (array of s, e, p), then its own columns `keep`.
 
     Base spans come from the patterns. The method adds tokens of 20 characters or more that touch no base
     span, look drawn from an inferred encoding (the battery's p_random is at least `least_p`) and can't be
@@ -119,20 +119,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha:
     bins of their logarithm, and a count of the bins gives the Benjamini-Hochberg cut, rounded down to a bin.
 
     Null or empty text: no spans. Rows are judged one by one, repeated ones alike. An empty table gives an
-    empty result. Other columns are not read.
+    empty result. Columns besides these are not read.
     """
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.expr("cast(array() as array<struct<s:int,e:int,value:string>>)")
     # a cheap look first: most texts hold nothing long or assigned
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    own = [F.struct(*keep).alias("own")] if keep else []
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), *own)
+    own = ["own"] if keep else []
     kinds = base_spans(F.col("text"))
     named = lambda k, o: lambda x: F.struct(x["s"].alias("s"), F.lit(o).alias("o"), x["e"].alias("e"), F.lit(k).alias("kind"))
     base = F.concat(*[F.transform(v, named(k, o)) for o, (k, v) in enumerate(kinds.items())])
     tokens = F.when(F.col("text").rlike(TOKEN), _spans(F.col("text"), TOKEN)).otherwise(none)
-    rows = rows.select("id", F.array_sort(base).alias("base"), tokens.alias("tokens"))
+    rows = rows.select("id", F.array_sort(base).alias("base"), tokens.alias("tokens"), *own)
     clear = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
-    rows = rows.select("id", "base", F.transform(clear, lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), text_likeness(t["value"]).alias("p"), battery(t["value"]).alias("b"))).alias("tokens"))
+    rows = rows.select("id", "base", F.transform(clear, lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), text_likeness(t["value"]).alias("p"), battery(t["value"]).alias("b"))).alias("tokens"), *own)
     rows = scratch.save(rows)
     bin_ = lambda p: F.least(F.lit(255), F.floor(-F.log(F.greatest(p, F.lit(1e-300))) * 2)).cast("int")
     counts = dict(rows.select(F.explode("tokens").alias("t")).groupBy(bin_(F.col("t.p")).alias("bin")).count().collect())  # at most 256 rows
@@ -142,7 +144,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha:
         if 2.718281828459045 ** (-b / 2) <= alpha * seen / total:
             cut = b
     taken = F.filter("tokens", lambda t: F.coalesce((bin_(t["p"]) >= cut) & (t["b"]["p_random"] >= least_p), F.lit(False)))
-    return rows.select(F.col("id").alias(id_col), "base", F.transform(taken, lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), t["p"].alias("p"), t["b"]["encoding"].alias("encoding"))).alias("random"))
+    return rows.select(F.col("id").alias(id_col), "base", F.transform(taken, lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), t["p"].alias("p"), t["b"]["encoding"].alias("encoding"))).alias("random"), *(f"own.{c}" for c in keep))
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -142,8 +142,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return out, bias
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", positives: int = 2000, unlabelled: int = 8000) -> DataFrame:
-    """One row per input row: id, held_out, score (0 to 1), predicted (score >= 0.5).
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", positives: int = 2000, unlabelled: int = 8000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: id, held_out, score (0 to 1), predicted (score >= 0.5), then its own columns `keep`.
 
     Learns from at most `positives` confirmed toxic rows and `unlabelled` texts whose labels, if any, it
     doesn't see, both outside the held-out fold (crc32 of the id's text divisible by 5) and drawn by hash;
@@ -152,7 +152,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Null or empty text scores as no words. Null id: scored, id null, held_out false. Repeated rows score
     alike. Without a toxic row to learn from, every score is the prior (0 without labels). An empty table
-    gives an empty result. Other columns are not read.
+    gives an empty result. Columns besides these are not read.
     """
     spark = docs.sparkSession
     known = training_labels(labels, label, id_col)
@@ -179,4 +179,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         dense = _dense(count, np.repeat(words, np.diff(bound)))
         return 1 / (1 + np.exp(-np.clip(_logits(w, bias, term, dense, bound), -700, 700)))
 
-    return verdict(scored(docs, score, id_col, text_col), 0.5, id_col)
+    return verdict(scored(docs, score, id_col, text_col, keep=keep), 0.5, id_col, keep)

@@ -1,6 +1,7 @@
 """Each stage of the pipeline, row by row, against brute force; ids that are null or shared."""
 
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -59,3 +60,47 @@ def test_near_copies_between_80_and_85(spark):
     assert all(0.8 <= c < 0.85 for c in close)
     got = {r.doc_id for r in P.drop_near_duplicates(spark, frame(spark, rows), SF).collect()}
     assert got == {min(i for i, _ in g) for g in groups(rows)}
+
+
+def test_near_copies_with_shared_ids(spark):
+    a, b, c = words(100), words(101), words(102)
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (2, edited(a, 1, "x")), (3, " ".join(c)), (3, " ".join(words(103))), (4, " ".join(c)), (5, " ".join(b)), (5, " ".join(b)), (None, " ".join(a))]
+    got = sorted(((r.doc_id, r.text) for r in P.drop_near_duplicates(spark, frame(spark, rows), SF).collect()), key=str)
+    want = [min(g) for g in groups([r for r in rows if r[0] is not None])] + [rows[-1]]
+    assert got == sorted(want, key=str)
+
+
+def test_toxic_by_text(spark):
+    """Rows that training doesn't see (null ids, and one of the held-out fold) are judged by their own text, too."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet").select(P.COLUMNS), spark.read.parquet(f"{SF}/labels.parquet")
+    bad = {r.text for r in toxicity.toxicity(docs, labels, keep=("text",)).collect() if r.predicted}
+    rows = docs.collect()
+    held = next(r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 == 0 and r.text not in bad)
+    more = [*rows, *[(None, r.text, *r[2:]) for r in rows if r.text in bad], *[(held.doc_id, r.text, *r[2:]) for r in rows if r.text in bad]]
+    got = [(r.doc_id, r.text) for r in P.drop_toxic(spark, spark.createDataFrame(more, docs.schema), SF).collect()]
+    assert bad and sorted(got, key=str) == sorted(((r[0], r[1]) for r in more if r[1] not in bad), key=str)
+
+
+def test_secrets_of_every_row(spark):
+    key = ["AKIA" + c * 16 for c in "ABC"]
+    rows = [(1, f"one {key[0]} x"), (1, f"a longer start {key[1]}"), (1, "nothing here"), (None, key[2]), (2, None), (3, "")]
+    got = P.mask_secrets(spark, frame(spark, rows), SF).collect()
+    want = [(i, None if t is None else re.sub("AKIA[A-Z]{16}", "[SECRET]", t)) for i, t in rows]
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
+    assert secrets.scan(frame(spark, rows)).columns == ["doc_id", "base", "random"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mix_takes_its_target(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(None if k % 9 == 0 else int(rng.integers(0, 20)), " ".join(words(k, int(rng.integers(0, 30)))) if k % 11 else None, "en", None if k % 5 == 0 else f"s{k % 3}", k) for k in range(150)]
+    docs = spark.createDataFrame(rows, DOC)
+    target = {r.source: int(r.target) for r in mixing.mix_sources(docs).collect()}
+    got, texts = dict.fromkeys(target, 0), {(r[0], r[3], r[1]) for r in rows}
+    for r in P.mix(spark, docs, SF).collect():
+        n = len(r.text.split())
+        got[r.source] += n
+        assert (r.doc_id, r.source, r.text) in texts or any(i == r.doc_id and s == r.source and t and t.startswith(r.text) for i, s, t in texts)
+    assert got == target
+    assert {r.doc_id for r in P.mix(spark, docs, SF).collect()} >= {None}
