@@ -56,7 +56,7 @@ def preference_pairs(turns: DataFrame, pair: Column, side: Column, id_col: str =
 def consecutive(id_col: str = "conv_id") -> tuple[Column, Column]:
     """Pairs conversation 2k (chosen) with 2k + 1 (rejected)."""
     c = F.col(id_col)
-    return F.floor(c / 2).cast("long"), F.when(c % 2 == 0, F.lit("chosen")).when(c.isNotNull(), F.lit("rejected"))
+    return F.shiftright(c.cast("long"), 1), F.when(c % 2 == 0, F.lit("chosen")).when(c.isNotNull(), F.lit("rejected"))
 
 
 ORACLE = r"""
