@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .common import Scratch, blobs
 from .components import connected_components
 
-TABLES, HASHES, PROBES, BLOCK = 12, 2, 3, 128
+TABLES, HASHES, PROBES, BLOCK = 16, 3, 4, 128
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -26,27 +27,39 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(d)
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1. They are scaled by their largest component first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def codes(x: np.ndarray) -> np.ndarray:
-    """Buckets of each row: rows x TABLES x PROBES, its own first.
+    """Buckets of each row: rows x TABLES x PROBES numbers of 31 bits, its own first.
 
     A hash is the nearest of the 2d signed axes after three rounds of random signs and a transform. A table
-    joins HASHES of them; a probe moves the one hash to its second nearest axis.
+    joins HASHES of them; each probe moves one hash to its second nearest axis.
     """
     n, d = x.shape
     rng = np.random.default_rng(d)
     signs = rng.choice([-1.0, 1.0], (TABLES, HASHES, 3, d))
-    out = np.zeros((n, TABLES, PROBES), np.int64)
+    out = np.zeros((n, TABLES, PROBES), np.int32)
+    rows = np.arange(n)
     for t in range(TABLES):
-        best = []
+        near = np.zeros((HASHES, 2, n), np.uint64)
         for k in range(HASHES):
             y = x
             for r in range(3):
                 y = hadamard(y * signs[t, k, r])
-            top = np.argsort(-np.abs(y), 1, kind="stable")[:, :2] if d > 1 else np.zeros((n, 2), np.int64)
-            best.append(2 * top + (np.take_along_axis(y, top, 1) < 0))
-        a, b = best
-        for k, (i, j) in enumerate(((0, 0), (1, 0), (0, 1))):
-            out[:, t, k] = a[:, i] * 2 * d + b[:, j]
+            far = np.abs(y)
+            for m in range(2):
+                axis = far.argmax(1)
+                near[k, m] = 2 * axis + (y[rows, axis] < 0)
+                far[rows, axis] = -1
+        for p in range(PROBES):
+            key = np.zeros(n, np.uint64)
+            for k in range(HASHES):
+                key = key * np.uint64(2 * d) + near[k, int(p == k + 1)]
+            out[:, t, p] = (K.mix(key) >> np.uint64(33)).astype(np.int32)
     return out
 
 
@@ -61,33 +74,32 @@ def _rows(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _hash(width: int):
+def _hashed(width: int):
+    """Unit vectors and their buckets, packed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 1024):
                 part = batch.slice(i, 1024)
-                x = _rows(part.column(1), width)
-                c = codes(x / np.linalg.norm(x, axis=1, keepdims=True))
-                n = len(part) * TABLES * PROBES
-                key = c + np.arange(TABLES)[:, None] * (1 << 40)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), n // len(part))), pa.array(key.ravel()), pa.array(np.tile(np.arange(PROBES) == 0, n // PROBES)), pa.array(np.repeat(part.column(2).to_numpy(), n // len(part)))], names=["rep", "bucket", "own", "copies"])
+                x = unit(_rows(part.column(1), width))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), blobs([r.tobytes() for r in x]), blobs([r.tobytes() for r in codes(x)])], names=["node", "copies", "x", "codes"])
 
     return run
 
 
-def _packed(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _rows(batch.column(1), width)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            c = codes(x).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), blobs([r.tobytes() for r in x]), blobs([r.tobytes() for r in c])], names=["rep", "x", "codes"])
-
-    return run
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per vector and bucket."""
+    for batch in batches:
+        for i in range(0, len(batch), 2048):
+            part = batch.slice(i, 2048)
+            c = np.frombuffer(b"".join(part.column(1).to_pylist()), np.int32).reshape(-1, TABLES, PROBES).astype(np.int64) + (np.arange(TABLES) << 32)[:, None]
+            node = np.repeat(part.column(0).to_numpy(), TABLES * PROBES)
+            own = np.tile(np.arange(PROBES) == 0, len(part) * TABLES)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(c.ravel()), pa.array(own)], names=["node", "bucket", "own"])
 
 
 def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The first bucket, table * 2**40 + code, that both rows of buckets share and that is one's own."""
+    """The first bucket, table * 2**32 + code, that both rows of buckets share and that is one's own."""
     out = np.full(len(a), np.iinfo(np.int64).max)
     for t in range(TABLES - 1, -1, -1):
         found = np.full(len(a), np.iinfo(np.int64).max)
@@ -95,7 +107,7 @@ def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             for j in range(PROBES):
                 if i == 0 or j == 0:
                     hit = a[:, t, i] == b[:, t, j]
-                    found[hit] = np.minimum(found[hit], a[hit, t, i].astype(np.int64) + (t << 40))
+                    found[hit] = np.minimum(found[hit], a[hit, t, i].astype(np.int64) + (t << 32))
         out = np.where(found < np.iinfo(np.int64).max, found, out)
     return out
 
@@ -103,7 +115,7 @@ def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _compare(width: int, least: float):
     """Links of each (bucket, i, j): counts by member, and a spanning forest, not the pairs."""
 
-    def links(bucket: int, side: np.ndarray, rep: np.ndarray, copies: np.ndarray, x: np.ndarray, c: np.ndarray, inside: bool):
+    def links(bucket: int, side: np.ndarray, x: np.ndarray, c: np.ndarray, inside: bool):
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if inside else 1))
         for s in range(0, len(left), BLOCK):
             some = left[s : s + BLOCK]
@@ -133,12 +145,12 @@ def _compare(width: int, least: float):
             if len(g) < 2:
                 continue
             i, j, bucket = g.column("i")[0].as_py(), g.column("j")[0].as_py(), g.column("bucket")[0].as_py()
-            rep, copies = g.column("rep").to_numpy(), g.column("copies").to_numpy()
+            node, copies = g.column("node").to_numpy(), g.column("copies").to_numpy()
             side = np.where(g.column("block").to_numpy() == i, 0, 1)
             x = np.frombuffer(b"".join(g.column("x").to_pylist())).reshape(len(g), width)
             c = np.frombuffer(b"".join(g.column("codes").to_pylist()), np.int32).reshape(len(g), TABLES, PROBES)
             n, root = np.zeros(len(g), np.int64), np.arange(len(g))
-            found = [p for p in links(bucket, side, rep, copies, x, c, i == j) if len(p[0])]
+            found = [p for p in links(bucket, side, x, c, i == j) if len(p[0])]
             if not found:
                 continue
             a, b = (np.concatenate([p[k] for p in found]) for k in (0, 1))
@@ -153,7 +165,7 @@ def _compare(width: int, least: float):
                 if np.array_equal(before, root):
                     break
             some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(n[some]), pa.array(rep[root[some]])], names=["rep", "n", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(n[some]), pa.array(node[root[some]])], names=["node", "n", "root"])
 
     return run
 
@@ -162,33 +174,39 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     """One row per input row: id, n_links, component_id, kept.
 
     Equal vectors collapse to one with a number of copies. Members of a bucket of any table are candidates
-    if it is one's own and at most a probe of the other's; their cosine is verified in double precision. A
-    large bucket is dealt into blocks by hash and compared block by block, so a hot one is many small tasks;
-    each returns counts and a spanning forest. A pair found in several buckets counts in the first.
+    if it is one's own and at most a probe of the other's; their cosine is verified in double precision.
+    Vectors are hashed once; bucket numbers travel alone to find those that are shared, and only members of
+    shared buckets bring their vectors. A large bucket is dealt into blocks by hash and compared block by block,
+    so a hot one is many small tasks; each returns counts and a spanning forest. A pair found in several buckets
+    counts in the first.
 
     Vectors that are null, empty, zero, or hold null or non-finite components: n_links 0, own component, kept.
-    Shorter vectors count as padded with zeros. Null id: links with nothing, component_id null, kept true.
-    Rows that repeat an id and a vector are copies of each other. Other columns are not read.
+    Shorter vectors count as padded with zeros; very large and very small components are scaled, not lost.
+    Null id: links with nothing, component_id null, kept true. Rows that repeat an id and a vector are copies of
+    each other; different vectors under one id are judged each by itself. Other columns are not read. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     e = F.transform(F.col(vector_col), lambda v: v.cast("double"))
     fine = F.coalesce(F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0), F.lit(False)) & F.col(id_col).isNotNull()
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(fine, e).alias("e"))
-    reps = scratch.save(rows.filter("e is not null").groupBy("e").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    named = rows.select("id", F.when(F.col("e").isNotNull(), F.xxhash64("e")).alias("k1"), F.when(F.col("e").isNotNull(), F.xxhash64(F.lit(1), "e")).alias("k2"), "e")
+    reps = named.filter("e is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("e").alias("e"))
+    reps = scratch.save(reps.withColumn("node", F.monotonically_increasing_id()))  # numbers a vector, whatever its id
     longest = reps.agg(F.max(F.size("e"))).first()[0] or 1
-    width = 1 << max(0, (longest - 1).bit_length())
-    keyed = reps.select("rep", "e", "copies").mapInArrow(_hash(width), "rep long, bucket long, own boolean, copies long").distinct()
+    width = 1 << max(1, (longest - 1).bit_length())
+    hashed = scratch.save(reps.select("node", "e", "copies").mapInArrow(_hashed(width), "node long, copies long, x binary, codes binary"))
+    keyed = hashed.select("node", "codes").mapInArrow(_keys, "node long, bucket long, own boolean")
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.max("own").alias("any")).filter("size > 1 and any").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    members = keyed.groupBy("rep", "bucket").agg(F.max("copies").alias("copies")).join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    packed = reps.select("rep", "e").mapInArrow(_packed(width), "rep long, x binary, codes binary")
-    members = members.join(packed, "rep")
+    members = scratch.save(keyed.drop("own").join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    dealt = dealt.select("bucket", "i", "j", "block", "rep", "copies", "x", "codes").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
-    found = scratch.save(dealt.mapInArrow(_compare(width, least), "rep long, n long, root long"))
-    counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    labels = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), scratch).withColumnRenamed("node", "rep")
-    known = reps.join(counts, "rep", "left").join(labels, "rep", "left").select("e", F.coalesce("component", "rep").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"))
-    out = rows.join(known, "e", "left")
+    dealt = dealt.join(hashed, "node").select("bucket", "i", "j", "block", "node", "copies", "x", "codes").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+    found = scratch.save(dealt.mapInArrow(_compare(width, least), "node long, n long, root long"))
+    counts = found.groupBy("node").agg(F.sum("n").alias("n"))
+    labels = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")), scratch)
+    first = labels.join(reps.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("first"))
+    known = reps.select("k1", "k2", "rep", "copies", "node").join(counts, "node", "left").join(labels.join(first, "component"), "node", "left")
+    known = known.select("k1", "k2", F.coalesce("first", "rep").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"))
+    out = named.drop("e").join(known, ["k1", "k2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))

@@ -130,12 +130,12 @@ def test_html_order():
 
 
 def test_packing(spark):
-    texts = [*AWKWARD, "<|endoftext|> x"]
+    texts = [*AWKWARD, "<|endoftext|> x", "a<|endoftext|><|endoftext|>  b <|endoftext", " <|endoftext|>\n\n \tx"]
     rows = packing.pack(docs(spark, texts), queries.tokenizer_path(), with_ids=True).collect()
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
+    assert t.encode("<|endoftext|> x", add_special_tokens=False).ids == [50256, 2124]
     by = {}
     for r in rows:
         by.setdefault(r.doc_id, []).append(r)
@@ -154,6 +154,18 @@ def test_packing(spark):
         assert at <= 2048
 
 
+def test_ids_of_fuzzed_texts():
+    """The encoder's ids are the tokenizers library's own, special tokens included."""
+    from tokenizers import Tokenizer
+
+    t, encode = Tokenizer.from_file(queries.tokenizer_path()), packing.encoder(queries.tokenizer_path())
+    rng = np.random.default_rng(12)
+    bits = ["<|endoftext|>", "<|", "|>", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "'s", "'LL", "don't", "é", "ß", "日本", "\U0001f600", "x" * 30, "12345", "...", "Word", "word", "\u0301", "\x00", "\x85"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 25))) for _ in range(2000)]
+    for text, raw in zip(texts, encode(texts), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 def test_best_fit_is_best_fit():
     rng = np.random.default_rng(3)
     lengths = sorted(rng.integers(1, 65, 500).tolist(), reverse=True)
@@ -220,6 +232,50 @@ def test_embeddings(spark):
     assert got[203][0] >= 1 and got[203][1] == got[5][1]
 
 
+def exact_links(rows):
+    """Links and components of (id, vector) rows by whole comparison."""
+    good = [(k, i, np.array(v, float) / np.abs(v).max()) for k, (i, v) in enumerate(rows) if i is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)]
+    wide = max(len(v) for *_, v in good)
+    x = np.array([np.pad(v / np.linalg.norm(v), (0, wide - len(v))) for *_, v in good])
+    close = x @ x.T >= 0.9
+    np.fill_diagonal(close, False)
+    root = np.array([i for _, i, _ in good])
+    for _ in good:
+        root = np.minimum(root, np.where(close, root, np.iinfo(np.int64).max).min(1))
+    return {k: (int(close[j].sum()), int(root[j]), bool(root[j] == i)) for j, (k, i, _) in enumerate(good)}
+
+
+def found_links(spark, rows):
+    table = ship(spark).createDataFrame([(i, v, 1, 2, "x") for i, v in rows], "vec_id long, embedding array<double>, node long, n long, bucket string")
+    return sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embed.embedding_duplicates(table).collect()), key=str)
+
+
+def test_embeddings_of_awkward_rows(spark):
+    """Very large and small norms, repeated rows, an id with two vectors, null ids, clashing columns: as whole comparison has it."""
+    rng = np.random.default_rng(7)
+    a, b, c = (rng.normal(size=8).tolist() for _ in range(3))
+    rows = [(1, a), (2, [x * 1e200 for x in a]), (3, [x * 1e-250 for x in a]), (4, [1e200] + [0.0] * 7), (5, [2e200, 1e199] + [0.0] * 6), (6, [5e-324] + [0.0] * 7), (7, b), (7, b), (7, c), (8, c), (None, a), (9, [-x for x in a]), (10, [1.0] * 4)]
+    want = exact_links(rows)
+    assert found_links(spark, rows) == sorted(((i, *want.get(k, (0, i, True))) for k, (i, _) in enumerate(rows)), key=str)
+    assert want[0][0] == 2 and want[3][0] == 2
+
+
+def test_recall_on_64_dimensions(spark):
+    """Pairs planted at cosines from 0.9 up: recall against whole comparison is at least 0.97, and nothing else is linked."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(600):
+        x, y = rng.normal(size=(2, 64))
+        x /= np.linalg.norm(x)
+        y -= (x @ y) * x
+        t = (0.9002, 0.92, 0.95)[k % 3]
+        rows += [(2 * k, x.tolist()), (2 * k + 1, (t * x + np.sqrt(1 - t * t) * y / np.linalg.norm(y)).tolist())]
+    want = exact_links(rows)
+    got = {r[0]: r[1] for r in found_links(spark, rows)}
+    assert all(got[i] <= want[k][0] for k, (i, _) in enumerate(rows))
+    assert sum(got.values()) >= 0.97 * sum(w[0] for w in want.values()) > 1100
+
+
 def test_preferences(spark):
     turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (1, 2, None, None), (2, 0, "user", "alone"), (None, 0, "user", "x")]
     got = {r.pair_id: r for r in chat.preference_pairs(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string"), *chat.consecutive()).collect()}
