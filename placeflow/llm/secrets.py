@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from math import exp
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
+BINS = 8  # of each unit of the logarithm of a p-value
+
 # fixed values: the base patterns, and the least length of what each must hold
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -15,6 +19,8 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 # fixed values: alphabets of encodings that a token may be in, narrowest first
 ALPHABETS = {
+    "letters": "abcdefghijklmnopqrstuvwxyz",
+    "LETTERS": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
@@ -23,7 +29,41 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
-TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
+# a run of base64 letters that touches no - or _, else a run of base64url letters (so / ends it)
+TOKEN = r"(?:(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{20,}+(?![_-])|(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+)"
+
+# fixed values: per cent of each letter in written English
+LETTERS = {
+    "a": 8.2, "b": 1.5, "c": 2.8, "d": 4.3, "e": 12.7, "f": 2.2, "g": 2.0, "h": 6.1, "i": 7.0, "j": 0.15, "k": 0.77, "l": 4.0, "m": 2.4,
+    "n": 6.7, "o": 7.5, "p": 1.9, "q": 0.095, "r": 6.0, "s": 6.3, "t": 9.1, "u": 2.8, "v": 0.98, "w": 2.4, "x": 0.15, "y": 2.0, "z": 0.074,
+}
+#: What the words and numbers that fit an encoding look like: shares of small letters, capitals, digits and marks, the chance that
+#: a character begins another class, and the lag-one correlation of vowels (they alternate with consonants).
+WRITTEN = {
+    "letters": (1.0, 0.0, 0.0, 0.0, 1 / 20, -0.35), "LETTERS": (0.0, 1.0, 0.0, 0.0, 1 / 20, -0.35),
+    "hex": (0.1, 0.0, 0.9, 0.0, 1 / 12, 0.0), "HEX": (0.0, 0.1, 0.9, 0.0, 1 / 12, 0.0),
+    "base32": (0.0, 0.9, 0.1, 0.0, 1 / 20, -0.35), "BASE36": (0.0, 0.9, 0.1, 0.0, 1 / 20, -0.35), "base36": (0.9, 0.0, 0.1, 0.0, 1 / 20, -0.35),
+    "base64": (0.8, 0.1, 0.1, 0.0, 1 / 6, -0.35), "base64url": (0.75, 0.08, 0.07, 0.1, 1 / 6, -0.35),
+}
+#: A character of another class than the one before it. A capital and the small letters after it, and a mark and what it joins, are one.
+CHANGE = r"(?<=[a-z])[A-Z0-9+/_-]|(?<=[A-Z])[0-9+/_-]|(?<=[0-9])[A-Za-z+/_-]"
+
+
+def character_class(c: str) -> int:
+    """0 small letter, 1 capital, 2 digit, 3 mark."""
+    return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+
+
+def model(encoding: str) -> dict[str, float]:
+    """Numbers of an encoding: its size k, sums of squares and cubes of characters' shares in writing, chances of a change of class in writing and under uniformity, and written vowels' correlation."""
+    alphabet, (*shares, change, serial) = ALPHABETS[encoding], WRITTEN[encoding]
+    kinds = [character_class(c) for c in alphabet]
+    weight = [LETTERS[c.lower()] if c.isalpha() else 1.0 for c in alphabet]
+    q = [shares[t] * w / sum(v for v, u in zip(weight, kinds, strict=True) if u == t) for t, w in zip(kinds, weight, strict=True)]
+    q = [x / sum(q) for x in q]
+    each = [kinds.count(t) / len(kinds) for t in range(4)]
+    turns = sum(each[s] * each[t] for s in range(3) for t in range(4) if s != t and (s, t) != (1, 0))
+    return {"k": float(len(alphabet)), "squares": sum(x**2 for x in q), "cubes": sum(x**3 for x in q), "change": change, "turns": turns, "serial": serial}
 
 
 def _spans(text: Column, pattern: str) -> Column:
@@ -63,60 +103,60 @@ def _upper_tail(z: Column) -> Column:
 
 
 def battery(token: Column) -> Column:
-    """struct<encoding, n, uniform, runs, serial, p_random> of a token, null where no alphabet holds all of it.
-
-    uniform, runs and serial are the p-values, were the token drawn uniformly from the encoding, of the
-    chi-squared statistic over the alphabet, the number of runs above and below the alphabet's middle, and
-    the lag-one correlation of places in the alphabet (both sides). p_random combines them (thrice the least).
+    """struct<encoding, n, uniform, runs, serial, p_random, p_text> of a token, null where no alphabet holds all of it.
+
+    Three statistics per inferred encoding: chi-squared over the alphabet, the number of runs of a class of
+    characters, and the lag-one correlation of vowels. uniform, runs and serial are their two-sided p-values were
+    the token drawn uniformly from the encoding; p_random is thrice the least. p_text is the p-value of all three
+    against the alternative, that the token is writing (`WRITTEN`): the lower tail of chi-squared with the mean and
+    variance that letters' shares give it, the upper binomial tail of the runs (by its large-deviation form), and
+    the upper tail of the correlation, combined by Fisher's method. Length enters through the tests: the longer a
+    random token, the further all three lie from writing.
     """
     fits = F.coalesce(*[F.when(token.rlike(f"^[{a.replace('-', '')}{'-' * ('-' in a)}]+$"), F.lit(k)) for k, a in ALPHABETS.items()])
-    alphabet = F.element_at(F.create_map(*[F.lit(x) for pair in ALPHABETS.items() for x in pair]), fits)
+    models = F.create_map(*[x for k in ALPHABETS for x in (F.lit(k), F.struct(*[F.lit(float(v)).alias(n) for n, v in model(k).items()]))])
 
     def tests(x: Column) -> Column:
-        at, n, k = x["at"], x["n"].cast("double"), x["k"].cast("double")
-        each = F.transform(F.array_distinct(at), lambda v: F.size(F.filter(at, lambda w: w == v)).cast("double"))
+        t, n, m = x["token"], x["n"].cast("double"), x["m"]
+        k, s2, s3 = m["k"], m["squares"], m["cubes"]
+        each = F.transform(F.array_distinct(F.split(t, "(?!^)")), lambda c: (F.length(t) - F.length(F.replace(t, c, F.lit("")))).cast("double"))
         chi = F.aggregate(each, F.lit(0.0), lambda s, c: s + c * c) * k / n - n
-        df = k - 1
-        # for few characters a cell the statistic is far from its limit law, but its mean and variance under uniformity are exact
-        uniform = 2 * _upper_tail(F.abs((chi - df) / F.sqrt(2 * df * (n - 1) / n)))
-        high = F.transform(at, lambda v: v * 2 > k)
-        up = F.size(F.filter(high, lambda v: v)).cast("double")
-        down = n - up
-        turns = F.aggregate(F.zip_with(F.slice(high, 2, F.size(high)), F.slice(high, 1, F.size(high) - 1), lambda a, b: F.when(a != b, 1.0).otherwise(0.0)), F.lit(1.0), lambda s, v: s + v)
-        mean = 1 + 2 * up * down / n
-        var = (mean - 1) * (mean - 2) / (n - 1)
-        runs = F.when((up == 0) | (down == 0), F.lit(0.0)).when(var > 0, 2 * _upper_tail(F.abs(turns - mean) / F.sqrt(var))).otherwise(F.lit(1.0))
-        centre = F.aggregate(at, F.lit(0.0), lambda s, v: s + v) / n
-        spread = F.aggregate(at, F.lit(0.0), lambda s, v: s + (v - centre) * (v - centre))
-        cross = F.aggregate(F.zip_with(F.slice(at, 2, F.size(at)), F.slice(at, 1, F.size(at) - 1), lambda a, b: (a - centre) * (b - centre)), F.lit(0.0), lambda s, v: s + v)
-        serial = F.when(spread > 0, 2 * _upper_tail(F.abs(cross / spread + 1 / n) * F.sqrt(n))).otherwise(F.lit(0.0))
-        return F.struct(x["encoding"].alias("encoding"), x["n"].alias("n"), uniform.alias("uniform"), runs.alias("runs"), serial.alias("serial"), F.least(F.lit(1.0), 3 * F.least(uniform, runs, serial)).alias("p_random"))
-
-    places = F.transform(F.split(token, "(?!^)"), lambda c: F.instr(alphabet, c).cast("double"))
-    x = F.struct(fits.alias("encoding"), F.length(token).alias("n"), F.length(alphabet).alias("k"), places.alias("at"))
+        # for few characters a cell the statistic is far from its limit law, but its moments are exact
+        uniform = 2 * _upper_tail(F.abs((chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)))
+        mean = k * (1 - s2) + n * (k * s2 - 1)
+        var = k * k / n / n * 2 * n * (n - 1) * (s2 + 2 * (n - 2) * s3 - (2 * n - 3) * s2 * s2)
+        chi_text = _upper_tail((mean - chi) / F.sqrt(var))
+        gaps = n - 1
+        turns, rate = F.regexp_count(t, F.lit(CHANGE)).cast("double"), m["turns"]
+        runs = F.when(rate > 0, 2 * _upper_tail(F.abs(turns - gaps * rate) / F.sqrt(gaps * rate * (1 - rate)))).otherwise(F.lit(1.0))
+        f, r = turns / gaps, m["change"]
+        deviation = F.exp(-gaps * (f * F.log(f / r) + F.when(f < 1, (1 - f) * F.log((1 - f) / (1 - r))).otherwise(0.0)))
+        sharp = F.when(f < 1, F.least(F.lit(1.0), 1 / ((1 - r * (1 - f) / (f * (1 - r))) * F.sqrt(6.283185307179586 * gaps * f * (1 - f))))).otherwise(1.0)
+        runs_text = F.when(f > r, deviation * sharp).otherwise(F.lit(1.0))
+        vowels = F.regexp_count(t, F.lit("[aeiouAEIOU]")).cast("double")
+        pairs = F.regexp_count(t, F.lit("[aeiouAEIOU](?=[aeiouAEIOU])")).cast("double")
+        ends = F.when(t.rlike("^[aeiouAEIOU]"), 1.0).otherwise(0.0) + F.when(t.rlike("[aeiouAEIOU]$"), 1.0).otherwise(0.0)
+        share = vowels / n
+        spread = vowels * (1 - share)
+        by = F.when(spread > 0, (pairs - share * (2 * vowels - ends) + gaps * share * share) / spread).otherwise(F.lit(0.0))
+        serial = 2 * _upper_tail(F.abs(by + 1 / n) * F.sqrt(n))
+        serial_text = _upper_tail((by - m["serial"]) * F.sqrt(n))
+        logs = -(F.log(F.greatest(chi_text, F.lit(1e-300))) + F.log(F.greatest(runs_text, F.lit(1e-300))) + F.log(F.greatest(serial_text, F.lit(1e-300))))
+        p_text = F.exp(-logs) * (1 + logs + logs * logs / 2)
+        return F.struct(x["encoding"].alias("encoding"), x["n"].alias("n"), uniform.alias("uniform"), runs.alias("runs"), serial.alias("serial"), F.least(F.lit(1.0), 3 * F.least(uniform, runs, serial)).alias("p_random"), p_text.alias("p_text"))
+
+    x = F.struct(token.alias("token"), fits.alias("encoding"), F.length(token).alias("n"), F.element_at(models, fits).alias("m"))
     return F.when(fits.isNotNull(), F.element_at(F.transform(F.array(x), tests), 1))
 
 
-def text_likeness(token: Column) -> Column:
-    """P-value against a token's being words: the chance that as many of its neighbours change class.
-
-    Within written words and numbers, neighbouring characters change between digit, capital and small letter
-    at most one time in eight; in a random token far more do. The count's upper tail is binomial, so the same
-    share of changes gives longer tokens smaller p-values: length enters as evidence.
-    """
-    kinds = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A"), "+/_-", "----")
-    n = F.greatest(F.length(token) - 1, F.lit(1)).cast("double")
-    changes = F.length(F.regexp_replace(kinds, r"(.)(?=\1)", "")).cast("double") - 1
-    return _upper_tail((changes - 0.5 - n / 8) / F.sqrt(n * 7 / 64))
-
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.01, least_p: float = 0.001, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: id, base (array of kind, s, e by start and kind), random (array of s, e, p), then its own columns `keep`.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.05, least_p: float = 0.001, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: id, base (array of kind, s, e by start and kind), random (array of s, e, p, encoding), then its own columns `keep`.
 
     Base spans come from the patterns. The method adds tokens of 20 characters or more that touch no base
-    span, look drawn from an inferred encoding (the battery's p_random is at least `least_p`) and can't be
-    words at a false-discovery rate of `alpha` over the whole corpus: p-values against words fall into 256
-    bins of their logarithm, and a count of the bins gives the Benjamini-Hochberg cut, rounded down to a bin.
+    span, fit an inferred encoding, aren't refuted as drawn from it (p_random is at least `least_p`) and aren't
+    writing at a false-discovery rate of `alpha` over the whole corpus: the battery's p-values against writing,
+    to which length adds weight, fall into 1024 bins of their logarithm, and a count of the bins gives the
+    Benjamini-Hochberg cut, rounded down to a bin. A token that no encoding holds (a path, say) counts as p = 1.
 
     Null or empty text: no spans. Rows are judged one by one, repeated ones alike. An empty table gives an
     empty result. Columns besides these are not read.
@@ -134,17 +174,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha:
     tokens = F.when(F.col("text").rlike(TOKEN), _spans(F.col("text"), TOKEN)).otherwise(none)
     rows = rows.select("id", F.array_sort(base).alias("base"), tokens.alias("tokens"), *own)
     clear = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
-    rows = rows.select("id", "base", F.transform(clear, lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), text_likeness(t["value"]).alias("p"), battery(t["value"]).alias("b"))).alias("tokens"), *own)
+    rows = rows.select("id", "base", F.transform(clear, lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), battery(t["value"]).alias("b"))).alias("tokens"), *own)
     rows = scratch.save(rows)
-    bin_ = lambda p: F.least(F.lit(255), F.floor(-F.log(F.greatest(p, F.lit(1e-300))) * 2)).cast("int")
-    counts = dict(rows.select(F.explode("tokens").alias("t")).groupBy(bin_(F.col("t.p")).alias("bin")).count().collect())  # at most 256 rows
-    total, seen, cut = sum(counts.values()), 0, 256
+    bin_ = lambda p: F.least(F.lit(1023), F.floor(-F.log(F.greatest(F.coalesce(p, F.lit(1.0)), F.lit(1e-300))) * BINS)).cast("int")
+    counts = dict(rows.select(F.explode("tokens").alias("t")).groupBy(bin_(F.col("t.b.p_text")).alias("bin")).count().collect())  # at most 1024 rows
+    total, seen, cut = sum(counts.values()), 0, 1024
     for b in sorted(counts, reverse=True):
         seen += counts[b]
-        if 2.718281828459045 ** (-b / 2) <= alpha * seen / total:
+        if exp(-b / BINS) <= alpha * seen / total:
             cut = b
-    taken = F.filter("tokens", lambda t: F.coalesce((bin_(t["p"]) >= cut) & (t["b"]["p_random"] >= least_p), F.lit(False)))
-    return rows.select(F.col("id").alias(id_col), "base", F.transform(taken, lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), t["p"].alias("p"), t["b"]["encoding"].alias("encoding"))).alias("random"), *(f"own.{c}" for c in keep))
+    taken = F.filter("tokens", lambda t: F.coalesce((bin_(t["b"]["p_text"]) >= cut) & (t["b"]["p_random"] >= least_p), F.lit(False)))
+    return rows.select(F.col("id").alias(id_col), "base", F.transform(taken, lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), t["b"]["p_text"].alias("p"), t["b"]["encoding"].alias("encoding"))).alias("random"), *(f"own.{c}" for c in keep))
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -198,6 +198,76 @@ def test_secrets(spark):
     assert got[len(texts) - 1].spans == ""
 
 
+def upper(z):
+    return 1 / (1 + np.exp(min(700, 1.5976 * z + 0.07056 * z**3)))
+
+
+def plain_battery(token):
+    """The battery in plain loops: (encoding, uniform, runs, serial, p_text)."""
+    enc = next((k for k, a in secrets.ALPHABETS.items() if set(token) <= set(a)), None)
+    if enc is None:
+        return None
+    m, n, alphabet = secrets.model(enc), len(token), secrets.ALPHABETS[enc]
+    k, s2, s3 = m["k"], m["squares"], m["cubes"]
+    chi = sum((token.count(c) - n / k) ** 2 for c in alphabet) * k / n
+    uniform = 2 * upper(abs(chi - k + 1) / np.sqrt(2 * (k - 1) * (n - 1) / n))
+    chi_text = upper((k * (1 - s2) + n * (k * s2 - 1) - chi) / np.sqrt(2 * k * k * (n - 1) / n * (s2 + 2 * (n - 2) * s3 - (2 * n - 3) * s2**2)))
+    kinds = [secrets.character_class(c) for c in token]
+    turns = sum(a != b and a != 3 and (a, b) != (1, 0) for a, b in zip(kinds, kinds[1:], strict=False))
+    runs = 2 * upper(abs(turns - (n - 1) * m["turns"]) / np.sqrt((n - 1) * m["turns"] * (1 - m["turns"]))) if m["turns"] else 1.0
+    f, r, runs_text = turns / (n - 1), m["change"], 1.0
+    if f > r:
+        runs_text = np.exp(-(n - 1) * (f * np.log(f / r) + ((1 - f) * np.log((1 - f) / (1 - r)) if f < 1 else 0)))
+        if f < 1:
+            runs_text *= min(1, 1 / ((1 - r * (1 - f) / (f * (1 - r))) * np.sqrt(2 * np.pi * (n - 1) * f * (1 - f))))
+    v = np.array([c in "aeiouAEIOU" for c in token]) - np.mean([c in "aeiouAEIOU" for c in token])
+    by = (v[1:] * v[:-1]).sum() / (v * v).sum() if v.any() else 0.0
+    serial = 2 * upper(abs(by + 1 / n) * np.sqrt(n))
+    logs = -sum(np.log(max(p, 1e-300)) for p in (chi_text, runs_text, upper((by - m["serial"]) * np.sqrt(n))))
+    return enc, uniform, runs, serial, np.exp(-logs) * (1 + logs + logs**2 / 2)
+
+
+PLANTED = {"hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"}
+
+
+def drawn(seed, each, n):
+    rng = np.random.default_rng(seed)
+    return [(k, "".join(rng.choice(list(a), n))) for k, a in PLANTED.items() for _ in range(each)]
+
+
+def joined(seed, n):
+    """Words run together as names, paths' ends and slugs are."""
+    rng = np.random.default_rng(seed)
+    w = "market river seven garden window letter morning station bridge summer yellow winter doctor future island orange person number school travel".split()
+    out = []
+    for k in range(n):
+        part = [str(x) for x in rng.choice(w, rng.integers(4, 7))]
+        out.append(("-".join(part), "_".join(part), "".join(x.title() for x in part), "".join(part).upper(), "".join(part) + str(rng.integers(0, 2030)))[k % 5])
+    return out
+
+
+def test_battery_is_the_plain_one(spark):
+    tokens = [t for n in (20, 24, 41) for _, t in drawn(n, 5, n)] + joined(1, 30) + ["a" * 30, "0123456789ABCDEF" * 3, "ab/cd-ef" * 4, "1" * 20, "aB3" * 9]
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.battery(F.col("t")).alias("b")).collect()
+    for r in got:
+        want = plain_battery(r.t)
+        assert (want is None) == (r.b is None)
+        if want:
+            assert r.b.encoding == want[0]
+            assert np.allclose([r.b.uniform, r.b.runs, r.b.serial, r.b.p_text], want[1:], rtol=1e-6, atol=1e-12), r.t
+
+
+def test_random_tokens_are_found(spark):
+    """Planted tokens of 24 characters and more: nine in ten of each encoding are found, and few of as many joined words."""
+    planted, clean = [(k, t) for n in (24, 32, 40) for k, t in drawn(n + 50, 40, n)], joined(2, 500)
+    texts = [f"see https://host.example/{t} or {t}" for _, t in planted] + [f"see {t} too" for t in clean]
+    got = {r.doc_id: len(r.random) for r in secrets.scan(docs(spark, texts)).select("doc_id", "random").collect()}
+    for kind in PLANTED:
+        ids = [i for i, (k, t) in enumerate(planted) if k == kind and not re.search("[0-9a-f]{24}|AKIA", t)]
+        assert np.mean([got[i] > 0 for i in ids]) >= 0.9, kind
+    assert sum(got[len(planted) + i] > 0 for i in range(len(clean))) <= 0.05 * len(planted)
+
+
 def test_redaction(spark):
     spans = F.expr("array(named_struct('s', 4, 'e', 6), named_struct('s', 5, 'e', 8), named_struct('s', 0, 'e', 1))")
     assert spark.range(1).select(secrets.redacted(F.lit("0123456789"), spans).alias("x")).first()["x"] == "[SECRET]123[SECRET]89"
