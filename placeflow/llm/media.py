@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, pieces, strings
+from .common import Scratch, blobs, pieces, strings
 
 WIDTH = 64
 SEQUENCE = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
@@ -128,34 +128,42 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature"])
 
 
-def media_features(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """A row per different stored image, with features of its samples: digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, feature.
+FEATURES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string"
+HOT, SALTS = 200, 64
 
-    Images are decoded where they lie; only their features are shuffled, and equal images are combined before
-    they are. Null images are left out; one that isn't whole fails.
-    """
-    kept = media.select(media_col).filter(F.col(media_col).isNotNull())
-    found = kept.mapInArrow(_read_back, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string")
-    rest = [c for c in found.columns if c != "digest"]
-    return found.groupBy("digest").agg(F.min(F.struct(*rest)).alias("x")).select("digest", "x.*")
+
+def resolved(digests: DataFrame, media: DataFrame, media_col: str = "media") -> DataFrame:
+    """(digest, media): the stored bytes of each different digest, left out where `media` has none. Equal images are combined before they are shuffled."""
+    store = media.select(F.sha2(media_col, 256).alias("digest"), F.col(media_col).alias("media")).filter("media is not null")
+    store = store.groupBy("digest").agg(F.first("media").alias("media"))
+    return store.join(digests.select("digest").distinct(), "digest", "left_semi")
 
 
 def interleave(pages: DataFrame, media: DataFrame, id_col: str, html_col: str, media_col: str = "media") -> DataFrame:
     """One row per item of a page's sequence: id, position, kind, text, caption, digest and the features of its media.
 
-    Items keep their positions and captions; media resolve by digest, and one that `media` lacks leaves the
-    features null. A digest that many pages share meets a single row of the media side, so the planner may
-    split it. Null html: no rows. Repeated pages give repeated rows. Other columns are not read.
+    Items keep their positions and captions. A reference's digest is joined to the stored bytes, those are
+    decoded where they lie, once for each different digest, and their features join the items; a digest that
+    `media` lacks, or a reference without one, leaves the features null. Digests that more than one in HOT
+    references name (so fewer than HOT of them) are dealt over SALTS keys. Null media are left out; an image that
+    isn't whole fails. Null or empty html: no rows. Null ids stay. Repeated pages give repeated rows, repeated
+    media count once. Other columns are not read. Empty tables give an empty result.
     """
-    items = sequences(pages, id_col, html_col).select(F.col("page").alias(id_col), F.explode("items").alias("i")).select(id_col, "i.*")
-    return items.join(media_features(media, media_col), "digest", "left")
+    scratch = Scratch(pages.sparkSession)
+    items = scratch.save(sequences(pages, id_col, html_col).select(F.col("page").alias(id_col), F.explode("items").alias("i")).select(id_col, "i.*"))
+    named = scratch.save(items.filter("digest is not null").groupBy("digest").agg(F.count("*").alias("n")))
+    features = resolved(named, media, media_col).select("media").mapInArrow(_read_back, FEATURES)
+    total = named.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(named.filter(F.col("n") > total / HOT).select("digest", F.lit(True).alias("hot")))
+    salt = F.when(F.col("hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0)
+    features = features.join(hot, "digest", "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
+    return items.join(hot, "digest", "left").withColumn("salt", salt).join(features, ["digest", "salt"], "left").drop("hot", "salt")
 
 
 def payloads(items: DataFrame, media: DataFrame, media_col: str = "media") -> DataFrame:
-    """Items with a digest, each with the stored bytes it names (null if `media` has none)."""
-    store = media.select(media_col).filter(F.col(media_col).isNotNull()).withColumn("digest", F.sha2(media_col, 256))
-    store = store.dropDuplicates(["digest"])
-    return items.filter("digest is not null").join(store, "digest", "left")
+    """Items with a digest, each with the stored bytes it names (null if `media` has none). Repeated media count once."""
+    items = items.filter("digest is not null")
+    return items.join(resolved(items, media, media_col), "digest", "left")
 
 
 def document_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,23 +30,26 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     return w.select("source", "source_size", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, buckets: int = 1024, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, part: int = 20_000, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: id, size, source_size, target, taken (words the mix takes of it, repeats counted), source, then its own
     columns `keep`.
 
-    A row's key is the md5 of its id, so reruns agree. Keys are range-partitioned into `buckets` ranges per
-    source; sums of ranges, then sums within a range, give each row the words before it, and no task holds
-    a source. A source repeats whole epochs while its target covers them, then the words of one more up to
-    its exact budget (the target rounded down); the row at the cut gives its first words.
+    A row's key is the md5 of its id and of its text's md5, so reruns agree and rows under one id, or none, are spread.
+    Keys are range-partitioned into ranges of about `part` rows; sums of ranges, then sums within a range, give each
+    row the words before it, and no task holds a source. A source repeats whole epochs while its target covers them,
+    then the words of one more up to its exact budget (the target rounded down); the row at the cut gives its first
+    words.
 
-    Null or empty text, or one without words: size 0, taken 0. Null source: a source, last. Null id: sorts as
-    the text ''. Rows alike share the budget evenly only in order; ties of equal ids and sizes are
-    interchangeable. A source without words has target 0. Columns besides these are not read.
+    Null or empty text, or one without words: size 0, taken 0. Null source: a source, last. Null id: hashed as
+    the text ''. Repeated rows each have a place of their own; which of them the cut meets is arbitrary, and they are
+    alike. A source without words has target 0. Columns besides these are not read.
     """
     scratch = Scratch(docs.sparkSession)
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).cast("binary"))
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = scratch.save(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"), *([F.struct(*keep).alias("own")] if keep else [])).withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / 2**32).cast("int")))
+    rows = scratch.save(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"), *([F.struct(*keep).alias("own")] if keep else [])))
+    buckets = rows.count() // part + 1
+    rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / 2**32).cast("int"))
     ranges = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     targets = source_targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -65,7 +68,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 #: DuckDB: one row per document with the columns of mix_sources, for the table {docs}.
 ORACLE = r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS k FROM {docs}),
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS k FROM {docs}),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT] AS weight FROM d GROUP BY source),
 r AS (SELECT *, source_size * 2.0::DOUBLE AS cap, source_size * 2.0::DOUBLE / weight AS ratio FROM s),
 l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY ratio, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY ratio, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -123,6 +124,57 @@ def test_media(spark):
         assert got[i].caption == f"{len(data)} bytes"
 
 
+def test_media_of_awkward_rows(spark):
+    """Null and repeated ids, shared and missing digests, references without one, clashing columns: features and bytes stand with their items."""
+    image = b"P5\n64 1\n255\n" + bytes(range(64))
+    name = hashlib.sha256(image).hexdigest()
+    pages = [(1, f'<p>a</p><img src="sha256:{name}" alt="one"><p>b</p><img src="x.png"><img data-sha256="{"0" * 64}">'), (1, f'<img src="sha256:{name}">'), (None, f'<img src="sha256:{name}">'), (2, None), (3, "")]
+    pages = ship(spark).createDataFrame([(i, h, "x", 0, True) for i, h in pages], "doc_id long, html string, digest string, salt int, hot boolean")
+    store = spark.createDataFrame([(bytearray(image), "x"), (bytearray(image), "y"), (None, "z")], "media binary, digest string")
+    items = media.interleave(pages, store, "doc_id", "html")
+    got = sorted(((r.doc_id, r.position, r.kind, r.text, r.caption, r.payload_sha256) for r in items.collect()), key=str)
+    sha = hashlib.sha256(bytes(range(64))).hexdigest()
+    want = [(1, 0, "text", "a", None, None), (1, 1, "img", None, "one", sha), (1, 2, "text", "b", None, None), (1, 3, "img", None, None, None), (1, 4, "img", None, None, None), (1, 0, "img", None, None, sha), (None, 0, "img", None, None, sha)]
+    assert got == sorted(want, key=str)
+    held = sorted(((r.doc_id, r.position, r.media and bytes(r.media)) for r in media.payloads(items.select("doc_id", "position", "digest"), store).collect()), key=str)
+    assert held == sorted([(1, 1, image), (1, 4, None), (1, 0, image), (None, 0, image)], key=str)
+    assert media.interleave(pages.limit(0), store, "doc_id", "html").count() == 0
+
+
+class Plain(HTMLParser):
+    """Text between tags, apart from scripts and styles, and the media tags, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.skip, self.said, self.media = 0, [], []
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in ("script", "style", "template", "noscript")
+        self.media += [tag] if tag in ("img", "audio", "video", "source") else []
+
+    def handle_endtag(self, tag):
+        self.skip -= tag in ("script", "style", "template", "noscript") and self.skip > 0
+
+    def handle_data(self, data):
+        self.said += [] if self.skip else [data]
+
+
+def test_real_pages(spark):
+    """Every page of the table: its text and media in the order that the standard library's parser gives."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html").collect()
+    bare = lambda x: re.sub(r"\s+", "", x)
+    for r in rows:
+        plain = Plain()
+        plain.feed(r.html or "")
+        plain.close()
+        items = media.parse_html(r.html)
+        assert [i[0] for i in items] == list(range(len(items)))
+        assert [i[1] for i in items if i[1] != "text"] == plain.media
+        said = "".join(i[2] for i in items if i[1] == "text")
+        assert bare(said) == bare("".join(plain.said)) or "figcaption" in r.html
+    assert len(rows) > 10
+
+
 def test_html_order():
     items = media.parse_html('<p>a &amp; b</p><figure><img src="sha256:%s" alt="x"><figcaption>cap</figcaption></figure><script>no</script>tail<br>end' % ("0" * 64))
     assert items == [(0, "text", "a & b", None, None), (1, "img", None, "0" * 64, "cap"), (2, "text", "tail end", None, None)]
