@@ -157,9 +157,9 @@ def location_query(title: Column, description: Column) -> Column:
 
 
 def display_name(text: Column, most: int = 256) -> Column:
-    """The trimmed text, or null if empty, too long, or holding controls, format characters or angle brackets."""
+    """The trimmed text's first `most` code points, or null if it is empty or holds controls (a tab may stand), format characters or angle brackets."""
     t = trim(text)
-    return F.when((t != "") & (F.length(t) <= most) & ~t.rlike(r"[\x00-\x1F\x7F-\x9F<>]|\p{Cf}"), t)
+    return F.when((t != "") & ~t.rlike(r"[\x00-\x08\x0A-\x1F\x7F-\x9F<>]|\p{Cf}"), F.substring(t, 1, most))
 
 
 def event_field(text: Column, most: int = 256) -> Column:

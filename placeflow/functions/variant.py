@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from .text import hashtags
+from .text import display_name, hashtags
 
+# fixed values: what an override may set, and the categories it may name
 EDITABLE = ("category", "placeName", "formattedAddress")
+CATEGORIES = ("food", "accommodation", "attraction", "nature", "shopping", "wellness", "entertainment", "other")
 
 
 def parsed(text: Column) -> Column:
@@ -78,28 +80,49 @@ def profile_outcome(v: Column) -> Column:
     return F.when(kind(v) == "array", "convertedFromArray").when(kind(v) == "object", "alreadyMap").otherwise("resetMalformed")
 
 
+def fields(v: Column) -> Column:
+    """A variant object's fields as map<string, variant>, null where it is none."""
+    return F.when(kind(v) == "object", F.try_variant_get(v, "$", "map<string,variant>"))
+
+
+def override_value(key: Column, v: Column) -> Column:
+    """What an override of a key stores for a variant: one of the categories, or a name as it is shown; else null."""
+    return F.when(key == "category", F.when(text_of(v).isin(*CATEGORIES), text_of(v))).when(key.isin(*EDITABLE), display_name(text_of(v)))
+
+
 def edits(body: Column) -> Column:
-    """array<struct<key, op, value>> over the editable keys of a body: set, delete (null) or reject."""
+    """array<struct<key, op, value>> of a body's overrides, in order of the editable keys, others after them: set, delete (null) or reject.
+
+    A key that isn't editable, a value that can't be stored, and a body that is no object are rejected.
+    """
+    known, given = F.array(*map(F.lit, EDITABLE)), fields(body)
+    keys = F.array_sort(F.map_keys(given))
+    ordered = F.concat(F.filter(known, lambda k: F.array_contains(keys, k)), F.filter(keys, lambda k: ~F.array_contains(known, k)))
 
-    def one(key: str) -> Column:
-        v = F.try_variant_get(body, f"$.{key}", "variant")
-        op = F.when(kind(v) == "string", "set").when(kind(v) == "null", "delete").otherwise("reject")
-        return F.when(v.isNotNull(), F.struct(F.lit(key).alias("key"), op.alias("op"), text_of(v).alias("value")))
+    def one(key: Column) -> Column:
+        v = F.element_at(given, key)
+        value = override_value(key, v)
+        # a JSON null may come out of a map as no variant at all
+        gone = F.array_contains(known, key) & (v.isNull() | (kind(v) == "null"))
+        return F.struct(key.alias("key"), F.when(gone, "delete").when(value.isNotNull(), "set").otherwise("reject").alias("op"), value.alias("value"))
 
-    return F.array_compact(F.array(*map(one, EDITABLE)))
+    none = F.struct(F.lit("").alias("key"), F.lit("reject").alias("op"), F.lit(None).cast("string").alias("value"))
+    return F.when(given.isNotNull(), F.transform(ordered, one)).otherwise(F.array(none))
 
 
 def effective(ops: Column, stored: Column) -> Column:
-    """Of edits, those that change a stored map<string, string>: a set to another value, a delete of what is there."""
-    now = lambda o: F.try_element_at(stored, o["key"])
-    return F.filter(ops, lambda o: ((o["op"] == "set") & ~o["value"].eqNullSafe(now(o))) | ((o["op"] == "delete") & F.map_contains_key(stored, o["key"])))
+    """Of edits, those that change what is stored (variant): a set to another value, a delete of what is there."""
+    given = F.coalesce(fields(stored), F.create_map().cast("map<string,variant>"))
+    now = lambda o: text_of(F.try_element_at(given, o["key"]))
+    return F.filter(ops, lambda o: ((o["op"] == "set") & ~o["value"].eqNullSafe(now(o))) | ((o["op"] == "delete") & F.map_contains_key(given, o["key"])))
 
 
 def first_bad_key(stored: Column, ops: Column) -> Column:
-    """The first stored key that no edit overwrites and that isn't editable or has no value; null if all are fine."""
-    known = F.array(*map(F.lit, EDITABLE))
-    rest = F.filter(F.array_sort(F.map_keys(stored)), lambda k: ~F.exists(ops, lambda o: o["key"] == k))
-    return F.get(F.filter(rest, lambda k: ~F.array_contains(known, k) | (F.coalesce(F.try_element_at(stored, k), F.lit("")) == "")), F.lit(0))
+    """The first stored key (variant) that no edit touches and that isn't editable or holds what an edit couldn't set; '' if it is there but no object; null if all is fine."""
+    given = fields(stored)
+    rest = F.filter(F.array_sort(F.map_keys(given)), lambda k: ~F.exists(ops, lambda o: o["key"] == k))
+    bad = F.get(F.filter(rest, lambda k: override_value(k, F.element_at(given, k)).isNull()), F.lit(0))
+    return F.when(stored.isNotNull(), F.when(given.isNull(), F.lit("")).otherwise(bad))
 
 
 @pandas_udf(StringType())

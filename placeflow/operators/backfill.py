@@ -34,7 +34,8 @@ def refresh_details(pins: DataFrame, details: DataFrame, version: int = 4) -> Da
 
 def retype(pins: DataFrame, details: DataFrame) -> DataFrame:
     """Unclassifiable pins with types from details (place_id, types, primary_type): outcome and new types."""
-    d = details.select("place_id", F.lit(True).alias("_d"), F.col("types").alias("new_types"), F.col("primary_type").alias("new_primary"))
+    one = details.groupBy("place_id").agg(F.min(F.struct("types", "primary_type")).alias("d"))  # a place has one row, whatever the table holds
+    d = one.select("place_id", F.lit(True).alias("_d"), F.col("d.types").alias("new_types"), F.col("d.primary_type").alias("new_primary"))
     out = pins.join(d, "place_id", "left")
     steps = (
         (T.category(F.col("types"), F.col("primary_type")) != "other", "skippedAlreadyPopulated"),
@@ -57,7 +58,9 @@ def convert_profiles(lists: DataFrame) -> DataFrame:
 
 def resolve_homes(users: DataFrame, hits: DataFrame) -> DataFrame:
     """Users (home_lat, home_lng, home_city) against the top hit of their city (query_key, name, types, lat, lng; failed marks a failed search)."""
-    top = hits.select(F.col("query_key").alias("_q"), F.col("name").alias("hit_name"), F.col("types").alias("hit_types"), F.col("lat").alias("hit_lat"), F.col("lng").alias("hit_lng"), "failed")
+    top = hits.filter("rank = 1") if "rank" in hits.columns else hits
+    top = top.groupBy("query_key").agg(F.min(F.struct("name", "types", "lat", "lng", "failed")).alias("h")).select("query_key", "h.*")
+    top = top.select(F.col("query_key").alias("_q"), F.col("name").alias("hit_name"), F.col("types").alias("hit_types"), F.col("lat").alias("hit_lat"), F.col("lng").alias("hit_lng"), "failed")
     out = users.withColumn("_c", F.trim(F.coalesce("home_city", F.lit("")))).join(top, F.col("_c") == F.col("_q"), "left").drop("_q")
     bad = F.col("hit_lat").isNull() | F.col("hit_lng").isNull() | F.isnan("hit_lat") | F.isnan("hit_lng")
     steps = (

@@ -41,7 +41,7 @@ def by_place(shares: DataFrame, pins: DataFrame) -> DataFrame:
 
 def by_content(shares: DataFrame, pins: DataFrame) -> DataFrame:
     """Shares with the user's least pin whose link, or any link in its `sources`, has the same content id."""
-    links = F.concat(F.array("url"), F.col("sources")) if "sources" in pins.columns else F.array("url")
+    links = F.concat(F.array("url"), F.coalesce("sources", F.array().cast("array<string>"))) if "sources" in pins.columns else F.array("url")
     each = pins.select("user_id", "pin_id", F.explode(links).alias("_u")).select("user_id", "pin_id", U.content_id(F.col("_u")).alias("_c")).distinct()
     return _matched(shares, each, U.content_id(F.col("url")), F.col("_c"), "pin_by_content")
 

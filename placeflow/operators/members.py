@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions import variant as V
 
 
@@ -42,17 +43,19 @@ def member_changes(entries: DataFrame, members: DataFrame, values: list[str]) ->
 def orphans(members: DataFrame, pin_lists: DataFrame, pins: DataFrame, malformed: DataFrame | None = None) -> DataFrame:
     """(list_id, pin_id, orphan, vetoed): members whose pin is gone or doesn't name the list.
 
-    A member whose pin's lists are malformed (`malformed`: pin_id) vetoes all deletions of its list. A pin that
-    is gone and one that lacks the list both have no row in pin_lists.
+    A member whose pin is there with malformed lists (`malformed`: pin_id) vetoes all deletions of its list. One whose
+    pin is gone is an orphan even if pin_lists still names it.
     """
+    there = pins.select("pin_id").distinct().withColumn("_there", F.lit(True))
     named = pin_lists.select("list_id", "pin_id").distinct().withColumn("_named", F.lit(True))
-    out = members.select("list_id", "pin_id").join(named, ["list_id", "pin_id"], "left")
-    if malformed is None:
-        out = out.withColumn("_bad", F.lit(False))
-    else:
-        out = out.join(malformed.select("pin_id").distinct().withColumn("_bad", F.lit(True)), "pin_id", "left").withColumn("_bad", F.coalesce("_bad", F.lit(False)))
+    out = members.select("list_id", "pin_id").join(named, ["list_id", "pin_id"], "left").join(there, "pin_id", "left")
+    bad = F.lit(False)
+    if malformed is not None:
+        out = out.join(malformed.select("pin_id").distinct().withColumn("_mal", F.lit(True)), "pin_id", "left")
+        bad = F.coalesce(F.col("_mal") & F.col("_there"), F.lit(False))
+    out = out.withColumn("_bad", bad)
     veto = out.groupBy("list_id").agg(F.bool_or("_bad").alias("vetoed"))
-    out = out.join(veto, "list_id").withColumn("orphan", F.col("_named").isNull() & ~F.col("_bad"))
+    out = out.join(veto, "list_id").withColumn("orphan", (F.col("_there").isNull() | F.col("_named").isNull()) & ~F.col("_bad"))
     return out.select("list_id", "pin_id", "orphan", "vetoed")
 
 
@@ -117,16 +120,66 @@ def removals(requests: DataFrame) -> DataFrame:
 def overrides(requests: DataFrame) -> DataFrame:
     """Override requests with `decision`, the effective `changes`, and whether an event is due.
 
-    As removals, with body (variant) and stored (map<string, string>).
+    As removals, with body (the request's overrides, a variant) and stored (the member's, a variant; null: absent).
     """
     ops = V.edits(F.col("body"))
     out = requests.withColumn("ops", ops)
     before = (F.size("ops") == 0) | F.exists("ops", lambda o: o["op"] == "reject")
-    steps = [(before, "400:bad_body"), *_common(out, "404:no_member"), (V.first_bad_key(F.col("stored"), F.col("ops")).isNotNull(), "409:bad_stored")]
-    changes = V.effective(F.col("ops"), F.coalesce(F.col("stored"), F.create_map().cast("map<string,string>")))
-    out = out.withColumn("decision", ladder(*steps)).withColumn("changes", F.when(F.col("decision") == "ok", changes))
+    bad_id, *rest = _common(out, "404:no_member")
+    steps = [bad_id, (before, "400:bad_body"), *rest, (V.first_bad_key(F.col("stored"), F.col("ops")).isNotNull(), "409:bad_stored")]
+    out = out.withColumn("decision", ladder(*steps)).withColumn("changes", F.when(F.col("decision") == "ok", V.effective(F.col("ops"), F.col("stored"))))
     out = out.withColumn("decision", F.when((F.col("decision") == "ok") & (F.size("changes") == 0), "ok:unchanged").otherwise(F.col("decision")))
-    return out.withColumn("event", (F.col("decision") == "ok") & (F.col("pin_owner") != F.col("caller"))).drop("ops")
+    return out.withColumn("event", (F.col("decision") == "ok") & (F.col("member_owner") != F.col("caller"))).drop("ops")
+
+
+def patched(stored: Column, changes: Column) -> Column:
+    """Stored overrides (variant) after changes, as map<string, string>: sets added or replaced, deletes dropped."""
+    given = F.coalesce(V.fields(stored), F.create_map().cast("map<string,variant>"))
+    kept = F.map_filter(F.transform_values(given, lambda _, v: V.text_of(v)), lambda k, _: ~F.exists(changes, lambda o: o["key"] == k))
+    sets = F.map_from_entries(F.transform(F.filter(changes, lambda o: o["op"] == "set"), lambda o: F.struct(o["key"], o["value"])))
+    return F.map_concat(kept, sets)
+
+
+def _event(kind: str, at: Column) -> list[Column]:
+    shown = lambda c: X.event_field(F.coalesce(F.col(c), F.lit("")))
+    return [F.lit(kind).alias("type"), F.col("member_owner").alias("user_id"), F.col("caller").alias("actor"), "list_id", shown("list_name").alias("list_name"), "pin_id", shown("pin_name").alias("pin_name"), at.alias("created_at")]
+
+
+def removal_deltas(requests: DataFrame, at: Column) -> dict[str, DataFrame]:
+    """What removal requests, each a transaction in order of `pos`, change: the deltas of each table, and the decisions.
+
+    Requests as for removals, with pos, list_name and pin_name. A second removal of a member finds it gone, and a
+    list's count runs down by one a removal until none is left (409:bad_count from there on). Deltas: members (keys
+    to delete), lists (list_id, pin_count), pin_lists (keys to delete) and events, for those whose pin isn't the
+    caller's own.
+    """
+    out = removals(requests)
+    once = F.row_number().over(Window.partitionBy("list_id", "pin_id").orderBy(F.col("decision") != "ok", "pos"))
+    out = out.withColumn("_n", once).withColumn("decision", F.when((F.col("decision") == "ok") & (F.col("_n") > 1), "ok:already_gone").otherwise(F.col("decision")))
+    turn = F.row_number().over(Window.partitionBy("list_id", F.col("decision") == "ok").orderBy("pos"))
+    out = out.withColumn("_n", turn).withColumn("decision", F.when((F.col("decision") == "ok") & (F.col("_n") > F.col("pin_count")), "409:bad_count").otherwise(F.col("decision")))
+    done = out.filter("decision = 'ok'")
+    return {
+        "decisions": out.drop("_n", "new_count", "event"),
+        "members": done.select("list_id", "pin_id"),
+        "pin_lists": done.select("pin_id", "list_id"),
+        "lists": done.groupBy("list_id").agg((F.min("pin_count") - F.count("*")).alias("pin_count")),
+        "events": done.filter(F.col("pin_owner") != F.col("caller")).select(*_event("list_member_removed_by_editor", at)),
+    }
+
+
+def override_deltas(requests: DataFrame, at: Column) -> dict[str, DataFrame]:
+    """What override requests change: members (list_id, pin_id, overrides after the change) and events, with the decisions.
+
+    Requests as for overrides, with list_name and pin_name; at most one for each member.
+    """
+    out = overrides(requests)
+    done = out.filter("decision = 'ok'")
+    return {
+        "decisions": out.drop("event"),
+        "members": done.select("list_id", "pin_id", patched(F.col("stored"), F.col("changes")).alias("overrides")),
+        "events": done.filter("event").select(*_event("list_member_overridden_by_editor", at), F.transform("changes", lambda o: o["key"]).alias("changed")),
+    }
 
 
 def outcome_counts(rows: DataFrame, column: str = "outcome") -> DataFrame:

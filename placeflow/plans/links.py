@@ -146,7 +146,7 @@ def location_query(spark, sf_dir):
     return _posts(spark, sf_dir).select("post_id", X.location_query(F.col("title"), F.col("description")).alias("query"), X.pin_marker(X.decoded(F.col("description"))).alias("marker"))
 
 
-@query(f"""SELECT post_id::BIGINT AS post_id, CASE WHEN t <> '' AND length(t) <= 256 AND NOT regexp_matches(t, '[\\x00-\\x1F\\x7F-\\x{{9F}}<>]|\\p{{Cf}}') THEN t END AS display FROM (SELECT post_id, trim(title, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160) || chr(65279) || chr(8203 - 1)) AS t FROM {_P})""")
+@query(f"""SELECT post_id::BIGINT AS post_id, CASE WHEN t <> '' AND NOT regexp_matches(t, '[\\x00-\\x08\\x0A-\\x1F\\x7F-\\x{{9F}}<>]|\\p{{Cf}}') THEN left(t, 256) END AS display FROM (SELECT post_id, trim(title, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160) || chr(65279) || chr(8203 - 1)) AS t FROM {_P})""")
 def sanitize_display(spark, sf_dir):
     return _posts(spark, sf_dir).select("post_id", X.display_name(F.col("title")).alias("display"))
 
@@ -178,11 +178,11 @@ def error_kind(spark, sf_dir):
     return rows(spark, "id long, msg string", list(enumerate(ERRORS))).select("id", S.error_kind(m).alias("kind"), S.extractor_code(m).alias("code"), U.scrub(m).alias("scrubbed"))
 
 
-_SHARES = f"""SELECT o_orderkey::BIGINT AS pos, concat('U', o_custkey % 150) AS user_id, concat('PL', (o_orderkey * 7) % 700) AS place_id, concat('https://www.tiktok.com/@u', (o_custkey * 3) % 50, '/video/', o_orderkey % 900, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE '/' END) AS url FROM orders WHERE o_orderkey % 5 = 1"""
+_SHARES = f"""SELECT o_orderkey::BIGINT AS pos, concat('U', o_custkey % 150) AS user_id, concat('PL', (o_orderkey * 7) % 700) AS place_id, concat('https://www.tiktok.com/@u', (o_custkey * 3) % 50, '/video/', o_orderkey % 900, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE '/' END) AS url FROM orders"""
 
 
 def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order as a link shared again. The SQL above holds a fifth of them."""
+    """Every order as a link shared again."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     url = F.concat(F.lit("https://www.tiktok.com/@u"), c * 3 % 50, F.lit("/video/"), k % 900, F.when(k % 2 == 0, "").otherwise("/"))
     return frame(spark, sf_dir, "orders").select(k.cast("long").alias("pos"), F.concat(F.lit("U"), c % 150).alias("user_id"), F.concat(F.lit("PL"), k * 7 % 700).alias("place_id"), url.alias("url"))
@@ -211,9 +211,9 @@ def write_batch(spark, sf_dir):
     return dedup.write_batch(shares(spark, sf_dir), frame(spark, sf_dir, "pins"))
 
 
-@query(f"""WITH s AS ({_SHARES}), p AS (SELECT pin_id, url FROM <pins>), j AS (SELECT s.pos, p.url AS pin_url, s.url AS share FROM s JOIN p ON p.pin_id = concat('P', s.pos + 3)),
+@query(f"""WITH s AS ({_SHARES}), p AS (SELECT pin_id, url FROM <pins>), j AS (SELECT s.pos, p.url AS pin_url, s.url AS share FROM s LEFT JOIN p ON p.pin_id = concat('P', s.pos + 3)),
 k AS (SELECT pos, pin_url, share, (SELECT {_NORMAL} FROM (SELECT pin_url AS url)) = (SELECT {_NORMAL} FROM (SELECT share AS url)) OR coalesce((SELECT {_CID} FROM (SELECT pin_url AS url)) = (SELECT {_CID} FROM (SELECT share AS url)), false) AS known FROM j)
-SELECT pos, NOT known AS added, CASE WHEN known THEN 0 ELSE 1 END::BIGINT AS n_sources, pin_url AS url FROM k""")
+SELECT pos, pin_url IS NOT NULL AND NOT known AS added, CASE WHEN pin_url IS NULL OR known THEN 0 ELSE 1 END::BIGINT AS n_sources, pin_url AS url FROM k""")
 def source_append(spark, sf_dir):
     """A share of a pin that doesn't exist adds nothing."""
     pins = frame(spark, sf_dir, "pins").select(F.col("pin_id"), F.col("url").alias("pin_url"), F.lit(True).alias("there"))

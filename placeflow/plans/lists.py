@@ -58,13 +58,17 @@ def members_diff(spark, sf_dir):
     return M.member_changes(entries, frame(spark, sf_dir, "members"), ["pin_owner_id"]).select("list_id", "pin_id", "outcome")
 
 
-_ORPHANS = """(SELECT m.list_id, m.pin_id, p.pin_id IS NULL AND NOT b.bad AS orphan, bool_or(b.bad) OVER (PARTITION BY m.list_id) AS vetoed FROM <members> m LEFT JOIN <pin_lists> p ON p.list_id = m.list_id AND p.pin_id = m.pin_id
-  JOIN (SELECT list_id, pin_id, coalesce(TRY_CAST(substring(pin_id, 2) AS BIGINT) % 997 = 0, false) AS bad FROM <members>) b ON b.list_id = m.list_id AND b.pin_id = m.pin_id)"""
+# every 41st pin is taken out, though its lists still name it
+_ORPHANS = """(SELECT m.list_id, m.pin_id, (p.pin_id IS NULL OR q.pin_id IS NULL) AND NOT b.bad AS orphan, bool_or(b.bad) OVER (PARTITION BY m.list_id) AS vetoed FROM <members> m LEFT JOIN <pin_lists> p ON p.list_id = m.list_id AND p.pin_id = m.pin_id
+  LEFT JOIN (SELECT pin_id FROM <pins> WHERE substring(pin_id, 2)::BIGINT % 41 <> 5) q ON q.pin_id = m.pin_id
+  JOIN (SELECT list_id, pin_id, coalesce(TRY_CAST(substring(pin_id, 2) AS BIGINT) % 997 = 0 AND TRY_CAST(substring(pin_id, 2) AS BIGINT) % 41 <> 5, false) AS bad FROM <members>) b ON b.list_id = m.list_id AND b.pin_id = m.pin_id)"""
 
 
 def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = frame(spark, sf_dir, "pins").filter(F.substring("pin_id", 2, 20).cast("long") % 997 == 0).select("pin_id")
-    return M.orphans(frame(spark, sf_dir, "members"), frame(spark, sf_dir, "pin_lists"), frame(spark, sf_dir, "pins"), bad)
+    k = F.substring("pin_id", 2, 20).cast("long")
+    pins = frame(spark, sf_dir, "pins").withColumn("pin_id", F.when(k % 41 == 5, F.concat(F.lit("GONE"), "pin_id")).otherwise(F.col("pin_id")))
+    bad = frame(spark, sf_dir, "pins").filter(k % 997 == 0).select("pin_id")
+    return M.orphans(frame(spark, sf_dir, "members"), frame(spark, sf_dir, "pin_lists"), pins, bad)
 
 
 @query(f"SELECT * FROM {_ORPHANS}")
@@ -112,8 +116,12 @@ def valid_ids(spark, sf_dir):
 PROFILES = [(1, '[{"uid":"a","firstName":"Ann"},{"uid":"b"},{"firstName":"x"},7,{"uid":"a","firstName":"Zoe","photoURL":"p"}]'), (2, '{"a":{}}'), (3, '"x"'), (4, None)]
 
 
-@query(f"""SELECT id::BIGINT AS id, CASE WHEN body IS NOT NULL AND json_type(body::JSON) = 'ARRAY' THEN 'convertedFromArray' WHEN body IS NOT NULL AND json_type(body::JSON) = 'OBJECT' THEN 'alreadyMap' ELSE 'resetMalformed' END AS outcome,
-  CASE id WHEN 1 THEN 'a=Zoe:p,b=User:' END AS converted FROM {values(PROFILES, 'id', 'body')}""")
+@query(f"""WITH p AS (SELECT id, body::JSON AS j FROM {values(PROFILES, 'id', 'body')}),
+e AS (SELECT id, unnest(json_extract(j, '$[*]')) AS x, generate_subscripts(json_extract(j, '$[*]'), 1) AS i FROM p WHERE json_type(j) = 'ARRAY'),
+u AS (SELECT id, x ->> '$.uid' AS uid, coalesce(nullif(x ->> '$.firstName', ''), 'User') AS name, coalesce(x ->> '$.photoURL', '') AS photo, i FROM e WHERE json_type(x) = 'OBJECT' AND coalesce(x ->> '$.uid', '') <> ''),
+l AS (SELECT id, uid, arg_max(name || ':' || photo, i) AS shown FROM u GROUP BY id, uid)
+SELECT p.id::BIGINT AS id, CASE WHEN json_type(j) = 'ARRAY' THEN 'convertedFromArray' WHEN json_type(j) = 'OBJECT' THEN 'alreadyMap' ELSE 'resetMalformed' END AS outcome,
+  CASE WHEN json_type(j) = 'ARRAY' THEN coalesce(string_agg(uid || '=' || shown, ',' ORDER BY uid), '') END AS converted FROM p LEFT JOIN l ON l.id = p.id GROUP BY p.id, j""")
 def profiles_array_to_map(spark, sf_dir):
     from ..operators.backfill import convert_profiles
 
@@ -145,16 +153,75 @@ def member_remove_decision(spark, sf_dir):
     return out.select("list_id", "pin_id", "decision", "new_count", F.coalesce("event", F.lit(False)).alias("event"))
 
 
-@query(f"SELECT list_id, pin_id, CASE WHEN decision = 'ok' AND k % 2 = 1 THEN 'ok:unchanged' ELSE decision END AS decision, CASE WHEN decision = 'ok' THEN CASE WHEN k % 2 = 1 THEN '' ELSE 'category=set:bar,placeName=delete:' END END AS changes FROM (SELECT *, TRY_CAST(substring(pin_id, 2) AS BIGINT) AS k FROM {_DECIDED.replace('{extra}', '')})")
+# overrides asked for, and those stored, by key
+BODIES = [
+    (0, '{"category":"food"}', None), (1, '{"category":"food","placeName":" Joe  Bar\\t"}', '{"category":"food"}'), (2, '{"category":"bar"}', None), (3, '{"placeName":null,"category":null}', '{"placeName":"Joe"}'),
+    (4, '{"other":1,"category":"food"}', None), (5, "{}", None), (6, "[1]", None), (7, '{"placeName":"a<b>"}', None), (8, '{"placeName":"ok\u202ename"}', None), (9, '{"formattedAddress":"1 Main St"}', '{"formattedAddress":"1 Main St"}'),
+    (10, '{"category":"nature"}', '{"category":"nature","bogus":"x"}'), (11, '{"category":"nature"}', '{"category":"bar"}'), (12, '{"placeName":"New"}', '{"category":"bar"}'), (13, '{"placeName":5}', None), (14, '{"placeName":"New"}', '"text"'),
+    (15, '{"category":"food"}', '{"placeName":null}'), (16, '{"placeName":"' + "x" * 300 + '"}', '{"placeName":"Old","category":"other"}'),
+]
+_KINDS = ", ".join(f"'{c}'" for c in V.CATEGORIES)
+_TRIM = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160) || chr(65279)"
+
+
+def _stored_value(v: str, key: str) -> str:
+    """What an override stores for a key of the JSON v, or NULL."""
+    text = f"CASE WHEN json_type({v}, '$.{key}') = 'VARCHAR' THEN {v} ->> '$.{key}' END"
+    if key == "category":
+        return f"CASE WHEN {text} IN ({_KINDS}) THEN {text} END"
+    shown = f"trim({text}, {_TRIM})"
+    return f"CASE WHEN {shown} <> '' AND NOT regexp_matches({shown}, '[\\x00-\\x08\\x0A-\\x1F\\x7F-\\x{{9F}}<>]|\\p{{Cf}}') THEN left({shown}, 256) END"
+
+
+def _op(key: str) -> str:
+    return f"CASE WHEN json_type(b, '$.{key}') IS NULL THEN NULL WHEN json_type(b, '$.{key}') = 'NULL' THEN 'delete' WHEN {_stored_value('b', key)} IS NOT NULL THEN 'set' ELSE 'reject' END"
+
+
+_NAMES = ", ".join(f"'{k}'" for k in V.EDITABLE)
+_CHANGE = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN op_{k} = 'set' AND {_stored_value('b', k)} IS DISTINCT FROM (st ->> '$.{k}') THEN '{k}=set:' || {_stored_value('b', k)} WHEN op_{k} = 'delete' AND json_type(st, '$.{k}') IS NOT NULL THEN '{k}=delete:' END" for k in V.EDITABLE) + "], lambda x: x IS NOT NULL), ',')"
+_BAD_STORED = "st IS NOT NULL AND (json_type(st) <> 'OBJECT' OR len(list_filter(json_keys(st), lambda x: x NOT IN (" + _NAMES + "))) > 0 OR " + " OR ".join(f"(op_{k} IS NULL AND json_type(st, '$.{k}') IS NOT NULL AND {_stored_value('st', k)} IS NULL)" for k in V.EDITABLE) + ")"
+
+
+@query(f"""WITH d AS (SELECT d.*, o.body::JSON AS b, o.stored::JSON AS st FROM {_DECIDED.replace('{extra}', '')} d JOIN {values(BODIES, 'm', 'body', 'stored')} o ON o.m = coalesce(TRY_CAST(substring(d.pin_id, 2) AS BIGINT) % {len(BODIES)}, 0)),
+o AS (SELECT *, {', '.join(f'{_op(k)} AS op_{k}' for k in V.EDITABLE)} FROM d),
+c AS (SELECT *, json_type(b) <> 'OBJECT' OR len(json_keys(b)) = 0 OR len(list_filter(json_keys(b), lambda x: x NOT IN ({_NAMES}))) > 0 OR {' OR '.join(f"coalesce(op_{k} = 'reject', false)" for k in V.EDITABLE)} AS bad, {_CHANGE} AS changed, {_BAD_STORED} AS spoilt FROM o)
+SELECT list_id, pin_id, CASE WHEN bad THEN '400:bad_body' WHEN decision <> 'ok' THEN decision WHEN coalesce(spoilt, false) THEN '409:bad_stored' WHEN changed = '' THEN 'ok:unchanged' ELSE 'ok' END AS decision,
+  CASE WHEN NOT bad AND decision = 'ok' AND NOT coalesce(spoilt, false) THEN changed END AS changes FROM c""")
 def member_override_delta(spark, sf_dir):
-    odd = F.substring("pin_id", 2, 20).try_cast("long") % 2 == 1
-    body = F.try_parse_json(F.when(F.coalesce(odd, F.lit(False)), '{"category":"cafe"}').otherwise('{"category":"bar","placeName":null,"other":1}'))
-    stored = F.create_map(F.lit("category"), F.lit("cafe"), F.lit("placeName"), F.lit("Joe"))
-    out = M.overrides(requests(spark, sf_dir).withColumn("body", body).withColumn("stored", stored))
+    out = M.overrides(override_requests(spark, sf_dir))
     shown = F.transform("changes", lambda o: F.concat(o["key"], F.lit("="), o["op"], F.lit(":"), F.coalesce(o["value"], F.lit(""))))
     return out.select("list_id", "pin_id", "decision", F.array_join(shown, ",").alias("changes"))
 
 
+def override_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = rows(spark, "m int, body string, stored string", BODIES).select("m", F.try_parse_json("body").alias("body"), F.try_parse_json("stored").alias("stored"))
+    m = F.coalesce(F.substring("pin_id", 2, 20).try_cast("long") % len(BODIES), F.lit(0)).cast("int")
+    return requests(spark, sf_dir).withColumn("m", m).join(F.broadcast(asked), "m").drop("m")  # a row per branch
+
+
+_REMOVED = f"""WITH q AS (SELECT d.*, coalesce(TRY_CAST(substring(pin_id, 2) AS BIGINT), 0) AS k FROM {_DECIDED.replace('{extra}', chr(87) + 'HEN coalesce(l.pin_count, 0) < 1 THEN ' + chr(39) + '409:bad_count' + chr(39))} d),
+r AS (SELECT *, k AS pos FROM q UNION ALL SELECT *, k + 1000000000000 FROM q WHERE k % 7 = 0),
+s AS (SELECT *, row_number() OVER (PARTITION BY list_id, pin_id ORDER BY pos) AS n FROM r WHERE decision = 'ok'),
+t AS (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY pos) AS turn FROM s WHERE n = 1),
+done AS (SELECT t.*, l.name AS list_name FROM t JOIN <lists> l ON l.list_id = t.list_id WHERE turn <= t.pin_count)
+SELECT 'members' AS part, list_id, pin_id, '' AS value FROM done UNION ALL SELECT 'pin_lists', list_id, pin_id, '' FROM done
+UNION ALL SELECT 'lists', list_id, NULL, (min(pin_count) - count(*))::BIGINT::VARCHAR FROM done GROUP BY list_id
+UNION ALL SELECT 'events', list_id, pin_id, 'list_member_removed_by_editor|' || pin_owner || '|' || caller || '|' || list_name || '|' || CASE WHEN k % 5 = 0 THEN '' ELSE 'Place ' || pin_id END FROM done WHERE pin_owner <> caller"""
+
+
+@query(_REMOVED)
+def member_removal_deltas(spark, sf_dir):
+    """Every member's removal asked for, some twice: the rows that change, by table."""
+    k = F.coalesce(F.substring("pin_id", 2, 20).try_cast("long"), F.lit(0))
+    names = frame(spark, sf_dir, "lists").select("list_id", F.col("name").alias("list_name"))
+    asked = requests(spark, sf_dir).join(names, "list_id", "left").withColumn("pin_name", F.when(k % 5 == 0, F.concat(F.lit("<"), "pin_id")).otherwise(F.concat(F.lit("Place "), "pin_id")))
+    again = F.explode(F.when(k % 7 == 0, F.array(k, k + 10**12)).otherwise(F.array(k)))
+    out = M.removal_deltas(asked.withColumn("pos", again), F.lit("2024-01-15").cast("timestamp"))
+    shown = F.concat_ws("|", "type", "user_id", "actor", "list_name", "pin_name")
+    key = lambda part, value, pin="pin_id": out[part].select(F.lit(part).alias("part"), "list_id", F.col(pin).alias("pin_id") if pin else F.lit(None).cast("string").alias("pin_id"), value.alias("value"))
+    return key("members", F.lit("")).unionAll(key("pin_lists", F.lit(""))).unionAll(key("lists", F.col("pin_count").cast("string"), None)).unionAll(key("events", shown))
+
+
 FLAGS = [(1, "true"), (2, "false"), (3, '"x"'), (4, None)]
 
 

@@ -109,13 +109,10 @@ def city_match(spark, sf_dir):
     return r.select("id", G.city_match(F.array("type"), F.col("name"), F.col("home")).alias("matches"))
 
 
-@query("""WITH j AS (SELECT d.doc_id AS id, p.place_id, p.place_name AS name, 'Main Street, ' || p.place_name AS address, (d.doc_id % 200)::BIGINT AS ratings, count(*) OVER (PARTITION BY d.doc_id % 7, p.place_id) AS results, lower(coalesce(d.text, '')) AS body, CASE WHEN d.doc_id % 4 = 0 THEN 'My Yelp page' ELSE 'blog' END AS site
-  FROM documents d JOIN <places> p ON p.place_id = concat('PL', d.doc_id % 200) WHERE regexp_matches(coalesce(d.text, ''), '^[A-Za-z ,.\\n]*$'))
-SELECT id::BIGINT AS id, (CASE WHEN contains(trim(regexp_replace(body, '\\s+', ' ', 'g')), lower(name)) THEN 40 ELSE 0 END + CASE WHEN len(list_filter(regexp_split_to_array(lower(address), '[,\\s]+'), lambda w: length(w) > 3 AND contains(trim(regexp_replace(body, '\\s+', ' ', 'g')), w))) > 0 THEN 20 ELSE 0 END
-  + CASE WHEN contains(lower(site), 'yelp') THEN 20 ELSE 0 END + CASE WHEN ratings > 100 THEN 10 ELSE 0 END + CASE WHEN results = 1 THEN 10 ELSE 0 END)::BIGINT AS score FROM j""")
+@query()
 def confidence_score(spark, sf_dir):
-    """Every document against its place; without a place there are no results, and the score is 0. The SQL holds plain ASCII texts only and counts
-    results among those, so it's no oracle of the whole; the tests hold this against a loop."""
+    """Every document against its place; without a place there are no results, and the score is 0. No oracle: the engines lower-case and
+    trim other alphabets differently; the tests hold this against a loop."""
     from pyspark.sql import Window
 
     d = frame(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.concat(F.lit("PL"), F.col("doc_id") % 200).alias("place_id"))

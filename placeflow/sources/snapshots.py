@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +15,10 @@ class Conflict(Exception):
 
 
 class Store:
-    """Tables under a folder that all executors share; a version is a folder, complete once its marker is there.
+    """Tables under a folder that all executors share. A version is a small file that names the folder of its rows.
 
-    A commit writes a new version and fails if the version it read is no longer the newest. One writer at a
-    time is assumed between that check and the rename.
+    Each writer writes rows to a folder of its own, then creates the version's file if it is absent: of several
+    writers of one version one succeeds, and the others find a conflict. Nothing is renamed.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -25,23 +27,32 @@ class Store:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def version(self, table: str) -> int:
-        at = self._path(f"{self.root}/{table}")
+        at = self._path(f"{self.root}/{table}/versions")
         if not self._fs.exists(at):
             return 0
-        done = [s.getPath() for s in self._fs.listStatus(at) if self._fs.exists(self._path(s.getPath(), "_SUCCESS"))]
-        return max([int(p.getName()[1:]) for p in done if p.getName().startswith("v")], default=0)
+        return max([int(s.getPath().getName()) for s in self._fs.listStatus(at) if s.getPath().getName().isdigit()], default=0)
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{table}/v{version or self.version(table)}")
+        at = self._fs.open(self._path(f"{self.root}/{table}/versions/{version or self.version(table)}"))
+        try:
+            folder = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(at, "UTF-8")
+        finally:
+            at.close()
+        return self.spark.read.parquet(f"{self.root}/{table}/{folder}")
 
     def commit(self, table: str, rows: DataFrame, base: int) -> int:
-        """Writes rows as version base + 1, unless it is there already."""
+        """Writes rows as version base + 1, unless another writer has."""
         if self.version(table) != base:
             raise Conflict(f"{table} is at version {self.version(table)}, not {base}")
-        temp, final = (self._path(f"{self.root}/{table}/{x}{base + 1}") for x in ("_new", "v"))
-        rows.write.mode("overwrite").parquet(temp.toString())
-        if self._fs.exists(final) or not self._fs.rename(temp, final):
-            raise Conflict(f"{table} version {base + 1} is there already")
+        folder = f"rows-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{table}/{folder}")
+        try:
+            out = self._fs.create(self._path(f"{self.root}/{table}/versions/{base + 1}"), False)
+        except Py4JJavaError as e:
+            self._fs.delete(self._path(f"{self.root}/{table}/{folder}"), True)
+            raise Conflict(f"{table} version {base + 1} is there already") from e
+        out.write(bytearray(folder.encode()))
+        out.close()
         return base + 1
 
     def update(self, table: str, change: Callable[[DataFrame], DataFrame], tries: int = 3) -> int:

@@ -15,7 +15,13 @@ from ..operators.jobs import sweep
 from ..sources.snapshots import Store, merge
 
 
+KEEP_MS = 24 * 3600 * 1000  # far beyond the age at which a job is swept
+
+
 def _claim(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     taken = state.exists
     rows = pd.concat(list(batches)).sort_values("pos")
     run = []
@@ -25,13 +31,17 @@ def _claim(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
         run.append(wins)
     if taken and not state.exists:
         state.update((True,))
+        state.setTimeoutDuration(KEEP_MS)
     yield pd.DataFrame({"job_id": rows["job_id"], "pos": rows["pos"], "run": run})
 
 
 def claims(events: DataFrame) -> DataFrame:
-    """(job_id, pos, run) of a stream of claims (job_id, pos, status): the first pending one of a job runs, over all batches."""
+    """(job_id, pos, run) of a stream of claims (job_id, pos, status): the first pending one of a job runs, over all batches.
+
+    A job's claim is remembered for a day of processing time.
+    """
     rows = events.select("job_id", F.col("pos").cast("long").alias("pos"), "status")
-    return rows.groupBy("job_id").applyInPandasWithState(_claim, "job_id string, pos long, run boolean", "taken boolean", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("job_id").applyInPandasWithState(_claim, "job_id string, pos long, run boolean", "taken boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def handled(created: DataFrame) -> DataFrame:
@@ -44,8 +54,10 @@ def into(stream: DataFrame, store: Store, table: str, key: str, checkpoint: str)
 
     def put(batch: DataFrame, _: int) -> None:
         newest = batch.groupBy(key).agg(*[F.max_by(c, "pos").alias(c) for c in batch.columns if c != key])
-        base = store.version(table)
-        store.commit(table, merge(store.read(table, base), newest, key) if base else newest, base)
+        if store.version(table):
+            store.update(table, lambda rows: merge(rows, newest, key))
+        else:
+            store.commit(table, newest, 0)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -19,6 +19,16 @@ def test_versions(spark, tmp_path):
     assert sorted(map(tuple, store.read("t", 1).collect())) == [("a", 1, None), ("b", 2, "x")]
 
 
+def test_two_writers_of_one_version(spark, tmp_path):
+    """Both wrote their rows when the version was free; one commits, and its rows are whole."""
+    a, b = Store(spark, f"file://{tmp_path}"), Store(spark, f"file://{tmp_path}")
+    a.commit("t", spark.range(3), 0)
+    b.version = lambda table: 0
+    with pytest.raises(Conflict):
+        b.commit("t", spark.range(5), 0)
+    assert a.read("t").count() == 3 and a.version("t") == 1
+
+
 def test_ids(spark):
     rows = with_id(spark.createDataFrame([("a", "b"), ("ab", ""), ("a", None)], "x string, y string"), "x", "y")
     assert len({r.id for r in rows.collect()}) == 3

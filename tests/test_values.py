@@ -113,6 +113,43 @@ def test_second_pass_changes_nothing(spark, small):
     assert members.deletions(members.orphans(left, frame(spark, small, "pin_lists"), frame(spark, small, "pins"))).count() == 0
 
 
+def test_orphans_of_gone_pins(spark):
+    """A pin that is gone is an orphan though pin_lists still names it, and can't veto."""
+    m = spark.createDataFrame([("L", "a"), ("L", "b"), ("M", "c"), ("M", "d")], "list_id string, pin_id string")
+    pins = spark.createDataFrame([("a",), ("c",), ("d",)], "pin_id string")
+    got = {(r.list_id, r.pin_id): (r.orphan, r.vetoed) for r in members.orphans(m, m, pins, spark.createDataFrame([("b",), ("d",)], "pin_id string")).collect()}
+    assert got == {("L", "a"): (False, False), ("L", "b"): (True, False), ("M", "c"): (False, True), ("M", "d"): (False, True)}
+
+
+def test_by_content_without_sources(spark):
+    pins = spark.createDataFrame([("u", "p1", "https://youtu.be/a1", None), ("u", "p2", "https://a.b/c", ["https://youtu.be/b2"])], "user_id string, pin_id string, url string, sources array<string>")
+    shares = spark.createDataFrame([("u", "https://www.youtube.com/watch?v=a1"), ("u", "https://www.youtube.com/watch?v=b2"), ("u", None)], "user_id string, url string")
+    assert sorted((r.url or "", r.pin_by_content) for r in dedup.by_content(shares, pins).collect()) == [("", None), ("https://www.youtube.com/watch?v=a1", "p1"), ("https://www.youtube.com/watch?v=b2", "p2")]
+
+
+def test_repeated_details_and_hits(spark):
+    """Details and hits that repeat a key, or rank more than one hit, give one row for each pin and user."""
+    pins = spark.createDataFrame([("p", "PL1", ["x"], None)], "pin_id string, place_id string, types array<string>, primary_type string")
+    details = spark.createDataFrame([("PL1", ["bar"], "bar"), ("PL1", ["cafe"], "cafe")], "place_id string, types array<string>, primary_type string")
+    assert [r.outcome for r in backfill.retype(pins, details).collect()] == ["updated"]
+    users = spark.createDataFrame([("u", None, None, "Rome")], "user_id string, home_lat double, home_lng double, home_city string")
+    hits = spark.createDataFrame([("Rome", "Rome", ["locality"], 41.9, 12.5, False, 1), ("Rome", "Roma", ["locality"], 0.0, 0.0, False, 2)], "query_key string, name string, types array<string>, lat double, lng double, failed boolean, rank int")
+    got = backfill.resolve_homes(users, hits).collect()
+    assert [(r.outcome, r.hit_lat) for r in got] == [("resolved", 41.9)]
+
+
+def test_display_names(spark):
+    get = lambda t: one(spark, X.display_name(F.col("t")), t=t)
+    assert get(" a\tb ") == "a\tb"
+    assert get("x" * 300) == "x" * 256
+    assert [get(t) for t in ("", "  ", "a\x07b", "a<b", "a\u200bb", None)] == [None] * 6
+
+
+def test_override_patch(spark):
+    row = spark.range(1).select(F.try_parse_json(F.lit('{"category":"food","placeName":"A"}')).alias("stored"), V.edits(F.try_parse_json(F.lit('{"placeName":null,"formattedAddress":" x "}'))).alias("ops"))
+    assert row.select(members.patched(F.col("stored"), V.effective(F.col("ops"), F.col("stored"))).alias("x")).first()["x"] == {"category": "food", "formattedAddress": "x"}
+
+
 def test_raced(spark):
     planned = spark.createDataFrame([("a", "updated", "food"), ("b", "updated", "food"), ("c", "updated", "food")], "id string, outcome string, category string")
     now = spark.createDataFrame([("a", "food"), ("b", "bar")], "id string, category string")
