@@ -29,7 +29,7 @@ def op1_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op3_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,7 +59,7 @@ def check_near(found, texts):
 
 
 def test_near_duplicates(spark):
-    check_near(neardup.near_duplicates(docs(spark, AWKWARD)), dict(enumerate(AWKWARD)))
+    check_near(neardup.near_duplicates(docs(spark, AWKWARD), percent=85), dict(enumerate(AWKWARD)))
 
 
 def test_near_duplicates_of_one_base(spark):
@@ -70,7 +70,16 @@ def test_near_duplicates_of_one_base(spark):
         for k in rng.choice(len(w), rng.integers(0, 6), replace=False):
             w[k] = f"x{i}_{k}"
         texts[i] = " ".join(w)
-    check_near(neardup.near_duplicates(docs(spark, list(texts.values()))), texts)
+    check_near(neardup.near_duplicates(docs(spark, list(texts.values())), percent=85), texts)
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows under one id are judged each by its own text, null ids link with nothing, repeated rows come out alike."""
+    a, b, c = (" ".join(words(k, 60)) for k in (20, 21, 22))
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, b + " x"), (7, c), (9, c), (None, a), (None, None), (5, None), (5, "")]
+    got = neardup.near_duplicates(docs(spark, [t for _, t in rows], [i for i, _ in rows]), percent=85).collect()
+    want = [(1, 56, 1, True), (5, 56, 1, False), (5, 56, 5, True), (5, 56, 5, True), (7, 57, 5, False), (7, 56, 7, True), (9, 56, 7, False), (None, 56, None, True), (None, 0, None, True), (5, 0, 5, True), (5, 0, 5, True)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
 def test_posterior_bound():
