@@ -1,6 +1,6 @@
 """The library's queries, with an independent DuckDB query for each that SQL can express."""
 
-from . import jobs, links, lists, payloads, places
+from . import flow, jobs, links, lists, payloads, places
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "jobs", "links", "lists", "payloads", "places"]
+__all__ = ["ORACLE", "QUERIES", "flow", "jobs", "links", "lists", "payloads", "places"]

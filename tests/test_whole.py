@@ -69,3 +69,19 @@ def test_candidates_take_every_hit(spark, small, monkeypatch):
     monkeypatch.setattr(enrich, "resolve", lambda c, hits, *more: seen.append(hits.count()) or resolve(c, hits, *more))
     states = {r.state for r in plans.QUERIES["candidate_resolution"](spark, small).collect()}
     assert seen == [db(small).execute("SELECT count(*) FROM part").fetchone()[0]] and states == {"unresolved", "existing", "new"}
+
+
+def test_every_step_of_enrichment(small):
+    found = db(small.replace("0.001", "0.01")).execute(f"SELECT DISTINCT step, status FROM ({plans.ORACLE['enrichment_run']})").fetchall()
+    assert {s for s, _ in found} == {"url", "maps", "content", "matches", "candidate", "candidates", "fallback", "none"}
+    assert {s for _, s in found} == {"duplicate", "complete", "needs_selection", "failed"}
+
+
+def test_garbage_and_fallback_queries(spark):
+    from pyspark.sql import functions as F
+
+    from placeflow.operators import flow
+
+    rows = [("TikTok", None, "", ""), ("abc", None, "", ""), ("Lucali Pizza", None, "", ""), (None, None, "", "📍 Ippudo Ramen, 65 4th Ave #nyc"), (None, None, "", ""), (None, "we had 'The Long Name' in Soho", "", ""), ("x", None, "plain words", "only some very small words here again")]
+    got = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, guess string, caption string, title string, description string").select("k", flow.fallback_query(F.col("guess"), F.col("caption"), F.col("title"), F.col("description")).alias("q")).orderBy("k").collect()
+    assert [r.q for r in got] == [None, None, "Lucali Pizza", "Ippudo Ramen", None, "The Long Name Soho", "plain words only some very small words"]
