@@ -66,15 +66,66 @@ def candidate_query(name: Column, address: Column, city: Column) -> Column:
     return F.when(F.length(q) >= 3, q)
 
 
-def search_key(query: Column, lat: Column | None = None, lng: Column | None = None) -> Column:
-    q = F.lower(trim(query))
-    return F.concat_ws(":", F.lit("places:search"), q, *([] if lat is None else [F.format_string("%.2f", lat), F.format_string("%.2f", lng)]))
+def search_key(query: Column, lat: Column | None = None, lng: Column | None = None, box: tuple[Column, Column, Column, Column] | None = None) -> Column:
+    """The key of a place search: of the query alone, near a point, or inside a box (low and high corner, two decimals)."""
+    where = F.lit("")
+    if box is not None:
+        low, high = (F.concat(F.format_string("%.2f", a), F.lit(","), F.format_string("%.2f", b)) for a, b in (box[:2], box[2:]))
+        where = F.concat(F.lit("#rect:"), low, F.lit("-"), high)
+    elif lat is not None:
+        where = F.concat(F.lit("@"), lat.cast("string"), F.lit(","), lng.cast("string"))
+    return trim(F.lower(F.concat(F.lit("places:search:"), query, where)))
 
 
 def details_key(place: Column) -> Column:
     return F.concat(F.lit("places:details:v3:"), place)
 
 
+def extract_key(title: Column, description: Column) -> Column:
+    head = lambda x: F.substring(F.coalesce(x, F.lit("")), 1, 50)
+    return F.concat_ws(":", F.lit("ai:extract"), head(title), head(description))
+
+
+def candidates_key(title: Column, description: Column, subtitles: Column, mentions: Column) -> Column:
+    head = lambda x, n: F.substring(F.coalesce(x, F.lit("")), 1, n)
+    return F.concat_ws(":", F.lit("ai:places"), head(title, 50), head(description, 50), head(subtitles, 30), head(F.array_join(F.slice(mentions, 1, 5), ","), 50))
+
+
+def vision_key(content: Column, images: Column) -> Column:
+    """By content id, which all shares of a post have, else by the head of its first image's link."""
+    return F.concat(F.lit("ai:vision:v3:"), F.coalesce(F.nullif(content, F.lit("")), F.substring(F.get(images, F.lit(0)), 1, 60), F.lit("")))
+
+
+def context_names(names: Column, siblings: Column) -> Column:
+    """The different names of places and siblings in order."""
+    return F.array_distinct(F.concat(names, siblings))
+
+
+def ttl_lock(holder: Column, since: Column, now: Column, ttl_minutes: int = 30) -> Column:
+    """What asking for a lock that expires does: acquired, taken_over (the holder's is as old as ttl, or of no known age) or refused, even to the holder itself."""
+    old = F.coalesce(since <= now - F.expr(f"INTERVAL {ttl_minutes} MINUTES"), F.lit(True))
+    return F.when(holder.isNull(), "acquired").when(old, "taken_over").otherwise("refused")
+
+
+def renewal(holder: Column, job: Column) -> Column:
+    """renewed, not-owner or missing: only the holder renews or releases a lock."""
+    return F.when(holder.isNull(), "missing").when(holder != job, "not-owner").otherwise("renewed")
+
+
+def must_stop(since: Column, now: Column, ttl_minutes: int = 30, margin_minutes: int = 2) -> Column:
+    """Whether a job that last renewed at `since` is within the margin of losing its lock."""
+    return now >= since + F.expr(f"INTERVAL {ttl_minutes - margin_minutes} MINUTES")
+
+
+def migration_lock(freeze: Column, holder: Column) -> Column:
+    """What asking for the migration lock does: it needs writes frozen (true, nothing like it) and no holder."""
+    return F.when(~F.coalesce(freeze, F.lit(False)), "not_frozen").when(holder.isNotNull(), "in_progress").otherwise("acquired")
+
+
+def unfreeze(holder: Column) -> Column:
+    return F.when(holder.isNotNull(), "in_progress").otherwise("unfrozen")
+
+
 def push_message(status: Column, added: Column, name: Column) -> Column:
     """struct(type, title, body) of a finished job's message; null for other states."""
     named = F.nullif(name, F.lit(""))

@@ -125,6 +125,14 @@ def first_bad_key(stored: Column, ops: Column) -> Column:
     return F.when(stored.isNotNull(), F.when(given.isNull(), F.lit("")).otherwise(bad))
 
 
+def place_item(v: Column) -> Column:
+    """struct(name, location) of a place that a model names: a string is a name, an object has a name and its location, city or region; null for anything else."""
+    t = lambda x: F.trim(F.coalesce(x, F.lit("")))
+    get = lambda k: F.nullif(F.try_variant_get(v, f"$.{k}", "string"), F.lit(""))
+    named = F.struct(t(text_of(v)).alias("name"), F.lit("").alias("location"))
+    return F.when(kind(v) == "string", named).when(kind(v) == "object", F.struct(t(get("name")).alias("name"), t(F.coalesce(get("location"), get("city"), get("region"))).alias("location")))
+
+
 @pandas_udf(StringType())
 def first_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The first balanced object or array in a text, as compact JSON; null if none or if it doesn't parse."""

@@ -64,9 +64,3 @@ def stage_failures(failures: DataFrame) -> DataFrame:
     """Failures of each job in order of time, equal ones once: job_id, stage, message, at."""
     item = F.struct("at", "stage", S.error_kind(F.col("message")).alias("kind"), F.substring("message", 1, 500).alias("message"))
     return failures.groupBy("job_id").agg(F.array_distinct(F.array_sort(F.collect_list(item))).alias("failures"))
-
-
-def lock(state: str | None, held_since: float | None, job: str, now: float, ttl: float = 30 * 60) -> tuple[str, bool]:
-    """Who holds a TTL lock after `job` asks at `now`, and whether it may go on; a lock as old as ttl is taken over."""
-    free = state is None or held_since is None or state == job or now - held_since >= ttl
-    return (job, True) if free else (state, False)

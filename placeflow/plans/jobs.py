@@ -37,10 +37,31 @@ def job_claim(spark, sf_dir):
 CREATED = [(1, "processing", "u", "a", 0, 200), (2, "pending", None, "a", 0, 200), (3, "pending", "u", "", 0, 200), (4, "pending", "u", "a", 1801, 200), (5, "pending", "u", "a", 1800, 202), (6, "pending", "u", "a", 5, 404), (7, "pending", "u", "a", 5, 503), (8, "pending", "u", "a", 5, None), (9, "pending", "u", "a", 5, 301)]
 
 
-@query(f"""SELECT id::BIGINT AS id, CASE WHEN status <> 'pending' THEN 'skip' WHEN coalesce(url, '') = '' OR coalesce(usr, '') = '' THEN 'malformed_pending_doc' WHEN age > 1800 THEN 'cloud_function_max_retry_exceeded' WHEN http IN (200, 202) THEN 'ok' WHEN http >= 400 AND http < 500 THEN 'enrich_http_' || http ELSE 'retry' END AS outcome FROM {values(CREATED, 'id', 'status', 'url', 'usr', 'age', 'http')}""")
+_CREATED = f"""(SELECT k AS id, status, CASE WHEN k % 11 <> 0 THEN 'u' END AS url, CASE WHEN k % 13 = 0 THEN '' ELSE user_id END AS usr, (k * 37) % 2000 AS age, CASE k % 6 WHEN 0 THEN 200 WHEN 1 THEN 202 WHEN 2 THEN 404 WHEN 3 THEN 503 WHEN 4 THEN 301 END AS http FROM (SELECT *, substring(job_id, 2)::BIGINT AS k FROM <jobs>)
+  UNION ALL SELECT -id, status, url, usr, age, http FROM {values(CREATED, 'id', 'status', 'url', 'usr', 'age', 'http')})"""
+
+
+@query(f"""SELECT id::BIGINT AS id, CASE WHEN status <> 'pending' THEN 'skip' WHEN coalesce(url, '') = '' OR coalesce(usr, '') = '' THEN 'malformed_pending_doc' WHEN age > 1800 THEN 'cloud_function_max_retry_exceeded' WHEN http IN (200, 202) THEN 'ok' WHEN http >= 400 AND http < 500 THEN 'enrich_http_' || http ELSE 'retry' END AS outcome FROM {_CREATED}""")
 def created_handler_outcome(spark, sf_dir):
-    c = F.col
-    return rows(spark, "id long, status string, url string, usr string, age long, http int", CREATED).select("id", S.created_outcome(c("status"), c("url"), c("usr"), c("age"), c("http")).alias("outcome"))
+    c, k = F.col, F.substring("job_id", 2, 20).cast("long")
+    http = F.when(k % 6 == 0, 200).when(k % 6 == 1, 202).when(k % 6 == 2, 404).when(k % 6 == 3, 503).when(k % 6 == 4, 301)
+    jobs = frame(spark, sf_dir, "jobs").select(k.alias("id"), "status", F.when(k % 11 != 0, "u").alias("url"), F.when(k % 13 == 0, "").otherwise(c("user_id")).alias("usr"), (k * 37 % 2000).alias("age"), http.alias("http"))
+    more = rows(spark, "id long, status string, url string, usr string, age long, http int", [(-r[0], *r[1:]) for r in CREATED])
+    return jobs.unionAll(more).select("id", S.created_outcome(c("status"), c("url"), c("usr"), c("age"), c("http")).alias("outcome"))
+
+
+_HELD = f"(SELECT job_id, k, CASE WHEN k % 4 <> 0 THEN concat('J', k - k % 3) END AS holder, CASE WHEN k % 7 <> 0 THEN created_at END AS since, k % 5 = 0 AS frozen FROM (SELECT *, substring(job_id, 2)::BIGINT AS k FROM <jobs>))"
+
+
+@query(f"""SELECT job_id, CASE WHEN holder IS NULL THEN 'acquired' WHEN since > TIMESTAMP '{NOW}' - INTERVAL 30 MINUTE THEN 'refused' ELSE 'taken_over' END AS ask, CASE WHEN holder IS NULL THEN 'missing' WHEN holder = job_id THEN 'renewed' ELSE 'not-owner' END AS renew,
+  since <= TIMESTAMP '{NOW}' - INTERVAL 28 MINUTE AS stop, CASE WHEN NOT frozen THEN 'not_frozen' WHEN holder IS NULL THEN 'acquired' ELSE 'in_progress' END AS migrate, CASE WHEN holder IS NULL THEN 'unfrozen' ELSE 'in_progress' END AS unfreeze FROM {_HELD}""")
+def lock_outcomes(spark, sf_dir):
+    """What each job gets when it asks for, renews or frees a lock in some state."""
+    k, now = F.col("k"), F.lit(NOW).cast("timestamp_ntz")
+    held = frame(spark, sf_dir, "jobs").withColumn("k", F.substring("job_id", 2, 20).cast("long"))
+    held = held.select("job_id", F.when(k % 4 != 0, F.concat(F.lit("J"), k - k % 3)).alias("holder"), F.when(k % 7 != 0, F.col("created_at")).alias("since"), (k % 5 == 0).alias("frozen"))
+    h, since = F.col("holder"), F.col("since")
+    return held.select("job_id", S.ttl_lock(h, since, now).alias("ask"), S.renewal(h, F.col("job_id")).alias("renew"), S.must_stop(since, now).alias("stop"), S.migration_lock(F.col("frozen"), h).alias("migrate"), S.unfreeze(h).alias("unfreeze"))
 
 
 _SAVED = "(SELECT concat('U', c_custkey % 150) AS user_id, n_name AS city, r_name AS country, o_orderstatus AS category, o_orderdate AS created_at, o_orderkey AS pin FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
@@ -69,9 +90,17 @@ def trip_signal_seed(spark, sf_dir):
 PLACES = [(1, "uid", "Donostia / San Sebastián", "Spain"), (2, "uid", "St. Louis", "United States"), (3, "uid", "/", "Spain"), (4, "uid", "a\t \tb", "X"), (5, None, "a", "b"), (6, "U.1", "São Paulo", "Brazil")]
 
 
-@query(f"""SELECT id::BIGINT AS id, CASE WHEN u <> '' AND c <> '' AND n <> '' THEN u || '_' || c || '_' || n END AS signal_id FROM (SELECT id, {', '.join(f"trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({x}, '')), '[/' || chr(92) || chr(92) || '.' || chr(92) || 'x00-' || chr(92) || 'x1f]', '_', 'g'), '\\s+', '_', 'g'), '_+', '_', 'g'), '_') AS {y}" for x, y in (('usr', 'u'), ('city', 'c'), ('country', 'n')))} FROM {values(PLACES, 'id', 'usr', 'city', 'country')})""")
+_WHERE = f"(SELECT c_custkey AS id, c_name AS usr, CASE WHEN c_custkey % 9 = 0 THEN '' ELSE n_name || CASE c_custkey % 4 WHEN 0 THEN ' / West' WHEN 1 THEN '.' ELSE '' END END AS city, r_name AS country FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT -id, usr, city, country FROM {values(PLACES, 'id', 'usr', 'city', 'country')})"
+
+
+@query(f"""SELECT id::BIGINT AS id, CASE WHEN u <> '' AND c <> '' AND n <> '' THEN u || '_' || c || '_' || n END AS signal_id FROM (SELECT id, {', '.join(f"trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({x}, '')), '[/' || chr(92) || chr(92) || '.' || chr(92) || 'x00-' || chr(92) || 'x1f]', '_', 'g'), '\\s+', '_', 'g'), '_+', '_', 'g'), '_') AS {y}" for x, y in (('usr', 'u'), ('city', 'c'), ('country', 'n')))} FROM {_WHERE})""")
 def trip_signal_id(spark, sf_dir):
-    return rows(spark, "id long, usr string, city string, country string", PLACES).select("id", S.signal_id(F.col("usr"), F.col("city"), F.col("country")).alias("signal_id"))
+    t = {n: frame(spark, sf_dir, n) for n in ("customer", "nation", "region")}
+    k = F.col("c_custkey")
+    city = F.when(k % 9 == 0, "").otherwise(F.concat("n_name", F.when(k % 4 == 0, " / West").when(k % 4 == 1, ".").otherwise("")))
+    all_ = t["customer"].join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(t["region"], F.col("n_regionkey") == F.col("r_regionkey")).select(k.cast("long").alias("id"), F.col("c_name").alias("usr"), city.alias("city"), F.col("r_name").alias("country"))
+    more = rows(spark, "id long, usr string, city string, country string", [(-r[0], *r[1:]) for r in PLACES])
+    return all_.unionAll(more).select("id", S.signal_id(F.col("usr"), F.col("city"), F.col("country")).alias("signal_id"))
 
 
 @query("SELECT concat('J', event_id % 300) AS job_id, count(*)::BIGINT AS attempts, arg_max(event_type, (ts, event_id)) AS status, arg_max('e' || event_id, (ts, event_id)) AS last_error FROM events GROUP BY 1")

@@ -264,12 +264,25 @@ def candidate_merge(spark, sf_dir):
     return E.candidates(rows(spark, "job_id long, pos long, name string, city string, address string, source string", NAMED), rows(spark, "job_id long, pos long, name string, location string", SEEN))
 
 
-@query(f"SELECT id::BIGINT AS id, 'places:search:' || lower(trim(name)) || ':40.50:-73.25' AS search_key, 'places:details:v3:' || id AS details_key, CASE WHEN length(name) >= 3 THEN name END AS query FROM {values([(1, 'Ippudo'), (2, 'ab'), (3, ' Joe Pizza')], 'id', 'name')}".replace("THEN name END", "THEN trim(name) END"))
+KEYS = [(-1, "Ippudo"), (-2, "ab"), (-3, " Joe Pizza"), (-4, "")]
+_KEYS = f"(SELECT substring(place_id, 3)::BIGINT AS id, place_name AS name FROM <places> UNION ALL SELECT id, name FROM {values(KEYS, 'id', 'name')})"
+
+
+@query(f"""SELECT id::BIGINT AS id, trim(lower('places:search:' || name || CASE (id % 3 + 3) % 3 WHEN 0 THEN '#rect:40.50,-73.25-40.75,-73.00' WHEN 1 THEN '@1.5,-2.25' ELSE '' END)) AS search_key, 'places:details:v3:' || id AS details_key, CASE WHEN length(trim(name)) >= 3 THEN trim(name) END AS query,
+  'ai:extract:' || left(name, 50) || ':' || repeat('x', 50) AS extract_key, 'ai:places:' || left(name, 50) || ':d::a,b' AS candidates_key, 'ai:vision:v3:' || CASE WHEN id % 2 = 0 THEN 'tiktok:' || id ELSE left('https://i.example/' || name || repeat('y', 60), 60) END AS vision_key FROM {_KEYS} k""")
 def lookup_keys(spark, sf_dir):
-    r = rows(spark, "id long, name string", [(1, "Ippudo"), (2, "ab"), (3, " Joe Pizza")])
-    return r.select("id", S.search_key(F.col("name"), F.lit(40.5), F.lit(-73.25)).alias("search_key"), S.details_key(F.col("id").cast("string")).alias("details_key"), S.candidate_query(F.col("name"), F.lit(""), F.lit(None).cast("string")).alias("query"))
+    r = frame(spark, sf_dir, "places").select(F.substring("place_id", 3, 20).cast("long").alias("id"), F.col("place_name").alias("name")).unionAll(rows(spark, "id long, name string", KEYS))
+    n, k = F.col("name"), F.pmod("id", F.lit(3))
+    box = tuple(F.lit(x) for x in (40.5, -73.25, 40.75, -73.0))
+    search = F.when(k == 0, S.search_key(n, box=box)).when(k == 1, S.search_key(n, F.lit(1.5), F.lit(-2.25))).otherwise(S.search_key(n))
+    image = F.concat(F.lit("https://i.example/"), n, F.repeat(F.lit("y"), F.lit(60)))
+    content = F.when(F.col("id") % 2 == 0, F.concat(F.lit("tiktok:"), "id"))
+    return r.select("id", search.alias("search_key"), S.details_key(F.col("id").cast("string")).alias("details_key"), S.candidate_query(n, F.lit(""), F.lit(None).cast("string")).alias("query"), S.extract_key(n, F.repeat(F.lit("x"), F.lit(60))).alias("extract_key"),
+                    S.candidates_key(n, F.lit("d"), F.lit(None).cast("string"), F.array(F.lit("a"), F.lit("b"))).alias("candidates_key"), S.vision_key(content, F.array(image)).alias("vision_key"))
 
 
-@query(f"SELECT id::BIGINT AS id, x AS text FROM {values([(1, 'a')], 'id', 'x')}")
+@query("""SELECT post_id::BIGINT AS id, replace(trim(title, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160) || chr(65279)), '```', '') AS text FROM <posts> UNION ALL SELECT -1, 'a'""")
 def fenced_json(spark, sf_dir):
-    return rows(spark, "id long, x string", [(1, "```json\na\n```")]).select("id", X.without_fences(F.col("x")).alias("text"))
+    """Every title inside fences of one kind or the other."""
+    p = frame(spark, sf_dir, "posts").select(F.col("post_id").cast("long").alias("id"), F.concat(F.when(F.col("post_id") % 2 == 0, "```json\n").otherwise("```\n"), "title", F.lit("\n```")).alias("x"))
+    return p.unionAll(rows(spark, "id long, x string", [(-1, "```json\na\n```")])).select("id", X.without_fences(F.col("x")).alias("text"))

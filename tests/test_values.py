@@ -1,11 +1,16 @@
 """Known values of functions that the other engine can't express, and of the operators' rules."""
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
+from placeflow.functions import posts as P
+from placeflow.functions import state as S
 from placeflow.functions import text as X
 from placeflow.functions import url as U
 from placeflow.functions import variant as V
-from placeflow.operators import backfill, dedup, jobs, members
+from placeflow.operators import backfill, dedup, locks, members
+from placeflow.sources.snapshots import Store
 from placeflow.sources.tables import frame
 
 
@@ -156,10 +161,51 @@ def test_raced(spark):
     assert {r.id: r.outcome for r in backfill.still_same(planned, now, "id", ["category"]).collect()} == {"a": "updated", "b": "raced", "c": "raced"}
 
 
-def test_locks():
-    assert jobs.lock(None, None, "a", 0) == ("a", True)
-    assert jobs.lock("b", 0, "a", 60) == ("b", False)
-    assert jobs.lock("b", 0, "a", 1800) == ("a", True)
+def test_locks(spark, tmp_path):
+    """Locks in a stored control table: one holder, renewal and release by it alone, takeover of an old one, and the freeze around a migration."""
+    store = Store(spark, f"file://{tmp_path}")
+    at = lambda minute: datetime(2024, 1, 1, 0, minute)
+    assert locks.acquire(store, "types", "a", at(0)) == "acquired"
+    assert locks.acquire(store, "types", "b", at(10)) == "refused"
+    assert locks.acquire(store, "types", "a", at(10)) == "refused"
+    assert (locks.renew(store, "types", "b", at(11)), locks.renew(store, "types", "a", at(12)), locks.renew(store, "none", "a", at(12))) == ("not-owner", "renewed", "missing")
+    assert locks.acquire(store, "types", "b", at(41)) == "refused"
+    assert locks.acquire(store, "types", "b", at(42)) == "taken_over"
+    assert not locks.release(store, "types", "a") and locks.release(store, "types", "b")
+    assert locks.acquire(store, "types", "c", at(43)) == "acquired"
+    assert locks.begin_migration(store, "m", at(1)) == "not_frozen"
+    locks.freeze(store)
+    assert (locks.begin_migration(store, "m", at(1)), locks.begin_migration(store, "n", at(2)), locks.unfreeze(store)) == ("acquired", "in_progress", "in_progress")
+    assert not locks.end_migration(store, "n") and locks.end_migration(store, "m")
+    assert (locks.unfreeze(store), locks.begin_migration(store, "n", at(3))) == ("unfrozen", "not_frozen")
+
+
+def test_carousel_and_reel(spark):
+    slash = "\\\\/"
+    image = lambda name: f'\\"display_url\\":\\"https:{slash}{slash}scontent.x{slash}{name}\\"'
+    page = f'<script>{{\\"owner\\":{{\\"id\\":1,\\"username\\":\\"ann\\"}},{image("123456_1_2_n.jpg?a")},{image("123456_1_2_n.jpg?b")},{image("z.jpg?u=1")},\\"edge_media_to_caption\\":{{\\"edges\\":[{{\\"node\\":{{\\"text\\":\\"Go #Now\\"}}}}]}}}}'
+    got = one(spark, P.carousel_post(F.col("h"), F.col("u")), h=page, u="https://www.instagram.com/p/Ab_1/")
+    assert (got.title, got.description, got.uploader, got.hashtags, got.webpage_url, got.is_carousel) == ("Go #Now", "Go #Now", "ann", ["now"], "https://www.instagram.com/p/Ab_1/", True)
+    assert got.slide_thumbnails == ["https://scontent.x/123456_1_2_n.jpg?a", "https://scontent.x/z.jpg?u=1"]
+    assert one(spark, P.carousel_post(F.col("h"), F.col("u")), h="login", u="https://www.instagram.com/p/Ab_1/") is None
+    assert one(spark, P.carousel_post(F.col("h"), F.col("u")), h=page, u="https://a.b/c") is None
+    page = '<meta property="og:description" content="3 likes - bo on May 1: &quot;so: #Good&quot;"><meta property="og:url" content="https://www.instagram.com/bo/reel/R1/"><meta property="og:image" content="i.jpg">'
+    got = one(spark, P.reel_post(F.col("h"), F.col("u")), h=page, u="https://www.instagram.com/reel/R1/")
+    assert (got.title, got.description, got.uploader, got.hashtags, got.slide_thumbnails, got.slide_count, got.webpage_url) == ("so: #Good", "so: #Good", "bo", ["good"], ["i.jpg"], 1, "https://www.instagram.com/bo/reel/R1/")
+    assert one(spark, P.reel_post(F.col("h"), F.col("u")), h="login", u="https://www.instagram.com/reel/R1/") is None
+
+
+def test_keys_and_items(spark):
+    key = lambda what, **v: one(spark, what, **v)
+    box = tuple(F.lit(x) for x in (1.004, 2.0, 3.5, 4.256))
+    assert key(S.search_key(F.col("q"), box=box), q="Joe  ") == "places:search:joe  #rect:1.00,2.00-3.50,4.26"
+    assert key(S.vision_key(F.col("c"), F.array(F.lit("u" * 70))), c="tiktok:1") == "ai:vision:v3:tiktok:1"
+    assert key(S.vision_key(F.col("c"), F.array(F.lit("u" * 70))), c=None) == "ai:vision:v3:" + "u" * 60
+    assert key(S.extract_key(F.col("t"), F.col("d")), t="a" * 60, d=None) == "ai:extract:" + "a" * 50 + ":"
+    assert key(S.candidates_key(F.col("t"), F.lit(""), F.lit("s"), F.array(*map(F.lit, "abcdef"))), t="x") == "ai:places:x::s:a,b,c,d,e"
+    item = lambda x: (lambda r: r and tuple(r))(one(spark, V.place_item(F.try_parse_json(F.col("x"))), x=x))
+    assert [item(x) for x in ('" Joe "', '{"name":" A ","city":"Rome"}', '{"location":"","region":"R"}', "[1]", "null", '{"name":5}')] == [("Joe", ""), ("A", "Rome"), ("", "R"), None, None, ("5", "")]
+    assert spark.range(1).select(S.context_names(F.array(F.lit("b"), F.lit("a")), F.array(F.lit("a"), F.lit("c"))).alias("x")).first()["x"] == ["b", "a", "c"]
 
 
 def test_links_on_nulls(spark):
