@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import posts as K
 from ..functions import state as S
 from ..functions import text as X
 from ..functions import url as U
@@ -240,7 +241,7 @@ def extract_chain(spark, sf_dir):
 
 @query()
 def extracted_posts(spark, sf_dir):
-    """No oracle: the record has arrays. The tests only run it."""
+    """No oracle: the record has arrays; the tests hold known values against it."""
     payload = '{"title":"T","entries":[{"thumbnail":"a.jpg","description":"d #Tag"},{"thumbnails":[{"url":"b.jpg"}]}],"channel":"c"}'
     return rows(spark, "id long, body string", [(1, payload), (2, "not json"), (3, "{}")]).select("id", V.post(F.col("body")).alias("p")).select("id", "p.*")
 
@@ -249,3 +250,35 @@ def extracted_posts(spark, sf_dir):
 def clean_captions(spark, sf_dir):
     """No oracle: look-around; the tests hold known values against it."""
     return _posts(spark, sf_dir).select("post_id", X.cleaned(X.decoded(F.col("description"))).alias("text"), X.name_key(F.col("title")).alias("name_key"))
+
+
+_PLAIN = "trim(regexp_replace(title, '[^A-Za-z0-9# ]', ' ', 'g'))"
+
+
+def _first_tags(text: str) -> str:
+    """The different hashtags of a text in order, lower-cased and joined."""
+    found = f"list_transform(regexp_extract_all({text}, '#([a-zA-Z][a-zA-Z0-9_]*)', 1), lambda t: lower(t))"
+    return f"array_to_string(list_filter({found}, lambda t, i: list_position({found}, t) = i), ',')"
+
+
+@query(f"""SELECT post_id::BIGINT AS post_id, CASE WHEN k % 4 > 0 THEN CASE WHEN t <> '' THEN left(t, 80) ELSE 'Post by u' || k % 50 END END AS title, CASE WHEN k % 4 > 0 THEN 'u' || k % 50 END AS uploader, CASE WHEN k % 4 > 0 THEN 'https://www.instagram.com/p/C' || k || '/' END AS link,
+  CASE WHEN k % 4 > 0 THEN k % 4 > 1 END AS carousel, CASE WHEN k % 4 > 0 THEN array_to_string(list_transform(range(1, k % 4 + 1), lambda i: 'https://scontent.x/' || (100000 + k) || '_' || i || '_2_n.jpg?s=a'), ',') END AS slides, CASE WHEN k % 4 > 0 THEN {_first_tags('t')} END AS tags FROM (SELECT post_id, post_id AS k, {_PLAIN} AS t FROM <posts>)""")
+def carousel_posts(spark, sf_dir):
+    """An embed page for every post, with no to three images, each in two sizes."""
+    k, t = F.col("post_id").cast("long"), F.trim(F.regexp_replace("title", "[^A-Za-z0-9# ]", " "))
+    name = lambda i, size: F.concat(F.lit('\\"display_url\\":\\"https:\\\\/\\\\/scontent.x\\\\/'), 100000 + k, F.lit("_"), i, F.lit(f'_2_n.jpg?s={size}\\",'))
+    images = F.array_join(F.transform(F.when(k % 4 > 0, F.sequence(F.lit(1), (k % 4).cast("int"))).otherwise(F.array().cast("array<int>")), lambda i: F.concat(name(i, "a"), name(i, "b"))), "")
+    html = F.concat(F.lit('<script>"{\\"owner\\":{\\"id\\":\\"1\\",\\"username\\":\\"u'), k % 50, F.lit('\\"},'), images, F.lit('\\"edge_media_to_caption\\":{\\"edges\\":[{\\"node\\":{\\"text\\":\\"'), t, F.lit('\\"}}]}}"</script>'))
+    p = frame(spark, sf_dir, "posts").select("post_id", K.carousel_post(html, F.concat(F.lit("https://www.instagram.com/joe/p/C"), k, F.lit("/?x=1"))).alias("p"))
+    return p.select(F.col("post_id").cast("long").alias("post_id"), "p.title", "p.uploader", F.col("p.webpage_url").alias("link"), F.col("p.is_carousel").alias("carousel"), F.array_join("p.slide_thumbnails", ",").alias("slides"), F.array_join("p.hashtags", ",").alias("tags"))
+
+
+@query(f"""SELECT post_id::BIGINT AS post_id, CASE WHEN t <> '' OR k % 3 > 0 THEN left(CASE WHEN k % 3 > 0 AND t <> '' THEN t WHEN k % 3 > 0 THEN 'Title' ELSE t END, 80) END AS title, CASE WHEN t <> '' OR k % 3 > 0 THEN CASE WHEN k % 2 = 0 THEN 'bo' ELSE 'joe' END END AS uploader,
+  CASE WHEN t <> '' OR k % 3 > 0 THEN CASE WHEN k % 2 = 0 THEN 'https://www.instagram.com/bo/reel/R' || k || '/' ELSE 'https://www.instagram.com/reel/R' || k || '/' END END AS link, CASE WHEN t <> '' OR k % 3 > 0 THEN {_first_tags("CASE WHEN t <> '' THEN t ELSE 'Title' END")} END AS tags FROM (SELECT post_id, post_id AS k, {_PLAIN} AS t FROM <posts>)""")
+def reel_posts(spark, sf_dir):
+    """A reel's page for every post: the caption after an engagement prefix, with or without a title and a canonical link."""
+    k, t = F.col("post_id").cast("long"), F.trim(F.regexp_replace("title", "[^A-Za-z0-9# ]", " "))
+    said = F.when(t != "", F.concat(F.lit('<meta property="og:description" content="'), k, F.lit(" likes - joe on May 1: &quot;"), t, F.lit('&quot;">'))).otherwise("")
+    html = F.concat(said, F.when(k % 3 > 0, '<meta property="og:title" content="Title">').otherwise(""), F.when(k % 2 == 0, F.concat(F.lit('<meta property="og:url" content="https://www.instagram.com/bo/reel/R'), k, F.lit('/">'))).otherwise(""))
+    p = frame(spark, sf_dir, "posts").select("post_id", K.reel_post(html, F.concat(F.lit("https://www.instagram.com/joe/reel/R"), k, F.lit("/"))).alias("p"))
+    return p.select(F.col("post_id").cast("long").alias("post_id"), "p.title", "p.uploader", F.col("p.webpage_url").alias("link"), F.array_join("p.hashtags", ",").alias("tags"))

@@ -260,7 +260,7 @@ SEEN = [(1, 1, "BAR", "Rome"), (1, 2, "Neu", "Bonn")]
 
 @query()
 def candidate_merge(spark, sf_dir):
-    """No oracle: names are compared without accents by Unicode decomposition. The tests only run it."""
+    """No oracle: names are compared without accents by Unicode decomposition; the tests hold known values against it."""
     return E.candidates(rows(spark, "job_id long, pos long, name string, city string, address string, source string", NAMED), rows(spark, "job_id long, pos long, name string, location string", SEEN))
 
 
