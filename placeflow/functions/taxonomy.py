@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import cleaned
@@ -89,3 +89,15 @@ def gate(score: Column, matches: Column, better: Column) -> Column:
     """Final score of a hit: 60 and above stay; a lower one that the verifier replaces gets at least 60; under 30 goes (null)."""
     new = F.when((score < 60) & ~F.coalesce(matches, F.lit(True)) & better.isNotNull(), F.greatest(better, F.lit(60))).otherwise(score)
     return F.when(new >= 30, new)
+
+
+def classified(places: DataFrame) -> DataFrame:
+    """Places (types, primary_type) with their category and cuisine in _category and _cuisine: classified once each, whatever joins them."""
+    return places.withColumn("_category", category(F.col("types"), F.col("primary_type"))).withColumn("_cuisine", cuisine(F.col("types"), F.col("primary_type")))
+
+
+def classes(rows: DataFrame) -> tuple[Column, Column]:
+    """Category and cuisine of rows: those of `classified`, or worked out from types and primary_type."""
+    if "_category" in rows.columns:  # a row that no place joined has no types
+        return F.coalesce("_category", F.lit("other")), F.col("_cuisine")
+    return category(F.col("types"), F.col("primary_type")), cuisine(F.col("types"), F.col("primary_type"))

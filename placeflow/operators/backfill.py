@@ -19,8 +19,8 @@ def page(rows: DataFrame, key: str, after: str | None, size: int) -> tuple[DataF
 
 def reclassify(pins: DataFrame, any_category: bool = False) -> DataFrame:
     """Food pins (category, types, primary_type) with new_category, new_cuisine and outcome."""
-    new = T.category(F.col("types"), F.col("primary_type"))
-    out = pins.withColumn("new_category", new).withColumn("new_cuisine", T.cuisine(F.col("types"), F.col("primary_type")))
+    category, cuisine = T.classes(pins)
+    out = pins.withColumn("new_category", category).withColumn("new_cuisine", cuisine).drop("_category", "_cuisine")
     fits = F.lit(any_category) | F.col("new_category").isin(*T.FOOD)
     return out.withColumn("outcome", ladder((~F.col("category").eqNullSafe("food"), "skippedNonCohort"), (~fits, "skippedUnclassifiable"), last="updated"))
 

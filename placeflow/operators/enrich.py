@@ -111,11 +111,12 @@ def pin_records(places: DataFrame, users: DataFrame, reason: str = "enrichment")
     homes = users.select("user_id", F.when(G.valid_home(F.col("home_lat"), F.col("home_lng")), F.col("home_lat")).alias("_hlat"), F.col("home_lng").alias("_hlng"))
     c = F.col
     rows = places.join(homes, "user_id", "left").withColumn("where", G.location_of_address(c("address")))
+    category, cuisine = T.classes(rows)
     from ..functions import url as U
 
     return rows.select(
         "user_id", "url", U.source_app(c("url")).alias("source_app"), U.domain(c("url")).alias("source_domain"), "place_id", F.nullif(c("name"), F.lit("")).alias("place_name"), F.nullif(c("address"), F.lit("")).alias("formatted_address"),
-        c("lat").alias("latitude"), c("lng").alias("longitude"), T.category(c("types"), c("primary_type")).alias("category"), T.cuisine(c("types"), c("primary_type")).alias("cuisine"), F.nullif(c("rating"), F.lit(0.0)).alias("rating"),
+        c("lat").alias("latitude"), c("lng").alias("longitude"), category.alias("category"), cuisine.alias("cuisine"), F.nullif(c("rating"), F.lit(0.0)).alias("rating"),
         c("utc_offset").alias("utc_offset_minutes"), c("where.country").alias("country"), c("where.region").alias("region"), c("where.city").alias("city"), F.lit("pinned").alias("status"), F.lit(85).alias("confidence_score"),
         S.assert_save_reason(F.lit(reason)).alias("save_origin"), G.round_km(G.distance_km(c("lat"), c("lng"), c("_hlat"), c("_hlng"))).alias("distance_from_home_km"),
         F.lit(None).cast("double").alias("distance_from_user_km"), F.lit(None).cast("string").alias("rec_attribution_id"),

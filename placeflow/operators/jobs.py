@@ -36,8 +36,10 @@ def trip_signals(saved: DataFrame) -> DataFrame:
 
     Categories stand in order of first saving.
     """
-    rows = saved.withColumn("signal_id", S.signal_id(F.col("user_id"), F.col("city"), F.col("country"))).filter("signal_id is not null")
-    each = rows.groupBy("signal_id", "category").agg(F.count("*").alias("n"), F.min(F.struct("created_at", "pin_id")).alias("first"), F.max("created_at").alias("last"))
+    saves = saved.groupBy("user_id", "city", "country", "category").agg(F.count("*").alias("n"), F.min(F.struct("created_at", "pin_id")).alias("first"), F.max("created_at").alias("last"))
+    # ids are derived once for each place and user, not for each save
+    rows = saves.withColumn("signal_id", S.signal_id(F.col("user_id"), F.col("city"), F.col("country"))).filter("signal_id is not null")
+    each = rows.groupBy("signal_id", "category").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
     order = F.array_sort(F.collect_list(F.when(F.col("category").isNotNull(), F.struct("first", "category"))))
     return each.groupBy("signal_id").agg(F.sum("n").alias("pin_count"), F.transform(order, lambda x: x["category"]).alias("categories"), F.max("last").alias("last_save"))
 

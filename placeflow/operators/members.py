@@ -17,17 +17,16 @@ def member_entries(pins: DataFrame, lists: DataFrame) -> DataFrame:
     without lists give no row.
     """
     bad = F.col("list_ids").isNotNull() & (V.kind(F.col("list_ids")) != "array")
-    items = V.items(F.col("list_ids"))
-    some = pins.filter(bad | (F.size(items) > 0)).withColumn("owner_id", V.user_id(F.col("owner")))
-    whole = F.when(bad, "invalidPinListIds").when(F.col("owner_id").isNull(), "invalidPinOwners")
-    defects = some.withColumn("outcome", whole).filter("outcome is not null").select("pin_id", F.lit(None).cast("string").alias("list_id"), F.lit(None).cast("string").alias("pin_owner_id"), F.lit(None).cast("timestamp").alias("added_at"), F.lit(None).cast("int").alias("position"), "outcome")
-    refs = some.filter(whole.isNull()).select("pin_id", "owner_id", "created_at", F.posexplode(items).alias("position", "v")).withColumn("list_id", V.list_id(F.col("v")))
-    wrong = refs.filter("list_id is null").withColumn("outcome", F.lit("invalidListRefs"))
+    some = pins.select("pin_id", "created_at", bad.alias("_bad"), V.items(F.col("list_ids")).alias("_items"), V.user_id(F.col("owner")).alias("_owner")).filter(F.col("_bad") | (F.size("_items") > 0))
+    whole = F.when(F.col("_bad"), "invalidPinListIds").when(F.col("_owner").isNull(), "invalidPinOwners")
+    some = some.withColumn("_whole", whole).withColumn("_ids", F.when(whole.isNull(), F.transform("_items", V.list_id)))
+    # the first place of each list, and every reference that isn't one; a defect stands for the whole pin
+    first = F.filter(F.transform("_ids", lambda x, i: F.struct(i.alias("position"), x.alias("list_id"))), lambda x: x["list_id"].isNull() | (F.array_position("_ids", x["list_id"]) == x["position"] + 1))
+    refs = some.select("pin_id", "_owner", "created_at", "_whole", F.explode_outer(first).alias("r")).select("pin_id", "_owner", "created_at", "_whole", "r.list_id", F.when(F.col("r.list_id").isNotNull(), F.col("r.position")).alias("position"))
     known = lists.select("list_id").distinct().withColumn("_known", F.lit(True))
-    once = refs.filter("list_id is not null").groupBy("pin_id", "list_id").agg(F.min(F.struct("position", "owner_id", "created_at")).alias("r")).select("pin_id", "list_id", "r.*")
-    good = once.join(known, "list_id", "left").withColumn("outcome", F.when(F.col("_known"), "entry").otherwise("staleListRefs"))
-    cols = ["pin_id", "list_id", F.col("owner_id").alias("pin_owner_id"), F.col("created_at").cast("timestamp").alias("added_at"), "position", "outcome"]
-    return defects.unionByName(wrong.select(cols)).unionByName(good.select(cols))
+    outcome = F.coalesce("_whole", F.when(F.col("list_id").isNull(), "invalidListRefs").when(F.col("_known"), "entry").otherwise("staleListRefs"))
+    named = F.col("list_id").isNotNull()
+    return refs.join(known, "list_id", "left").select("pin_id", "list_id", F.when(named, F.col("_owner")).alias("pin_owner_id"), F.when(named, F.col("created_at").cast("timestamp")).alias("added_at"), F.col("position").cast("int").alias("position"), outcome.alias("outcome"))
 
 
 def member_changes(entries: DataFrame, members: DataFrame, values: list[str]) -> DataFrame:

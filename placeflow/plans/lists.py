@@ -14,11 +14,11 @@ from .registry import query, rows, values
 
 def typed_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pins with an array of their lists as a variant; every 97th key has a string, every 89th no owner."""
-    refs = frame(spark, sf_dir, "pin_lists").groupBy("pin_id").agg(F.to_json(F.array_sort(F.collect_list("list_id"))).alias("lists"))
+    refs = frame(spark, sf_dir, "pin_lists").groupBy("pin_id").agg(F.to_variant_object(F.array_sort(F.collect_list("list_id"))).alias("lists"))
     k = F.substring("pin_id", 2, 20).cast("long")
     pins = frame(spark, sf_dir, "pins").join(refs, "pin_id")
-    ids = F.when(k % 97 == 0, F.lit('"L1"')).when(k % 83 == 0, F.lit('["L1","","has/slash",null,42]')).otherwise(F.col("lists"))
-    return pins.select("pin_id", F.try_parse_json(F.when(k % 89 != 0, F.to_json(F.struct("user_id")))).alias("o"), F.try_parse_json(ids).alias("list_ids"), "created_at").withColumn("owner", F.try_variant_get("o", "$.user_id", "variant")).drop("o")
+    ids = F.when(k % 97 == 0, F.parse_json(F.lit('"L1"'))).when(k % 83 == 0, F.parse_json(F.lit('["L1","","has/slash",null,42]'))).otherwise(F.col("lists"))
+    return pins.select("pin_id", F.when(k % 89 != 0, F.to_variant_object(F.array("user_id"))).alias("o"), ids.alias("list_ids"), "created_at").withColumn("owner", F.try_variant_get(F.col("o"), "$[0]", "variant")).drop("o")
 
 
 _TYPED = """(SELECT pin_id, substring(pin_id, 2)::BIGINT AS k, user_id FROM <pins> WHERE pin_id IN (SELECT pin_id FROM <pin_lists>))"""
@@ -96,21 +96,35 @@ def merge_upsert(spark, sf_dir):
 
 
 VARIANTS = [(1, None), (2, "null"), (3, '["a","b"]'), (4, "[]"), (5, '["a",null]'), (6, '["a",1]'), (7, '["a",""]'), (8, '"a"'), (9, '{"a":true}'), (10, "42"), (11, "true")]
-_V = values(VARIANTS, "id", "body")
+_REFS = "(SELECT substring(pin_id, 2)::BIGINT AS k, to_json(list(list_id ORDER BY list_id))::VARCHAR AS x FROM <pin_lists> GROUP BY pin_id)"
+_V = f"(SELECT k AS id, CASE k % 5 WHEN 0 THEN NULL WHEN 1 THEN replace(x, ']', ',null]') WHEN 2 THEN '{{\"a\":' || x || '}}' ELSE x END AS body FROM {_REFS} UNION ALL SELECT -id, body FROM {values(VARIANTS, 'id', 'body')})"
 _STATE = """CASE WHEN body IS NULL THEN 'absent' WHEN json_type(body::JSON) <> 'ARRAY' THEN 'malformed' WHEN len(list_filter(json_extract(body::JSON, '$[*]'), lambda x: json_type(x) <> 'VARCHAR' OR x::VARCHAR = '""')) > 0 THEN 'malformed' ELSE 'authoritative' END"""
 
 
 @query(f"SELECT id::BIGINT AS id, {_STATE} AS state FROM {_V}")
 def string_array_state(spark, sf_dir):
-    return rows(spark, "id long, body string", VARIANTS).select("id", V.string_array(F.try_parse_json("body")).alias("state"))
+    """The lists of every pin, some as they are, some with an item that is no string, inside an object, or missing."""
+    k, x = F.substring("pin_id", 2, 20).cast("long"), F.to_json(F.array_sort(F.collect_list("list_id")))
+    refs = frame(spark, sf_dir, "pin_lists").groupBy("pin_id").agg(x.alias("x")).select(k.alias("id"), "x")
+    k = F.col("id")
+    body = F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, F.replace("x", F.lit("]"), F.lit(",null]"))).when(k % 5 == 2, F.concat(F.lit('{"a":'), "x", F.lit("}"))).otherwise(F.col("x"))
+    more = rows(spark, "id long, body string", [(-i, v) for i, v in VARIANTS])
+    return refs.select("id", body.alias("body")).unionAll(more).select("id", V.string_array(F.try_parse_json("body")).alias("state"))
 
 
 IDS = [(1, "ok"), (2, ""), (3, "a/b"), (4, "."), (5, ".."), (6, "__x__"), (7, "a\tb"), (8, "x" * 1500), (9, "x" * 1501), (10, None)]
 
 
-@query(f"SELECT id::BIGINT AS id, coalesce(length(x) BETWEEN 1 AND 1500 AND NOT contains(x, '/') AND x NOT IN ('.', '..') AND NOT regexp_matches(x, '[\\x00-\\x1F\\x7F]') AND NOT regexp_full_match(x, '__.*__'), false) AS valid FROM {values(IDS, 'id', 'x')}")
+_IDS = f"(SELECT substring(pin_id, 2)::BIGINT AS id, CASE o_k % 6 WHEN 0 THEN pin_id || '/' WHEN 1 THEN '__' || pin_id || '__' WHEN 2 THEN pin_id || chr(127) WHEN 3 THEN repeat(pin_id, 300) ELSE pin_id END AS x FROM (SELECT pin_id, substring(pin_id, 2)::BIGINT AS o_k FROM <pins>) UNION ALL SELECT -id, x FROM {values(IDS, 'id', 'x')})"
+
+
+@query(f"SELECT id::BIGINT AS id, coalesce(length(x) BETWEEN 1 AND 1500 AND NOT contains(x, '/') AND x NOT IN ('.', '..') AND NOT regexp_matches(x, '[\\x00-\\x1F\\x7F]') AND NOT regexp_full_match(x, '__.*__'), false) AS valid FROM {_IDS}")
 def valid_ids(spark, sf_dir):
-    return rows(spark, "id long, x string", IDS).select("id", V.doc_id(F.col("x")).alias("valid"))
+    """The id of every pin, some spoilt."""
+    p, k = F.col("pin_id"), F.substring("pin_id", 2, 20).cast("long")
+    x = F.when(k % 6 == 0, F.concat(p, F.lit("/"))).when(k % 6 == 1, F.concat(F.lit("__"), p, F.lit("__"))).when(k % 6 == 2, F.concat(p, F.lit("\x7f"))).when(k % 6 == 3, F.repeat(p, F.lit(300))).otherwise(p)
+    more = rows(spark, "id long, x string", [(-i, v) for i, v in IDS])
+    return frame(spark, sf_dir, "pins").select(k.alias("id"), x.alias("x")).unionAll(more).select("id", V.doc_id(F.col("x")).alias("valid"))
 
 
 PROFILES = [(1, '[{"uid":"a","firstName":"Ann"},{"uid":"b"},{"firstName":"x"},7,{"uid":"a","firstName":"Zoe","photoURL":"p"}]'), (2, '{"a":{}}'), (3, '"x"'), (4, None)]

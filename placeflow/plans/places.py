@@ -62,16 +62,26 @@ ADDRESSES = [
 ]
 
 
-@query(f"""WITH p AS (SELECT id, addr, unnest(string_split(addr, ',')) AS x, generate_subscripts(string_split(addr, ','), 1) AS i, len(string_split(addr, ',')) AS n FROM {values(ADDRESSES, 'id', 'addr')}),
+_ADDR = f"""(SELECT c_custkey AS id, c_custkey % 300 || ' Road, ' || CASE WHEN c_custkey % 3 = 0 THEN n_name || ' Town, ' ELSE '' END || CASE WHEN c_custkey % 4 = 0 THEN 'AB 1' || (1000 + c_custkey % 999) || ' x, ' ELSE '' END || CASE WHEN c_custkey % 7 = 0 THEN '12 Area, County, ' ELSE '' END || r_name AS addr
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT -id, addr FROM {values(ADDRESSES, 'id', 'addr')})"""
+
+
+@query(f"""WITH p AS (SELECT id, addr, unnest(string_split(addr, ',')) AS x, generate_subscripts(string_split(addr, ','), 1) AS i, len(string_split(addr, ',')) AS n FROM {_ADDR}),
 k AS (SELECT id, i, trim(x) AS x FROM p WHERE i < n AND NOT regexp_matches(trim(x), '^\\d')),
 s AS (SELECT *, regexp_matches(x, '^[A-Z]{{2}}\\s+\\d{{4,}}') AS coded FROM k),
 c AS (SELECT *, row_number() OVER (PARTITION BY id, coded ORDER BY i) AS m FROM s),
 r AS (SELECT id, max(x) FILTER (NOT coded AND m = 1) AS city, max(i) FILTER (coded) AS last_code, min(i) FILTER (NOT coded AND m = 2) AS second FROM c GROUP BY id)
 SELECT a.id::BIGINT AS id, CASE WHEN contains(addr, ',') THEN trim(string_split(addr, ',')[-1]) END AS country,
   CASE WHEN last_code IS NOT NULL THEN regexp_replace(trim(string_split(addr, ',')[last_code]), '\\s+\\d+.*$', '') WHEN second IS NOT NULL THEN trim(string_split(addr, ',')[second]) END AS region, city
-FROM {values(ADDRESSES, 'id', 'addr')} a LEFT JOIN r ON r.id = a.id""")
+FROM {_ADDR} a LEFT JOIN r ON r.id = a.id""")
 def location_address(spark, sf_dir):
-    return rows(spark, "id long, addr string", ADDRESSES).select("id", G.location_of_address(F.col("addr")).alias("w")).select("id", "w.*")
+    """An address for every customer, of two to six parts."""
+    t = {n: frame(spark, sf_dir, n) for n in ("customer", "nation", "region")}
+    k = F.col("c_custkey").cast("long")
+    j = t["customer"].join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+    addr = F.concat(k % 300, F.lit(" Road, "), F.when(k % 3 == 0, F.concat("n_name", F.lit(" Town, "))).otherwise(""), F.when(k % 4 == 0, F.concat(F.lit("AB 1"), 1000 + k % 999, F.lit(" x, "))).otherwise(""), F.when(k % 7 == 0, "12 Area, County, ").otherwise(""), F.col("r_name"))
+    all_ = j.select(k.alias("id"), addr.alias("addr")).unionAll(rows(spark, "id long, addr string", [(-i, a) for i, a in ADDRESSES]))
+    return all_.select("id", G.location_of_address(F.col("addr")).alias("w")).select("id", "w.*")
 
 
 PARTS = [(1, "France", "country"), (1, "Paris", "locality"), (1, "Île-de-France", "administrative_area_level_1"), (2, "Tokyo", "administrative_area_level_1"), (2, "Japan", "country"), (3, "Shibuya", "sublocality"), (4, "A", "postal_town"), (4, "B", "locality"), (4, "C1", "country"), (4, "C2", "country")]
@@ -102,11 +112,21 @@ def home_distance(spark, sf_dir):
 CITIES = [(1, "locality", "Brooklyn, NY", "Brooklyn"), (2, "locality", "New York", "New York City"), (3, "neighborhood", "Soho", "Soho"), (4, "administrative_area_level_1", " TOKYO ,  Japan", "tokyo"), (5, None, "Rome", "Rome"), (6, "locality", "", "Rome")]
 
 
+_CITIES = f"""(SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'locality' WHEN 1 THEN 'neighborhood' ELSE 'administrative_area_level_2' END AS type, n_name || CASE WHEN c_custkey % 2 = 0 THEN ' , ' || r_name ELSE '' END AS name, CASE WHEN c_custkey % 5 = 0 THEN r_name ELSE '  ' || lower(n_name) END AS home
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT -id, type, name, home FROM {values(CITIES, 'id', 'type', 'name', 'home')})"""
+
+
 @query(f"""SELECT id::BIGINT AS id, coalesce(type IN ('locality', 'administrative_area_level_1', 'administrative_area_level_2', 'administrative_area_level_3', 'administrative_area_level_4'), false) AND trim(name) <> '' AND trim(home) <> ''
-  AND regexp_replace(trim(lower(split_part(name, ',', 1))), '\\s+', ' ', 'g') = regexp_replace(trim(lower(split_part(home, ',', 1))), '\\s+', ' ', 'g') AS matches FROM {values(CITIES, 'id', 'type', 'name', 'home')}""")
+  AND regexp_replace(trim(lower(split_part(name, ',', 1))), '\\s+', ' ', 'g') = regexp_replace(trim(lower(split_part(home, ',', 1))), '\\s+', ' ', 'g') AS matches FROM {_CITIES}""")
 def city_match(spark, sf_dir):
-    r = rows(spark, "id long, type string, name string, home string", CITIES)
-    return r.select("id", G.city_match(F.array("type"), F.col("name"), F.col("home")).alias("matches"))
+    """A hit for every customer's nation against a home that is, or isn't, that one."""
+    t = {n: frame(spark, sf_dir, n) for n in ("customer", "nation", "region")}
+    k = F.col("c_custkey").cast("long")
+    j = t["customer"].join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+    kind = F.when(k % 3 == 0, "locality").when(k % 3 == 1, "neighborhood").otherwise("administrative_area_level_2")
+    r = j.select(k.alias("id"), kind.alias("type"), F.concat("n_name", F.when(k % 2 == 0, F.concat(F.lit(" , "), "r_name")).otherwise("")).alias("name"), F.when(k % 5 == 0, F.col("r_name")).otherwise(F.concat(F.lit("  "), F.lower("n_name"))).alias("home"))
+    more = rows(spark, "id long, type string, name string, home string", [(-c[0], *c[1:]) for c in CITIES])
+    return r.unionAll(more).select("id", G.city_match(F.array("type"), F.col("name"), F.col("home")).alias("matches"))
 
 
 @query()
@@ -125,13 +145,19 @@ def confidence_score(spark, sf_dir):
 GATES = [(1, 70, None, None), (2, 50, True, None), (3, 50, False, 40), (4, 20, False, 90), (5, 20, True, None), (6, 40, False, None), (7, 29, None, 80)]
 
 
-@query(f"SELECT id::BIGINT AS id, CASE WHEN s >= 30 THEN s END::BIGINT AS score FROM (SELECT id, CASE WHEN score < 60 AND NOT coalesce(m, true) AND b IS NOT NULL THEN greatest(b, 60) ELSE score END AS s FROM {values(GATES, 'id', 'score', 'm', 'b')})")
+_GATES = f"(SELECT event_id AS id, event_id * 7 % 100 AS score, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS m, CASE WHEN event_id % 4 > 0 THEN event_id * 13 % 100 END AS b FROM events UNION ALL SELECT -id, score, m, b FROM {values(GATES, 'id', 'score', 'm', 'b')})"
+
+
+@query(f"SELECT id::BIGINT AS id, CASE WHEN s >= 30 THEN s END::BIGINT AS score FROM (SELECT id, CASE WHEN score < 60 AND NOT coalesce(m, true) AND b IS NOT NULL THEN greatest(b, 60) ELSE score END AS s FROM {_GATES})")
 def confidence_gate(spark, sf_dir):
-    return rows(spark, "id long, score long, m boolean, b long", GATES).select("id", T.gate(F.col("score"), F.col("m"), F.col("b")).alias("score"))
+    k = F.col("event_id").cast("long")
+    e = frame(spark, sf_dir, "events").select(k.alias("id"), (k * 7 % 100).alias("score"), F.when(k % 3 == 0, True).when(k % 3 == 1, False).alias("m"), F.when(k % 4 > 0, k * 13 % 100).alias("b"))
+    more = rows(spark, "id long, score long, m boolean, b long", [(-r[0], *r[1:]) for r in GATES])
+    return e.unionAll(more).select("id", T.gate(F.col("score"), F.col("m"), F.col("b")).alias("score"))
 
 
 def food_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = frame(spark, sf_dir, "places").select("place_id", F.split("types_csv", ",").alias("types"), "primary_type")
+    places = T.classified(frame(spark, sf_dir, "places").select("place_id", "place_name", F.split("types_csv", ",").alias("types"), "primary_type"))
     return frame(spark, sf_dir, "pins").join(places, "place_id", "left")
 
 
@@ -214,8 +240,8 @@ FROM (SELECT n.pin_id, substring(n.pin_id, 2)::BIGINT AS k, {_CATEGORY} AS categ
   FROM (SELECT n.*, pl.types_csv AS csv, pl.primary_type AS p FROM <pins> n JOIN <places> pl ON pl.place_id = n.place_id) n LEFT JOIN <users> u ON u.user_id = n.user_id)""")
 def pin_projection(spark, sf_dir):
     k = F.substring("pin_id", 2, 20).cast("long")
-    p = food_pins(spark, sf_dir).join(frame(spark, sf_dir, "places").select("place_id", "place_name"), "place_id")
-    p = p.select("user_id", F.concat(F.lit("https://www.yelp.com/"), "pin_id").alias("url"), "place_id", F.col("place_name").alias("name"), F.concat(F.lit("12 Road, City "), k % 9, F.lit(", Land")).alias("address"), F.lit(10.0).alias("lat"), F.lit(20.0).alias("lng"), "types", "primary_type", (k % 5).cast("double").alias("rating"), F.lit(60).alias("utc_offset"))
+    p = food_pins(spark, sf_dir).filter("place_name is not null")
+    p = p.select("user_id", F.concat(F.lit("https://www.yelp.com/"), "pin_id").alias("url"), "place_id", F.col("place_name").alias("name"), F.concat(F.lit("12 Road, City "), k % 9, F.lit(", Land")).alias("address"), F.lit(10.0).alias("lat"), F.lit(20.0).alias("lng"), "types", "primary_type", "_category", "_cuisine", (k % 5).cast("double").alias("rating"), F.lit(60).alias("utc_offset"))
     r = E.pin_records(p, frame(spark, sf_dir, "users"))
     return r.select(F.substring_index("url", "/", -1).alias("pin_id"), F.col("source_app").alias("app"), "category", "cuisine", "city", "country", "rating", F.col("distance_from_home_km").alias("km"))
 
