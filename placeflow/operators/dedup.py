@@ -91,10 +91,21 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.Data
 def write_batch(shares: DataFrame, pins: DataFrame) -> DataFrame:
     """(user_id, pos, pin_id, inserted) of shares written in order of pos, each seeing what the ones before it inserted.
 
-    Users with one share need only the joins; those with more are folded in order, a user at a time.
+    A share of a stored pin needs the joins only, and inserts nothing that another could see. Of the rest, one whose
+    place, link and normal link no other share of its user has is inserted as it is. What is left, shares that collide
+    with others of their user, is folded in order, a user at a time.
     """
     found = existing(shares, pins).withColumn("normal", U.normalize(F.col("url")))
-    found = found.withColumn("_n", F.count("*").over(Window.partitionBy("user_id")))
-    one = found.filter("_n = 1").select("user_id", "pos", F.coalesce("existing_pin", F.concat(F.lit("N"), "pos")).alias("pin_id"), F.col("existing_pin").isNull().alias("inserted"))
-    more = found.filter("_n > 1").select("user_id", "pos", "place_id", "url", "normal", "existing_pin")
-    return one.unionByName(more.groupBy("user_id").applyInPandas(_fold, "user_id string, pos long, pin_id string, inserted boolean"))
+    stored = found.filter("existing_pin is not null").select("user_id", "pos", F.col("existing_pin").alias("pin_id"), F.lit(False).alias("inserted"))
+    new = found.filter("existing_pin is null")
+    alone = F.lit(True)
+    for key in ("place_id", "url", "normal"):
+        # an empty key meets nothing; its rows are spread by pos
+        some = F.coalesce(F.col(key) != "", F.lit(False))
+        same = Window.partitionBy("user_id", F.when(some, F.col(key)), F.when(~some, F.col("pos")))
+        new = new.withColumn(f"_{key}", F.count("*").over(same))
+        alone = alone & (~some | (F.col(f"_{key}") == 1))
+    new = new.withColumn("_alone", alone)
+    one = new.filter("_alone").select("user_id", "pos", F.concat(F.lit("N"), "pos").alias("pin_id"), F.lit(True).alias("inserted"))
+    more = new.filter("not _alone").select("user_id", "pos", "place_id", "url", "normal", "existing_pin")
+    return stored.unionByName(one).unionByName(more.groupBy("user_id").applyInPandas(_fold, "user_id string, pos long, pin_id string, inserted boolean"))
