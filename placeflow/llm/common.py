@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +29,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_open: ContextVar[list[Scratch] | None] = ContextVar("open", default=None)
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Drops, at its end, all tables that operators wrote inside; what they return must be written by then."""
+    held: list[Scratch] = []
+    token = _open.set(held)
+    try:
+        yield
+    finally:
+        _open.reset(token)
+        for scratch in held:
+            scratch.clear()
+
+
 class Scratch:
     """Written tables that cut lineage: they survive lost executors and are dropped once nothing reads them."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/placeflow-{uuid.uuid4().hex}", 0
+        if (held := _open.get()) is not None:
+            held.append(self)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -42,10 +62,15 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
         for t in tables:
-            p = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            self._delete(t._scratch_path)
+
+    def clear(self) -> None:
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -35,35 +35,42 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns `keep`.
 
     A row's key is the md5 of its id and of its text's md5, so reruns agree and rows under one id, or none, are spread.
-    Keys are range-partitioned into ranges of about `part` rows; sums of ranges, then sums within a range, give each
-    row the words before it, and no task holds a source. A source repeats whole epochs while its target covers them,
-    then the words of one more up to its exact budget (the target rounded down); the row at the cut gives its first
-    words.
+    Keys are range-partitioned into ranges of about `part` rows; sums of ranges, then sums within the range where a
+    source's budget ends, give the words before each key, and no task holds a source. A source repeats whole epochs
+    while its target covers them, then the words of one more up to its exact budget (the target rounded down); the row
+    at the cut gives its first words. A cut is one key per source, so rows and their texts aren't shuffled: each
+    compares its key with its source's cut. Sizes are counted once, or twice with `keep`.
 
     Null or empty text, or one without words: size 0, taken 0. Null source: a source, last. Null id: hashed as
-    the text ''. Repeated rows each have a place of their own; which of them the cut meets is arbitrary, and they are
-    alike. A source without words has target 0. Columns besides these are not read.
+    the text ''. Equal rows (id and text) that the cut meets share what is left evenly, rounded down. A source without
+    words has target 0. Columns besides these are not read. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
     key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).cast("binary"))
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = scratch.save(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"), *([F.struct(*keep).alias("own")] if keep else [])))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"), *([F.struct(*keep).alias("own")] if keep else []))
+    rows = scratch.save(sized.drop("own"))
     buckets = rows.count() // part + 1
     rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / 2**32).cast("int"))
     ranges = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     targets = source_targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    ranges = ranges.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "words")
-    ranges = ranges.withColumnRenamed("source", "s").withColumnRenamed("bucket", "b")
-    within = Window.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    out = out.join(ranges, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     budget = F.floor("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size")).cast("long")).otherwise(F.lit(0))
-    left = budget - whole * F.col("source_size") - F.col("before") - F.col("inside")
-    taken = whole * F.col("size") + F.least(F.greatest(left, F.lit(0)), F.col("size"))
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), F.col("source").alias(source_col), *(f"own.{c}" for c in keep))
+    targets = scratch.save(targets.withColumn("whole", whole).withColumn("left", budget - whole * F.col("source_size")).withColumnRenamed("source", "s"))
+    same = F.col("source").eqNullSafe(F.col("s"))
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).join(targets, same)
+    ends = ranges.filter("before <= left and left < before + words").select("s", F.col("bucket").alias("b"), F.col("left") - F.col("before")).toDF("s", "b", "left")
+    near = rows.filter("size > 0").join(ends, same & (F.col("bucket") == F.col("b"))).groupBy("s", "left", "key").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+    within = Window.partitionBy("s").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    near = near.withColumn("before", F.coalesce(F.sum("words").over(within), F.lit(0))).filter("before <= left and left < before + words")
+    cuts = near.select("s", F.col("key").alias("cut"), F.floor((F.col("left") - F.col("before")) / F.col("n")).cast("long").alias("rest")).withColumnRenamed("s", "t")
+    cuts = scratch.save(targets.join(cuts, F.col("s").eqNullSafe(F.col("t")), "left").drop("t", "left"))  # a row per source
+    out = (sized if keep else rows).join(cuts, same)
+    # without a cut, nothing of one more epoch is taken
+    once = F.when(F.col("key") < F.col("cut"), F.col("size")).when(F.col("key") == F.col("cut"), F.least("rest", "size")).otherwise(F.lit(0))
+    taken = F.col("whole") * F.col("size") + once
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("source").alias(source_col), *(f"own.{c}" for c in keep))
 
 
 #: DuckDB: one row per document with the columns of mix_sources, for the table {docs}.

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from placeflow.llm import mixing, neardup, secrets, toxicity
@@ -104,3 +105,30 @@ def test_mix_takes_its_target(spark, seed):
         assert (r.doc_id, r.source, r.text) in texts or any(i == r.doc_id and s == r.source and t and t.startswith(r.text) for i, s, t in texts)
     assert got == target
     assert {r.doc_id for r in P.mix(spark, docs, SF).collect()} >= {None}
+
+
+def test_stages_on_empty_tables_and_other_columns(spark):
+    """Each stage of an empty table is empty; columns that clash with those inside change nothing."""
+    none = frame(spark, [(1, "x")]).limit(0)
+    more = frame(spark, [(1, " ".join(words(1))), (2, edited(words(1), 1, "x")), (None, None), (3, "")])
+    for c, v in (("id", 7), ("row", 7), ("key", "k"), ("size", 1), ("taken", 9), ("spans", "s"), ("words", 3), ("node", 5), ("n", 4), ("own", "o")):
+        more = more.withColumn(c, F.lit(v))
+    plain = more.select(P.COLUMNS)
+    for _, stage in P.STAGES:
+        assert stage(spark, none, SF).count() == 0
+    for name, stage in P.STAGES[:-1]:
+        got, want = (sorted(map(tuple, stage(spark, d, SF).collect()), key=str) for d in (more, plain))
+        assert got == want, name
+    assert len(P.drop_near_duplicates(spark, more, SF).collect()) == 3
+
+
+def test_packing_places_every_row(spark):
+    """Null and repeated ids, empty and very long texts: every row's pieces stand gapless in sequences of at most 2048."""
+    rows = [(None, "a b"), (None, None), (1, "x y z"), (1, "x y z"), (2, ""), (3, " ".join(words(5, 4000)))]
+    got = P.pack_sequences(spark, frame(spark, rows), SF).collect()
+    assert sorted((r.doc_id for r in got if r.piece == 0), key=str) == sorted((i for i, _ in rows), key=str)
+    places = {}
+    for r in got:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for s in places.values():
+        assert [o for o, _ in sorted(s)] == [sum(n for _, n in sorted(s)[:k]) for k in range(len(s))] and sum(n for _, n in s) <= 2048
