@@ -122,7 +122,9 @@ def _logits(model: dict, x: np.ndarray) -> np.ndarray:
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", rows: int = 20000) -> DataFrame:
     """One row per input row: id, held_out, score (0 to 1), predicted (score >= 0.3).
 
-    Word vectors come from every text. The network learns from at most `rows` labelled rows outside the
+    Word vectors come from every text. Words share WORDS vectors by hash, so the table that goes to the driver and to
+    every task is as large at any vocabulary (WORDS x DIM numbers); words that meet in one get a mean of their
+    contexts, which the pooled features, sums over many words, bear. The network learns from at most `rows` labelled rows outside the
     held-out fold (crc32 of the id's text divisible by 5), drawn by hash. Scores come from the whole text alone.
 
     Null or empty text scores as a text without words. Null id: scored, id null, held_out false. Repeated

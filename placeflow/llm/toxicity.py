@@ -63,42 +63,54 @@ def _features(live: np.ndarray):
     return run
 
 
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's sums by term over (id, y, text): texts and densities of both kinds; term -1 counts the texts."""
-    total = np.zeros((4, BUCKETS))
-    texts = np.zeros(2)
-    for batch in batches:
-        data, offsets = strings(batch.column(2))
-        y = batch.column(1).to_numpy()
-        for i, j in pieces(offsets, 1 << 20):
-            at = offsets[i : j + 1]
-            term, count, bound, words = _terms(data[at[0] : at[-1]], at - at[0])
-            owner = np.repeat(np.arange(j - i), np.diff(bound))
-            dense = _dense(count, words[owner])
-            for k in (0, 1):
-                on = y[i:j][owner] == 1 - k
-                texts[k] += (y[i:j] == 1 - k).sum()
-                total[k] += np.bincount(term[on], minlength=BUCKETS)
-                total[2 + k] += np.bincount(term[on], dense[on], minlength=BUCKETS)
-    live = np.flatnonzero(total[:2].any(0))
-    rows = np.hstack([[[texts[0]], [texts[1]], [0.0], [0.0]], total[:, live]])
-    yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, live]), *(pa.array(r) for r in rows)], names=["term", "in_p", "in_u", "d_p", "d_u"])
-
-
-def telling_terms(rows: DataFrame, prior: float, seen: int = 3, apart: float = 4.0) -> np.ndarray:
-    """Terms worth a weight: held by at least `seen` positives and one in a hundred, with a share among them `apart`
-    standard errors above the unlabelled one, and a density that makes toxicity likelier than not.
-
-    Sums by term are made and judged on the cluster; only the terms that stand come to the driver.
+def _tally(live: np.ndarray | None = None):
+    """A task's sums by term of `live` (null: all) over texts: how many hold it, and their densities; term -1 counts the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = None
+        if live is not None:
+            mask = np.zeros(BUCKETS, bool)
+            mask[live] = True
+        total, texts = np.zeros((2, BUCKETS)), 0
+        for batch in batches:
+            data, offsets = strings(batch.column(0))
+            texts += len(batch)
+            for i, j in pieces(offsets, 1 << 20):
+                at = offsets[i : j + 1]
+                term, count, bound, words = _terms(data[at[0] : at[-1]], at - at[0], mask)
+                dense = _dense(count, np.repeat(words, np.diff(bound)))
+                total[0] += np.bincount(term, minlength=BUCKETS)
+                total[1] += np.bincount(term, dense, minlength=BUCKETS)
+        held = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, held]), pa.array(np.r_[float(texts), total[0, held]]), pa.array(np.r_[0.0, total[1, held]])], names=["term", "n", "d"])
+
+    return run
+
+
+def _sums(texts: DataFrame, live: np.ndarray | None = None) -> DataFrame:
+    return texts.mapInArrow(_tally(live), "term long, n double, d double").groupBy("term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+
+
+def telling_terms(positives: DataFrame, texts: DataFrame, prior: float, seen: int = 3, apart: float = 4.0) -> np.ndarray:
+    """Terms worth a weight: held by at least `seen` of the positives (text), with a share among them `apart` standard errors above
+    that among all `texts` (text), and a density that makes toxicity likelier than not.
+
+    The shares among all texts are counted over the whole corpus, for terms that the positives hold; at most BUCKETS
+    terms exist, so that many rows come to the driver at most.
     """
-    sums = rows.mapInArrow(_tally, "term long, in_p double, in_u double, d_p double, d_u double").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("in_p", "in_u", "d_p", "d_u")])
-    texts = sums.filter("term = -1").select(F.greatest("in_p", F.lit(1)).alias("n_p"), F.greatest("in_u", F.lit(1)).alias("n_u"))
-    t = sums.filter("term >= 0").withColumn("k", F.lit(0)).join(F.broadcast(texts.withColumn("k", F.lit(0))), "k")
-    both = (F.col("in_p") + F.col("in_u")) / (F.col("n_p") + F.col("n_u"))
-    error = F.sqrt(F.greatest(both * (1 - both), F.lit(1e-12)) * (1 / F.col("n_p") + 1 / F.col("n_u")))
-    gap = (F.col("in_p") / F.col("n_p") - F.col("in_u") / F.col("n_u")) / error
-    fine = (gap >= apart) & (F.col("in_p") >= F.greatest(F.lit(float(seen)), F.col("n_p") / 100)) & (F.lit(prior) * F.col("d_p") / F.col("n_p") >= 0.5 * F.col("d_u") / F.col("n_u"))
-    return np.sort(np.array([r[0] for r in t.filter(fine).select("term").collect()], np.int64))
+    mine = {r["term"]: (r["n"], r["d"]) for r in _sums(positives).filter(f"term = -1 or n >= {seen}").collect()}
+    n_p = max(mine.pop(-1, (0.0, 0.0))[0], 1.0)
+    if not mine:
+        return np.zeros(0, np.int64)
+    terms = np.array(sorted(mine), np.int64)
+    found = {r["term"]: (r["n"], r["d"]) for r in _sums(texts, terms).collect()}
+    n_u = max(found.pop(-1, (0.0, 0.0))[0], 1.0)
+    in_p, d_p = np.array([mine[t] for t in terms]).T
+    in_u, d_u = np.array([found.get(t, (0.0, 0.0)) for t in terms]).T
+    both = (in_p + in_u) / (n_p + n_u)
+    error = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n_p + 1 / n_u))
+    fine = ((in_p / n_p - in_u / n_u) / error >= apart) & (prior * d_p / n_p >= 0.5 * d_u / n_u)
+    return terms[fine]
 
 
 def _logits(weights: np.ndarray, bias: float, term: np.ndarray, dense: np.ndarray, bound: np.ndarray) -> np.ndarray:
@@ -147,8 +159,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Learns from at most `positives` confirmed toxic rows and `unlabelled` texts whose labels, if any, it
     doesn't see, both outside the held-out fold (crc32 of the id's text divisible by 5) and drawn by hash;
-    the class prior is the share of toxic rows among all labelled ones outside the fold. Scores come from the
-    whole text alone.
+    the class prior is the share of toxic rows among all labelled ones outside the fold. Which terms get a weight
+    is decided against all texts outside the fold. Scores come from the whole text alone.
 
     Null or empty text scores as no words. Null id: scored, id null, held_out false. Repeated rows score
     alike. Without a toxic row to learn from, every score is the prior (0 without labels). An empty table
@@ -163,7 +175,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         ids = docs.select(F.col(id_col).cast("long").alias("id")).filter(F.col("id").isNotNull() & ~held_out("id"))
         rest = sample(ids, unlabelled, 2).withColumn("y", F.lit(0))
         rows = Scratch(spark).save(sampled_rows(docs, yes.unionAll(rest), id_col, text_col))
-        got = collected(rows, _features(telling_terms(rows, prior)))
+        free = docs.filter(F.col(id_col).isNull() | ~held_out(id_col)).select(text_col)
+        got = collected(rows, _features(telling_terms(rows.filter("y = 1").select("text"), free, prior)))
         sets = {y: [np.frombuffer(x, np.int32) for _, k, x in got if k == y] for y in (0, 1)}
         weights, bias = fit(sets[1], sets[0], prior) if sets[1] else (np.zeros((2, BUCKETS)), float(np.log(prior / (1 - prior))))
     else:
