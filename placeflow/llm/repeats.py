@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from . import kernels as K
 from .common import Scratch, blobs, pieces, strings
 
 U = np.uint64
-BUCKET, CHUNK, BLOCK = 16 << 20, 1 << 20, 100_000
+BUCKET, CHUNK, BLOCK, ORDER = 16 << 20, 1 << 20, 100_000, 32_768
 SPANS = "array<struct<start:long,end:long>>"
 
 
@@ -56,11 +57,15 @@ def parse(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tupl
 
 def _squeeze(a: np.ndarray) -> bytes:
     """Byte planes of numbers, compressed: neighbours' high bytes agree."""
+    if not len(a):
+        return b""
     planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T
     return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
 
 
 def _widen(raw: bytes, n: int, kind: type) -> np.ndarray:
+    if not n:
+        return np.zeros(0, kind)
     width = np.dtype(kind).itemsize
     planes = np.frombuffer(pa.decompress(raw, n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
     return np.ascontiguousarray(planes.T).view(kind).ravel()
@@ -76,22 +81,40 @@ def _high(raw: bytes, width: int) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-PHRASES = "bucket long, size int, h binary, u binary, id binary, tag binary, at binary"
+PARSED = "bucket long, chunk long, size int, id binary, tag binary, at binary, entry binary, h binary, u binary, least binary, several binary, place binary"
 
 
-def _phrases(buckets: int, length: int, gram: int):
-    """Phrase occurrences, packed: a row per bucket of trigger hashes and chunk of texts."""
+def _parsed(buckets: int, length: int, gram: int):
+    """A chunk of texts, packed: one row with all phrase occurrences (bucket -1), and a row per bucket of trigger hashes with
+    the chunk's different phrases, each with the least id that holds it and whether others do."""
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
         h, u, ids, tag, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        chunk = uuid.uuid4().int >> 65
+        order = np.lexsort((ids, u, h))
+        new = np.r_[True, (h[order][1:] != h[order][:-1]) | (u[order][1:] != u[order][:-1])]
+        heads = np.flatnonzero(new)
+        least, most = ids[order][heads], ids[order][np.r_[heads[1:], len(order)] - 1]
+        # entries are numbered by first occurrence, so that their numbers rise along the chunk
+        begin = np.minimum.reduceat(order, heads)
+        rank = np.argsort(begin)
+        number = np.empty(len(heads), np.int64)
+        number[rank] = np.arange(len(heads))
+        entry = np.empty(len(order), np.int64)
+        entry[order] = number[np.cumsum(new) - 1]
+        h, u, least, several = h[order][heads][rank], u[order][heads][rank], least[rank], (least != most)[rank]
+        columns: dict[str, list] = {n: [] for n in PARSED_KINDS}
+
+        def put(**row) -> None:
+            for n, values in columns.items():
+                values.append(row.get(n))
+
+        put(bucket=-1, chunk=chunk, size=len(ids), id=_squeeze(np.diff(ids, prepend=0)), tag=_squeeze(tag), at=_squeeze(at), entry=_squeeze(np.diff(entry, prepend=0)))
         bucket = ((h >> U(44)) % U(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-        rows = []
-        for some in np.split(order, cuts):
-            rows.append((int(bucket[some[0]]), len(some), _low(h[some], 5), _low(u[some], 6), _squeeze(np.diff(ids[some], prepend=0)), _squeeze(tag[some]), _squeeze(at[some])))
-        kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 5)
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["bucket", "size", "h", "u", "id", "tag", "at"])
+        by = np.argsort(bucket, kind="stable")
+        for some in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
+            put(bucket=int(bucket[some[0]]), chunk=chunk, size=len(some), h=_low(h[some], 5), u=u[some].tobytes(), least=_squeeze(np.diff(least[some], prepend=0)), several=_squeeze(several[some].view(np.uint8)), place=_squeeze(np.diff(some, prepend=0)))
+        return pa.RecordBatch.from_arrays([pa.array(v, PARSED_KINDS[n]) for n, v in columns.items()], names=list(columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -113,49 +136,89 @@ def _phrases(buckets: int, length: int, gram: int):
     return run
 
 
-MET = "id long, tag long, at long, h long, u long"
+PARSED_KINDS = {"bucket": pa.int64(), "chunk": pa.int64(), "size": pa.int32()} | dict.fromkeys(("id", "tag", "at", "entry", "h", "u", "least", "several", "place"), pa.binary())
+TOLD = "chunk long, size int, place binary, least binary, met int, where binary, h binary, u binary"
 
 
 def _met(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    """A bucket's repeated phrases: occurrences that a smaller id has too, and (with h and u) first ones whose trigger has other phrases."""
-    sizes = [r["size"] for r in rows]
-    h, u = _high(b"".join(r["h"] for r in rows), 5), _high(b"".join(r["u"] for r in rows), 6)
-    ids = np.concatenate([np.cumsum(_widen(r["id"], n, np.int64)) for r, n in zip(rows, sizes, strict=True)])
-    order = np.argsort(h)
+    """What a bucket tells each chunk about its phrases: the least id of all chunks, where the chunk holds a larger one; and
+    trigger and phrase hash of those it holds first whose trigger has other phrases elsewhere."""
+    sizes = np.array([r["size"] for r in rows])
+    h, u = _high(b"".join(r["h"] for r in rows), 5), np.frombuffer(b"".join(r["u"] for r in rows), np.uint64)
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    order = np.argsort(h, kind="stable")
+    least, place = (np.concatenate([np.cumsum(_widen(r[c], n, np.int64)) for r, n in zip(rows, sizes, strict=True)]) for c in ("least", "place"))
+    several = np.concatenate([_widen(r["several"], n, np.uint8) for r, n in zip(rows, sizes, strict=True)]).view(bool)
+    # a phrase that only one text of one chunk holds, with no other of its trigger, concerns nobody
     same = h[order][1:] == h[order][:-1]
-    some = order[np.r_[same, False] | np.r_[False, same]]
+    some = order[np.r_[same, False] | np.r_[False, same] | several[order]]
     if not len(some):
         return
-    tag = np.concatenate([_widen(r["tag"], n, np.uint32) for r, n in zip(rows, sizes, strict=True)])[some]
-    at = np.concatenate([_widen(r["at"], n, np.int64) for r, n in zip(rows, sizes, strict=True)])[some]
-    h, u, ids = h[some], u[some], ids[some]
-    order = np.lexsort((ids, u, h))
-    h, u, ids, tag, at = h[order], u[order], ids[order], tag[order], at[order]
+    h, u, owner, least, place, several = (x[some] for x in (h, u, owner, least, place, several))
+    order = np.lexsort((least, u, h))
+    h, u, owner, least, place, several = (x[order] for x in (h, u, owner, least, place, several))
     new_h = np.r_[True, h[1:] != h[:-1]]
     new_u = new_h | np.r_[True, u[1:] != u[:-1]]
-    starts = np.flatnonzero(new_h)
-    group = np.cumsum(new_h) - 1
-    shared = (np.minimum.reduceat(ids, starts) < np.maximum.reduceat(ids, starts))[group]
-    several = (np.add.reduceat(new_u.astype(np.int64), starts) > 1)[group]
-    first = ids == ids[np.flatnonzero(new_u)][np.cumsum(new_u) - 1]
-    key = (h | U(rows[0]["bucket"]) << U(40)).view(np.int64)
-    keep = np.flatnonzero(~first | (shared & several))
-    for k in range(0, len(keep), BLOCK):
-        x = keep[k : k + BLOCK]
-        gone = ~first[x]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(tag[x].astype(np.int64)), pa.array(at[x]), pa.array(key[x], mask=gone), pa.array(u[x].view(np.int64), mask=gone)], names=["id", "tag", "at", "h", "u"])
+    starts, group = np.flatnonzero(new_h), np.cumsum(new_h) - 1
+    shared = ((np.minimum.reduceat(least, starts) < np.maximum.reduceat(least, starts)) | np.maximum.reduceat(several, starts))[group]
+    others = (np.add.reduceat(new_u.astype(np.int64), starts) > 1)[group]
+    first = least[np.flatnonzero(new_u)][np.cumsum(new_u) - 1]
+    gone = several | (least > first)
+    mine = (least == first) & shared & others
+    key = h | U(rows[0]["bucket"]) << U(40)
+    order = np.lexsort((place, owner))
+    order = order[(gone | mine)[order]]
+    if not len(order):
+        return
+    out = []
+    for x in np.split(order, np.flatnonzero(np.diff(owner[order])) + 1):
+        g, m = x[gone[x]], x[mine[x]]
+        out.append((rows[owner[x[0]]]["chunk"], len(g), _squeeze(np.diff(place[g], prepend=0)), _squeeze(first[g]), len(m), _squeeze(np.diff(place[m], prepend=0)), key[m].tobytes(), u[m].tobytes()))
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    for k in range(0, len(out), 1024):
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out[k : k + 1024], strict=True), kinds, strict=True)], names=["chunk", "size", "place", "least", "met", "where", "h", "u"])
+
+
+def _grouped(key: str, work):
+    """`work` over the rows of each value of a column that rows are sorted by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and held[0][key] != row[key]:
+                    yield from work(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from work(held)
+
+    return run
+
+
+MET = "id long, tag long, at long, h long, u long"
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[dict] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and held[0]["bucket"] != row["bucket"]:
-                yield from _met(held)
-                held = []
-            held.append(row)
-    if held:
-        yield from _met(held)
+def _told(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    """A chunk's occurrences whose phrase a smaller id has too, and (with h and u) first ones whose trigger has other phrases."""
+    (own,) = [r for r in rows if r["at"] is not None]
+    n = own["size"]
+    ids, entry = (np.cumsum(_widen(own[c], n, np.int64)) for c in ("id", "entry"))
+    tag, at = _widen(own["tag"], n, np.uint32), _widen(own["at"], n, np.int64)
+    least = np.full(entry.max() + 1, np.iinfo(np.int64).max)
+    h, u = np.zeros((2, len(least)), np.int64)
+    mine = np.zeros(len(least), bool)
+    for r in rows:
+        if r["at"] is None:
+            least[np.cumsum(_widen(r["place"], r["size"], np.int64))] = _widen(r["least"], r["size"], np.int64)
+            where = np.cumsum(_widen(r["where"], r["met"], np.int64))
+            mine[where] = True
+            h[where], u[where] = np.frombuffer(r["h"], np.int64), np.frombuffer(r["u"], np.int64)
+    gone = ids > least[entry]
+    keep = np.flatnonzero(gone | mine[entry])
+    for k in range(0, len(keep), BLOCK):
+        x = keep[k : k + BLOCK]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(tag[x].astype(np.int64)), pa.array(at[x]), pa.array(h[entry[x]], mask=gone[x]), pa.array(u[entry[x]], mask=gone[x])], names=["id", "tag", "at", "h", "u"])
 
 
 def _contexts(length: int):
@@ -177,24 +240,55 @@ def _contexts(length: int):
     return run
 
 
+def _by_bytes(rows: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+    """Lexicographic order of rows of bytes, inside their groups."""
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    words = wide.view(">u8").astype(np.uint64)
+    keys = [words[:, k] for k in range(words.shape[1] - 1, -1, -1)]
+    return np.lexsort((*keys, group) if group is not None else keys)
+
+
 def suffix_order(context: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of rows of bytes inside their groups, and the common prefix of each with the one before (-1 in a new group)."""
-    wide = np.zeros((len(context), -(-context.shape[1] // 8) * 8), np.uint8)
-    wide[:, : context.shape[1]] = context
-    words = wide.view(">u8").astype(np.uint64)
-    order = np.lexsort((*[words[:, k] for k in range(words.shape[1] - 1, -1, -1)], group))
+    order = _by_bytes(context, group)
     common = np.full(len(context), -1)
     same = np.cumprod(context[order][1:] == context[order][:-1], 1, dtype=np.int8).sum(1, dtype=np.int64)
     common[1:] = np.where(group[order][1:] == group[order][:-1], same, -1)
     return order, common
 
 
+def dictionary_suffixes(phrases: np.ndarray, size: np.ndarray, gram: int) -> np.ndarray:
+    """The suffix array of a dictionary, as ranks: [phrase, k] is the rank of its suffix of k + gram bytes among all suffixes, -1 where it has none.
+
+    Phrases are rows of bytes, aligned right, that end with their trigger. Equal suffixes have equal ranks.
+    """
+    m, width = phrases.shape
+    depth = width - gram
+    rows, lengths = [], []
+    for k in range(depth + 1):
+        some = np.flatnonzero(size >= k + gram)
+        part = np.zeros((len(some), width), np.uint8)
+        part[:, : k + gram] = phrases[some, width - k - gram :]
+        rows.append(part)
+        lengths.append(some * (depth + 1) + k)
+    text, at = np.concatenate(rows), np.concatenate(lengths)
+    order = np.argsort(at % (depth + 1), kind="stable")  # of equal padded rows the shorter is first
+    order = order[_by_bytes(text[order])]
+    k = at[order] % (depth + 1)
+    new = np.r_[True, (text[order][1:] != text[order][:-1]).any(1) | (k[1:] != k[:-1])]
+    out = np.full(m * (depth + 1), -1)
+    out[at[order]] = np.cumsum(new) - 1
+    return out.reshape(m, depth + 1)
+
+
 def _ordered(length: int, gram: int):
     """Windows of phrases with a common trigger that a smaller id has too; those of groups that other tasks may hold go on with a key.
 
-    What stands before the trigger, read backwards, is a suffix of a dictionary phrase, and what follows it is
-    the parse's. Both are ordered once, with common prefixes; a window with k bytes before the trigger is a
-    class of the first order at depth k and a class of the second at the depth that is left.
+    A window is a suffix of the dictionary phrase that ends with its trigger, and a beginning of the parse after it.
+    The suffix array of a block's dictionary ranks the one, the order of the parse's suffixes with their common
+    prefixes ranks the other at the depth that is left, and sorted by both, windows stand in the order of the corpus,
+    equal ones together.
     """
     depth = length - gram
 
@@ -202,38 +296,41 @@ def _ordered(length: int, gram: int):
         h, ids, tag, at = (t.column(c).to_numpy() for c in ("h", "id", "tag", "at"))
         data, offsets = strings(t.column("phrase").cast(pa.large_binary()).combine_chunks())
         lo, n, place = at >> 16, at >> 8 & 255, at & 255
-        cols = np.arange(depth)
         size = np.diff(offsets)
-        before = np.where(cols < place[:, None], np.take(data, offsets[:-1, None] + np.maximum(place[:, None] - 1 - cols, 0)), 0).astype(np.uint8)
-        right = place[:, None] + gram + cols
+        back = np.arange(length)[::-1]  # bytes before the trigger's end
+        left = np.where(back < place[:, None] + gram, np.take(data, offsets[:-1, None] + np.maximum(place[:, None] + gram - 1 - back, 0)), 0).astype(np.uint8)
+        right = place[:, None] + gram + np.arange(depth)
         after = np.where(right < size[:, None], np.take(data, offsets[:-1, None] + np.minimum(right, size[:, None] - 1)), 0).astype(np.uint8)
-        group = np.cumsum(np.r_[0, h[1:] != h[:-1]])
-        left_order, left_common = suffix_order(before, group)
-        right_order, right_common = suffix_order(after, group)
-        pending = np.isin(h, list(open_))
-        gone = np.zeros((len(h), depth + 2), bool)
-        a, b = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-        later = []
+        named = np.concatenate([left, place[:, None].astype(np.uint8)], 1)
+        phrases, of = np.unique(named.view(f"V{length + 1}").ravel(), return_inverse=True)
+        phrases = phrases.view(np.uint8).reshape(-1, length + 1)
+        suffix = dictionary_suffixes(phrases[:, :length], phrases[:, length].astype(np.int64) + gram, gram)
+        order, common = suffix_order(after, np.zeros(len(h), np.int64))
+        row, first, rest = [], [], []
+        parse = np.zeros(len(h), np.int64)
         for k in range(depth + 1):
             some = np.flatnonzero((k <= place) & (k > place - n))
-            if not len(some):
-                continue
-            a[left_order] = np.cumsum(left_common < k)
-            b[right_order] = np.cumsum(right_common < depth - k)
-            _, same = np.unique(a[some] * (len(h) + 1) + b[some], return_inverse=True)
-            least = np.full(same.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, same, ids[some])
-            hit = least[same] < ids[some]
-            gone[some[hit], (place[some] - k)[hit]] = True
-            if (wait := some[~hit & pending[some]]).size:
-                later.append((wait, place[wait] - k))
+            parse[order] = np.cumsum(common < depth - k)
+            row.append(some)
+            first.append(suffix[of[some], k])
+            rest.append(parse[some])
+        start = np.repeat(np.arange(depth + 1), [len(x) for x in row])
+        row, first, rest = np.concatenate(row), np.concatenate(first), np.concatenate(rest)
+        corpus = np.lexsort((rest, first))
+        new = np.r_[True, (first[corpus][1:] != first[corpus][:-1]) | (rest[corpus][1:] != rest[corpus][:-1])]
+        least = np.minimum.reduceat(ids[row[corpus]], np.flatnonzero(new))[np.cumsum(new) - 1]
+        gone = np.zeros((len(h), depth + 2), bool)
+        hit = np.zeros(len(row), bool)
+        hit[corpus] = least < ids[row[corpus]]
+        gone[row[hit], (place[row] - start)[hit]] = True
+        wait = ~hit & np.isin(h, list(open_))[row]
+        if wait.any():
+            later, k = row[wait], (place[row] - start)[wait]
+            key = K.hashes(data, offsets[later] + k, offsets[later] + k + length)
+            yield out(ids[later], tag[later], (lo[later] + k) << 16 | 1 << 8, h[later], key.view(np.int64))
         row, k = np.nonzero(gone[:, :-1] & ~np.pad(gone, ((0, 0), (1, 0)))[:, :-2])
         _, end = np.nonzero(gone[:, :-1] & ~gone[:, 1:])
         yield out(ids[row], tag[row], (lo[row] + k) << 16 | (end - k + 1) << 8)
-        if later:
-            row, k = (np.concatenate(x) for x in zip(*later, strict=True))
-            key = K.hashes(data, offsets[row] + k, offsets[row] + k + length)
-            yield out(ids[row], tag[row], (lo[row] + k) << 16 | 1 << 8, h[row], key.view(np.int64))
 
     def out(ids, tag, at, h=None, w=None) -> pa.RecordBatch:
         none = pa.nulls(len(ids), pa.int64())
@@ -246,7 +343,7 @@ def _ordered(length: int, gram: int):
             held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             if not open_:
                 open_ = {held.column("h")[0].as_py()}  # the task before may hold more of it
-            if len(held) >= BLOCK:
+            if len(held) >= ORDER:
                 h = held.column("h").to_numpy()
                 cut = int(np.searchsorted(h, h[-1]))  # the last group may go on
                 if not cut:
@@ -295,10 +392,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     A byte goes if a string of `length` bytes over it also starts in a row with a smaller id; texts are UTF-8,
     strings stay inside one text and are judged on the input.
 
-    Texts are parsed into phrases at triggers, the least rolling hashes of `gram` bytes. Occurrences travel
-    packed, by trigger hash, to buckets of about 16 MB of text each, where equal phrases meet their least id.
-    Phrases that share a trigger but differ are ordered before and after it (dictionary and parse), over range
-    partitions that cut a very common trigger's phrases; what such cuts leave open meets by window hash.
+    Texts are parsed into phrases at triggers, the least rolling hashes of `gram` bytes. A chunk of texts reduces its
+    occurrences to its different phrases, each with the least id; these travel by trigger hash to buckets of about
+    16 MB of text each, so a passage that every text holds is one row per chunk there. The bucket tells each chunk
+    the least id of all. Phrases that share a trigger but differ go on to the suffix arrays of dictionary and parse,
+    block by block over range partitions, which may cut a very common trigger's phrases; what such cuts leave open
+    meets by window hash. Phrases count as equal by hashes of 64 bits beside 40 and more of their trigger's.
 
     Null ids are compared with nothing and keep all. Equal ids don't remove each other's text; rows are told
     apart by a checksum of the text, and repeated rows come out alike. Null or short texts keep all. An empty
@@ -311,8 +410,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("tag"), F.col(text_col).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(total // BUCKET + 1)
-    rows = docs.filter("id is not null").mapInArrow(_phrases(buckets, length, gram), PHRASES)
-    met = scratch.save(rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, MET))
+    parsed = scratch.save(docs.filter("id is not null").mapInArrow(_parsed(buckets, length, gram), PARSED))
+    entries = parsed.filter("bucket >= 0").select("bucket", "chunk", "size", "h", "u", "least", "several", "place")
+    told = entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_grouped("bucket", _met), TOLD)
+    own = parsed.filter("bucket < 0").select("chunk", "size", "id", "tag", "at", "entry")
+    both = own.unionByName(told, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk")
+    met = scratch.save(both.mapInArrow(_grouped("chunk", _told), MET))
+    scratch.drop(parsed)
     firsts = met.filter("h is not null").groupBy("id", "tag").agg(F.collect_list(F.struct("at", "h", "u")).alias("phrases"))
     phrases = docs.join(firsts, ["id", "tag"]).select("id", "tag", "text", "phrases").dropDuplicates(["id", "tag"])
     phrases = scratch.save(phrases.mapInArrow(_contexts(length), "h long, u long, id long, tag long, at long, phrase binary"))

@@ -110,6 +110,18 @@ def test_repeats(spark):
     assert got == brute_repeats({i: (t or "").encode() for i, t in enumerate(texts)})
 
 
+def test_repeats_over_many_chunks(spark, monkeypatch):
+    """A passage in every text, and others in some, over many small chunks and buckets."""
+    monkeypatch.setattr(repeats, "CHUNK", 20)
+    monkeypatch.setattr(repeats, "BUCKET", 1000)
+    monkeypatch.setattr(repeats, "ORDER", 7)
+    rng, line = np.random.default_rng(6), " ".join(words(30, 15))
+    texts = [" ".join([*words(100 + k, rng.integers(0, 30)), line, *words(40 + k % 5, 25), *words(200 + k, rng.integers(0, 20))]) for k in range(60)]
+    found = repeats.repeated_passages(docs(spark, texts).repartition(6)).collect()
+    got = {r.doc_id: (r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) for r in found}
+    assert got == brute_repeats({i: t.encode() for i, t in enumerate(texts)})
+
+
 def test_repeats_null_and_equal_ids(spark):
     text = " ".join(BASE)
     got = [(r.doc_id, len(r.spans)) for r in repeats.repeated_passages(docs(spark, [text, text, text + " x", None], [None, 7, 7, 8])).collect()]
@@ -122,6 +134,17 @@ def test_suffix_order():
     assert order.tolist() == [2, 0, 1, 3] and common.tolist() == [-1, 0, 2, -1]
 
 
+def test_dictionary_suffixes():
+    """Ranks of suffixes are their places in order; equal suffixes, in other phrases too, share one."""
+    rng = np.random.default_rng(4)
+    words_ = [bytes(rng.choice([97, 98], rng.integers(0, 6)).astype(np.uint8)) + b"TT" for _ in range(40)]
+    rows = np.array([list(w.rjust(7, b"\0")) for w in words_], np.uint8)
+    got = repeats.dictionary_suffixes(rows, np.array([len(w) for w in words_]), 2)
+    every = sorted({w[i:] for w in words_ for i in range(len(w) - 1)})
+    for w, ranks in zip(words_, got, strict=True):
+        assert [every.index(w[len(w) - 2 - k :]) if k + 2 <= len(w) else -1 for k in range(6)] == ranks.tolist()
+
+
 def test_media(spark):
     d = docs(spark, AWKWARD)
     stored = media.document_media(d)
@@ -417,6 +440,33 @@ def test_preferences(spark):
     assert (got[1].rejected_id, got[1].n_common, got[1].rejected) == (None, 0, "")
 
 
+def test_preferences_of_awkward_rows(spark):
+    """Equal turn numbers, repeated turns, very large ids, clashing columns, an empty table."""
+    big = 2**54
+    turns = [(big + 2, 0, "user", "q"), (big + 3, 0, "user", "q"), (big + 3, 1, "assistant", "b"), (4, 1, "b", "y"), (4, 1, "a", "x"), (4, 1, "a", "x"), (5, 1, "a", "x"), (5, 1, "a", "x"), (5, 2, "assistant", "z")]
+    table = spark.createDataFrame([(*t, 1, "x", "y") for t in turns], "conv_id long, turn int, role string, text string, pair_id long, side string, item string")
+    got = {r.pair_id: r for r in chat.preference_pairs(table, *chat.consecutive()).collect()}
+    assert set(got) == {2, big // 2 + 1}
+    assert (got[big // 2 + 1].n_common, got[big // 2 + 1].rejected) == (1, "<|assistant|>\nb<|end|>\n")
+    assert (got[2].n_common, got[2].chosen, got[2].rejected, got[2].n_chosen) == (2, "<|b|>\ny<|end|>\n", "<|assistant|>\nz<|end|>\n", 3)
+    assert chat.preference_pairs(table.limit(0), *chat.consecutive()).count() == 0
+
+
+def test_mixing_of_ties(spark):
+    """Repeated rows and null ids each have a place; equal ones at the cut share what is left, rounded down."""
+    texts = ["a b c d e"] * 40 + [None, "", " "] + ["x y"] * 7
+    ids = [None] * 20 + [1] * 20 + [2, 3, 4] + [5, 5, 5, 6, 7, None, None]
+    rows = mixing.mix_sources(docs(spark, texts, ids, ["s"] * 43 + [None] * 7)).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.source, []).append(r)
+        assert 0 <= r.taken <= 2 * r.size
+    assert len(rows) == len(texts)
+    for rs in by.values():
+        assert int(rs[0].target) - 20 <= sum(r.taken for r in rs) <= int(rs[0].target)
+    assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.mix_sources(docs(spark, texts, ids, ["s"] * 43 + [None] * 7).repartition(5)).collect()), key=str)
+
+
 @pytest.mark.parametrize("name, label, least", [("op5_pu_toxicity", "toxic", 0.95), ("op8_indexed_quality", "quality", 0.9)])
 def test_held_out(spark, name, label, least):
     sf = "/root/testdata/sf0.1"
@@ -434,6 +484,9 @@ def test_awkward_scores(spark):
         assert len(rows) == len(AWKWARD) and all(0 <= r.score <= 1 for r in rows)
         assert f(docs(spark, [None], [None]), labels).first().doc_id is None
         assert f(docs(spark, AWKWARD), labels.limit(0)).count() == len(AWKWARD)
+        assert f(docs(spark, ["x"]).limit(0), labels).count() == 0
+        pair = f(docs(spark, ["same words here", "same words here", ""], [1, 1, None]), labels).collect()
+        assert pair[0].score == pair[1].score and len(pair) == 3
 
 
 def test_empty_tables(spark):
