@@ -14,6 +14,7 @@ from .common import Scratch, blobs
 from .components import connected_components
 
 TABLES, HASHES, PROBES, BLOCK = 16, 3, 4, 128
+ROWS, SMALL, PAIRS = 8192, 64, 1 << 14
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -113,59 +114,71 @@ def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _compare(width: int, least: float):
-    """Links of each (bucket, i, j): counts by member, and a spanning forest, not the pairs."""
-
-    def links(bucket: int, side: np.ndarray, x: np.ndarray, c: np.ndarray, inside: bool):
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if inside else 1))
-        for s in range(0, len(left), BLOCK):
-            some = left[s : s + BLOCK]
-            a, b = np.nonzero(x[some] @ x[right].T >= least)
-            a, b = some[a], right[b]
-            keep = (a < b) if inside else np.ones(len(a), bool)
-            a, b = a[keep], b[keep]
-            keep = _first_common(c[a], c[b]) == bucket  # each pair counts in its first bucket only
-            yield a[keep], b[keep]
+    """Links of each (bucket, i, j): counts by member, and a spanning forest, not the pairs. Many small groups are compared at once."""
+
+    def inside(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of rows of each of many groups."""
+        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        row = np.repeat(starts, sizes) + within
+        partners = np.repeat(sizes, sizes) - 1 - within
+        a = np.repeat(row, partners)
+        return a, a + 1 + np.arange(partners.sum()) - np.repeat(np.cumsum(partners) - partners, partners)
+
+    def work(t: pa.Table) -> pa.RecordBatch:
+        bucket, i, j, block, node, copies = (t.column(n).to_numpy() for n in ("bucket", "i", "j", "block", "node", "copies"))
+        x = np.frombuffer(b"".join(t.column("x").to_pylist())).reshape(len(t), width)
+        c = np.frombuffer(b"".join(t.column("codes").to_pylist()), np.int32).reshape(len(t), TABLES, PROBES)
+        starts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        sizes = np.diff(np.r_[starts, len(t)])
+        small = (i == j)[starts] & (sizes <= SMALL)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        a, b = inside(starts[small], sizes[small])
+        for k in range(0, len(a), PAIRS):
+            p, q = a[k : k + PAIRS], b[k : k + PAIRS]
+            close = np.einsum("nd,nd->n", x[p], x[q]) >= least
+            found.append((p[close], q[close]))
+        for start, size in zip(starts[~small], sizes[~small], strict=True):
+            rows = np.arange(start, start + size)
+            same = i[start] == j[start]
+            left, right = (rows, rows) if same else (rows[block[rows] == i[start]], rows[block[rows] != i[start]])
+            for k in range(0, len(left), BLOCK):
+                p, q = np.nonzero(x[left[k : k + BLOCK]] @ x[right].T >= least)
+                p, q = left[k : k + BLOCK][p], right[q]
+                found.append((p[p < q], q[p < q]) if same else (p, q))
+        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        own = np.zeros(len(a), bool)
+        for k in range(0, len(a), PAIRS):  # each pair counts in its first bucket only
+            own[k : k + PAIRS] = _first_common(c[a[k : k + PAIRS]], c[b[k : k + PAIRS]]) == bucket[a[k : k + PAIRS]]
+        a, b = a[own], b[own]
+        n, root = np.zeros(len(t), np.int64), np.arange(len(t))
+        np.add.at(n, a, copies[b])
+        np.add.at(n, b, copies[a])
+        while True:  # least labels spread along the links, which stay inside a group
+            before = root.copy()
+            low = np.minimum(root[a], root[b])
+            np.minimum.at(root, a, low)
+            np.minimum.at(root, b, low)
+            root = root[root]
+            if np.array_equal(before, root):
+                break
+        some = np.flatnonzero(n)
+        return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(n[some]), pa.array(node[root[some]])], names=["node", "n", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups():
-            held = None
-            for batch in batches:
-                table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-                key = np.stack([table.column(n).to_numpy() for n in ("bucket", "i", "j")])
-                cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
-                edges = [0, *cut.tolist()]
-                table = table.combine_chunks()
-                for s, e in zip(edges, edges[1:], strict=False):
-                    yield table.slice(s, e - s)
-                held = table.slice(edges[-1])
-            if held is not None and len(held):
-                yield held
-
-        for g in groups():
-            if len(g) < 2:
-                continue
-            i, j, bucket = g.column("i")[0].as_py(), g.column("j")[0].as_py(), g.column("bucket")[0].as_py()
-            node, copies = g.column("node").to_numpy(), g.column("copies").to_numpy()
-            side = np.where(g.column("block").to_numpy() == i, 0, 1)
-            x = np.frombuffer(b"".join(g.column("x").to_pylist())).reshape(len(g), width)
-            c = np.frombuffer(b"".join(g.column("codes").to_pylist()), np.int32).reshape(len(g), TABLES, PROBES)
-            n, root = np.zeros(len(g), np.int64), np.arange(len(g))
-            found = [p for p in links(bucket, side, x, c, i == j) if len(p[0])]
-            if not found:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            if len(held) < ROWS:
                 continue
-            a, b = (np.concatenate([p[k] for p in found]) for k in (0, 1))
-            np.add.at(n, a, copies[b])
-            np.add.at(n, b, copies[a])
-            while True:  # least labels spread along the links
-                before = root.copy()
-                low = np.minimum(root[a], root[b])
-                np.minimum.at(root, a, low)
-                np.minimum.at(root, b, low)
-                root = root[root]
-                if np.array_equal(before, root):
-                    break
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(n[some]), pa.array(node[root[some]])], names=["node", "n", "root"])
+            key = np.stack([held.column(n).to_numpy() for n in ("bucket", "i", "j")])
+            change = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0))
+            if len(change):  # the last group may go on
+                cut = int(change[-1]) + 1
+                yield work(held.slice(0, cut).combine_chunks())
+                held = held.slice(cut)
+        if held is not None and len(held):
+            yield work(held.combine_chunks())
 
     return run
 
