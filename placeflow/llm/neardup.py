@@ -108,36 +108,43 @@ def _prune(threshold: float, miss: float):
     return run
 
 
-def _of_nodes(columns: dict[str, pa.DataType], values):
-    """Over (node, k1, k2, text): node and `values` of its shingles, where the text is the node's own set (rows may share an id)."""
+def _own_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over (node, k1, k2, text): node and text, where the text is the node's own set (rows may share an id)."""
+    for batch in batches:
+        data, offsets = strings(batch.column(3))
+        want = np.stack([batch.column(k).to_numpy().view(np.uint64) for k in (1, 2)])
+        for i, j in pieces(offsets, 1 << 20):
+            at = offsets[i : j + 1]
+            key, bound = K.shingles(data[at[0] : at[-1]], at - at[0])
+            some = np.flatnonzero(np.diff(bound))
+            some = some[(_names(key, bound[:-1][some]) == want[:, i + some]).all(0)] if len(some) else some
+            yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i).take(pa.array(some)) for c in (0, 3)], names=["node", "text"])
+
+
+def _of_texts(columns: dict[str, pa.DataType], values):
+    """Over (node, text): node and `values` of its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = strings(batch.column(3))
-            want = np.stack([batch.column(k).to_numpy().view(np.uint64) for k in (1, 2)])
+            data, offsets = strings(batch.column(1))
             for i, j in pieces(offsets, 1 << 20):
                 at = offsets[i : j + 1]
-                key, bound = K.shingles(data[at[0] : at[-1]], at - at[0])
-                some = np.flatnonzero(np.diff(bound))
-                some = some[(_names(key, bound[:-1][some]) == want[:, i + some]).all(0)] if len(some) else some
-                arrays = values(key, bound, some)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(some)), *(pa.array(x, t) for x, t in zip(arrays, columns.values(), strict=True))], names=["node", *columns])
+                arrays = values(*K.shingles(data[at[0] : at[-1]], at - at[0]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(x, t) for x, t in zip(arrays, columns.values(), strict=True))], names=["node", *columns])
 
     return run
 
 
-def _longer(key: np.ndarray, bound: np.ndarray, some: np.ndarray) -> tuple:
+def _longer(key: np.ndarray, bound: np.ndarray) -> tuple:
     """Sizes of sets, and MORE further minima of each, 8 bits of one."""
-    sig = np.zeros((len(some), MORE), np.uint8)
-    starts = bound[:-1][np.diff(bound) > 0]
-    at = np.searchsorted(starts, bound[some])
-    for k in range(MORE if len(some) else 0):
-        sig[:, k] = _low(np.minimum.reduceat(key * MORE_MULTIPLY[k] + MORE_ADD[k] >> np.uint64(32), starts)[at], 8)
-    return np.diff(bound)[some], [r.tobytes() for r in sig]
+    sig = np.zeros((len(bound) - 1, MORE), np.uint8)
+    for k in range(MORE if len(sig) else 0):  # texts without words aren't among these
+        sig[:, k] = _low(np.minimum.reduceat(key * MORE_MULTIPLY[k] + MORE_ADD[k] >> np.uint64(32), bound[:-1]), 8)
+    return np.diff(bound), [r.tobytes() for r in sig]
 
 
-def _items(key: np.ndarray, bound: np.ndarray, some: np.ndarray) -> tuple:
-    return ([key[bound[k] : bound[k + 1]].tobytes() for k in some],)
+def _items(key: np.ndarray, bound: np.ndarray) -> tuple:
+    return ([key[s:e].tobytes() for s, e in zip(bound, bound[1:], strict=False)],)
 
 
 def _compare(threshold: float, miss: float, bands: int):
@@ -210,6 +217,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component) with the rest of its bucket of about its size. That goes by blocks of at most about BLOCK rows on
     each side, with MORE minima of those texts, and only likely pairs leave a block; no candidate link is
     left out. Wide signatures are dropped once the shared buckets are known: those of nodes in none aren't needed again.
+    Texts are looked up once, for all nodes in shared buckets.
 
     Null or empty text, or one without words: n_shingles 0, component_id its own id, kept. A null id
     links with nothing: component_id null, kept true. Rows that repeat an id are judged each by its own text;
@@ -232,11 +240,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = scratch.save(wide.select("node", "sig").join(cand.select("node").distinct(), "node", "left_semi"))
     scratch.drop(wide)
 
+    wanted = nodes.join(signed.select("node"), "node", "left_semi").withColumnRenamed("rep", "id")
+    own = docs.join(wanted, "id").select("node", "k1", "k2", "text").mapInArrow(_own_texts, "node long, text string")
+    texts = scratch.save(own.groupBy("node").agg(F.first("text").alias("text")))  # rows may repeat an id and a text
+
     def of_nodes(some: DataFrame, columns: dict[str, pa.DataType], schema: str, values) -> DataFrame:
         """`values` of the texts of some nodes, a row for each."""
-        texts = docs.join(nodes.join(some, "node", "left_semi").withColumnRenamed("rep", "id"), "id").select("node", "k1", "k2", "text")
-        found = texts.mapInArrow(_of_nodes(columns, values), f"node long, {schema}")
-        return found.groupBy("node").agg(*[F.first(c).alias(c) for c in columns])  # rows may repeat an id and a text
+        return texts.join(some, "node", "left_semi").mapInArrow(_of_texts(columns, values), f"node long, {schema}")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of pairs (a, b) that are links."""
