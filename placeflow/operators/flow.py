@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..functions import url as U
 from . import dedup
 from .enrich import resolve
+from .places import once
 
 # fixed values: names of platforms, which say nothing about a place
 PLATFORMS = ("instagram", "tiktok", "youtube", "facebook", "twitter", "x")
@@ -23,10 +24,12 @@ def garbage(query: Column) -> Column:
 
 def fallback_query(guess: Column, caption: Column, title: Column, description: Column) -> Column:
     """What to search for where no candidate was found: the single guess, else a pin marker, else a query from the caption, else from the page; null if garbage."""
-    longer = lambda x, n: F.when(F.length(x) > n, x)
     marker = F.coalesce(X.pin_marker(X.decoded(description)), X.pin_marker(X.decoded(title)))
-    q = F.coalesce(longer(guess, 3), longer(marker, 2), longer(F.when(F.coalesce(caption, F.lit("")) != "", X.location_query(caption, F.lit(""))), 3), longer(X.location_query(title, description), 3))
-    return F.when(~garbage(q), q)
+    said = F.when(F.coalesce(caption, F.lit("")) != "", X.location_query(caption, F.lit("")))
+    # each is worked out once: the first that is longer than its least
+    options = F.array(*[F.struct(x.alias("q"), F.lit(n).alias("n")) for x, n in ((guess, 3), (marker, 2), (said, 3), (X.location_query(title, description), 3))])
+    first = lambda o: F.get(F.filter(o, lambda x: F.coalesce(F.length(x["q"]) > x["n"], F.lit(False))), F.lit(0))["q"]
+    return once(once(options, first), lambda q: F.when(~garbage(q), q))
 
 
 def ranked(hits: DataFrame) -> DataFrame:

@@ -124,7 +124,8 @@ def where(details: Column, hit: Column) -> Column:
     """struct(country, region, city): of the details' address parts, else of the details' or the hit's address."""
     parts = F.transform(details["address_components"], lambda c: F.struct(c["long_name"].alias("name"), c["types"].alias("types")))
     address = F.coalesce(_some(details["formatted_address"]), _some(hit["formatted_address"]), F.lit(""))
-    return F.when(parts.isNotNull(), G.location_of_parts(parts)).otherwise(G.location_of_address(address))
+    both = F.struct(parts.alias("parts"), address.alias("address"))
+    return once(both, lambda b: F.when(b["parts"].isNotNull(), G.location_of_parts(b["parts"])).otherwise(G.location_of_address(b["address"])))
 
 
 def whole_pins(rows: DataFrame, signals: DataFrame, users: DataFrame) -> DataFrame:
@@ -137,9 +138,9 @@ def whole_pins(rows: DataFrame, signals: DataFrame, users: DataFrame) -> DataFra
     """
     d, h, c = F.col("details"), F.col("hit"), F.col
     first = lambda a, b: F.coalesce(_some(d[a]), _some(h[b or a]))
-    types = types_union(d["types"], h["types"])
-    rows = rows.withColumn("where", where(d, h)).withColumn("types", types)
-    rows = rows.withColumn("signal_id", S.signal_id(c("user_id"), _some(c("where.city")), _some(c("where.country"))))
+    classed = once(types_union(d["types"], h["types"]), lambda t: F.struct(t.alias("types"), T.category(t, d["primary_type"]).alias("category"), T.cuisine(t, d["primary_type"]).alias("cuisine")))
+    placed = once(where(d, h), lambda w: F.struct(w.alias("where"), S.signal_id(c("user_id"), w["city"], w["country"]).alias("signal_id")))
+    rows = rows.withColumn("_classed", classed).withColumn("_placed", placed).withColumn("signal_id", c("_placed.signal_id"))
     known = signals.groupBy("signal_id").agg(F.min("status").alias("_status"))
     homes = users.filter(G.valid_home(c("home_lat"), c("home_lng"))).groupBy("user_id").agg(F.min(F.struct("home_lat", "home_lng")).alias("_home"))
     rows = rows.join(known, "signal_id", "left").join(homes, "user_id", "left")
@@ -151,14 +152,14 @@ def whole_pins(rows: DataFrame, signals: DataFrame, users: DataFrame) -> DataFra
     return rows.select(
         "user_id", "url", U.source_app(c("url")).alias("source_app"), U.domain(c("url")).alias("source_domain"), X.decoded(og("title")).alias("og_title"), X.decoded(og("description")).alias("og_description"), og("image").alias("og_image"),
         _some(h["place_id"]).alias("place_id"), F.coalesce(first("name", None), F.lit("")).alias("place_name"), F.coalesce(first("formatted_address", None), F.lit("")).alias("formatted_address"),
-        lat.alias("latitude"), lng.alias("longitude"), T.category(c("types"), d["primary_type"]).alias("category"), F.coalesce(d["rating"], F.nullif(h["rating"], F.lit(0.0))).alias("rating"),
+        lat.alias("latitude"), lng.alias("longitude"), c("_classed.category").alias("category"), F.coalesce(d["rating"], F.nullif(h["rating"], F.lit(0.0))).alias("rating"),
         F.coalesce(d["user_ratings_total"], F.nullif(h["user_ratings_total"], F.lit(0))).alias("user_ratings_total"), d["price_level"].alias("price_level"), d["short_formatted_address"].alias("short_formatted_address"),
-        d["primary_type"].alias("primary_type"), F.when(F.size("types") > 0, c("types")).alias("types"), T.cuisine(c("types"), d["primary_type"]).alias("cuisine"),
+        d["primary_type"].alias("primary_type"), F.when(F.size("_classed.types") > 0, c("_classed.types")).alias("types"), c("_classed.cuisine").alias("cuisine"),
         *[d[s].alias(s) for s in SERVICES], *[d[v].alias(v) for v in FLAGS.values()], d["business_status"].alias("business_status"),
         F.when(summary.isNotNull(), F.struct(summary["text"].alias("text"), summary["language_code"].alias("languageCode"))).alias("editorial_summary"), d["viewport"].alias("viewport"), *options,
         flat_price(d["price_range"]).alias("price_range"), d["opening_periods"].alias("opening_periods"), d["weekday_descriptions"].alias("weekday_descriptions"), d["utc_offset_minutes"].alias("utc_offset_minutes"),
         d["website"].alias("website"), d["formatted_phone_number"].alias("phone_number"), F.lit("pinned").alias("status"), F.coalesce("confidence", F.lit(85)).alias("confidence_score"), F.array().cast("array<string>").alias("list_ids"),
-        _some(c("where.country")).alias("country"), _some(c("where.region")).alias("region"), _some(c("where.city")).alias("city"), F.lit(False).alias("visited"), null("boolean", "would_go_back"), null("timestamp", "visited_at"), null("string", "visit_note"),
+        _some(c("_placed.where.country")).alias("country"), _some(c("_placed.where.region")).alias("region"), _some(c("_placed.where.city")).alias("city"), F.lit(False).alias("visited"), null("boolean", "would_go_back"), null("timestamp", "visited_at"), null("string", "visit_note"),
         F.lit(True).alias("server_enriched"), S.assert_save_reason(c("reason")).alias("save_origin"), c("signal_id").alias("trip_signal_id_at_save"),
         F.when(c("signal_id").isNotNull(), F.when(c("_status").isin(*STATUSES), c("_status")).otherwise("planning")).alias("saved_at_trip_status"), null("double", "distance_from_user_at_save_km"),
         F.when(lat.isNotNull() & lng.isNotNull(), G.round_km(G.distance_km(c("_home.home_lat"), c("_home.home_lng"), lat, lng))).alias("distance_from_home_city_km"), null("string", "rec_attribution_id"),
