@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -49,7 +51,7 @@ class Scratch:
     """Written tables that cut lineage: they survive lost executors and are dropped once nothing reads them."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/placeflow-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.n = ship(spark), f"{shared_dir(spark)}/placeflow-{uuid.uuid4().hex}", 0
         if (held := _open.get()) is not None:
             held.append(self)
 

@@ -36,9 +36,21 @@ def _mapped(features: Features):
     return run
 
 
+def text_key(text_col: str = "text") -> list:
+    """Two hashes that stand for a text; null counts as empty."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
+
 def sampled_rows(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, y, text) of the chosen (id, y), a bounded table."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text")
+    """(id, y, text) of the chosen (id, y), a bounded table: one row per id, and per y one row of equal texts.
+
+    Of an id's different texts the one with the least hash stays, of equal texts the least id.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.distinct()), "id")
+    rows = rows.select("id", "y", "text", *text_key())
+    one = rows.groupBy("id", "y").agg(F.min_by(F.struct("text", "k1", "k2"), F.struct("k1", "k2")).alias("r")).select("id", "y", "r.*")
+    return one.groupBy("y", "k1", "k2").agg(F.min("id").alias("id"), F.first("text").alias("text")).select("id", "y", "text")
 
 
 def collected(rows: DataFrame, features: Features) -> list:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Scratch, held_out, pieces, strings
-from .labelled import collected, sample, sampled_rows, scored, training_labels, verdict
+from .common import Scratch, blobs, held_out, pieces, strings
+from .labelled import collected, sample, sampled_rows, scored, text_key, training_labels, verdict
 
 BUCKETS, STARTS, FULL = 1 << 20, (5, 6, 7, 8), 20
 
@@ -63,54 +64,74 @@ def _features(live: np.ndarray):
     return run
 
 
-def _tally(live: np.ndarray | None = None):
-    """A task's sums by term of `live` (null: all) over texts: how many hold it, and their densities; term -1 counts the texts."""
+def _coded(live: np.ndarray | None):
+    """Texts (k1, k2, text) to their terms among `live` (null: all), packed: words, steps between sorted terms, counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = None
         if live is not None:
             mask = np.zeros(BUCKETS, bool)
             mask[live] = True
-        total, texts = np.zeros((2, BUCKETS)), 0
         for batch in batches:
-            data, offsets = strings(batch.column(0))
-            texts += len(batch)
+            data, offsets = strings(batch.column(2))
             for i, j in pieces(offsets, 1 << 20):
                 at = offsets[i : j + 1]
                 term, count, bound, words = _terms(data[at[0] : at[-1]], at - at[0], mask)
-                dense = _dense(count, np.repeat(words, np.diff(bound)))
-                total[0] += np.bincount(term, minlength=BUCKETS)
-                total[1] += np.bincount(term, dense, minlength=BUCKETS)
-        held = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, held]), pa.array(np.r_[float(texts), total[0, held]]), pa.array(np.r_[0.0, total[1, held]])], names=["term", "n", "d"])
+                packed = [zlib.compress(np.concatenate([[w], np.diff(term[s:e], prepend=0), count[s:e]]).astype(np.int32).tobytes(), 1) for s, e, w in zip(bound, bound[1:], words, strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), blobs(packed)], names=["k1", "k2", "x"])
 
     return run
 
 
-def _sums(texts: DataFrame, live: np.ndarray | None = None) -> DataFrame:
-    return texts.mapInArrow(_tally(live), "term long, n double, d double").groupBy("term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's sums by term over packed texts: how many hold it, and their densities; term -1 counts the texts."""
+    total, texts = np.zeros((2, BUCKETS)), 0
+    for batch in batches:
+        texts += len(batch)
+        for x in batch.column(0).to_pylist():
+            row = np.frombuffer(zlib.decompress(x), np.int32)
+            n = len(row) // 2
+            term = np.cumsum(row[1 : n + 1])
+            total[0, term] += 1
+            total[1, term] += _dense(row[n + 1 :], row[0])
+    held = np.flatnonzero(total[0])
+    yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, held]), pa.array(np.r_[float(texts), total[0, held]]), pa.array(np.r_[0.0, total[1, held]])], names=["term", "n", "d"])
 
 
-def telling_terms(positives: DataFrame, texts: DataFrame, prior: float, seen: int = 3, apart: float = 4.0) -> np.ndarray:
-    """Terms worth a weight: held by at least `seen` of the positives (text), with a share among them `apart` standard errors above
-    that among all `texts` (text), and a density that makes toxicity likelier than not.
+def _sums(texts: DataFrame, live: np.ndarray | None = None) -> dict[int, tuple[float, float]]:
+    """By term, how many different texts of (k1, k2, text) hold it and the sum of their densities; equal texts count once.
 
-    The shares among all texts are counted over the whole corpus, for terms that the positives hold; at most BUCKETS
-    terms exist, so that many rows come to the driver at most.
+    A text is packed where it lies; its packed terms, not the text, meet by hash. At most BUCKETS terms reach the driver.
     """
-    mine = {r["term"]: (r["n"], r["d"]) for r in _sums(positives).filter(f"term = -1 or n >= {seen}").collect()}
+    once = texts.mapInArrow(_coded(live), "k1 long, k2 long, x binary").groupBy("k1", "k2").agg(F.first("x").alias("x"))
+    sums = once.select("x").mapInArrow(_tally, "term long, n double, d double").groupBy("term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    return {r["term"]: (r["n"], r["d"]) for r in sums.collect()}
+
+
+def telling_terms(positives: DataFrame, texts: DataFrame, prior: float, seen: int = 3, apart: float = 5.0) -> np.ndarray:
+    """Terms worth a weight: held by at least `seen` of the positives (k1, k2, text), with a share among them `apart` standard errors
+    above that among the other `texts` (k1, k2, text), and a density that makes toxicity likelier than not.
+
+    Shares count different texts, so copies shift nothing, and the positives' own texts aren't held against them. They
+    are counted over the whole corpus, for terms that the positives hold. Positives are a bounded table.
+    """
+    mine = _sums(positives)
     n_p = max(mine.pop(-1, (0.0, 0.0))[0], 1.0)
+    mine = {t: x for t, x in mine.items() if x[0] >= seen}
     if not mine:
         return np.zeros(0, np.int64)
     terms = np.array(sorted(mine), np.int64)
-    found = {r["term"]: (r["n"], r["d"]) for r in _sums(texts, terms).collect()}
+    found = _sums(texts.join(F.broadcast(positives.select("k1", "k2")), ["k1", "k2"], "left_anti"), terms)
     n_u = max(found.pop(-1, (0.0, 0.0))[0], 1.0)
-    in_p, d_p = np.array([mine[t] for t in terms]).T
-    in_u, d_u = np.array([found.get(t, (0.0, 0.0)) for t in terms]).T
+    return terms[told(np.array([mine[t] for t in terms]).T, np.array([found.get(t, (0.0, 0.0)) for t in terms]).T, n_p, n_u, prior, apart)]
+
+
+def told(positive: np.ndarray, other: np.ndarray, n_p: float, n_u: float, prior: float, apart: float) -> np.ndarray:
+    """Whether each term tells: numbers of texts and sums of densities among n_p positives and n_u others."""
+    (in_p, d_p), (in_u, d_u) = positive, other
     both = (in_p + in_u) / (n_p + n_u)
     error = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n_p + 1 / n_u))
-    fine = ((in_p / n_p - in_u / n_u) / error >= apart) & (prior * d_p / n_p >= 0.5 * d_u / n_u)
-    return terms[fine]
+    return ((in_p / n_p - in_u / n_u) / error >= apart) & (prior * d_p / n_p >= (1 - prior) * d_u / n_u)
 
 
 def _logits(weights: np.ndarray, bias: float, term: np.ndarray, dense: np.ndarray, bound: np.ndarray) -> np.ndarray:
@@ -160,7 +181,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Learns from at most `positives` confirmed toxic rows and `unlabelled` texts whose labels, if any, it
     doesn't see, both outside the held-out fold (crc32 of the id's text divisible by 5) and drawn by hash;
     the class prior is the share of toxic rows among all labelled ones outside the fold. Which terms get a weight
-    is decided against all texts outside the fold. Scores come from the whole text alone.
+    is decided against all other texts outside the fold that have an id, each different text once: neither copies
+    nor rows without an id change what is learned. Scores come from the whole text alone.
 
     Null or empty text scores as no words. Null id: scored, id null, held_out false. Repeated rows score
     alike. Without a toxic row to learn from, every score is the prior (0 without labels). An empty table
@@ -175,8 +197,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         ids = docs.select(F.col(id_col).cast("long").alias("id")).filter(F.col("id").isNotNull() & ~held_out("id"))
         rest = sample(ids, unlabelled, 2).withColumn("y", F.lit(0))
         rows = Scratch(spark).save(sampled_rows(docs, yes.unionAll(rest), id_col, text_col))
-        free = docs.filter(F.col(id_col).isNull() | ~held_out(id_col)).select(text_col)
-        got = collected(rows, _features(telling_terms(rows.filter("y = 1").select("text"), free, prior)))
+        free = docs.filter(F.col(id_col).isNotNull() & ~held_out(id_col)).select(*text_key(text_col), F.col(text_col).alias("text"))
+        got = collected(rows, _features(telling_terms(rows.filter("y = 1").select(*text_key(), "text"), free, prior)))
         sets = {y: [np.frombuffer(x, np.int32) for _, k, x in got if k == y] for y in (0, 1)}
         weights, bias = fit(sets[1], sets[0], prior) if sets[1] else (np.zeros((2, BUCKETS)), float(np.log(prior / (1 - prior))))
     else:
