@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import chat, media, mixing, neardup, packing, quality, repeats, secrets, toxicity
+from . import chat, media, middle, mixing, neardup, packing, periods, quality, repeats, secrets, topk, toxicity
 from . import embed as embedding
 
 
@@ -65,6 +65,18 @@ def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_pairs(table(spark, sf_dir, "conversations"), *chat.consecutive())
 
 
-QUERIES = {f.__name__: f for f in (op1_interleaved_media, op2_minhash_near_dup, op3_prefix_free_dedup, op4_best_fit_packing, op5_pu_toxicity, op6_secret_scan, op7_source_mixing, op8_indexed_quality, op9_cross_polytope, op10_preference_format)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digests(periods.periodic_runs(table(spark, sf_dir, "documents"), planted=10))
 
-ORACLE = {"op7_source_mixing": mixing.ORACLE.format(docs="documents"), "op10_preference_format": chat.ORACLE}
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digests(middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_interleaved_media, op2_minhash_near_dup, op3_prefix_free_dedup, op4_best_fit_packing, op5_pu_toxicity, op6_secret_scan, op7_source_mixing, op8_indexed_quality, op9_cross_polytope, op10_preference_format, op11_periodic_runs, op12_fill_in_middle, op13_exact_top_k)}
+
+ORACLE = {"op7_source_mixing": mixing.ORACLE.format(docs="documents"), "op10_preference_format": chat.ORACLE, "op12_fill_in_middle": middle.ORACLE, "op13_exact_top_k": topk.ORACLE}
