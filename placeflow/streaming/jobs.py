@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import state as S
 from ..operators.jobs import sweep
-from ..sources.snapshots import Store, merge
+from ..sources.snapshots import Store
 
 
 KEEP_MS = 24 * 3600 * 1000  # far beyond the age at which a job is swept
@@ -49,19 +49,19 @@ def handled(created: DataFrame) -> DataFrame:
     return created.withColumn("outcome", S.created_outcome(F.col("status"), F.col("url"), F.col("user_id"), F.col("age_s"), F.col("http")))
 
 
-def into(stream: DataFrame, store: Store, table: str, key: str, checkpoint: str) -> StreamingQuery:
-    """Merges each micro-batch into a snapshot; a batch that ran before merges to the same rows."""
+def into(stream: DataFrame, store: Store, table: str, key: str, checkpoint: str, buckets: int = 16) -> StreamingQuery:
+    """Merges each micro-batch into a snapshot, rewriting the buckets of its keys alone; a batch that ran before merges to the same rows."""
 
     def put(batch: DataFrame, _: int) -> None:
         newest = batch.groupBy(key).agg(*[F.max_by(c, "pos").alias(c) for c in batch.columns if c != key])
         if store.version(table):
-            store.update(table, lambda rows: merge(rows, newest, key))
+            store.upsert(table, newest)
         else:
-            store.commit(table, newest, 0)
+            store.commit(table, newest, 0, key, buckets)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def swept(store: Store, table: str, now) -> int:
-    """A sweep of a snapshot of jobs at `now`."""
-    return store.update(table, lambda jobs: merge(jobs, sweep(jobs, now), "job_id"))
+    """A sweep of a snapshot of jobs at `now`; only the buckets of jobs that it fails are rewritten."""
+    return store.upsert(table, sweep(store.read(table), now))
