@@ -16,7 +16,7 @@ from .common import Scratch, blobs
 
 SCALE = 1024
 ROWS, QUERIES, GROUPS, SAMPLE = 16384, 4096, 256, 8192  # rows and queries of a block, most groups of each, rows that choose their centres
-LEAF, WIDTH, BASE, TILE = 32, 48, 1.3, 1024
+LEAF, WIDTH, BASE, TILE = 256, 48, 1.3, 1024
 HUGE = 1e100  # beyond it a group's ceiling says nothing
 EXACT = 2.0**53
 LONG = np.iinfo(np.int64)

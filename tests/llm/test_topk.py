@@ -57,7 +57,7 @@ def test_very_large_components(spark):
 
 
 def test_search_prunes_and_equals_brute_force():
-    rows = clustered(3, 4000)
+    rows = clustered(3, 30000)
     x, ids = topk.whole(np.array([v for _, v in rows])), np.array([i for i, _ in rows])
     q = np.flatnonzero(ids % 50 == 0)
     seen = []
