@@ -24,7 +24,7 @@ def once(value: Column, f) -> Column:
 def _record(title: Column, description: Column, uploader: Column, link: Column, slides: Column) -> Column:
     return F.struct(
         title.alias("title"), description.alias("description"), F.coalesce(F.get(slides, F.lit(0)), F.lit("")).alias("thumbnail_url"), uploader.alias("uploader"), hashtags(description).alias("hashtags"), link.alias("webpage_url"),
-        F.lit(None).cast("string").alias("location"), (F.size(slides) > 1).alias("is_carousel"), F.size(slides).alias("slide_count"), slides.alias("slide_thumbnails"),
+        F.lit(None).cast("string").alias("location"), (F.size(slides) > 1).alias("is_carousel"), F.size(slides).alias("slide_count"), slides.alias("slide_thumbnails"), F.lit(None).cast("string").alias("subtitles"),
     )
 
 
