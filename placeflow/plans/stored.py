@@ -10,6 +10,7 @@ from ..operators.members import reconciled
 from ..session import shared_dir
 from ..sources.snapshots import Store, with_id
 from ..sources.tables import frame, sql
+from ..streaming import caching as C
 from ..streaming import feed as D
 from .registry import query
 
@@ -77,3 +78,24 @@ def stored_lists(spark, sf_dir):
     fresh = with_id(sql(spark, sf_dir, _NEW), "name", "owner_id", name="list_id").withColumn("pin_count", F.lit(0).cast("long"))
     store.upsert("lists", fresh.select(lists.columns))
     return store.read("lists")
+
+
+def cache_requests(spark, sf_dir):
+    """Every event as a request: views and clicks read a user's key, the others write it."""
+    e, c = frame(spark, sf_dir, "events"), F.col
+    reads = c("event_type").isin("view", "click")
+    return e.select(c("event_id").cast("long").alias("pos"), c("ts").cast("timestamp").alias("at"), F.when(reads, "get").otherwise("set").alias("op"), F.concat(F.lit("k"), c("user_id") % 400).alias("key"), F.when(~reads, F.concat(F.lit("v"), c("event_id"))).alias("value"))
+
+
+@query()
+def cache_answers(spark, sf_dir):
+    """Every event asked of the cache in order of time, the stream started again in its middle. No oracle: each answer hangs on those before; the tests hold a loop against it."""
+    root = f"{shared_dir(spark)}/placeflow-{uuid.uuid4().hex}"
+    asked = cache_requests(spark, sf_dir)
+    asked = asked.withColumn("pos", F.unix_micros("at"))
+    middle = asked.agg(F.percentile_approx("pos", 0.5)).first()[0]
+    stream = spark.readStream.schema(asked.schema).parquet(f"{root}/in/*")
+    for part, test in (("a", F.col("pos") <= (middle or 0)), ("b", F.col("pos") > (middle or 0))):
+        asked.filter(test).write.parquet(f"{root}/in/{part}")
+        C.answer(stream, f"{root}/out", f"{root}/checkpoint", shards=8, most=10, ttl_s=3 * 24 * 3600)
+    return spark.read.schema(C.OUT).parquet(f"{root}/out")
