@@ -81,10 +81,10 @@ def stored_lists(spark, sf_dir):
 
 
 def cache_requests(spark, sf_dir):
-    """Every event as a request: views and clicks read a user's key, the others write it."""
+    """Every event as a request: views and clicks read one of a user's keys, the others write it."""
     e, c = frame(spark, sf_dir, "events"), F.col
     reads = c("event_type").isin("view", "click")
-    return e.select(c("event_id").cast("long").alias("pos"), c("ts").cast("timestamp").alias("at"), F.when(reads, "get").otherwise("set").alias("op"), F.concat(F.lit("k"), c("user_id") % 400).alias("key"), F.when(~reads, F.concat(F.lit("v"), c("event_id"))).alias("value"))
+    return e.select(c("event_id").cast("long").alias("pos"), c("ts").cast("timestamp").alias("at"), F.when(reads, "get").otherwise("set").alias("op"), F.concat_ws("-", "user_id", c("event_id") % 10).alias("key"), F.when(~reads, F.concat(F.lit("v"), c("event_id"))).alias("value"))
 
 
 @query()
