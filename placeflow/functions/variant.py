@@ -125,6 +125,13 @@ def first_bad_key(stored: Column, ops: Column) -> Column:
     return F.when(stored.isNotNull(), F.when(given.isNull(), F.lit("")).otherwise(bad))
 
 
+def bad_keys(stored: Column) -> Column:
+    """All stored keys (variant) that aren't editable or hold what an edit couldn't set; none where nothing is stored, null where it is no object."""
+    given = fields(stored)
+    bad = F.filter(F.map_keys(given), lambda k: override_value(k, F.element_at(given, k)).isNull())
+    return F.when(stored.isNull(), F.array().cast("array<string>")).when(given.isNotNull(), bad)
+
+
 def place_item(v: Column) -> Column:
     """struct(name, location) of a place that a model names: a string is a name, an object has a name and its location, city or region; null for anything else."""
     t = lambda x: F.trim(F.coalesce(x, F.lit("")))

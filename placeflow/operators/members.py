@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import variant as V
+from ..session import written
 
 
 def member_entries(pins: DataFrame, lists: DataFrame) -> DataFrame:
@@ -144,40 +145,89 @@ def _event(kind: str, at: Column) -> list[Column]:
     return [F.lit(kind).alias("type"), F.col("member_owner").alias("user_id"), F.col("caller").alias("actor"), "list_id", shown("list_name").alias("list_name"), "pin_id", shown("pin_name").alias("pin_name"), at.alias("created_at")]
 
 
-def removal_deltas(requests: DataFrame, at: Column) -> dict[str, DataFrame]:
-    """What removal requests, each a transaction in order of `pos`, change: the deltas of each table, and the decisions.
+def removal_outcomes(requests: DataFrame) -> DataFrame:
+    """Removal requests, each a transaction in order of `pos`, with their `decision`, `event`, and `list_count` (null but on the one row that settles a list's count).
 
     Requests as for removals, with pos, list_name and pin_name. A second removal of a member finds it gone, and a
-    list's count runs down by one a removal until none is left (409:bad_count from there on). Deltas: members (keys
-    to delete), lists (list_id, pin_count), pin_lists (keys to delete) and events, for those whose pin isn't the
-    caller's own.
+    list's count runs down by one a removal until none is left (409:bad_count from there on).
     """
     out = removals(requests)
     once = F.row_number().over(Window.partitionBy("list_id", "pin_id").orderBy(F.col("decision") != "ok", "pos"))
-    out = out.withColumn("_n", once).withColumn("decision", F.when((F.col("decision") == "ok") & (F.col("_n") > 1), "ok:already_gone").otherwise(F.col("decision")))
-    turn = F.row_number().over(Window.partitionBy("list_id", F.col("decision") == "ok").orderBy("pos"))
-    out = out.withColumn("_n", turn).withColumn("decision", F.when((F.col("decision") == "ok") & (F.col("_n") > F.col("pin_count")), "409:bad_count").otherwise(F.col("decision")))
+    out = out.withColumn("_n", once).withColumn("_d", F.when((F.col("decision") == "ok") & (F.col("_n") > 1), "ok:already_gone").otherwise(F.col("decision")))
+    mine = Window.partitionBy("list_id", F.col("_d") == "ok")
+    out = out.withColumn("_n", F.row_number().over(mine.orderBy("pos"))).withColumn("_m", F.count("*").over(mine))
+    done = (F.col("_d") == "ok") & (F.col("_n") <= F.col("pin_count"))
+    settled = F.when(done & (F.col("_n") == F.least("_m", "pin_count")), F.col("pin_count") - F.col("_n"))
+    decision = F.when((F.col("_d") == "ok") & ~done, "409:bad_count").otherwise(F.col("_d"))
+    return out.withColumn("list_count", settled).withColumn("event", done & (F.col("pin_owner") != F.col("caller"))).withColumn("decision", decision).drop("_n", "_m", "_d", "new_count")
+
+
+def removal_deltas(requests: DataFrame, at: Column) -> dict[str, DataFrame]:
+    """What removal requests change: the deltas of each table, and the decisions.
+
+    The outcomes are written once. Deltas: members (keys to delete), lists (list_id, pin_count), pin_lists (keys to
+    delete) and events, for those whose pin isn't the caller's own.
+    """
+    out = written(removal_outcomes(requests).drop("freeze", "collaborators", "viewers", "pin_list_ids"))
     done = out.filter("decision = 'ok'")
     return {
-        "decisions": out.drop("_n", "new_count", "event"),
+        "decisions": out.drop("event", "list_count"),
         "members": done.select("list_id", "pin_id"),
         "pin_lists": done.select("pin_id", "list_id"),
-        "lists": done.groupBy("list_id").agg((F.min("pin_count") - F.count("*")).alias("pin_count")),
-        "events": done.filter(F.col("pin_owner") != F.col("caller")).select(*_event("list_member_removed_by_editor", at)),
+        "lists": done.filter("list_count is not null").select("list_id", F.col("list_count").alias("pin_count")),
+        "events": done.filter("event").select(*_event("list_member_removed_by_editor", at)),
     }
 
 
+def override_outcomes(requests: DataFrame) -> DataFrame:
+    """Override requests, each a transaction in order of `pos`, with `decision`, `changes`, `event`, `overrides` after it and `last` (whether it is the last that changed its member).
+
+    Requests as for overrides, with pos, different for a member's requests; all of them carry what the member stored before
+    the first. Each sees what the ones before it stored: a set of a value that is there by then, and a delete of what is
+    gone, change nothing. A stored key that can't be trusted refuses all requests until one touches every such key.
+    A member's requests are a window in order, spilled and never gathered; each editable key's last edit runs along.
+    """
+    c = F.col
+    out = requests.withColumn("ops", V.edits(c("body")))
+    refused = (F.size("ops") == 0) | F.exists("ops", lambda o: o["op"] == "reject")
+    bad_id, *rest = _common(out, "404:no_member")
+    out = out.withColumn("decision", ladder(bad_id, (refused, "400:bad_body"), *rest))
+    member = Window.partitionBy("list_id", "pin_id")
+    order = member.orderBy("pos")
+    covers = F.coalesce(F.size(F.array_except(V.bad_keys(c("stored")), F.transform("ops", lambda o: o["key"]))) == 0, F.lit(False))
+    mended = F.max((c("decision") == "ok") & covers).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    out = out.withColumn("_mended", mended).withColumn("decision", F.when((c("decision") == "ok") & ~c("_mended"), "409:bad_stored").otherwise(c("decision")))
+    edit = lambda k: F.get(F.filter("ops", lambda o: o["key"] == k), F.lit(0))
+    out = out.withColumns({f"_mine_{k}": F.when(c("decision") == "ok", edit(k)) for k in V.EDITABLE})
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    out = out.withColumns({f"_was_{k}": F.last(f"_mine_{k}", ignorenulls=True).over(before) for k in V.EDITABLE})
+    given = F.coalesce(V.fields(c("stored")), F.create_map().cast("map<string,variant>"))
+
+    def change(k: str) -> Column:
+        o, was = c(f"_mine_{k}"), c(f"_was_{k}")
+        there = F.when(was.isNotNull(), was["op"] == "set").otherwise(F.map_contains_key(given, F.lit(k)))
+        value = F.when(was.isNotNull(), was["value"]).otherwise(V.text_of(F.try_element_at(given, F.lit(k))))
+        return F.when(((o["op"] == "set") & ~o["value"].eqNullSafe(value)) | ((o["op"] == "delete") & there), o)
+
+    out = out.withColumn("changes", F.when(c("decision") == "ok", F.array_compact(F.array(*[change(k) for k in V.EDITABLE]))))
+    out = out.withColumn("decision", F.when((c("decision") == "ok") & (F.size("changes") == 0), "ok:unchanged").otherwise(c("decision")))
+    edits = F.array_compact(F.array(*[F.coalesce(f"_mine_{k}", f"_was_{k}") for k in V.EDITABLE]))
+    out = out.withColumn("overrides", F.when(c("decision") == "ok", patched(c("stored"), edits)))
+    out = out.withColumn("last", (c("decision") == "ok") & (c("pos") == F.max(F.when(c("decision") == "ok", c("pos"))).over(member)))
+    out = out.withColumn("event", (c("decision") == "ok") & (c("member_owner") != c("caller")))
+    return out.drop("ops", "_mended", *[f"_{x}_{k}" for x in ("mine", "was") for k in V.EDITABLE])
+
+
 def override_deltas(requests: DataFrame, at: Column) -> dict[str, DataFrame]:
-    """What override requests change: members (list_id, pin_id, overrides after the change) and events, with the decisions.
+    """What override requests change: members (list_id, pin_id, overrides after the last change) and events, with the decisions.
 
-    Requests as for overrides, with list_name and pin_name; at most one for each member.
+    Requests as for override_outcomes, with list_name and pin_name. The outcomes are written once.
     """
-    out = overrides(requests)
-    done = out.filter("decision = 'ok'")
+    out = written(override_outcomes(requests).withColumn("stored", F.to_json("stored")).drop("body", "freeze", "collaborators", "viewers", "pin_list_ids"))
     return {
-        "decisions": out.drop("event"),
-        "members": done.select("list_id", "pin_id", patched(F.col("stored"), F.col("changes")).alias("overrides")),
-        "events": done.filter("event").select(*_event("list_member_overridden_by_editor", at), F.transform("changes", lambda o: o["key"]).alias("changed")),
+        "decisions": out.drop("event", "overrides", "last"),
+        "members": out.filter("last").select("list_id", "pin_id", "overrides"),
+        "events": out.filter("event").select(*_event("list_member_overridden_by_editor", at), F.transform("changes", lambda o: o["key"]).alias("changed")),
     }
 
 

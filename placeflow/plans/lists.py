@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions import variant as V
 from ..operators import members as M
 from ..sources import snapshots
@@ -230,20 +231,48 @@ def member_removal_deltas(spark, sf_dir):
     names = frame(spark, sf_dir, "lists").select("list_id", F.col("name").alias("list_name"))
     asked = requests(spark, sf_dir).join(names, "list_id", "left").withColumn("pin_name", F.when(k % 5 == 0, F.concat(F.lit("<"), "pin_id")).otherwise(F.concat(F.lit("Place "), "pin_id")))
     again = F.explode(F.when(k % 7 == 0, F.array(k, k + 10**12)).otherwise(F.array(k)))
-    out = M.removal_deltas(asked.withColumn("pos", again), F.lit("2024-01-15").cast("timestamp"))
-    shown = F.concat_ws("|", "type", "user_id", "actor", "list_name", "pin_name")
-    key = lambda part, value, pin="pin_id": out[part].select(F.lit(part).alias("part"), "list_id", F.col(pin).alias("pin_id") if pin else F.lit(None).cast("string").alias("pin_id"), value.alias("value"))
-    return key("members", F.lit("")).unionAll(key("pin_lists", F.lit(""))).unionAll(key("lists", F.col("pin_count").cast("string"), None)).unionAll(key("events", shown))
+    out = M.removal_outcomes(asked.withColumn("pos", again)).filter("decision = 'ok'")
+    shown = F.concat_ws("|", F.lit("list_member_removed_by_editor"), "pin_owner", "caller", X.event_field(F.coalesce("list_name", F.lit(""))), X.event_field(F.coalesce("pin_name", F.lit(""))))
+    row = lambda part, value, pin="pin_id": F.struct(F.lit(part).alias("part"), F.col("list_id").alias("list_id"), (F.col(pin) if pin else F.lit(None)).cast("string").alias("pin_id"), value.alias("value"))
+    parts = F.array(row("members", F.lit("")), row("pin_lists", F.lit("")), F.when(F.col("list_count").isNotNull(), row("lists", F.col("list_count").cast("string"), None)), F.when(F.col("event"), row("events", shown)))
+    return out.select(F.explode(F.array_compact(parts)).alias("r")).select("r.*")
 
 
-FLAGS = [(1, "true"), (2, "false"), (3, '"x"'), (4, None)]
+# four requests of a member in order: what they set, the same again, a delete and a set of other values
+TURNS = 4
+_ASKED = f"""(SELECT d.*, coalesce(TRY_CAST(substring(d.pin_id, 2) AS BIGINT), 0) AS k, r.turn, CASE r.turn WHEN 0 THEN o.body WHEN 1 THEN o.body WHEN 2 THEN '{{"placeName":null,"category":null}}' ELSE '{{"category":"food","formattedAddress":"Street ' || (coalesce(TRY_CAST(substring(d.pin_id, 2) AS BIGINT), 0) % 3) || '"}}' END::JSON AS b, o.stored::JSON AS st
+  FROM {_DECIDED.replace('{extra}', '')} d JOIN {values(BODIES, 'm', 'body', 'stored')} o ON o.m = coalesce(TRY_CAST(substring(d.pin_id, 2) AS BIGINT) % {len(BODIES)}, 0), (SELECT unnest(range({TURNS})) AS turn) r)"""
 
 
-@query(f"SELECT id::BIGINT AS id, CASE WHEN v IS NULL THEN 'field_added' WHEN v IN ('true', 'false') THEN 'no_op' ELSE 'left_malformed' END AS action FROM {values(FLAGS, 'id', 'v')} UNION ALL SELECT 0, 'created'")
-def seed_flags(spark, sf_dir):
-    out = None
-    for k, v in [(0, 0), *FLAGS]:
-        row = rows(spark, "value string", [] if k == 0 else [(v,)])
-        one = snapshots.seed_flag(row, "freeze").select(F.lit(k).cast("long").alias("id"), "action")
-        out = one if out is None else out.unionAll(one)
-    return out
+def _ran(turn: int) -> str:
+    """What a request does, given what is stored before it (st): its decision, changes, and what is stored after it."""
+    sets = "'{' || array_to_string(list_filter([" + ", ".join(f"CASE WHEN op_{k} = 'set' THEN '\"{k}\":' || to_json({_stored_value('b', k)})::VARCHAR WHEN op_{k} = 'delete' THEN '\"{k}\":null' END" for k in V.EDITABLE) + "], lambda x: x IS NOT NULL), ',') || '}'"
+    before = f"(SELECT * FROM {_ASKED} a WHERE turn = {turn})" if turn == 0 else f"(SELECT a.* EXCLUDE (st), p.after AS st FROM {_ASKED} a JOIN r{turn - 1} p ON p.list_id = a.list_id AND p.pin_id = a.pin_id WHERE a.turn = {turn})"
+    return f"""o{turn} AS (SELECT *, {', '.join(f'{_op(k)} AS op_{k}' for k in V.EDITABLE)} FROM {before} x),
+c{turn} AS (SELECT *, json_type(b) <> 'OBJECT' OR len(json_keys(b)) = 0 OR len(list_filter(json_keys(b), lambda x: x NOT IN ({_NAMES}))) > 0 OR {' OR '.join(f"coalesce(op_{k} = 'reject', false)" for k in V.EDITABLE)} AS bad, {_CHANGE} AS changed, {_BAD_STORED} AS spoilt FROM o{turn}),
+r{turn} AS (SELECT *, CASE WHEN done = 'ok' THEN json_merge_patch(coalesce(st, '{{}}'), ({sets})::JSON) ELSE st END AS after FROM (SELECT *, CASE WHEN bad THEN '400:bad_body' WHEN decision <> 'ok' THEN decision WHEN coalesce(spoilt, false) THEN '409:bad_stored' WHEN changed = '' THEN 'ok:unchanged' ELSE 'ok' END AS done FROM c{turn}) y)"""
+
+
+_SHOWN = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN json_type(after, '$.{k}') IS NOT NULL THEN '{k}=' || (after ->> '$.{k}') END" for k in V.EDITABLE) + "], lambda x: x IS NOT NULL), ',')"
+_NAMED = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains(',' || changed, ',{k}=') THEN '{k}' END" for k in V.EDITABLE) + "], lambda x: x IS NOT NULL), ',')"
+
+
+@query(f"""WITH {', '.join(_ran(t) for t in range(TURNS))},
+a AS ({' UNION ALL '.join(f'SELECT list_id, pin_id, turn, done, CASE WHEN done = $$ok$$ THEN changed WHEN done = $$ok:unchanged$$ THEN $$$$ END AS changed, after, pin_owner, caller FROM r{t}' for t in range(TURNS))})
+SELECT 'decision' AS part, list_id, pin_id, turn::BIGINT AS turn, done || ' ' || coalesce(changed, '-') AS value FROM a
+UNION ALL SELECT 'member', list_id, pin_id, NULL, {_SHOWN} FROM (SELECT *, max(turn) OVER (PARTITION BY list_id, pin_id) AS newest FROM a WHERE done = 'ok') n WHERE turn = newest
+UNION ALL SELECT 'event', list_id, pin_id, turn, pin_owner || '|' || caller || '|' || {_NAMED} FROM a WHERE done = 'ok' AND pin_owner <> caller""")
+def override_transactions(spark, sf_dir):
+    """Four override requests for every member, in order: each one's decision and effective changes, what members hold in the end, and the events."""
+    asked = override_requests(spark, sf_dir)
+    k = F.coalesce(F.substring("pin_id", 2, 20).try_cast("long"), F.lit(0))
+    asked = asked.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(TURNS - 1)))).withColumn("pos", F.col("turn").cast("long") * 10 + 1)
+    third, fourth = F.lit('{"placeName":null,"category":null}'), F.concat(F.lit('{"category":"food","formattedAddress":"Street '), k % 3, F.lit('"}'))
+    body = F.when(F.col("turn") < 2, F.col("body")).otherwise(F.try_parse_json(F.when(F.col("turn") == 2, third).otherwise(fourth)))
+    out = M.override_outcomes(asked.withColumn("body", body))
+    shown = F.array_join(F.transform("changes", lambda o: F.concat(o["key"], F.lit("="), o["op"], F.lit(":"), F.coalesce(o["value"], F.lit("")))), ",")
+    held = F.array_join(F.transform(F.filter(F.array(*map(F.lit, V.EDITABLE)), lambda x: F.map_contains_key("overrides", x)), lambda x: F.concat(x, F.lit("="), F.element_at("overrides", x))), ",")
+    row = lambda part, value, turn=True: F.struct(F.lit(part).alias("part"), F.col("list_id").alias("list_id"), F.col("pin_id").alias("pin_id"), (F.col("turn") if turn else F.lit(None)).cast("long").alias("turn"), value.alias("value"))
+    keys = F.array_join(F.transform("changes", lambda o: o["key"]), ",")
+    parts = F.array(row("decision", F.concat_ws(" ", "decision", F.coalesce(shown, F.lit("-")))), F.when(F.col("last"), row("member", held, False)), F.when(F.col("event"), row("event", F.concat_ws("|", "pin_owner", "caller", keys))))
+    return out.select(F.explode(F.array_compact(parts)).alias("r")).select("r.*")
