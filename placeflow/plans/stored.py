@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from ..operators import backfill as B
+from ..operators import locks
 from ..operators.members import reconciled
+from ..operators.paged import backfill
 from ..session import shared_dir
 from ..sources.snapshots import Store, with_id
 from ..sources.tables import frame, sql
 from ..streaming import caching as C
 from ..streaming import feed as D
+from .places import _CATEGORY
 from .registry import query
 
 NOW = "2024-01-15 00:00:00"
@@ -99,3 +104,52 @@ def cache_answers(spark, sf_dir):
         asked.filter(test).write.parquet(f"{root}/in/{part}")
         C.answer(stream, f"{root}/out", f"{root}/checkpoint", shards=8, most=10, ttl_s=3 * 24 * 3600)
     return spark.read.schema(C.OUT).parquet(f"{root}/out")
+
+
+_TYPED = """SELECT pin_id, k, n.place_id, category, enrichment_version, CASE WHEN k % 2 = 0 THEN types_csv END AS csv FROM (SELECT *, CAST(substring(pin_id, 2) AS BIGINT) AS k FROM <pins>) n LEFT JOIN <places> pl ON pl.place_id = n.place_id"""
+_PLAN6 = f"""(SELECT n.pin_id, n.csv, d.types_csv AS csv2, d.primary_type AS p2, CASE WHEN {_CATEGORY} <> 'other' THEN 'skippedAlreadyPopulated' WHEN d.place_id IS NULL THEN 'failures' WHEN d.types_csv IS NULL AND d.primary_type IS NULL THEN 'skippedNoApiSignal' WHEN k % 11 = 0 THEN 'raced' ELSE 'updated' END AS outcome, k
+  FROM (SELECT *, NULL::VARCHAR AS p FROM ({_TYPED}) x) n LEFT JOIN <places> d ON d.place_id = n.place_id AND substring(d.place_id, 3)::BIGINT % 7 <> 0)"""
+
+
+@query(f"""SELECT 'pin' AS part, pin_id AS name, CASE WHEN outcome = 'updated' THEN coalesce(csv2, '') WHEN k % 11 = 0 THEN 'museum' ELSE coalesce(csv, '') END AS types, CASE WHEN outcome = 'updated' THEN p2 END AS primary_type, NULL::BIGINT AS n FROM {_PLAN6} p
+UNION ALL SELECT 'count', outcome, NULL, NULL, count(*) FROM {_PLAN6} p GROUP BY outcome""")
+def paged_place_types(spark, sf_dir):
+    """Types of all stored pins from details, by pages: another job takes the lock in the middle, the run goes on later, and somebody else changes pins meanwhile."""
+    store = _store(spark)
+    pins = sql(spark, sf_dir, _TYPED).select("pin_id", "place_id", F.split("csv", ",").alias("types"), F.lit(None).cast("string").alias("primary_type"))
+    store.commit("pins", pins, 0, "pin_id", 6)
+    places = frame(spark, sf_dir, "places").filter(F.substring("place_id", 3, 20).cast("long") % 7 != 0).select("place_id", F.split("types_csv", ",").alias("types"), "primary_type")
+    minute, stolen = [0], []
+
+    def clock() -> datetime:
+        minute[0] += 1
+        return datetime(2024, 1, 1, minute[0] // 60, minute[0] % 60)
+
+    def meanwhile(page: set[int]) -> None:
+        if 2 in page and not stolen:
+            stolen.append(locks.acquire(store, "placeTypes", "other", datetime(2024, 1, 2)))
+        else:
+            store.upsert("pins", store.read("pins", None, page).filter(F.substring("pin_id", 2, 20).cast("long") % 11 == 0).withColumn("types", F.array(F.lit("museum"))))
+
+    def run() -> dict:
+        return backfill(store, "pins", "placeTypes", lambda rows: B.retype(rows, places), {"types": "new_types", "primary_type": "new_primary"}, ["types", "primary_type"], clock, size=2, planned=meanwhile)
+
+    run()
+    locks.release(store, "placeTypes", "other")
+    report = run()
+    held = store.read("pins").select(F.lit("pin").alias("part"), F.col("pin_id").alias("name"), F.coalesce(F.array_join("types", ","), F.lit("")).alias("types"), "primary_type", F.lit(None).cast("long").alias("n"))
+    counts = spark.createDataFrame([("count", o, None, None, n) for o, n in report["counts"].items()], "part string, name string, types string, primary_type string, n long")  # a row per outcome
+    return held.unionAll(counts)
+
+
+@query("""SELECT pin_id, CASE WHEN enrichment_version IS DISTINCT FROM 4 AND l.place_id IS NOT NULL THEN 4 ELSE enrichment_version END::BIGINT AS enrichment_version, CASE WHEN enrichment_version IS DISTINCT FROM 4 THEN place_name END AS place_name FROM <pins> n LEFT JOIN <places> l ON l.place_id = n.place_id""")
+def paged_refresh(spark, sf_dir):
+    """Details of all stored pins of another version fetched again and written, with the new version, by pages."""
+    store = _store(spark)
+    pins = frame(spark, sf_dir, "pins").select("pin_id", "place_id", F.col("enrichment_version").cast("long").alias("enrichment_version"), F.lit(None).cast("string").alias("place_name"))
+    store.commit("pins", pins, 0, "pin_id", 4)
+    details = frame(spark, sf_dir, "places").select("place_id", "place_name")
+    names = details.select("place_id", F.col("place_name").alias("new_name"))
+    derive = lambda rows: B.refresh_details(rows, details).join(names, "place_id", "left").withColumn("new_version", F.lit(4).cast("long"))
+    backfill(store, "pins", "mealTypes", derive, {"enrichment_version": "new_version", "place_name": "new_name"}, ["place_id", "enrichment_version"], lambda: datetime(2024, 1, 1), size=2)
+    return store.read("pins").select("pin_id", "enrichment_version", "place_name")

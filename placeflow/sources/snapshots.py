@@ -64,10 +64,17 @@ class Store:
         """Writes rows as version base + 1, unless another writer has. A first version fixes the key and the number of buckets."""
         if self.version(table) != base:
             raise Conflict(f"{table} is at version {self.version(table)}, not {base}")
-        if base:
-            m = self.manifest(table, base)
-            key, buckets = key or m["key"], buckets or m["buckets"]
-        m = {"key": key, "buckets": buckets or 1, "schema": json.loads(rows.schema.json()), "folders": {}}
+        old = self.manifest(table, base) if base else {}
+        m = {"key": key or old.get("key"), "buckets": buckets or old.get("buckets", 1), "schema": json.loads(rows.schema.json()), "folders": {}, "notes": old.get("notes", {})}
+        return self._put(table, rows, base, m)
+
+    def commit_buckets(self, table: str, rows: DataFrame, base: int, buckets: set[int], notes: dict) -> int:
+        """Puts rows in place of some buckets as version base + 1, with notes that stand or fall with them; later versions keep notes until they are replaced."""
+        if self.version(table) != base:
+            raise Conflict(f"{table} is at version {self.version(table)}, not {base}")
+        m = self.manifest(table, base)
+        m["folders"] = {b: f for b, f in m["folders"].items() if int(b) not in buckets}
+        m["notes"] = {**m.get("notes", {}), **notes}
         return self._put(table, rows, base, m)
 
     def _put(self, table: str, rows: DataFrame, base: int, m: dict) -> int:
