@@ -13,7 +13,7 @@ from ..functions import variant as V
 from ..operators import dedup
 from ..sources import lookup
 from ..sources.tables import frame
-from .registry import query, rows, values
+from .registry import query, rows, spread, spread_sql, values
 
 LINKS = [
     (-1, "https://www.tiktok.com/@ann/video/7301?_t=8&lang=en"), (-2, "https://vm.tiktok.com/ZM1/"), (-3, "https://www.instagram.com/reel/Cx_1-a/?igsh=1"), (-4, "https://youtu.be/abc_9?ref=x"),
@@ -157,16 +157,23 @@ SUBTITLES = [
 ]
 
 
-@query(f"""WITH l AS (SELECT id, unnest(string_split(body, chr(10))) AS x, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM {values(SUBTITLES, 'id', 'body')}),
+_SUBTITLES = f"(SELECT k AS id, CASE WHEN k < 0 THEN body ELSE body || chr(10) || '<i>line ' || k || '</i>' || chr(10) || 'line ' || k || chr(10) || k END AS body FROM {spread_sql(SUBTITLES, 'id', 'body')} x)"
+
+
+@query(f"""WITH l AS (SELECT id, unnest(string_split(body, chr(10))) AS x, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM {_SUBTITLES}),
 k AS (SELECT id, i, trim(regexp_replace(x, '<[^>]+>', '', 'g')) AS x FROM l WHERE NOT (starts_with(x, 'WEBVTT') OR starts_with(x, 'Kind:') OR starts_with(x, 'Language:') OR regexp_matches(x, '^\\d{{2}}:\\d{{2}}') OR regexp_matches(trim(x), '^\\d*$'))),
 d AS (SELECT id, i, x, lag(x) OVER (PARTITION BY id ORDER BY i) AS p FROM k WHERE x <> '')
-SELECT s.id::BIGINT AS id, left(string_agg(d.x, ' ' ORDER BY d.i) FILTER (d.x IS DISTINCT FROM d.p), 3000) AS transcript FROM {values(SUBTITLES, 'id', 'body')} s LEFT JOIN d ON d.id = s.id GROUP BY s.id""")
+SELECT s.id::BIGINT AS id, left(string_agg(d.x, ' ' ORDER BY d.i) FILTER (d.x IS DISTINCT FROM d.p), 3000) AS transcript FROM {_SUBTITLES} s LEFT JOIN d ON d.id = s.id GROUP BY s.id""")
 def transcript_clean(spark, sf_dir):
-    return rows(spark, "id long, body string", SUBTITLES).select("id", X.transcript(F.col("body")).alias("transcript"))
+    """A subtitle file for every event."""
+    k = F.col("k")
+    more = F.concat("body", F.lit("\n<i>line "), k, F.lit("</i>\nline "), k, F.lit("\n"), k)
+    return spread(spark, sf_dir, "id long, body string", SUBTITLES).select(k.alias("id"), X.transcript(F.when(k < 0, F.col("body")).otherwise(more)).alias("transcript"))
 
 
 ERRORS = ["ETIMEDOUT 10.0.0.1", "Request timeout", "HTTP 429", "rate limit hit", "Quota exceeded", "403 Forbidden", "access denied", "JSON parse failed", "invalid body", "ENOTFOUND host", "network down", "weird", "", "ERROR: Unsupported URL: https://a.b/c?sig=1", "your IP address is blocked", "This video is private", "login required; cookie: abc=1", "Video not available"]
-_E = values([(k, e) for k, e in enumerate(ERRORS)], "id", "msg")
+_ERRORS = [(k + 1, e) for k, e in enumerate(ERRORS)]
+_E = f"(SELECT k AS id, CASE WHEN k < 0 THEN msg ELSE msg || ' #' || (k % 1000) || ' https://h.example/' || k || '?key=' || k END AS msg FROM {spread_sql(_ERRORS, 'id', 'msg')} x)"
 
 
 @query(f"""SELECT id::BIGINT AS id, CASE WHEN regexp_matches(lower(msg), 'timeout|etimedout|esockettimedout') THEN 'dependency_timeout' WHEN regexp_matches(lower(msg), '429|rate.?limit|quota|exceeded') THEN 'quota_exhausted'
@@ -175,8 +182,10 @@ _E = values([(k, e) for k, e in enumerate(ERRORS)], "id", "msg")
   WHEN regexp_matches(lower(msg), 'login required|not granting access|empty media response|rate-limit|rate limit') THEN 'BLOCKED' WHEN regexp_matches(lower(msg), 'deleted|not available') THEN 'DELETED' ELSE 'UNKNOWN' END AS code,
   left(regexp_replace(regexp_replace(msg, '(https?://[^\\s?]+)\\?[^\\s]*', '\\1?[redacted]', 'g'), '(?i)(authorization|cookie|set-cookie|x-api-key):\\s*[^\\s]+', '\\1: [redacted]', 'g'), 500) AS scrubbed FROM {_E}""")
 def error_kind(spark, sf_dir):
-    m = F.col("msg")
-    return rows(spark, "id long, msg string", list(enumerate(ERRORS))).select("id", S.error_kind(m).alias("kind"), S.extractor_code(m).alias("code"), U.scrub(m).alias("scrubbed"))
+    """A message for every event."""
+    k, m = F.col("k"), F.col("msg")
+    told = spread(spark, sf_dir, "id long, msg string", _ERRORS).select(k.alias("id"), F.when(k < 0, m).otherwise(F.concat(m, F.lit(" #"), k % 1000, F.lit(" https://h.example/"), k, F.lit("?key="), k)).alias("msg"))
+    return told.select("id", S.error_kind(m).alias("kind"), S.extractor_code(m).alias("code"), U.scrub(m).alias("scrubbed"))
 
 
 _SHARES = f"""SELECT o_orderkey::BIGINT AS pos, concat('U', o_custkey % 150) AS user_id, concat('PL', (o_orderkey * 7) % 700) AS place_id, concat('https://www.tiktok.com/@u', (o_custkey * 3) % 50, '/video/', o_orderkey % 900, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE '/' END) AS url FROM orders"""
@@ -241,9 +250,14 @@ def extract_chain(spark, sf_dir):
 
 @query()
 def extracted_posts(spark, sf_dir):
-    """No oracle: the record has arrays; the tests hold known values against it."""
+    """A tool's record of every post. No oracle: the record has arrays; the tests hold known values against it, and extractor_chain holds records against SQL."""
     payload = '{"title":"T","entries":[{"thumbnail":"a.jpg","description":"d #Tag"},{"thumbnails":[{"url":"b.jpg"}]}],"channel":"c"}'
-    return rows(spark, "id long, body string", [(1, payload), (2, "not json"), (3, "{}")]).select("id", V.post(F.col("body")).alias("p")).select("id", "p.*")
+    known = rows(spark, "id long, body string", [(-1, payload), (-2, "not json"), (-3, "{}")])
+    t, k = F.col("title"), F.col("post_id")
+    first = F.array(F.struct(t.alias("title"), F.concat(F.lit("s"), k, F.lit(".jpg")).alias("thumbnail")), F.struct(t.alias("title"), F.lit(None).cast("string").alias("thumbnail")))
+    record = F.struct(F.when(k % 2 == 0, t).alias("title"), F.when(k % 3 == 0, F.col("description")).alias("description"), F.when(k % 5 == 0, F.lit("up")).alias("uploader"), F.when(k % 2 == 1, first).alias("entries"))
+    every = frame(spark, sf_dir, "posts").select(k.cast("long").alias("id"), F.to_json(record).alias("body"))
+    return every.unionAll(known).select("id", V.post(F.col("body")).alias("p")).select("id", "p.*")
 
 
 @query()

@@ -10,7 +10,7 @@ from ..functions import variant as V
 from ..operators import members as M
 from ..sources import snapshots
 from ..sources.tables import frame
-from .registry import query, rows, values
+from .registry import query, rows, spread, spread_sql, values
 
 
 def typed_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +131,10 @@ def valid_ids(spark, sf_dir):
 PROFILES = [(1, '[{"uid":"a","firstName":"Ann"},{"uid":"b"},{"firstName":"x"},7,{"uid":"a","firstName":"Zoe","photoURL":"p"}]'), (2, '{"a":{}}'), (3, '"x"'), (4, None)]
 
 
-@query(f"""WITH p AS (SELECT id, body::JSON AS j FROM {values(PROFILES, 'id', 'body')}),
+_PROFILES = f"(SELECT k AS id, CASE WHEN k < 0 THEN body ELSE replace(body, 'Ann', 'Ann ' || k % 90) END AS body FROM {spread_sql(PROFILES, 'id', 'body')} x)"
+
+
+@query(f"""WITH p AS (SELECT id, body::JSON AS j FROM {_PROFILES} x),
 e AS (SELECT id, unnest(json_extract(j, '$[*]')) AS x, generate_subscripts(json_extract(j, '$[*]'), 1) AS i FROM p WHERE json_type(j) = 'ARRAY'),
 u AS (SELECT id, x ->> '$.uid' AS uid, coalesce(nullif(x ->> '$.firstName', ''), 'User') AS name, coalesce(x ->> '$.photoURL', '') AS photo, i FROM e WHERE json_type(x) = 'OBJECT' AND coalesce(x ->> '$.uid', '') <> ''),
 l AS (SELECT id, uid, arg_max(name || ':' || photo, i) AS shown FROM u GROUP BY id, uid)
@@ -140,7 +143,9 @@ SELECT p.id::BIGINT AS id, CASE WHEN json_type(j) = 'ARRAY' THEN 'convertedFromA
 def profiles_array_to_map(spark, sf_dir):
     from ..operators.backfill import convert_profiles
 
-    out = convert_profiles(rows(spark, "id long, body string", PROFILES).select("id", F.try_parse_json("body").alias("profiles")))
+    k = F.col("k")
+    body = F.when(k < 0, F.col("body")).otherwise(F.replace("body", F.lit("Ann"), F.concat(F.lit("Ann "), k % 90)))
+    out = convert_profiles(spread(spark, sf_dir, "id long, body string", PROFILES).select(k.alias("id"), F.try_parse_json(body).alias("profiles")))
     shown = F.transform(F.array_sort(F.map_entries("converted")), lambda e: F.concat(e["key"], F.lit("="), e["value"]["firstName"], F.lit(":"), F.coalesce(e["value"]["photo"], F.lit(""))))
     return out.select("id", "outcome", F.array_join(shown, ",").alias("converted"))
 

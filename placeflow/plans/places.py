@@ -15,7 +15,7 @@ from ..operators import enrich as E
 from ..operators import members as M
 from ..sources import lookup
 from ..sources.tables import frame
-from .registry import query, rows, values
+from .registry import query, rows, spread, spread_sql, values
 
 TYPES = [
     (-1, "cafe,bar", None), (-2, "wine_bar", "italian_restaurant"), (-3, "point_of_interest,establishment", "italian_restaurant"), (-4, None, None), (-5, "ethiopian_restaurant", None), (-6, "night_club", None), (-7, "sushi_restaurant,ramen_restaurant", None),
@@ -87,12 +87,19 @@ def location_address(spark, sf_dir):
 PARTS = [(1, "France", "country"), (1, "Paris", "locality"), (1, "Île-de-France", "administrative_area_level_1"), (2, "Tokyo", "administrative_area_level_1"), (2, "Japan", "country"), (3, "Shibuya", "sublocality"), (4, "A", "postal_town"), (4, "B", "locality"), (4, "C1", "country"), (4, "C2", "country")]
 
 
-@query(f"""WITH p AS (SELECT *, row_number() OVER () AS i FROM {values(PARTS, 'id', 'name', 'type')}),
+# parts of every customer's address, in one of the orders above
+_PARTS = f"(SELECT CASE WHEN c.k IS NULL THEN -v.id ELSE c.k END AS id, CASE WHEN c.k IS NULL THEN v.name ELSE v.name || ' ' || (c.k % 50) END AS name, v.type, v.i FROM {values([(i, *p) for i, p in enumerate(PARTS)], 'i', 'id', 'name', 'type')} v LEFT JOIN (SELECT c_custkey AS k, 1 + c_custkey % 4 AS m FROM customer UNION ALL SELECT NULL, unnest([1, 2, 3, 4])) c ON c.m = v.id)"
+
+
+@query(f"""WITH p AS (SELECT * FROM {_PARTS} x),
 g AS (SELECT id, arg_max(name, i) FILTER (type = 'country') AS country, arg_max(name, i) FILTER (type = 'administrative_area_level_1') AS admin, arg_min(name, i) FILTER (type IN ('locality', 'postal_town', 'administrative_area_level_2')) AS town,
   arg_min(name, i) FILTER (type IN ('sublocality', 'sublocality_level_1')) AS district FROM p GROUP BY id)
 SELECT id::BIGINT AS id, country, CASE WHEN town IS NOT NULL THEN admin END AS region, coalesce(town, admin, district) AS city FROM g""")
 def location_components(spark, sf_dir):
-    r = rows(spark, "id long, name string, type string", PARTS).coalesce(1).withColumn("i", F.monotonically_increasing_id())
+    k = F.col("c_custkey").cast("long")
+    known = rows(spark, "i int, m long, name string, type string", [(i, *p) for i, p in enumerate(PARTS)])
+    every = frame(spark, sf_dir, "customer").select(k.alias("id"), (1 + k % 4).alias("m")).join(F.broadcast(known), "m")  # ten rows
+    r = every.select("id", "i", F.concat_ws(" ", "name", F.col("id") % 50).alias("name"), "type").unionAll(known.select(-F.col("m"), "i", "name", "type"))
     parts = r.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "name", "type"))), lambda x: F.struct(x["name"].alias("name"), F.array(x["type"]).alias("types"))).alias("parts"))
     return parts.select("id", G.location_of_parts(F.col("parts")).alias("w")).select("id", "w.*")
 
@@ -219,19 +226,29 @@ def home_location_outcomes(spark, sf_dir):
 PRICES = [(1, '{"start_price":{"units":"10","nanos":5,"currency_code":"EUR"},"end_price":{"units":"20"}}'), (2, '{"end_price":{"units":"abc","nanos":"1000000000","currency_code":"USD"}}'), (3, "{}"), (4, None)]
 
 
+_PRICED = f"(SELECT k AS id, CASE WHEN k < 0 THEN body ELSE replace(body, '20', (k % 500)::VARCHAR) END AS body FROM {spread_sql(PRICES, 'id', 'body')} x)"
+
+
 @query(f"""SELECT id::BIGINT AS id, TRY_CAST(body::JSON->'start_price'->>'units' AS BIGINT) AS start_units, TRY_CAST(body::JSON->'start_price'->>'nanos' AS BIGINT) AS start_nanos, TRY_CAST(body::JSON->'end_price'->>'units' AS BIGINT) AS end_units, TRY_CAST(body::JSON->'end_price'->>'nanos' AS BIGINT) AS end_nanos,
-  coalesce(body::JSON->'start_price'->>'currency_code', body::JSON->'end_price'->>'currency_code') AS currency FROM {values(PRICES, 'id', 'body')}""")
+  coalesce(body::JSON->'start_price'->>'currency_code', body::JSON->'end_price'->>'currency_code') AS currency FROM {_PRICED} p""")
 def price_range(spark, sf_dir):
-    r = rows(spark, "id long, body string", PRICES).select("id", E.price_range(F.try_parse_json("body")).alias("p"))
+    k = F.col("k")
+    body = F.when(k < 0, F.col("body")).otherwise(F.replace("body", F.lit("20"), (k % 500).cast("string")))
+    r = spread(spark, sf_dir, "id long, body string", PRICES).select(k.alias("id"), E.price_range(F.try_parse_json(body)).alias("p"))
     return r.select("id", *[F.col(f"p.{a}{b.title()}").alias(f"{a}_{b}") for a in ("start", "end") for b in ("units", "nanos")], F.col("p.currencyCode").alias("currency"))
 
 
 DETAILS = [(1, '{"serves_beer":true,"live_music":false,"business_status":"OPERATIONAL","payment_options":{"accepts_nfc":true},"editorial_summary":{"text":"t"}}'), (2, "{}"), (3, None)]
 
 
-@query(f"SELECT id::BIGINT AS id, (body::JSON->>'serves_beer')::BOOLEAN AS beer, (body::JSON->>'live_music')::BOOLEAN AS music, (body::JSON->>'restroom')::BOOLEAN AS restroom, body::JSON->>'business_status' AS state, (body::JSON->'payment_options'->>'accepts_nfc')::BOOLEAN AS nfc, coalesce(json_exists(body::JSON, '$.parking_options'), false) AS parking, body::JSON->'editorial_summary'->>'text' AS summary FROM {values(DETAILS, 'id', 'body')}")
+_DETAILED = f"(SELECT k AS id, CASE WHEN k < 0 THEN body ELSE replace(body, 'OPERATIONAL', 'STATE ' || k % 7) END AS body FROM {spread_sql(DETAILS, 'id', 'body')} x)"
+
+
+@query(f"SELECT id::BIGINT AS id, (body::JSON->>'serves_beer')::BOOLEAN AS beer, (body::JSON->>'live_music')::BOOLEAN AS music, (body::JSON->>'restroom')::BOOLEAN AS restroom, body::JSON->>'business_status' AS state, (body::JSON->'payment_options'->>'accepts_nfc')::BOOLEAN AS nfc, coalesce(json_exists(body::JSON, '$.parking_options'), false) AS parking, body::JSON->'editorial_summary'->>'text' AS summary FROM {_DETAILED} p")
 def atmosphere_fields(spark, sf_dir):
-    r = rows(spark, "id long, body string", DETAILS).select("id", E.atmosphere(F.try_parse_json("body")).alias("a"))
+    k = F.col("k")
+    body = F.when(k < 0, F.col("body")).otherwise(F.replace("body", F.lit("OPERATIONAL"), F.concat(F.lit("STATE "), k % 7)))
+    r = spread(spark, sf_dir, "id long, body string", DETAILS).select(k.alias("id"), E.atmosphere(F.try_parse_json(body)).alias("a"))
     return r.select("id", F.col("a.servesBeer").alias("beer"), F.col("a.liveMusic").alias("music"), F.col("a.restroom").alias("restroom"), F.col("a.businessStatus").alias("state"), F.col("a.paymentOptions.acceptsNfc").alias("nfc"), F.col("a.parkingOptions").isNotNull().alias("parking"), F.col("a.editorialSummary.text").alias("summary"))
 
 
@@ -254,11 +271,17 @@ TALLY = [
 _TALLY = ("id", "url_pin", "maps_pin", "maps_existing", "content_pin", "n_new", "n_existing", "n_unresolved", "raced", "fallback", "failed")
 
 
+# a tally of every event: one of those above, with numbers of its own
+_TALLIES = f"(SELECT k AS id, * EXCLUDE (k, n_new, n_unresolved), CASE WHEN k < 0 THEN n_new ELSE (n_new + k // 13) % 3 END AS n_new, CASE WHEN k < 0 THEN n_unresolved ELSE (k // 26) % 2 END AS n_unresolved FROM {spread_sql(TALLY, *_TALLY)} x)"
+
+
 @query(f"""SELECT id::BIGINT AS id, CASE WHEN failed THEN 'failed' WHEN url_pin IS NOT NULL OR maps_existing IS NOT NULL THEN 'duplicate' WHEN maps_pin IS NOT NULL THEN 'complete' WHEN content_pin IS NOT NULL THEN 'duplicate' WHEN n_new > 1 THEN 'needs_selection' WHEN n_new = 1 THEN CASE WHEN raced THEN 'duplicate' ELSE 'complete' END
-  WHEN n_existing > 0 AND n_unresolved = 0 THEN 'duplicate' WHEN fallback = 'new' THEN 'complete' WHEN fallback IS NOT NULL OR n_existing > 0 THEN 'duplicate' ELSE 'failed' END AS status FROM {values(TALLY, *_TALLY)}""")
+  WHEN n_existing > 0 AND n_unresolved = 0 THEN 'duplicate' WHEN fallback = 'new' THEN 'complete' WHEN fallback IS NOT NULL OR n_existing > 0 THEN 'duplicate' ELSE 'failed' END AS status FROM {_TALLIES} t""")
 def enrich_verdict(spark, sf_dir):
     schema = "id long, url_pin string, maps_pin string, maps_existing string, content_pin string, n_new long, n_existing long, n_unresolved long, raced boolean, fallback string, failed boolean"
-    return E.verdicts(rows(spark, schema, TALLY)).select("id", "status")
+    k, every = F.col("k"), spread(spark, sf_dir, schema, TALLY)
+    some = every.withColumn("n_new", F.when(k < 0, F.col("n_new")).otherwise((F.col("n_new") + F.floor(k / 13)) % 3)).withColumn("n_unresolved", F.when(k < 0, F.col("n_unresolved")).otherwise(F.floor(k / 26) % 2))
+    return E.verdicts(some).select(k.alias("id"), "status")
 
 
 @query("""WITH c AS (SELECT o_orderkey AS job, concat('U', o_custkey % 150) AS user_id, concat('name ', o_orderkey % 300) AS q FROM orders), h AS (SELECT concat('name ', p_partkey) AS q, concat('PL', p_partkey) AS place_id FROM part WHERE p_partkey % 3 <> 0)
@@ -274,10 +297,19 @@ ASKED = [(1, "Ippudo "), (2, "Lucali"), (3, "Joe")]
 ANSWERS = [(1, "Lucali", "Brooklyn", "high"), (2, "Ippudo", "NYC", "sure"), (3, "Lucali", "Carroll Gardens", "medium")]
 
 
-@query(f"""SELECT a.pos::BIGINT AS pos, a.name, b.region, CASE WHEN b.confidence IN ('high', 'medium', 'low') THEN b.confidence ELSE 'low' END AS confidence FROM {values(ASKED, 'pos', 'name')} a
-LEFT JOIN (SELECT trim(name) AS n, arg_max(region, pos) AS region, arg_max(confidence, pos) AS confidence FROM {values(ANSWERS, 'pos', 'name', 'region', 'confidence')} GROUP BY 1) b ON b.n = trim(a.name)""")
+# every part's name is asked for; two of three are answered, some twice
+_ASKED = f"(SELECT p_partkey AS pos, CASE WHEN p_partkey % 2 = 0 THEN ' ' ELSE '' END || p_name || ' ' || p_partkey % 700 AS name FROM part UNION ALL SELECT -pos, name FROM {values(ASKED, 'pos', 'name')} x)"
+_ANSWERS = f"(SELECT p_partkey AS pos, p_name || ' ' || p_partkey % 700 AS name, 'Region ' || p_partkey % 11 AS region, CASE p_partkey % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'sure' END AS confidence FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT pos, name, region, confidence FROM {values(ANSWERS, 'pos', 'name', 'region', 'confidence')} x)"
+
+
+@query(f"""SELECT a.pos::BIGINT AS pos, a.name, b.region, CASE WHEN b.confidence IN ('high', 'medium', 'low') THEN b.confidence ELSE 'low' END AS confidence FROM {_ASKED} a
+LEFT JOIN (SELECT trim(name) AS n, arg_max({{'r': region, 'c': confidence}}, pos).r AS region, arg_max({{'r': region, 'c': confidence}}, pos).c AS confidence FROM {_ANSWERS} GROUP BY 1) b ON b.n = trim(a.name)""")
 def infer_regions_align(spark, sf_dir):
-    return lookup.realigned(rows(spark, "pos long, name string", ASKED), rows(spark, "pos long, name string, region string, confidence string", ANSWERS))
+    k = F.col("p_partkey").cast("long")
+    name, parts = F.concat_ws(" ", "p_name", k % 700), frame(spark, sf_dir, "part")
+    asked = parts.select(k.alias("pos"), F.concat(F.when(k % 2 == 0, " ").otherwise(""), name).alias("name")).unionAll(rows(spark, "pos long, name string", [(-p, n) for p, n in ASKED]))
+    answers = parts.filter(k % 3 != 0).select(k.alias("pos"), name.alias("name"), F.concat(F.lit("Region "), k % 11).alias("region"), F.when(k % 4 == 0, "high").when(k % 4 == 1, "medium").when(k % 4 == 2, "sure").alias("confidence"))
+    return lookup.realigned(asked, answers.unionAll(rows(spark, "pos long, name string, region string, confidence string", ANSWERS)))
 
 
 NAMED = [(1, 1, "Café Ôle", "NYC", "", "text"), (1, 2, "cafe ole!", "", "", "text"), (1, 3, "Bar", "", "x", "text"), (2, 1, "??", "", "", "text")]
@@ -286,8 +318,12 @@ SEEN = [(1, 1, "BAR", "Rome"), (1, 2, "Neu", "Bonn")]
 
 @query()
 def candidate_merge(spark, sf_dir):
-    """No oracle: names are compared without accents by Unicode decomposition; the tests hold known values against it."""
-    return E.candidates(rows(spark, "job_id long, pos long, name string, city string, address string, source string", NAMED), rows(spark, "job_id long, pos long, name string, location string", SEEN))
+    """The words of every title as names, and for every other post some of them again from its images. No oracle: names are compared without accents by Unicode decomposition; the tests hold known values against it."""
+    k, words = F.col("post_id").cast("long"), F.split("title", " ")
+    posts = frame(spark, sf_dir, "posts").select(k.alias("job_id"), F.posexplode(words).alias("pos", "name"), F.lit("").alias("city"), F.lit("").alias("address"), F.lit("text").alias("source")).withColumn("pos", F.col("pos").cast("long"))
+    seen = frame(spark, sf_dir, "posts").filter(k % 2 == 0).select(k.alias("job_id"), F.posexplode(F.slice(words, 1, 3)).alias("pos", "name"), F.lit("Rome").alias("location")).withColumns({"pos": F.col("pos").cast("long"), "name": F.upper("name")})
+    known = rows(spark, "job_id long, pos long, name string, city string, address string, source string", [(-r[0], *r[1:]) for r in NAMED])
+    return E.candidates(posts.unionAll(known), seen.unionAll(rows(spark, "job_id long, pos long, name string, location string", [(-r[0], *r[1:]) for r in SEEN])))
 
 
 KEYS = [(-1, "Ippudo"), (-2, "ab"), (-3, " Joe Pizza"), (-4, "")]

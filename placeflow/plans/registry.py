@@ -43,3 +43,25 @@ def values(data: list[tuple], *names: str) -> str:
         return repr(x)
 
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in data)}) AS t({', '.join(names)}))"
+
+
+def spread(spark: SparkSession, sf_dir: str, schema: str, data: list[tuple]) -> DataFrame:
+    """A written-out row for every event, in turn: k (the event's number, at least 0), then the row's columns but the first; and each row once by itself, its first column negated as k."""
+    from pyspark.sql import functions as F
+
+    from ..sources.tables import frame
+
+    some = rows(spark, schema, data)
+    key, *names = some.columns
+    kind = some.schema[key].dataType
+    events = frame(spark, sf_dir, "events").select(F.col("event_id").cast("long").alias("k"))
+    turn = spark.createDataFrame([(i, *r) for i, r in enumerate(data)], f"_turn long, {schema}")
+    every = events.withColumn("_turn", F.col("k") % len(data)).join(F.broadcast(turn), "_turn").select("k", *names)  # a row per branch
+    return every.unionAll(some.select((-F.col(key).cast(kind)).cast("long").alias("k"), *names))
+
+
+def spread_sql(data: list[tuple], *names: str) -> str:
+    """The same rows as SQL, in parentheses."""
+    turn = values([(i, *r[1:]) for i, r in enumerate(data)], "turn", *names[1:])
+    some = ", ".join(names[1:])
+    return f"(SELECT event_id::BIGINT AS k, {some} FROM events JOIN {turn} t ON t.turn = event_id % {len(data)} UNION ALL SELECT -{names[0]}::BIGINT, {some} FROM {values(data, *names)})"
