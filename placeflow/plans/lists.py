@@ -281,3 +281,18 @@ def override_transactions(spark, sf_dir):
     keys = F.array_join(F.transform("changes", lambda o: o["key"]), ",")
     parts = F.array(row("decision", F.concat_ws(" ", "decision", F.coalesce(shown, F.lit("-")))), F.when(F.col("last"), row("member", held, False)), F.when(F.col("event"), row("event", F.concat_ws("|", "pin_owner", "caller", keys))))
     return out.select(F.explode(F.array_compact(parts)).alias("r")).select("r.*")
+
+
+FLAGS = [(1, "true"), (2, "false"), (3, '"x"'), (4, None)]
+
+
+@query(f"""SELECT id, CASE id % 5 WHEN 0 THEN 'created' WHEN 4 THEN 'field_added' WHEN 3 THEN 'left_malformed' ELSE 'no_op' END AS action FROM (SELECT event_id::BIGINT AS id FROM events)
+UNION ALL SELECT -id::BIGINT, CASE WHEN v IS NULL THEN 'field_added' WHEN v IN ('true', 'false') THEN 'no_op' ELSE 'left_malformed' END FROM {values(FLAGS, 'id', 'v')}""")
+def seed_flags(spark, sf_dir):
+    """A flag for every event: four of five have a control row, of each kind."""
+    k = F.col("event_id").cast("long")
+    flags = frame(spark, sf_dir, "events").select(k.alias("flag"))
+    known = rows(spark, "flag long, value string", [(-i, v) for i, v in FLAGS])
+    value = F.when(k % 5 < 3, F.when(k % 5 == 1, "true").otherwise("false")).when(k % 5 == 3, '"x"')
+    stored = frame(spark, sf_dir, "events").filter(k % 5 != 0).select(k.alias("flag"), value.alias("value"))
+    return snapshots.seed_flags(flags.unionAll(known.select("flag")), stored.unionAll(known)).select(F.col("flag").alias("id"), "action")

@@ -193,12 +193,13 @@ def with_id(rows: DataFrame, *columns: str, name: str = "id") -> DataFrame:
     return rows.withColumn(name, F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]), 256))
 
 
-def seed_flag(row: DataFrame, flag: str) -> DataFrame:
-    """What seeding a boolean flag does with the one control row: created, field_added, left_malformed or no_op.
+def seed_flags(flags: DataFrame, stored: DataFrame) -> DataFrame:
+    """What seeding each boolean flag (flag) does: created, field_added, left_malformed or no_op.
 
-    `row` holds the stored value as JSON text in `value` (null: the field is missing), or no row at all.
+    `stored` (flag, value) holds the control rows that are there, with the field's value as JSON text (null: the field is
+    missing); of rows that repeat a flag, one that has a value counts.
     """
-    v = F.try_parse_json("value")
-    action = F.when(F.col("value").isNull(), "field_added").when(F.schema_of_variant(v) == "BOOLEAN", "no_op").otherwise("left_malformed")
-    found = row.agg(F.first(action).alias("found"))
-    return found.select(F.lit(flag).alias("flag"), F.coalesce("found", F.lit("created")).alias("action"))
+    held = stored.groupBy("flag").agg(F.max("value").alias("_value"), F.lit(True).alias("_there"))
+    v = F.try_parse_json("_value")
+    action = F.when(F.col("_there").isNull(), "created").when(F.col("_value").isNull(), "field_added").when(F.schema_of_variant(v) == "BOOLEAN", "no_op").otherwise("left_malformed")
+    return flags.select("flag").distinct().join(held, "flag", "left").select("flag", action.alias("action"))
