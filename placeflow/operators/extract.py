@@ -126,13 +126,14 @@ def extract(links: DataFrame, captures: DataFrame, redirects: DataFrame) -> tupl
 def described(jobs: DataFrame, posts: DataFrame) -> DataFrame:
     """Jobs (job_id, url, caption) with their post's card: a caption stands in for a post's empty description, and is added to that of a page's tags.
 
-    A link without a post (null) has empty fields. Columns: those of jobs, canonical, via, post, title, description, image, site.
+    Posts (url, canonical, via, title, description, site) are those of extract: what a page's tags or nothing gave isn't a post.
+    A link without a row has empty fields. Columns: those of jobs and of posts.
     """
     j = jobs.join(posts, "url", "left")
     text, said = F.coalesce("description", F.lit("")), F.coalesce("caption", F.lit(""))
     added = X.trim(F.concat(text, F.lit("\n"), said))
-    shown = F.when(F.col("post").isNotNull(), F.coalesce(F.nullif(text, F.lit("")), said)).when(said != "", added).otherwise(text)
-    blank = {c: F.coalesce(c, F.lit("")) for c in ("title", "image", "site")}
+    shown = F.when(F.coalesce(F.col("via") != "tags", F.lit(False)), F.coalesce(F.nullif(text, F.lit("")), said)).when(said != "", added).otherwise(text)
+    blank = {c: F.coalesce(c, F.lit("")) for c in ("title", "image", "site") if c in posts.columns}
     return j.withColumns({"canonical": F.coalesce("canonical", "url"), "description": shown, **blank})
 
 
