@@ -16,6 +16,7 @@ from ..sources.snapshots import Store, with_id
 from ..sources.tables import frame, sql
 from ..streaming import caching as C
 from ..streaming import feed as D
+from ..streaming import outbox as O
 from .places import _CATEGORY
 from .registry import query
 
@@ -153,3 +154,28 @@ def paged_refresh(spark, sf_dir):
     derive = lambda rows: B.refresh_details(rows, details).join(names, "place_id", "left").withColumn("new_version", F.lit(4).cast("long"))
     backfill(store, "pins", "mealTypes", derive, {"enrichment_version": "new_version", "place_name": "new_name"}, ["place_id", "enrichment_version"], lambda: datetime(2024, 1, 1), size=2)
     return store.read("pins").select("pin_id", "enrichment_version", "place_name")
+
+
+_VERDICTS = "SELECT job_id, user_id, status, CASE WHEN k % 2 = 0 THEN 'Joe' END AS place_name, concat('P', k) AS pin_id, k % 3 = 0 AS source_added, k FROM (SELECT *, CAST(substring(job_id, 2) AS BIGINT) AS k FROM <jobs>) x"
+_TOKENS = "SELECT user_id, CASE n % 5 WHEN 0 THEN 'wrong' WHEN 1 THEN '' ELSE concat('ExponentPushToken[', user_id, ']') END AS token, n FROM (SELECT user_id, CAST(substring(user_id, 2) AS BIGINT) AS n FROM <users>) x WHERE n % 7 <> 3"
+
+
+@query(f"""SELECT job_id, status AS told, CASE WHEN coalesce(t.n % 5, 0) < 2 THEN 'no_token' WHEN k % 4 = 0 THEN 'dispatch_failed' WHEN k % 4 = 1 THEN 'ticket_error' ELSE 'sent' END AS status,
+  CASE WHEN coalesce(t.n % 5, 0) < 2 THEN CASE WHEN token <> '' THEN 'Invalid token format' END WHEN k % 4 = 0 THEN CASE WHEN k % 8 = 0 THEN 'ECONNREFUSED' ELSE 'no answer' END WHEN k % 4 = 1 THEN CASE WHEN k % 8 = 1 THEN 'DeviceNotRegistered' ELSE 'too big' END END AS error, coalesce(token, '') <> '' AS token_present
+FROM ({_VERDICTS}) v LEFT JOIN ({_TOKENS}) t ON t.user_id = v.user_id WHERE status IN ('complete', 'duplicate', 'failed')""")
+def push_deliveries(spark, sf_dir):
+    """The message of every finished job, written to the outbox in two parts, of which the second repeats some of the first, and drained in two runs."""
+    store, root = _store(spark), f"{shared_dir(spark)}/placeflow-{uuid.uuid4().hex}"
+    verdicts = sql(spark, sf_dir, _VERDICTS)
+
+    def provider(asked):
+        k = F.substring("job_id", 2, 20).cast("long")
+        error = F.when(k % 8 == 1, '{"status":"error","message":"m","details":{"error":"DeviceNotRegistered"}}').otherwise('{"status":"error","message":"too big"}')
+        answer = F.concat(F.lit('[{"status":"ok"}'), F.when(k % 4 == 1, F.concat(F.lit(","), error)).otherwise(""), F.lit("]"))
+        return asked.filter(k % 8 != 4).select("message_id", F.when(k % 4 != 0, answer).alias("answer"), F.when(k % 4 == 0, "ECONNREFUSED").alias("error"))
+
+    for test in (F.col("k") % 3 < 2, F.col("k") % 3 > 0):
+        O.messages(verdicts.filter(test)).write.mode("append").parquet(f"{root}/outbox")
+        O.drain(store, f"{root}/outbox", sql(spark, sf_dir, _TOKENS), provider, f"{root}/checkpoint").awaitTermination()
+    told = O.messages(verdicts).select("message_id", F.col("status").alias("told"))
+    return store.read("deliveries").join(told, "message_id").select("job_id", "told", "status", "error", "token_present")
