@@ -1,6 +1,6 @@
 """The library's queries, with an independent DuckDB query for each that SQL can express."""
 
-from . import extracting, flow, jobs, links, lists, near, payloads, places, stored
+from . import answers, extracting, flow, jobs, links, lists, near, payloads, places, stored
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "extracting", "flow", "jobs", "links", "lists", "near", "payloads", "places", "stored"]
+__all__ = ["ORACLE", "QUERIES", "answers", "extracting", "flow", "jobs", "links", "lists", "near", "payloads", "places", "stored"]

@@ -51,3 +51,23 @@ def test_many_jobs_share_a_link(spark):
 def test_empty(spark):
     posts, failures, got, failed = run(spark, [], [])
     assert got == {} and failed == [] and posts.columns == ["url", "canonical", "via", "post", "title", "description", "image", "site"]
+
+
+def test_faults(spark):
+    from placeflow.operators import replies as R
+
+    bodies = [None, "{}", '{"types":null,"rating":5}', "null", "7", "{", '{"rating":"x"}', '{"types":["a"],"address_components":{}}', ""]
+    got = [r.e for r in spark.createDataFrame([(b,) for b in bodies], "b string").select(R.fault(F.col("b")).alias("e")).collect()]
+    assert got == [None, None, None, "details is null, not object", "details is number, not object", "details is not JSON: {", "details.rating is string, not number", "details.address_components is object, not array", "details is not JSON: "]
+    verdicts = spark.createDataFrame([("a", "complete", "p1"), ("b", "complete", "p2"), ("c", "duplicate", "p1"), ("d", "complete", None), ("e", "complete", "gone")], "job_id string, status string, place_id string")
+    payloads = spark.createDataFrame([("p1", "["), ("p1", "{}"), ("p1", "7"), ("p2", "{}"), (None, "[")], "place_id string, body string")
+    out = {r.job_id: (r.status, r.place_id, r.error) for r in R.fail_faulty(verdicts, payloads).collect()}
+    assert out == {"a": ("failed", None, "details is not JSON: ["), "b": ("complete", "p2", None), "c": ("duplicate", "p1", None), "d": ("complete", None, None), "e": ("complete", "gone", None)}
+
+
+def test_replies(spark):
+    from placeflow.operators import replies as R
+
+    rows = [("a", 'x {"places":["A","A",{"name":""},{"name":"B","region":"r"}]} y'), ("b", None), ("c", "[1]"), ("d", '{"places":{}}'), ("e", ""), ("f", "```\n{\"places\":[]}\n```")]
+    got = sorted((r.job_id, r.pos, r.name, r.location, r.siblings) for r in R.reply_places(spark.createDataFrame(rows, "job_id string, reply string")).collect())
+    assert got == [("a", 1, "A", "", ["A", "B"]), ("a", 2, "A", "", ["A", "B"]), ("a", 4, "B", "r", ["A"])]
