@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 BINS = 8  # of each unit of the logarithm of a p-value
+PART = 256  # items of a text that are worked on together
 
 # fixed values: the base patterns, and the least length of what each must hold
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -66,21 +67,57 @@ def model(encoding: str) -> dict[str, float]:
     return {"k": float(len(alphabet)), "squares": sum(x**2 for x in q), "cubes": sum(x**3 for x in q), "change": change, "turns": turns, "serial": serial}
 
 
+def _once(value: Column, f) -> Column:
+    """f of a value that is worked out once for all its uses."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _parts(items: Column, f) -> Column:
+    """f of each PART items of an array in order, as an array: work that grows with the square of an array's length stays within a part."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(items) - 1) / PART).cast("int"))), lambda k: _once(F.slice(items, k * PART + 1, F.lit(PART)), f))
+
+
 def _spans(text: Column, pattern: str) -> Column:
     """array<struct<s, e, value>> of a pattern's leftmost non-overlapping matches, in code points.
 
-    A split at the matches leaves what lies between them, so running sums of lengths give the places.
+    A split at the matches leaves what lies between them, so running sums of lengths give the places; of many matches, the
+    sums of parts come first.
     """
-    found, between = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), F.split(text, pattern, -1)
-    pairs = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s:int,e:int,value:string>>)").alias("out"))
+    none = F.expr("cast(array() as array<struct<s:int,e:int,value:string>>)")
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["gap"])
         e = s + F.length(x["value"])
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["value"].alias("value")))).alias("out"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def from_(at: Column, pairs: Column) -> Column:
+        return F.aggregate(pairs, F.struct(at.cast("int").alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def long(pairs: Column) -> Column:
+        sums = _parts(pairs, lambda p: F.aggregate(p, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["value"])))
+        starts = F.aggregate(sums, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        parts = _parts(pairs, lambda p: p)
+        return _once(F.struct(starts.alias("at"), parts.alias("p")), lambda x: F.flatten(F.transform(x["p"], lambda p, k: from_(F.get(x["at"], k), p))))
+
+    found = F.struct(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("value"), F.split(text, pattern, -1).alias("gap"))
+    pairs = _once(found, lambda x: F.arrays_zip(F.slice(x["gap"], 1, F.size(x["value"])).alias("gap"), x["value"].alias("value")))
+    return _once(pairs, lambda p: F.when(F.size(p) <= PART, from_(F.lit(0), p)).otherwise(long(p)))
+
+
+def _clear(tokens: Column, base: Column) -> Column:
+    """The tokens that touch no base span; both are in order of their starts, so the tokens of a part meet the spans near them alone."""
+    touches = lambda t, spans: F.exists(spans, lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"]))
+
+    def part(p: Column, spans: Column) -> Column:
+        ends = F.struct(F.element_at(p, 1)["s"].alias("s"), F.element_at(p, -1)["e"].alias("e"))
+        near = _once(ends, lambda x: F.filter(spans, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+        return _once(near, lambda n: F.filter(p, lambda t: ~touches(t, n)))
+
+    def long(x: Column) -> Column:
+        return F.flatten(_parts(x["t"], lambda p: part(p, x["b"])))
+
+    few = F.filter(tokens, lambda t: ~touches(t, base))
+    return F.when((F.size(tokens) <= PART) | (F.size(base) == 0), few).otherwise(_once(F.struct(tokens.alias("t"), base.alias("b")), long))
 
 
 def _found(text: Column, pattern: str, seen: str | None = None) -> Column:
@@ -173,8 +210,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha:
     base = F.concat(*[F.transform(v, named(k, o)) for o, (k, v) in enumerate(kinds.items())])
     tokens = F.when(F.col("text").rlike(TOKEN), _spans(F.col("text"), TOKEN)).otherwise(none)
     rows = rows.select("id", F.array_sort(base).alias("base"), tokens.alias("tokens"), *own)
-    clear = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
-    rows = rows.select("id", "base", F.transform(clear, lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), battery(t["value"]).alias("b"))).alias("tokens"), *own)
+    rows = rows.select("id", "base", F.transform(_clear(F.col("tokens"), F.col("base")), lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), battery(t["value"]).alias("b"))).alias("tokens"), *own)
     rows = scratch.save(rows)
     bin_ = lambda p: F.least(F.lit(1023), F.floor(-F.log(F.greatest(F.coalesce(p, F.lit(1.0)), F.lit(1e-300))) * BINS)).cast("int")
     counts = dict(rows.select(F.explode("tokens").alias("t")).groupBy(bin_(F.col("t.b.p_text")).alias("bin")).count().collect())  # at most 1024 rows
@@ -200,13 +236,38 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each stretch covered by spans (s, e; any order, overlaps count once) replaced by the mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with each stretch covered by spans (s, e; any order, overlaps and touching ones count once) replaced by the mark.
 
-    def step(acc: Column, x: Column) -> Column:
-        between = text.substr(acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))
-        more = F.when((x["s"] >= acc["at"]) & ((x["s"] > acc["at"]) | (acc["out"] == "")), F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), more.alias("out"))
+    Of many spans, each part is cut from its own piece of the text.
+    """
+
+    def cut(t: Column, first: Column, at: Column, some: Column) -> Column:
+        """The text t, which begins at place `first`, up to the end of its last span; what lies before `at` is gone already."""
+
+        def step(acc: Column, x: Column) -> Column:
+            begin = F.greatest(acc["at"], first)
+            between = t.substr(begin - first + 1, F.greatest(x["s"] - begin, F.lit(0)))
+            more = F.when(x["s"] > acc["at"], F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"])
+            return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), more.alias("out"))
+
+        return F.aggregate(some, F.struct(at.cast("int").alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"])
+
+    last = lambda some: F.aggregate(some, F.lit(-1), lambda n, x: F.greatest(n, x["e"]))
+    rest = lambda at: text.substr(F.greatest(at, F.lit(0)) + 1, F.length(text))
+
+    def long(some: Column) -> Column:
+        ends = F.aggregate(_parts(some, last), F.array(F.lit(-1)), lambda acc, n: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), n))))
+
+        def joined(x: Column) -> Column:
+            def piece(p: Column, k: Column) -> Column:
+                y = F.struct(F.get(x["ends"], k).alias("at"), F.greatest(F.get(x["ends"], k), F.lit(0)).alias("first"), F.get(x["ends"], k + 1).alias("end"))
+                y = _once(y, lambda y: F.struct(y["at"].alias("at"), y["first"].alias("first"), text.substr(y["first"] + 1, y["end"] - y["first"]).alias("t")))
+                return _once(y, lambda y: cut(y["t"], y["first"], y["at"], p))
+
+            return F.concat(F.array_join(F.transform(x["p"], piece), ""), rest(F.element_at(x["ends"], -1)))
+
+        return _once(F.struct(ends.alias("ends"), _parts(some, lambda p: p).alias("p")), joined)
 
-    end = lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))), start, step, end)).otherwise(text)
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+    short = lambda o: F.concat(cut(text, F.lit(0), F.lit(-1), o), rest(last(o)))
+    return F.when(F.size(spans) > 0, _once(ordered, lambda o: F.when(F.size(o) <= PART, short(o)).otherwise(long(o)))).otherwise(text)
