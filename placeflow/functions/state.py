@@ -126,6 +126,7 @@ def unfreeze(holder: Column) -> Column:
     return F.when(holder.isNotNull(), "in_progress").otherwise("unfrozen")
 
 
+# fixed values: the types, titles and texts of the messages
 def push_message(status: Column, added: Column, name: Column) -> Column:
     """struct(type, title, body) of a finished job's message; null for other states."""
     named = F.nullif(name, F.lit(""))

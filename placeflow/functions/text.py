@@ -61,6 +61,7 @@ def decoded(text: Column) -> Column:
     return out
 
 
+# fixed values: the patterns below say what counts as such a part of a caption
 def cleaned(text: Column) -> Column:
     """A caption without emoji, tags, handles, links, app names and like counts."""
     steps = (
@@ -98,6 +99,7 @@ def hashtags(text: Column) -> Column:
     return F.array_distinct(F.transform(raw, F.lower))
 
 
+# fixed values: the patterns below say what counts as such a part of a caption
 def pin_marker(text: Column) -> Column:
     """The name after a pin mark, cut where an address begins (past its fourth character); null under two characters."""
     name = F.regexp_extract(text, r"📍\s*([^\n]{2,120})", 1)
@@ -111,6 +113,7 @@ def pin_marker(text: Column) -> Column:
     return F.when(F.length(cut) >= 2, cut)
 
 
+# fixed values: the patterns below say what counts as such a part of a caption
 def place_signals(text: Column) -> Column:
     """array<struct<priority, name>>: quoted names (2), names after at, in or @ (3), pairs of capitalised words (4)."""
     as_ = lambda p, names: F.transform(names, lambda n: F.struct(F.lit(p).alias("priority"), n.alias("name")))
@@ -126,6 +129,7 @@ def best_signal(signals: Column) -> Column:
     return F.get(F.array_sort(keyed), F.lit(0))["name"]
 
 
+# fixed values: the patterns below say what counts as such a part of a caption
 def places_named(text: Column) -> Column:
     """Neighbourhoods, street addresses and City, ST in a text, in this order."""
     area = rf"(?i){_IN}({'|'.join(AREAS)}){_OUT}"
@@ -196,6 +200,7 @@ def unescaped(text: Column) -> Column:
     return F.coalesce(F.get(F.from_json(F.concat(F.lit('["'), text, F.lit('"]')), "array<string>"), F.lit(0)), by_hand)
 
 
+# fixed values: the patterns below say what counts as such a part of a caption
 def caption(description: Column) -> Column:
     """The quoted caption after an engagement prefix, else the whole."""
     got = F.regexp_extract(description, r'(?s):\s*"(.*)"\s*\.?\s*$', 1)

@@ -66,6 +66,7 @@ def cache_form(url: Column) -> Column:
     return F.when(valid(url), F.concat(_origin(url), _rest(url, CACHE_PARAMS))).otherwise(url)
 
 
+# fixed values: the patterns below are the forms of these platforms' links
 def content_id(url: Column) -> Column:
     """platform:id of a video, photo or post link, else null."""
     found = lambda name, pattern: F.concat(F.lit(f"{name}:"), F.nullif(F.regexp_extract(url, pattern, 1), F.lit("")))
@@ -85,6 +86,7 @@ def _decoded(text: Column) -> Column:
     return F.replace(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), F.lit("+"), F.lit(" "))
 
 
+# fixed values: the patterns below are the forms of these platforms' links
 def maps_place(url: Column) -> Column:
     """struct(name, lat, lng) of a maps link, else null. A coordinate of exactly 0 counts as missing."""
     got = lambda pattern, k=1: F.nullif(F.regexp_extract(url, pattern, k), F.lit(""))
@@ -99,6 +101,7 @@ def feature_id(url: Column) -> Column:
     return F.nullif(F.regexp_extract(url, r"!1s(0x[0-9a-fA-F]+:0x[0-9a-fA-F]+)", 1), F.lit(""))
 
 
+# fixed values: the patterns below are the forms of these platforms' links
 def shortcode(url: Column) -> Column:
     return F.nullif(F.regexp_extract(url, r"(?i)instagram\.com/(?:[A-Za-z0-9_.]+/)?(?:p|reel)/([A-Za-z0-9_-]+)", 1), F.lit(""))
 
@@ -107,6 +110,7 @@ def uploader(url: Column) -> Column:
     return F.regexp_extract(url, r"(?i)instagram\.com/([A-Za-z0-9_.]+)/reel/", 1)
 
 
+# fixed values: the patterns below are the forms of these platforms' links
 def link_kind(url: Column) -> Column:
     """Which extractor a link goes to: photo, post, reel, social or page."""
     user = r"(?i)instagram\.com/(?:[A-Za-z0-9_.]+/)?"
