@@ -14,7 +14,8 @@ NOW = "2024-01-15 00:00:00"
 
 @query(f"SELECT job_id, 'failed' AS status, 'timeout' AS failure_reason FROM <jobs> WHERE status = 'processing' AND (created_at + INTERVAL (value::INT) MINUTE < TIMESTAMP '{NOW}' - INTERVAL 2 MINUTE OR created_at < TIMESTAMP '{NOW}' - INTERVAL 30 MINUTE)")
 def job_sweep(spark, sf_dir):
-    jobs = frame(spark, sf_dir, "jobs").withColumn("updated_at", F.col("created_at") + F.make_dt_interval(mins=F.col("value").cast("int")))
+    # the SQL's cast rounds, half to even
+    jobs = frame(spark, sf_dir, "jobs").withColumn("updated_at", F.col("created_at") + F.make_dt_interval(mins=F.rint("value").cast("int")))
     return J.sweep(jobs, F.lit(NOW).cast("timestamp_ntz"))
 
 
