@@ -25,32 +25,32 @@ def parsed(text: Column) -> Column:
 
 def kind(v: Column) -> Column:
     """array, object, string, number, boolean or null of a variant; 'absent' where it is missing."""
-    s = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull(), "absent").when(s == "VOID", "null").when(s.startswith("ARRAY"), "array").when(s.startswith("OBJECT"), "object")
-        .when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").otherwise("number")
-    )
+    # one look at the schema: branches would work it out again each
+    names = F.create_map(*[F.lit(x) for pair in (("", "absent"), ("VOID", "null"), ("ARRAY", "array"), ("OBJECT", "object"), ("STRING", "string"), ("BOOLEAN", "boolean")) for x in pair])
+    return F.coalesce(F.try_element_at(names, F.coalesce(F.substring_index(F.schema_of_variant(v), "<", 1), F.lit(""))), F.lit("number"))
 
 
 def items(v: Column) -> Column:
     """A variant array's items, null where it is none."""
-    return F.when(kind(v) == "array", F.try_variant_get(v, "$", "array<variant>"))
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
 def text_of(v: Column) -> Column:
     """A variant's string, null where it is none."""
-    return F.when(kind(v) == "string", F.try_variant_get(v, "$", "string"))
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
 def string_array(v: Column, most: int = 5000) -> Column:
     """absent, malformed (no array, too long, or any item not a string with characters) or authoritative."""
-    bad = F.exists(items(v), lambda x: F.coalesce(text_of(x), F.lit("")) == "")
-    return F.when(v.isNull(), "absent").when((kind(v) != "array") | (F.size(items(v)) > most) | bad, "malformed").otherwise("authoritative")
+    # an array of strings and nulls, or without an item of any kind; contains is null where an item is
+    given = F.try_variant_get(v, "$", "array<string>")
+    bad = F.coalesce(F.array_contains(given, ""), F.lit(True)) | ~F.schema_of_variant(v).isin("ARRAY<STRING>", "ARRAY<VOID>") | (F.size(given) > most)
+    return F.when(v.isNull(), "absent").when(bad, "malformed").otherwise("authoritative")
 
 
 def strings(v: Column) -> Column:
     """The strings of an authoritative array, else an empty one."""
-    return F.when(string_array(v) == "authoritative", F.transform(items(v), text_of)).otherwise(F.array().cast("array<string>"))
+    return F.when(string_array(v) == "authoritative", F.try_variant_get(v, "$", "array<string>")).otherwise(F.array().cast("array<string>"))
 
 
 def list_id(v: Column) -> Column:
@@ -82,12 +82,24 @@ def profile_outcome(v: Column) -> Column:
 
 def fields(v: Column) -> Column:
     """A variant object's fields as map<string, variant>, null where it is none."""
-    return F.when(kind(v) == "object", F.try_variant_get(v, "$", "map<string,variant>"))
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def override_value(key: str, v: Column) -> Column:
+    """What an override of an editable key stores for a variant: one of the categories, or a name as it is shown; else null."""
+    text = text_of(v)
+    return F.when(text.isin(*CATEGORIES), text) if key == "category" else display_name(text)
+
+
+def _others(given: Column) -> Column:
+    """A map's keys that aren't editable."""
+    return F.array_except(F.map_keys(given), F.array(*map(F.lit, EDITABLE)))
 
 
-def override_value(key: Column, v: Column) -> Column:
-    """What an override of a key stores for a variant: one of the categories, or a name as it is shown; else null."""
-    return F.when(key == "category", F.when(text_of(v).isin(*CATEGORIES), text_of(v))).when(key.isin(*EDITABLE), display_name(text_of(v)))
+def chosen(*options: tuple[Column, Column]) -> Column:
+    """Of (test, edit) the edits whose test holds, as an array; unlike array_compact its parts are compiled."""
+    none = F.array().cast("array<struct<key:string,op:string,value:string>>")
+    return F.concat(*[F.when(test, F.array(edit)).otherwise(none) for test, edit in options])
 
 
 def edits(body: Column) -> Column:
@@ -95,41 +107,49 @@ def edits(body: Column) -> Column:
 
     A key that isn't editable, a value that can't be stored, and a body that is no object are rejected.
     """
-    known, given = F.array(*map(F.lit, EDITABLE)), fields(body)
-    keys = F.array_sort(F.map_keys(given))
-    ordered = F.concat(F.filter(known, lambda k: F.array_contains(keys, k)), F.filter(keys, lambda k: ~F.array_contains(known, k)))
+    given = fields(body)
+    edit = lambda key, op, value: F.struct(key.alias("key"), op.alias("op"), value.cast("string").alias("value"))
 
-    def one(key: Column) -> Column:
-        v = F.element_at(given, key)
-        value = override_value(key, v)
+    # a column a key: functions in arrays would look at the same value again for each use
+    def one(key: str) -> tuple[Column, Column]:
+        v = F.try_element_at(given, F.lit(key))
+        value, shape = override_value(key, v), F.schema_of_variant(v)
         # a JSON null may come out of a map as no variant at all
-        gone = F.array_contains(known, key) & (v.isNull() | (kind(v) == "null"))
-        return F.struct(key.alias("key"), F.when(gone, "delete").when(value.isNotNull(), "set").otherwise("reject").alias("op"), value.alias("value"))
+        op = F.when(shape.isNull() | (shape == "VOID"), "delete").when(value.isNotNull(), "set").otherwise("reject")
+        return F.map_contains_key(given, F.lit(key)), edit(F.lit(key), op, value)
 
-    none = F.struct(F.lit("").alias("key"), F.lit("reject").alias("op"), F.lit(None).cast("string").alias("value"))
-    return F.when(given.isNotNull(), F.transform(ordered, one)).otherwise(F.array(none))
+    rest = F.transform(F.sort_array(_others(given)), lambda k: edit(k, F.lit("reject"), F.lit(None)))
+    none = F.array(edit(F.lit(""), F.lit("reject"), F.lit(None)))
+    return F.when(given.isNull(), none).otherwise(F.concat(chosen(*map(one, EDITABLE)), rest))
 
 
 def effective(ops: Column, stored: Column) -> Column:
-    """Of edits, those that change what is stored (variant): a set to another value, a delete of what is there."""
+    """Of edits of editable keys, those that change what is stored (variant): a set to another value, a delete of what is there."""
     given = F.coalesce(fields(stored), F.create_map().cast("map<string,variant>"))
-    now = lambda o: text_of(F.try_element_at(given, o["key"]))
-    return F.filter(ops, lambda o: ((o["op"] == "set") & ~o["value"].eqNullSafe(now(o))) | ((o["op"] == "delete") & F.map_contains_key(given, o["key"])))
+
+    def one(key: str) -> tuple[Column, Column]:
+        o, k = edit_of(ops, key), F.lit(key)
+        return ((o["op"] == "set") & ~o["value"].eqNullSafe(text_of(F.try_element_at(given, k)))) | ((o["op"] == "delete") & F.map_contains_key(given, k)), o
+
+    return chosen(*map(one, EDITABLE))
+
+
+def edit_of(ops: Column, key: str) -> Column:
+    """The edit of a key, null where there is none."""
+    return F.try_element_at(ops, F.nullif(F.array_position(ops["key"], key), F.lit(0)).cast("int"))
 
 
 def first_bad_key(stored: Column, ops: Column) -> Column:
     """The first stored key (variant) that no edit touches and that isn't editable or holds what an edit couldn't set; '' if it is there but no object; null if all is fine."""
-    given = fields(stored)
-    rest = F.filter(F.array_sort(F.map_keys(given)), lambda k: ~F.exists(ops, lambda o: o["key"] == k))
-    bad = F.get(F.filter(rest, lambda k: override_value(k, F.element_at(given, k)).isNull()), F.lit(0))
-    return F.when(stored.isNotNull(), F.when(given.isNull(), F.lit("")).otherwise(bad))
+    return F.when(stored.isNotNull(), F.when(fields(stored).isNull(), F.lit("")).otherwise(F.get(F.sort_array(F.array_except(bad_keys(stored), ops["key"])), F.lit(0))))
 
 
 def bad_keys(stored: Column) -> Column:
     """All stored keys (variant) that aren't editable or hold what an edit couldn't set; none where nothing is stored, null where it is no object."""
     given = fields(stored)
-    bad = F.filter(F.map_keys(given), lambda k: override_value(k, F.element_at(given, k)).isNull())
-    return F.when(stored.isNull(), F.array().cast("array<string>")).when(given.isNotNull(), bad)
+    none = F.array().cast("array<string>")
+    bad = [F.when(F.map_contains_key(given, F.lit(k)) & override_value(k, F.try_element_at(given, F.lit(k))).isNull(), F.array(F.lit(k))).otherwise(none) for k in EDITABLE]
+    return F.when(stored.isNull(), none).when(given.isNotNull(), F.concat(*bad, _others(given)))
 
 
 def place_item(v: Column) -> Column:
