@@ -124,7 +124,7 @@ def overrides(requests: DataFrame) -> DataFrame:
     """
     ops = V.edits(F.col("body"))
     out = requests.withColumn("ops", ops)
-    before = (F.size("ops") == 0) | F.exists("ops", lambda o: o["op"] == "reject")
+    before = (F.size("ops") == 0) | F.array_contains(F.col("ops.op"), "reject")
     bad_id, *rest = _common(out, "404:no_member")
     steps = [bad_id, (before, "400:bad_body"), *rest, (V.first_bad_key(F.col("stored"), F.col("ops")).isNotNull(), "409:bad_stored")]
     out = out.withColumn("decision", ladder(*steps)).withColumn("changes", F.when(F.col("decision") == "ok", V.effective(F.col("ops"), F.col("stored"))))
@@ -189,30 +189,36 @@ def override_outcomes(requests: DataFrame) -> DataFrame:
     """
     c = F.col
     out = requests.withColumn("ops", V.edits(c("body")))
-    refused = (F.size("ops") == 0) | F.exists("ops", lambda o: o["op"] == "reject")
+    refused = (F.size("ops") == 0) | F.array_contains(F.col("ops.op"), "reject")
     bad_id, *rest = _common(out, "404:no_member")
     out = out.withColumn("decision", ladder(bad_id, (refused, "400:bad_body"), *rest))
     member = Window.partitionBy("list_id", "pin_id")
     order = member.orderBy("pos")
-    covers = F.coalesce(F.size(F.array_except(V.bad_keys(c("stored")), F.transform("ops", lambda o: o["key"]))) == 0, F.lit(False))
+    covers = F.coalesce(F.size(F.array_except(V.bad_keys(c("stored")), c("ops.key"))) == 0, F.lit(False))
     mended = F.max((c("decision") == "ok") & covers).over(order.rowsBetween(Window.unboundedPreceding, 0))
     out = out.withColumn("_mended", mended).withColumn("decision", F.when((c("decision") == "ok") & ~c("_mended"), "409:bad_stored").otherwise(c("decision")))
-    edit = lambda k: F.get(F.filter("ops", lambda o: o["key"] == k), F.lit(0))
-    out = out.withColumns({f"_mine_{k}": F.when(c("decision") == "ok", edit(k)) for k in V.EDITABLE})
+    out = out.withColumns({f"_mine_{k}": F.when(c("decision") == "ok", V.edit_of(c("ops"), k)) for k in V.EDITABLE})
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     out = out.withColumns({f"_was_{k}": F.last(f"_mine_{k}", ignorenulls=True).over(before) for k in V.EDITABLE})
     given = F.coalesce(V.fields(c("stored")), F.create_map().cast("map<string,variant>"))
 
-    def change(k: str) -> Column:
+    def change(k: str) -> tuple[Column, Column]:
         o, was = c(f"_mine_{k}"), c(f"_was_{k}")
         there = F.when(was.isNotNull(), was["op"] == "set").otherwise(F.map_contains_key(given, F.lit(k)))
         value = F.when(was.isNotNull(), was["value"]).otherwise(V.text_of(F.try_element_at(given, F.lit(k))))
-        return F.when(((o["op"] == "set") & ~o["value"].eqNullSafe(value)) | ((o["op"] == "delete") & there), o)
+        return ((o["op"] == "set") & ~o["value"].eqNullSafe(value)) | ((o["op"] == "delete") & there), o
 
-    out = out.withColumn("changes", F.when(c("decision") == "ok", F.array_compact(F.array(*[change(k) for k in V.EDITABLE]))))
+    out = out.withColumn("changes", F.when(c("decision") == "ok", V.chosen(*map(change, V.EDITABLE))))
     out = out.withColumn("decision", F.when((c("decision") == "ok") & (F.size("changes") == 0), "ok:unchanged").otherwise(c("decision")))
-    edits = F.array_compact(F.array(*[F.coalesce(f"_mine_{k}", f"_was_{k}") for k in V.EDITABLE]))
-    out = out.withColumn("overrides", F.when(c("decision") == "ok", patched(c("stored"), edits)))
+
+    # what an ok request finds stored has editable keys alone: any other key is one that no edit touches
+    def held(k: str) -> Column:
+        now = F.coalesce(f"_mine_{k}", f"_was_{k}")
+        there = F.when(now.isNotNull(), now["op"] == "set").otherwise(F.map_contains_key(given, F.lit(k)))
+        value = F.when(now.isNotNull(), now["value"]).otherwise(V.text_of(F.try_element_at(given, F.lit(k))))
+        return F.when(there, F.array(F.struct(F.lit(k).alias("key"), value.alias("value")))).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
+
+    out = out.withColumn("overrides", F.when(c("decision") == "ok", F.map_from_entries(F.concat(*map(held, V.EDITABLE)))))
     out = out.withColumn("last", (c("decision") == "ok") & (c("pos") == F.max(F.when(c("decision") == "ok", c("pos"))).over(member)))
     out = out.withColumn("event", (c("decision") == "ok") & (c("member_owner") != c("caller")))
     return out.drop("ops", "_mended", *[f"_{x}_{k}" for x in ("mine", "was") for k in V.EDITABLE])

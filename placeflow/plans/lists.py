@@ -240,7 +240,7 @@ def member_removal_deltas(spark, sf_dir):
     shown = F.concat_ws("|", F.lit("list_member_removed_by_editor"), "pin_owner", "caller", X.event_field(F.coalesce("list_name", F.lit(""))), X.event_field(F.coalesce("pin_name", F.lit(""))))
     row = lambda part, value, pin="pin_id": F.struct(F.lit(part).alias("part"), F.col("list_id").alias("list_id"), (F.col(pin) if pin else F.lit(None)).cast("string").alias("pin_id"), value.alias("value"))
     parts = F.array(row("members", F.lit("")), row("pin_lists", F.lit("")), F.when(F.col("list_count").isNotNull(), row("lists", F.col("list_count").cast("string"), None)), F.when(F.col("event"), row("events", shown)))
-    return out.select(F.explode(F.array_compact(parts)).alias("r")).select("r.*")
+    return out.select(F.explode(parts).alias("r")).filter("r is not null").select("r.*")
 
 
 # four requests of a member in order: what they set, the same again, a delete and a set of other values
@@ -280,7 +280,7 @@ def override_transactions(spark, sf_dir):
     row = lambda part, value, turn=True: F.struct(F.lit(part).alias("part"), F.col("list_id").alias("list_id"), F.col("pin_id").alias("pin_id"), (F.col("turn") if turn else F.lit(None)).cast("long").alias("turn"), value.alias("value"))
     keys = F.array_join(F.transform("changes", lambda o: o["key"]), ",")
     parts = F.array(row("decision", F.concat_ws(" ", "decision", F.coalesce(shown, F.lit("-")))), F.when(F.col("last"), row("member", held, False)), F.when(F.col("event"), row("event", F.concat_ws("|", "pin_owner", "caller", keys))))
-    return out.select(F.explode(F.array_compact(parts)).alias("r")).select("r.*")
+    return out.select(F.explode(parts).alias("r")).filter("r is not null").select("r.*")
 
 
 FLAGS = [(1, "true"), (2, "false"), (3, '"x"'), (4, None)]
