@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import places as P
 from ..operators.enrich import FLAGS, _camel
+from ..session import written
 from ..sources.tables import frame, sql
 from .places import _CATEGORY, _CUISINE
 from .registry import query
@@ -127,12 +128,15 @@ SELECT * EXCLUDE (user_id, addr, hk, parted, home_lat, home_lng, a, place_id), p
 def whole_pin_record(spark, sf_dir):
     """The record that every pin would be written with, from its place's payloads; a sixth of the places have no details."""
     b = bodies(spark, sf_dir)
-    b = b.select("place_id", P.search_hit(F.col("body")).alias("hit"), F.when(F.col("k") % 6 != 5, P.details_payload(F.col("body"))).alias("details"))
-    pins = frame(spark, sf_dir, "pins").join(b, "place_id")
+    pins = frame(spark, sf_dir, "pins").withColumnRenamed("place_id", "place_key")
+    # payloads are read once, for the places that pins name
+    b = b.select(F.col("place_id").alias("place_key"), "k", "body").join(pins.select("place_key").distinct(), "place_key", "left_semi")
+    b = b.select("place_key", P.search_hit(F.col("body")).alias("hit"), F.when(F.col("k") % 6 != 5, P.details_payload(F.col("body"))).alias("details"))
+    places = written(P.with_facts(b))
     og = F.struct(F.col("pin_id").alias("title"), F.lit("").alias("description"), F.lit("").alias("image"))
-    pins = pins.select("user_id", "url", og.alias("og"), "details", "hit", F.lit(90).alias("confidence"), F.lit("enrichment").alias("reason"))
-    signals = trip_statuses(pins)
-    r = P.whole_pins(pins, signals, frame(spark, sf_dir, "users"))
+    pins = pins.select("user_id", "place_key", "url", og.alias("og"), F.lit(90).alias("confidence"), F.lit("enrichment").alias("reason"))
+    signals = trip_statuses(pins.select("user_id", "place_key").distinct().join(places, "place_key"))
+    r = P.whole_pins(pins, signals, frame(spark, sf_dir, "users"), places)
     view, says = F.col("viewport"), F.col("editorial_summary")
     given = lambda c, *parts: F.when(c.isNotNull(), F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("-")) for p in parts]))
     moment = lambda t: F.concat_ws(":", t["day"], t["hour"], t["minute"])
@@ -146,9 +150,8 @@ def whole_pin_record(spark, sf_dir):
 
 
 def trip_statuses(pins: DataFrame) -> DataFrame:
-    """Stored trip signals of the cities with a 1 in their name."""
+    """Stored trip signals of the cities with a 1 in their name, of pins with their places' facts."""
     from ..functions import state as S
 
-    at = P.where(F.col("details"), F.col("hit"))
-    there = pins.select("user_id", at.alias("w")).select("user_id", "w.city", "w.country").filter(F.col("city").contains("1")).distinct()
+    there = pins.select("user_id", "_where.city", "_where.country").filter(F.col("city").contains("1")).distinct()
     return there.select(S.signal_id(F.col("user_id"), F.col("city"), F.col("country")).alias("signal_id"), F.lit("traveling").alias("status"))
