@@ -64,5 +64,5 @@ def deliveries(attempts: DataFrame) -> DataFrame:
 
 def stage_failures(failures: DataFrame) -> DataFrame:
     """Failures of each job in order of time, equal ones once: job_id, stage, message, at."""
-    item = F.struct("at", "stage", S.error_kind(F.col("message")).alias("kind"), F.substring("message", 1, 500).alias("message"))
-    return failures.groupBy("job_id").agg(F.array_distinct(F.array_sort(F.collect_list(item))).alias("failures"))
+    each = failures.select("job_id", "at", "stage", S.error_kind(F.col("message")).alias("kind"), F.substring("message", 1, 500).alias("message")).distinct()
+    return each.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("at", "stage", "kind", "message"))).alias("failures"))

@@ -19,3 +19,14 @@ def test_sweep_rounds_minutes_half_to_even(spark, tmp_path):
     want = sorted(r[0] for r in con.execute(plans.ORACLE["job_sweep"]).fetchall())
     assert sorted(r.job_id for r in plans.QUERIES["job_sweep"](spark, str(tmp_path)).collect()) == want
     assert 0 < len(want) < len(rows)
+
+
+def test_stage_failures_once_each_without_pairs(spark):
+    """Equal failures go before they are gathered; array_distinct compares every pair of a job's."""
+    from placeflow.operators import jobs as J
+
+    rows = [("J1", "b", "timeout", 2), ("J1", "a", "x" * 600, 2), ("J1", "a", "x" * 600, 2), ("J1", "a", None, 1), ("J1", "a", None, 1), ("J1", None, "x", None), ("J2", "a", "x" * 501, 3), ("J2", "a", "x" * 502, 3)]
+    out = J.stage_failures(spark.createDataFrame(rows, "job_id string, stage string, message string, at long"))
+    assert "array_distinct" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.job_id: [(f.at, f.stage, f.message) for f in r.failures] for r in out.collect()}
+    assert got == {"J1": [(None, None, "x"), (1, "a", None), (2, "a", "x" * 500), (2, "b", "timeout")], "J2": [(3, "a", "x" * 500)]}
