@@ -68,21 +68,24 @@ def cuisine(types: Column, primary: Column) -> Column:
 def confidence(name: Column, address: Column, ratings: Column, results: Column, title: Column, description: Column, site: Column) -> Column:
     """A place's score against a page: name in the title 40, a longer address word 20, a travel site 20, many ratings 10, sole result 10."""
     low = lambda x: F.lower(F.coalesce(x, F.lit("")))
-    head, body = low(cleaned(F.coalesce(title, F.lit("")))), low(cleaned(F.coalesce(description, F.lit(""))))
-    both = F.concat(head, F.lit(" "), body)
-    words = F.filter(F.split(low(address), r"[,\s]+"), lambda w: F.length(w) > 3)
-    site = low(site)
-    points = (
-        (40, (low(name) != "") & head.contains(low(name))),
-        (20, F.exists(words, lambda w: both.contains(w))),
-        (20, F.exists(F.array(*map(F.lit, TRAVEL_SITES)), lambda s: site.contains(s))),
-        (10, ratings > 100),
-        (10, results == 1),
-    )
-    score = F.lit(0)
-    for n, test in points:
-        score = score + F.when(test, n).otherwise(0)
-    return F.when(results > 0, score).otherwise(0)
+    page = F.struct(low(cleaned(F.coalesce(title, F.lit("")))).alias("head"), low(cleaned(F.coalesce(description, F.lit("")))).alias("body"))
+    given = F.struct(page.alias("page"), low(name).alias("name"), F.filter(F.split(low(address), r"[,\s]+"), lambda w: F.length(w) > 3).alias("words"), low(site).alias("site"), ratings.alias("ratings"), results.alias("results"))
+
+    def score(g: Column) -> Column:
+        points = (
+            (40, (g["name"] != "") & g["page"]["head"].contains(g["name"])),
+            (20, F.exists(g["words"], lambda w: F.concat(g["page"]["head"], F.lit(" "), g["page"]["body"]).contains(w))),
+            (20, F.exists(F.array(*map(F.lit, TRAVEL_SITES)), lambda s: g["site"].contains(s))),
+            (10, g["ratings"] > 100),
+            (10, g["results"] == 1),
+        )
+        out = F.lit(0)
+        for n, test in points:
+            out = out + F.when(test, n).otherwise(0)
+        return out
+
+    # a page is cleaned once, not once a word of the address
+    return F.when(results > 0, F.element_at(F.transform(F.array(given), score), 1)).otherwise(0)
 
 
 def gate(score: Column, matches: Column, better: Column) -> Column:

@@ -30,3 +30,15 @@ def test_stage_failures_once_each_without_pairs(spark):
     assert "array_distinct" not in out._jdf.queryExecution().optimizedPlan().toString()
     got = {r.job_id: [(f.at, f.stage, f.message) for f in r.failures] for r in out.collect()}
     assert got == {"J1": [(None, None, "x"), (1, "a", None), (2, "a", "x" * 500), (2, "b", "timeout")], "J2": [(3, "a", "x" * 500)]}
+
+
+def test_a_page_is_cleaned_once(spark):
+    from pyspark.sql import functions as F
+
+    from placeflow.functions import taxonomy as T
+
+    rows = spark.createDataFrame([("Joe", "12 Main Street", 101, 1, "Joe's on main", "", "yelp"), ("Joe", "12 Main Street", 1, 2, "x", "by the STREET", "blog"), ("Joe", None, 1, 0, "Joe", "", "yelp")], "n string, a string, r long, k long, t string, d string, s string")
+    score = rows.select(T.confidence(*map(F.col, "narktds"[:4]), F.col("t"), F.col("d"), F.col("s")).alias("x"))
+    assert [r.x for r in score.collect()] == [100, 20, 0]
+    shown = score._jdf.queryExecution().analyzed().toString()
+    assert shown.count("coalesce(t#") == 1 and shown.count("coalesce(d#") == 1
