@@ -5,19 +5,36 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUT = "shard long, pos long, op string, key string, outcome string, value string, evicted string"
+_NAMES = [c.split()[0] for c in OUT.split(", ")]
 PROVIDER, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+BATCH = 10_000  # answers handed on at once
+
+
+def _in_order(frames: Iterator[pd.DataFrame]) -> pa.Table:
+    """A shard's requests of a micro-batch in order of pos, packed in columns: as rows of Python they would take ten times the room."""
+    schema = pa.schema([("pos", pa.int64()), ("ms", pa.int64()), ("op", pa.dictionary(pa.int8(), pa.string())), ("key", pa.string()), ("value", pa.string())])
+    packed = [pa.RecordBatch.from_arrays([pa.array(f[c.name], pa.string() if c.name == "op" else c.type).cast(c.type) for c in schema], schema=schema) for f in frames]
+    rows = pa.Table.from_batches(packed, schema)
+    del packed
+    return rows.take(pc.sort_indices(rows["pos"]))
+
+
 class _Shard(StatefulProcessor):
     """State of a shard: entries by key (value, time, place in the queue), the queue's keys by place, and its ends, size and last write.
 
-    The queue's head moves over places that are gone, each once. An event-time timer empties a shard whose newest write
-    has expired, so that a shard nobody asks for holds nothing.
+    A micro-batch reads the shard's entries once (they are at most most + 1), answers its requests from them, and writes back what is new,
+    changed or gone. An event-time timer empties a shard whose newest write has expired, so that a shard nobody asks for
+    holds nothing.
     """
 
     def __init__(self, most: int, ttl_ms: int):
@@ -34,51 +51,63 @@ class _Shard(StatefulProcessor):
         self.queue.clear()
         self.ends.clear()
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        head, tail, size, last = self.ends.get() or (0, 0, 0, None)
-        before = last
-        for r in sorted(rows, key=lambda r: r.pos):
-            if last is not None and r.ms - last > self.ttl:
-                self._clear()
-                head, tail, size, last = 0, 0, 0, None
-            found, evicted = self.entries.getValue((r.key,)), None
-            if r.op == "get":
-                outcome, value = "miss", None
-                if found is not None and r.ms - found[1] > self.ttl:
-                    outcome = "expired"
-                    self.entries.removeKey((r.key,))
-                    self.queue.removeKey((found[2],))
-                    size -= 1
-                elif found is not None:
-                    outcome, value = "hit", found[0]
-            else:
-                outcome, value = "stored", r.value
-                if size > self.most:
-                    oldest = None
-                    while oldest is None:
-                        oldest = self.queue.getValue((head,))
-                        head += 1
-                    evicted = oldest[0]
-                    self.queue.removeKey((head - 1,))
-                    self.entries.removeKey((evicted,))
-                    size -= 1
-                    found = None if evicted == r.key else found
-                place = found[2] if found is not None else tail
-                if found is None:
-                    self.queue.updateValue((tail,), (r.key,))
-                    tail, size = tail + 1, size + 1
-                self.entries.updateValue((r.key,), (r.value, r.ms, place))
-                last = r.ms if last is None else max(last, r.ms)
-            yield Row(shard=key[0], pos=r.pos, op=r.op, key=r.key, outcome=outcome, value=value, evicted=evicted)
+    def _write(self, stored: dict, held: dict) -> None:
+        """Brings the state from the entries it holds to others; a place in the queue belongs to one key for good."""
+        for name, (_, _, place) in stored.items():
+            now = held.get(name)
+            if now is None:
+                self.entries.removeKey((name,))
+            if now is None or now[2] != place:
+                self.queue.removeKey((place,))
+        for name, entry in held.items():
+            was = stored.get(name)
+            if was != entry:
+                self.entries.updateValue((name,), entry)
+            if was is None or was[2] != entry[2]:
+                self.queue.updateValue((entry[2],), (name,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        _, tail, _, last = self.ends.get() or (0, 0, 0, None)
+        before, stored = last, {k[0]: tuple(v) for k, v in self.entries.iterator()}
+        held = dict(sorted(stored.items(), key=lambda e: e[1][2]))  # in order of the queue
+        for batch in _in_order(rows).to_batches(BATCH):
+            out = []
+            for pos, ms, op, name, value in zip(*[c.to_pylist() for c in batch.columns]):
+                if last is not None and ms - last > self.ttl:
+                    held.clear()
+                    tail, last = 0, None
+                found, evicted = held.get(name), None
+                if op == "get":
+                    outcome, value = "miss", None
+                    if found is not None and ms - found[1] > self.ttl:
+                        outcome = "expired"
+                        del held[name]
+                    elif found is not None:
+                        outcome, value = "hit", found[0]
+                else:
+                    outcome = "stored"
+                    if len(held) > self.most:
+                        evicted = next(iter(held))
+                        del held[evicted]
+                        found = None if evicted == name else found
+                    place = found[2] if found is not None else tail
+                    tail += found is None
+                    held[name] = (value, ms, place)
+                    last = ms if last is None else max(last, ms)
+                out.append((key[0], pos, op, name, outcome, value, evicted))
+            yield pd.DataFrame(out, columns=_NAMES)
+        self._write(stored, held)
         if last is not None:
-            self.ends.update((head, tail, size, last))
+            self.ends.update((next(iter(held.values()))[2] if held else tail, tail, len(held), last))
+        elif before is not None:
+            self.ends.clear()
         if last != before:
             if before is not None:
                 self.handle.deleteTimer(before + self.ttl + 1)
             if last is not None:
                 self.handle.registerTimer(last + self.ttl + 1)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         ends = self.ends.get()
         if ends and expiredTimerInfo.getExpiryTimeInMs() > ends[3] + self.ttl:
             self._clear()
@@ -106,7 +135,7 @@ def cache(requests: DataFrame, shards: int = 64, most: int = 5000, ttl_s: int =
     """
     rows = requests.filter("key is not null and op in ('get', 'set')").select(F.col("pos").cast("long").alias("pos"), F.col("at").cast("timestamp").alias("at"), "op", "key", F.col("value").cast("string").alias("value"))
     rows = rows.withWatermark("at", late).withColumn("shard", shard_of(F.col("key"), shards)).withColumn("ms", F.unix_millis("at"))
-    return rows.groupBy("shard").transformWithState(_Shard(most, ttl_s * 1000), OUT, "Append", "EventTime")
+    return rows.groupBy("shard").transformWithStateInPandas(_Shard(most, ttl_s * 1000), OUT, "Append", "EventTime")
 
 
 @contextmanager

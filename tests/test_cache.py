@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from placeflow.plans import stored
@@ -73,3 +74,34 @@ def test_batches_of_any_order_and_a_full_shard(spark, tmp_path):
     state = spark.read.format("statestore").option("path", f"{tmp_path}/cp").option("stateVarName", "entries").load()
     assert state.count() == sum(map(len, held.values())) <= 22
     assert spark.read.format("statestore").option("path", f"{tmp_path}/cp").option("stateVarName", "queue").load().count() <= 22
+
+
+class _Held:
+    """A state variable in memory that counts its calls."""
+
+    calls = 0
+
+    def __init__(self):
+        self.held, self.one = {}, None
+
+    def __getattr__(self, name):
+        type(self).calls += 1
+        return {
+            "get": lambda: self.one, "update": lambda v: setattr(self, "one", v), "iterator": lambda: iter(list(self.held.items())), "getValue": self.held.get,
+            "updateValue": self.held.__setitem__, "removeKey": lambda k: self.held.pop(k, None), "clear": lambda: (self.held.clear(), setattr(self, "one", None)),
+            "getMapState": lambda *_: _Held(), "getValueState": lambda *_: _Held(), "registerTimer": lambda _: None, "deleteTimer": lambda _: None,
+        }[name]
+
+
+def test_a_shard_asks_its_state_once_a_batch_and_answers_in_parts():
+    shard = C._Shard(10, 10**9)
+    shard.init(_Held())
+    rows = [(k, k, "set" if k % 3 else "get", f"k{k % 30}", f"v{k}") for k in range(40_000)]
+    random.Random(2).shuffle(rows)
+    frames = (pd.DataFrame(rows[i : i + 7000], columns=["pos", "ms", "op", "key", "value"]) for i in range(0, len(rows), 7000))
+    _Held.calls = 0
+    got = list(shard.handleInputRows((0,), frames, None))
+    assert len(got) > 1 and max(map(len, got)) <= 10_000 and _Held.calls < 100
+    want, held = loop([(0, *r) for r in rows], 10, 10**6)
+    assert sorted(tuple(r) for f in got for r in f.astype(object).where(f.notna(), None).itertuples(index=False)) == want
+    assert {k[0]: v[:2] for k, v in shard.entries.held.items()} == held[0] and len(shard.queue.held) == 11
