@@ -99,13 +99,13 @@ def search_inside(queries: DataFrame, places: DataFrame, k: int = 1) -> DataFram
     its high_lat is empty. Hits rank by whole metres from the rectangle's middle, ties by the lesser id; at most k.
     Queries without a hit are left out, as are null ids, texts and edges; rows that repeat count once.
 
-    Each rectangle is covered by cells of a size of its own, at most three by three, and places stand in the cells of every
+    Each different (text, rectangle) is searched once however many queries ask it. It is covered by cells of a size of its own, at most three by three, and places stand in the cells of every
     size that some rectangle asks for, so the join is one of equality at any size.
     """
     edges = ["low_lat", "low_lng", "high_lat", "high_lng"]
-    q = queries.select("query_id", match_form(F.col("text")).alias("key"), *[F.col(e).cast("double").alias(e) for e in edges]).dropna().distinct()
+    asked = queries.select("query_id", match_form(F.col("text")).alias("key"), *[F.col(e).cast("double").alias(e) for e in edges]).dropna().filter("low_lat <= high_lat").distinct()
     width = F.col("high_lng") - F.col("low_lng") + F.when(F.col("low_lng") > F.col("high_lng"), 360.0).otherwise(0.0)
-    q = q.filter("low_lat <= high_lat").withColumn("width", width)
+    q = asked.select("key", *edges).distinct().withColumn("width", width)
     side = F.greatest("width", F.col("high_lat") - F.col("low_lat"), F.lit(180.0 / 2**LEVELS))
     q = q.withColumn("level", F.least(F.greatest(F.floor(F.log2(180.0 / side)), F.lit(0)), F.lit(LEVELS)).cast("int"))
     size = lambda: F.lit(180.0) / F.pow(F.lit(2.0), F.col("level"))
@@ -123,5 +123,8 @@ def search_inside(queries: DataFrame, places: DataFrame, k: int = 1) -> DataFram
     met = met.filter(F.col("lat").between(F.col("low_lat"), F.col("high_lat")) & ((east <= F.col("width")) | (F.col("width") >= 360)))
     middle = F.pmod(F.col("low_lng") + F.col("width") / 2 + 180, F.lit(360.0)) - 180
     met = met.withColumn("metres", metres((F.col("low_lat") + F.col("high_lat")) / 2, middle, F.col("lat"), F.col("lng")))
-    hits = met.select("query_id", "metres", F.explode("ids").alias("place_id"))
-    return _best(hits, ["query_id"], k).select("query_id", "rank", "place_id", "metres")
+    hits = met.select("key", *edges, "metres", F.explode("ids").alias("place_id"))
+    best = _best(hits, ["key", *edges], k)
+    # a query that asks several rectangles ranks the hits of all of them
+    found = asked.join(best.drop("rank"), ["key", *edges])
+    return _best(found, ["query_id"], k).select("query_id", "rank", "place_id", "metres")

@@ -78,3 +78,13 @@ def test_plans_join_by_equality(spark, small):
         assert "Cartesian" not in text and "NestedLoop" not in text
     none = spark.createDataFrame([], PLACE)
     assert N.search_near(spark.createDataFrame([(1, "a", 0.0, 0.0, 1, "")], POINT), none).count() == 0
+
+
+def test_a_rectangle_is_searched_once_however_many_ask(spark):
+    boxes = spark.createDataFrame([(k, "a", 0.0, 0.0, 9.0, 9.0) for k in range(50)] + [(0, "A", 0.0, 0.0, 2.0, 2.0)], "query_id long, text string, low_lat double, low_lng double, high_lat double, high_lng double")
+    found = N.search_inside(boxes, spark.createDataFrame([(f"p{k}", "a", 0.5 * k, 0.5 * k) for k in range(12)], "place_id string, name string, lat double, lng double"), 3)
+    below = found._jdf.queryExecution().optimizedPlan().toString().split("explode(ids")[1].splitlines()
+    assert "query_id" not in below[1] and "Aggregate" in "".join(below)
+    rows = found.collect()
+    assert len(rows) == 150 and {r.place_id for r in rows if r.query_id == 49} == {"p8", "p9", "p10"}
+    assert {("p2", 0), ("p9", 0)} < {(r.place_id, r.metres) for r in rows if r.query_id == 0}
