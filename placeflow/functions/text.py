@@ -37,25 +37,28 @@ def match_form(text: Column) -> Column:
     return collapsed(F.lower(F.coalesce(text, F.lit(""))))
 
 
-_NUMERIC = re.compile(r"&#(?:x([0-9a-fA-F]+)|(\d+));")
+def _once(value: Column, f) -> Column:
+    """f of a value that is computed once for all its uses."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
-@pandas_udf(StringType())
-def _numeric_entities(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    def char(m: re.Match) -> str:
-        code = int(m[1], 16) if m[1] else int(m[2])
-        return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else m[0]
+def _numeric_entities(text: Column) -> Column:
+    """&#65; and &#x41; as characters; what names no character stays as it is written."""
 
-    for s in batches:
-        yield s.map(lambda x: _NUMERIC.sub(char, x), na_action="ignore")
+    def code(part: Column) -> Column:
+        of = lambda pattern: F.nullif(F.regexp_extract(part, pattern, 1), F.lit(""))
+        n = F.coalesce(F.conv(of(r"^x0*([0-9a-fA-F]{1,6});"), 16, 10), of(r"^0*([0-9]{1,7});")).cast("long")
+        return F.struct(part.alias("part"), F.when((n < 0x110000) & ~n.between(0xD800, 0xDFFF), n).alias("n"))
 
+    # the mark says which way round the bytes stand, and goes
+    char = lambda n: F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(n), 8, "0"))), "UTF-32")
+    read = lambda x: F.when(x["n"].isNull(), F.concat(F.lit("&#"), x["part"])).otherwise(F.concat(char(x["n"]), F.regexp_replace(x["part"], "^[^;]*;", "")))
+    return F.array_join(F.transform(F.split(text, "&#"), lambda part, i: F.when(i == 0, part).otherwise(_once(code(part), read))), "")
 
-def decoded(text: Column) -> Column:
-    """HTML entities decoded: numeric ones, then quot, amp, lt, gt, apos, nbsp in this order.
 
-    Only texts that hold a numeric entity are sent to Python.
-    """
-    out = F.coalesce(_numeric_entities(F.when(text.contains("&#"), text)), text)
+def decoded(text: Column) -> Column:
+    """HTML entities decoded: numeric ones, then quot, amp, lt, gt, apos, nbsp in this order."""
+    out = _numeric_entities(text)
     for name, char in (("quot", '"'), ("amp", "&"), ("lt", "<"), ("gt", ">"), ("apos", "'"), ("nbsp", " ")):
         out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
     return out

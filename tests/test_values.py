@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from placeflow import plans
 from placeflow.functions import posts as P
 from placeflow.functions import state as S
+from placeflow.functions import posts as K
 from placeflow.functions import text as X
 from placeflow.functions import url as U
 from placeflow.functions import variant as V
@@ -225,3 +226,11 @@ def test_extracted_posts(spark, small):
     assert (a.title, a.description, a.thumbnail_url, a.uploader, a.hashtags, a.is_carousel, a.slide_count, a.slide_thumbnails) == ("T", "d #Tag", "a.jpg", "c", ["tag"], True, 2, ["a.jpg", "b.jpg"])
     for r in (b, c):
         assert (r.title, r.description, r.thumbnail_url, r.uploader, r.hashtags, r.is_carousel, r.slide_count, r.slide_thumbnails, r.location) == ("", "", "", "", [], False, 0, [], None)
+
+
+def test_entities_are_decoded_in_compiled_columns(spark):
+    get = lambda t: one(spark, X.decoded(F.col("t")), t=t)
+    assert get("&#x1F600;&#0065;&#xFEFF;a&#xD800;&#;&#x;&#x110000;&&#38;lt;") == "😀A﻿a&#xD800;&#;&#x;&#x110000;&<"
+    page = spark.createDataFrame([("<title>a</title>", "https://www.instagram.com/reel/R1/")], "html string, url string")
+    for card in (X.page_card(F.col("html"), F.col("url")), K.reel_post(F.col("html"), F.col("url"))):
+        assert "Python" not in page.select(card.alias("c"))._jdf.queryExecution().executedPlan().toString()
