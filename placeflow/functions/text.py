@@ -64,6 +64,14 @@ def decoded(text: Column) -> Column:
     return out
 
 
+def _replaced(text: Column, pattern: str, to: str, need: str | None) -> Column:
+    """A pattern replaced; it runs over the texts alone that hold what it needs, in letters of either case."""
+    if need is None:
+        return F.regexp_replace(text, pattern, to)
+    cased = F.lower if need.isascii() and need.lower() != need.upper() else lambda t: t
+    return _once(text, lambda t: F.when(cased(t).contains(need), F.regexp_replace(t, pattern, to)).otherwise(t))
+
+
 # fixed values: the patterns below say what counts as such a part of a caption
 def cleaned(text: Column) -> Column:
     """A caption without emoji, tags, handles, links, app names and like counts."""
@@ -72,8 +80,9 @@ def cleaned(text: Column) -> Column:
         (rf"(?i){_IN}on Instagram{_OUT}", ""), (rf"(?i){_IN}on TikTok{_OUT}", ""), (rf"(?i){_IN}Reels?{_OUT}", ""),
         (rf"(?i){_IN}likes?,?\s*\d+\s*comments?{_OUT}", ""), (rf"(?i)\d+\s*likes?{_OUT}", ""),
     )
-    for pattern, to in steps:
-        text = F.regexp_replace(text, pattern, to)
+    needs = (None, "#", "@", "://", None, "on instagram", "on tiktok", "reel", "like", "like")
+    for (pattern, to), need in zip(steps, needs):
+        text = _replaced(text, pattern, to, need)
     return collapsed(text)
 
 
@@ -105,15 +114,22 @@ def hashtags(text: Column) -> Column:
 # fixed values: the patterns below say what counts as such a part of a caption
 def pin_marker(text: Column) -> Column:
     """The name after a pin mark, cut where an address begins (past its fourth character); null under two characters."""
-    name = F.regexp_extract(text, r"📍\s*([^\n]{2,120})", 1)
-    for pattern in (r"#[A-Za-z0-9_]+", r"@[A-Za-z0-9_]+", r"https?://[^\s]+"):
-        name = F.regexp_replace(name, pattern, "")
-    name = trim(name)
     kinds = "St|Ave|Blvd|Rd|Dr|Ln|Way|Pl|Ct|Sec|Lane|Alley"
     cuts = (rf"(?i){_IN}No\.\s*\d", rf"(?i){_IN}\d+\s+[A-Za-z0-9_]+\s+({kinds}){_OUT}", rf"(?i)\(\s*(Original|Main|Branch|Location){_OUT}", r",\s*\d")
-    at = F.coalesce(*[F.when(F.regexp_instr(name, F.lit(p)) > 4, F.regexp_instr(name, F.lit(p))) for p in cuts])
-    cut = F.when(at.isNotNull(), F.regexp_replace(F.substr(name, F.lit(1), at - 1), r"[,\s]+$", "")).otherwise(name)
-    return F.when(F.length(cut) >= 2, cut)
+
+    def marked(whole: Column) -> Column:
+        name = F.regexp_extract(whole, r"📍\s*([^\n]{2,120})", 1)
+        for pattern in (r"#[A-Za-z0-9_]+", r"@[A-Za-z0-9_]+", r"https?://[^\s]+"):
+            name = F.regexp_replace(name, pattern, "")
+        return F.when(whole.contains("📍"), trim(name))
+
+    def ends(name: Column) -> Column:
+        at = F.coalesce(*[F.nullif(F.greatest(F.regexp_instr(name, F.lit(p)), F.lit(4)), F.lit(4)) for p in cuts])
+        return F.struct(name.alias("name"), at.alias("at"))
+
+    cut = lambda x: F.when(x["at"].isNotNull(), F.regexp_replace(F.substr(x["name"], F.lit(1), x["at"] - 1), r"[,\s]+$", "")).otherwise(x["name"])
+    # each step's result is computed once: they are used many times over
+    return _once(_once(_once(_once(text, marked), ends), cut), lambda name: F.when(F.length(name) >= 2, name))
 
 
 # fixed values: the patterns below say what counts as such a part of a caption
@@ -143,8 +159,6 @@ def places_named(text: Column) -> Column:
 
 def location_query(title: Column, description: Column) -> Column:
     """What to search for: a pin mark, else the best signal, with the first location; else locations; else seven words."""
-    once = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)  # noqa: E731  a step's result, computed once
-
     def clean(x: Column) -> Column:
         return F.struct(x["title"].alias("title"), x["text"].alias("text"), cleaned(x["title"]).alias("a"), cleaned(x["text"]).alias("b"))
 
@@ -160,7 +174,7 @@ def location_query(title: Column, description: Column) -> Column:
         return F.substring(F.when(name != "", with_place).when(first.isNotNull(), F.array_join(where, " ")).otherwise(words), 1, 80)
 
     raw = F.struct(decoded(title).alias("title"), decoded(description).alias("text"))
-    return once(once(once(raw, clean), found), query)
+    return _once(_once(_once(raw, clean), found), query)
 
 
 def display_name(text: Column, most: int = 256) -> Column:
@@ -214,8 +228,8 @@ def transcript(subtitles: Column) -> Column:
     """Spoken lines of a subtitle file: no headers, cues, numbers or tags; repeats of the line before go; at most 3000 characters."""
     head = lambda x: x.startswith("WEBVTT") | x.startswith("Kind:") | x.startswith("Language:") | x.rlike(r"^\d{2}:\d{2}") | trim(x).rlike(r"^\d*$")
     lines = F.filter(F.transform(F.filter(F.split(subtitles, "\n"), lambda x: ~head(x)), lambda x: trim(F.regexp_replace(x, r"<[^>]+>", ""))), lambda x: x != "")
-    once = F.filter(lines, lambda x, i: (i == 0) | (x != F.get(lines, i - 1)))
-    return F.nullif(F.substring(F.array_join(once, " "), 1, 3000), F.lit(""))
+    new = lambda every: F.filter(every, lambda x, i: (i == 0) | (x != F.get(every, i - 1)))
+    return F.nullif(F.substring(F.array_join(_once(lines, new), " "), 1, 3000), F.lit(""))
 
 
 def without_fences(text: Column) -> Column:

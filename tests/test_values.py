@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from placeflow import plans
 from placeflow.functions import posts as P
 from placeflow.functions import state as S
-from placeflow.functions import posts as K
 from placeflow.functions import text as X
 from placeflow.functions import url as U
 from placeflow.functions import variant as V
@@ -232,5 +231,13 @@ def test_entities_are_decoded_in_compiled_columns(spark):
     get = lambda t: one(spark, X.decoded(F.col("t")), t=t)
     assert get("&#x1F600;&#0065;&#xFEFF;a&#xD800;&#;&#x;&#x110000;&&#38;lt;") == "😀A﻿a&#xD800;&#;&#x;&#x110000;&<"
     page = spark.createDataFrame([("<title>a</title>", "https://www.instagram.com/reel/R1/")], "html string, url string")
-    for card in (X.page_card(F.col("html"), F.col("url")), K.reel_post(F.col("html"), F.col("url"))):
+    for card in (X.page_card(F.col("html"), F.col("url")), P.reel_post(F.col("html"), F.col("url"))):
         assert "Python" not in page.select(card.alias("c"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_caption_and_a_transcript_are_worked_out_once(spark):
+    text = spark.createDataFrame([("a",)], "t string")
+    plan = lambda c: text.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(X.pin_marker(F.col("t"))).count("regexp_extract(") == 1
+    assert plan(X.transcript(F.col("t"))).count("split(") == 1
+    assert one(spark, X.cleaned(F.col("t")), t="Ree😀ls at x@a 12 LIKES on InstaGRAM on TikTok #b https://a.b/c | d") == "at x d"
