@@ -85,7 +85,8 @@ class Store:
             rows.write.parquet(at)
             m["folders"]["0"] = folder
         else:
-            rows.withColumn(BUCKET, bucket(F.col(m["key"]), m["buckets"])).repartition(m["buckets"], BUCKET).write.partitionBy(BUCKET).parquet(at)
+            # a large bucket is several tasks and files: Spark cuts it by its size
+            rows.withColumn(BUCKET, bucket(F.col(m["key"]), m["buckets"])).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(at)
             for s in self._fs.listStatus(self._path(at)):
                 if (name := s.getPath().getName()).startswith(f"{BUCKET}="):
                     m["folders"][name.removeprefix(f"{BUCKET}=")] = f"{folder}/{name}"

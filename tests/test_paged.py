@@ -108,3 +108,14 @@ def test_dry_and_plans_are_made_once(spark, tmp_path):
 
     report = run(store, clock, lambda r: derive(r.mapInPandas(costly, r.schema)), size=2)
     assert report["pages"] == 3 and rows(store) == WANT and asked.value == 60
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        store = Store(spark, f"file://{tmp_path}")
+        store.commit("t", spark.range(0, 200_000, 1, 8).selectExpr("cast(id as string) as k", "sha2(cast(id as string), 256) as v"), 0, "k", 2)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert len(list(tmp_path.glob("t/rows-*/_bucket=0/*.parquet"))) > 1 and store.read("t").select("k").distinct().count() == 200_000
