@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import state as S
 from ..functions import text as X
 from ..functions import variant as V
-from .places import once
 
 MOST = 500  # characters of a message that a job keeps
 #: What each field of a details payload must be, where it is there.
@@ -33,26 +34,40 @@ def reply_places(replies: DataFrame) -> DataFrame:
     return each.select("job_id", "x.pos", F.col("x.p.name").alias("name"), F.col("x.p.location").alias("location"), siblings.alias("siblings"))
 
 
-def fault(payload: Column, kinds: dict[str, str] | None = None, what: str = "details") -> Column:
-    """Why a payload (JSON text) can't be used: it isn't JSON, no object, or a field is of the wrong kind; null if it can, and for no payload."""
-    wanted = F.array(*[F.struct(F.lit(f).alias("name"), F.lit(k).alias("kind")) for f, k in (kinds or DETAILS).items()])
+def _kinds(v: Column, fields: Iterable[str]) -> Column:
+    """The kinds of a variant and of its fields, in that order: one array, so that the variant is read once for all of them."""
+    return F.array(V.kind(v), *[V.kind(F.try_variant_get(v, f"$['{f}']", "variant")) for f in fields])
+
 
-    def read(v: Column) -> Column:
-        kind = V.kind(v)
-        fields = V.fields(v)
-        found = F.transform(wanted, lambda w: F.struct(w["name"].alias("name"), w["kind"].alias("kind"), V.kind(F.try_element_at(fields, w["name"])).alias("is")))
-        bad = F.get(F.filter(found, lambda x: ~x["is"].isin("absent", "null") & (x["is"] != x["kind"])), F.lit(0))
-        return F.when(v.isNull(), F.concat(F.lit(f"{what} is not JSON: "), payload)).when(kind != "object", F.concat(F.lit(f"{what} is "), kind, F.lit(", not object"))).when(bad.isNotNull(), F.concat(F.lit(f"{what}."), bad["name"], F.lit(" is "), bad["is"], F.lit(", not "), bad["kind"]))
+def _message(payload: Column, found: Column, kinds: dict[str, str], what: str) -> Column:
+    """What is wrong with a payload of the kinds found."""
+    is_ = found[0]
+    bad = [F.when(~found[i].isin("absent", "null", k), F.concat(F.lit(f"{what}.{f} is "), found[i], F.lit(f", not {k}"))) for i, (f, k) in enumerate(kinds.items(), 1)]
+    why = F.when(is_ == "absent", F.concat(F.lit(f"{what} is not JSON: "), payload)).when(is_ != "object", F.concat(F.lit(f"{what} is "), is_, F.lit(", not object"))).otherwise(F.coalesce(*bad))
+    return F.when(payload.isNotNull(), F.substring(why, 1, MOST))
 
-    return F.when(payload.isNotNull(), F.substring(once(V.parsed(payload), read), 1, MOST))
+
+def fault(payload: Column, kinds: dict[str, str] | None = None, what: str = "details") -> Column:
+    """Why a payload (JSON text) can't be used: it isn't JSON, no object, or a field is of the wrong kind; null if it can, and for no payload."""
+    kinds = kinds or DETAILS
+    return _message(payload, _kinds(V.parsed(payload), kinds), kinds, what)
 
 
 def fail_faulty(verdicts: DataFrame, payloads: DataFrame) -> DataFrame:
     """Verdicts (job_id, status, place_id, ...) with `error`: a new pin's job whose place has a faulty payload (place_id, body) fails with its message, and has no place.
 
-    Only those jobs fail. A place with several payloads fails if any is faulty, with the least message.
+    Only those jobs fail. A place with several payloads fails if any is faulty, with the least message. Payloads of places
+    that no new pin names are not looked into. Jobs that can't fail have a key of their own in the join, which spreads them.
     """
-    bad = payloads.select(F.col("place_id").alias("_place"), fault(F.col("body")).alias("_error")).filter("_error is not null").groupBy("_place").agg(F.min("_error").alias("_error"))
-    out = verdicts.join(bad, (F.col("place_id") == F.col("_place")) & (F.col("status") == "complete"), "left")
+    new = (F.col("status") == "complete") & F.col("place_id").isNotNull()
+    asked = verdicts.filter(new).select(F.col("place_id").alias("_place")).distinct()
+    given = payloads.select(F.col("place_id").alias("_place"), F.col("body").alias("_body")).join(asked, "_place", "left_semi")
+    # the kinds as a column: a message looks at them several times
+    read = given.withColumn("_kinds", _kinds(V.parsed(F.col("_body")), DETAILS))
+    why = _message(F.col("_body"), F.col("_kinds"), DETAILS, "details")
+    # a test of the message itself would be made before the join, over every payload
+    bad = read.groupBy("_place").agg(F.min(why).alias("_error")).filter("_error is not null")
+    keyed = verdicts.withColumn("_at", F.when(new, F.col("place_id")).otherwise(F.concat(F.lit("\0"), F.col("job_id").cast("string"))))
+    out = keyed.join(bad, (F.col("_at") == F.col("_place")) & new, "left")
     hit = F.col("_error").isNotNull()
-    return out.withColumn("status", F.when(hit, "failed").otherwise(F.col("status"))).withColumn("place_id", F.when(~hit, F.col("place_id"))).withColumnRenamed("_error", "error").drop("_place")
+    return out.withColumn("status", F.when(hit, "failed").otherwise(F.col("status"))).withColumn("place_id", F.when(~hit, F.col("place_id"))).withColumnRenamed("_error", "error").drop("_place", "_at")

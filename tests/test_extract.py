@@ -63,6 +63,23 @@ def test_faults(spark):
     payloads = spark.createDataFrame([("p1", "["), ("p1", "{}"), ("p1", "7"), ("p2", "{}"), (None, "[")], "place_id string, body string")
     out = {r.job_id: (r.status, r.place_id, r.error) for r in R.fail_faulty(verdicts, payloads).collect()}
     assert out == {"a": ("failed", None, "details is not JSON: ["), "b": ("complete", "p2", None), "c": ("duplicate", "p1", None), "d": ("complete", None, None), "e": ("complete", "gone", None)}
+    assert [r.e for r in spark.createDataFrame([('{"a b":1}',), ('{"a b":"x"}',)], "b string").select(R.fault(F.col("b"), {"a b": "string"}).alias("e")).collect()] == ["details.a b is number, not string", None]
+
+
+def test_faults_read_what_jobs_name(spark):
+    """Payloads are parsed after the join with the jobs' places, and jobs that can't fail don't share one key."""
+    from placeflow.operators import replies as R
+
+    verdicts = spark.range(400).selectExpr("concat('J', id) AS job_id", "if(id % 4 = 0, 'complete', 'duplicate') AS status", "if(id % 4 = 0, concat('p', id % 8), NULL) AS place_id")
+    payloads = spark.range(100).selectExpr("concat('p', id) AS place_id", "if(id % 2 = 0, '[', '{}') AS body")
+    out = R.fail_faulty(verdicts, payloads)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = lambda word: [i for i, line in enumerate(plan) if word in line]
+    assert at("LeftSemi") and at("parse") and max(at("parse")) < min(at("LeftSemi"))
+    keys = next(line for line in plan if "LeftOuter" in line)
+    assert "_at" in keys
+    assert sorted((r.status, r.place_id, r.error, r["count"]) for r in out.groupBy("status", "place_id", "error").count().collect() if r.status == "failed") == [("failed", None, "details is not JSON: [", 100)]
+    assert out.count() == 400 and out.columns == ["job_id", "status", "place_id", "error"]
 
 
 def test_replies(spark):
