@@ -40,17 +40,21 @@ def text_of(v: Column) -> Column:
     return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
-def string_array(v: Column, most: int = 5000) -> Column:
-    """absent, malformed (no array, too long, or any item not a string with characters) or authoritative."""
+def string_list(v: Column, most: int = 5000) -> Column:
+    """The strings of an array that can be trusted: not too long, and every item a string with characters; else null."""
     # an array of strings and nulls, or without an item of any kind; contains is null where an item is
     given = F.try_variant_get(v, "$", "array<string>")
-    bad = F.coalesce(F.array_contains(given, ""), F.lit(True)) | ~F.schema_of_variant(v).isin("ARRAY<STRING>", "ARRAY<VOID>") | (F.size(given) > most)
-    return F.when(v.isNull(), "absent").when(bad, "malformed").otherwise("authoritative")
+    return F.when(~F.array_contains(given, "") & F.schema_of_variant(v).isin("ARRAY<STRING>", "ARRAY<VOID>") & (F.size(given) <= most), given)
+
+
+def string_array(v: Column, most: int = 5000) -> Column:
+    """absent, malformed (no array, too long, or any item not a string with characters) or authoritative."""
+    return F.when(v.isNull(), "absent").when(string_list(v, most).isNull(), "malformed").otherwise("authoritative")
 
 
 def strings(v: Column) -> Column:
     """The strings of an authoritative array, else an empty one."""
-    return F.when(string_array(v) == "authoritative", F.try_variant_get(v, "$", "array<string>")).otherwise(F.array().cast("array<string>"))
+    return F.coalesce(string_list(v), F.array().cast("array<string>"))
 
 
 def list_id(v: Column) -> Column:

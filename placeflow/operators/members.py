@@ -70,11 +70,15 @@ def reconciled(lists: DataFrame, members: DataFrame) -> DataFrame:
     return out.withColumn("outcome", F.when(F.col("stored").eqNullSafe(F.col("actual")), "alreadyCorrect").otherwise("updated"))
 
 
-def role(caller: Column, owner: Column, collaborators: Column, viewers: Column) -> Column:
-    """owner, editor, none, or malformed (role lists that can't be trusted); editors collaborate and don't only view."""
-    c, v = V.string_array(collaborators), V.string_array(viewers)
-    editor = F.array_contains(V.strings(collaborators), caller) & ~F.coalesce(F.array_contains(V.strings(viewers), caller), F.lit(False))
-    return F.when(caller == owner, "owner").when((c == "malformed") | (v == "malformed"), "malformed").when(F.coalesce(editor, F.lit(False)), "editor").otherwise("none")
+def role(caller: Column, owner: Column, collaborators: Column, viewers: Column, editors: Column | None = None, watchers: Column | None = None) -> Column:
+    """owner, editor, none, or malformed (role lists that can't be trusted); editors collaborate and don't only view.
+
+    editors and watchers: the strings of both lists (null: absent or malformed) where they are columns already.
+    """
+    c, v = (V.string_list(x) if read is None else read for x, read in ((collaborators, editors), (viewers, watchers)))
+    bad = (collaborators.isNotNull() & c.isNull()) | (viewers.isNotNull() & v.isNull())
+    editor = F.array_contains(c, caller) & ~F.coalesce(F.array_contains(v, caller), F.lit(False))
+    return F.when(caller == owner, "owner").when(bad, "malformed").when(F.coalesce(editor, F.lit(False)), "editor").otherwise("none")
 
 
 def ladder(*steps: tuple[Column, str], last: str = "ok") -> Column:
@@ -82,10 +86,20 @@ def ladder(*steps: tuple[Column, str], last: str = "ok") -> Column:
     return F.coalesce(*[F.when(F.coalesce(test, F.lit(False)), reason) for test, reason in steps], F.lit(last))
 
 
-def _common(r: DataFrame, member_gone: str) -> list[tuple[Column, str]]:
+#: What _looked adds.
+_LOOKED = ("_editors", "_watchers", "_ids", "_role")
+
+
+def _looked(requests: DataFrame) -> DataFrame:
+    """Requests with the strings of their lists and the caller's role as columns: each test of a ladder would read the variants again."""
+    c = F.col
+    out = requests.withColumns({"_editors": V.string_list(c("collaborators")), "_watchers": V.string_list(c("viewers")), "_ids": V.string_list(c("pin_list_ids"))})
+    return out.withColumn("_role", role(c("caller"), c("list_owner"), c("collaborators"), c("viewers"), c("_editors"), c("_watchers")))
+
+
+def _common(member_gone: str) -> list[tuple[Column, str]]:
+    """The tests of a request that _looked has been over."""
     c = F.col
-    who = role(c("caller"), c("list_owner"), c("collaborators"), c("viewers"))
-    state = V.string_array(c("pin_list_ids"))
     same = F.coalesce((F.coalesce(c("pin_owner"), F.lit("")) != "") & (c("pin_owner") == c("member_owner")), F.lit(False))
     return [
         (~V.doc_id(c("list_id")) | ~V.doc_id(c("pin_id")), "400:bad_id"),
@@ -93,12 +107,12 @@ def _common(r: DataFrame, member_gone: str) -> list[tuple[Column, str]]:
         (V.kind(c("freeze")) != "boolean", "409:bad_flag"),
         (F.try_variant_get(c("freeze"), "$", "boolean"), "409:frozen"),
         (c("list_owner").isNull(), "404:no_list"),
-        (who == "malformed", "409:bad_roles"),
-        (who == "none", "403:not_editor"),
+        (c("_role") == "malformed", "409:bad_roles"),
+        (c("_role") == "none", "403:not_editor"),
         (c("member_pin").isNull(), member_gone),
         (~c("pin_exists"), "409:no_pin"),
-        (state != "authoritative", "409:bad_lists"),
-        (~F.array_contains(V.strings(c("pin_list_ids")), c("list_id")), "409:not_listed"),
+        (c("_ids").isNull(), "409:bad_lists"),
+        (~F.array_contains("_ids", c("list_id")), "409:not_listed"),
         (c("member_pin") != c("pin_id"), "409:wrong_pin"),
         ((F.coalesce(c("pin_owner"), F.lit("")) == "") | (F.coalesce(c("member_owner"), F.lit("")) == ""), "409:no_owner"),
         (~same, "409:owners_differ"),
@@ -111,8 +125,8 @@ def removals(requests: DataFrame) -> DataFrame:
     Columns: list_id, pin_id, caller, freeze, list_owner, collaborators, viewers, pin_count, member_pin,
     member_owner, pin_exists, pin_owner, pin_list_ids (freeze, roles and lists as variants).
     """
-    steps = [*_common(requests, "ok:already_gone"), (F.coalesce(F.col("pin_count"), F.lit(0)) < 1, "409:bad_count")]
-    out = requests.withColumn("decision", ladder(*steps))
+    steps = [*_common("ok:already_gone"), (F.coalesce(F.col("pin_count"), F.lit(0)) < 1, "409:bad_count")]
+    out = _looked(requests).withColumn("decision", ladder(*steps)).drop(*_LOOKED)
     done = F.col("decision") == "ok"
     return out.withColumn("new_count", F.when(done, F.col("pin_count") - 1)).withColumn("event", done & (F.col("pin_owner") != F.col("caller")))
 
@@ -123,13 +137,13 @@ def overrides(requests: DataFrame) -> DataFrame:
     As removals, with body (the request's overrides, a variant) and stored (the member's, a variant; null: absent).
     """
     ops = V.edits(F.col("body"))
-    out = requests.withColumn("ops", ops)
+    out = _looked(requests).withColumn("ops", ops)
     before = (F.size("ops") == 0) | F.array_contains(F.col("ops.op"), "reject")
-    bad_id, *rest = _common(out, "404:no_member")
+    bad_id, *rest = _common("404:no_member")
     steps = [bad_id, (before, "400:bad_body"), *rest, (V.first_bad_key(F.col("stored"), F.col("ops")).isNotNull(), "409:bad_stored")]
     out = out.withColumn("decision", ladder(*steps)).withColumn("changes", F.when(F.col("decision") == "ok", V.effective(F.col("ops"), F.col("stored"))))
     out = out.withColumn("decision", F.when((F.col("decision") == "ok") & (F.size("changes") == 0), "ok:unchanged").otherwise(F.col("decision")))
-    return out.withColumn("event", (F.col("decision") == "ok") & (F.col("member_owner") != F.col("caller"))).drop("ops")
+    return out.withColumn("event", (F.col("decision") == "ok") & (F.col("member_owner") != F.col("caller"))).drop("ops", *_LOOKED)
 
 
 def patched(stored: Column, changes: Column) -> Column:
@@ -154,12 +168,14 @@ def removal_outcomes(requests: DataFrame) -> DataFrame:
     out = removals(requests)
     once = F.row_number().over(Window.partitionBy("list_id", "pin_id").orderBy(F.col("decision") != "ok", "pos"))
     out = out.withColumn("_n", once).withColumn("_d", F.when((F.col("decision") == "ok") & (F.col("_n") > 1), "ok:already_gone").otherwise(F.col("decision")))
-    mine = Window.partitionBy("list_id", F.col("_d") == "ok")
+    # a column, so that both windows know their rows to lie together
+    out = out.withColumn("_ok", F.col("_d") == "ok")
+    mine = Window.partitionBy("list_id", "_ok")
     out = out.withColumn("_n", F.row_number().over(mine.orderBy("pos"))).withColumn("_m", F.count("*").over(mine))
     done = (F.col("_d") == "ok") & (F.col("_n") <= F.col("pin_count"))
     settled = F.when(done & (F.col("_n") == F.least("_m", "pin_count")), F.col("pin_count") - F.col("_n"))
     decision = F.when((F.col("_d") == "ok") & ~done, "409:bad_count").otherwise(F.col("_d"))
-    return out.withColumn("list_count", settled).withColumn("event", done & (F.col("pin_owner") != F.col("caller"))).withColumn("decision", decision).drop("_n", "_m", "_d", "new_count")
+    return out.withColumn("list_count", settled).withColumn("event", done & (F.col("pin_owner") != F.col("caller"))).withColumn("decision", decision).drop("_n", "_m", "_d", "_ok", "new_count")
 
 
 def removal_deltas(requests: DataFrame, at: Column) -> dict[str, DataFrame]:
@@ -188,10 +204,10 @@ def override_outcomes(requests: DataFrame) -> DataFrame:
     A member's requests are a window in order, spilled and never gathered; each editable key's last edit runs along.
     """
     c = F.col
-    out = requests.withColumn("ops", V.edits(c("body")))
+    out = _looked(requests).withColumn("ops", V.edits(c("body")))
     refused = (F.size("ops") == 0) | F.array_contains(F.col("ops.op"), "reject")
-    bad_id, *rest = _common(out, "404:no_member")
-    out = out.withColumn("decision", ladder(bad_id, (refused, "400:bad_body"), *rest))
+    bad_id, *rest = _common("404:no_member")
+    out = out.withColumn("decision", ladder(bad_id, (refused, "400:bad_body"), *rest)).drop(*_LOOKED)
     member = Window.partitionBy("list_id", "pin_id")
     order = member.orderBy("pos")
     covers = F.coalesce(F.size(F.array_except(V.bad_keys(c("stored")), c("ops.key"))) == 0, F.lit(False))

@@ -153,13 +153,13 @@ def profiles_array_to_map(spark, sf_dir):
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A removal of each member row by its list's owner or, for odd owners, by another user."""
     m = frame(spark, sf_dir, "members").select("list_id", "pin_id", F.col("pin_owner_id").alias("member_owner"))
-    lists = frame(spark, sf_dir, "lists").select("list_id", F.col("owner_id").alias("list_owner"), F.col("pin_count").cast("long").alias("pin_count"))
+    lists = frame(spark, sf_dir, "lists").select("list_id", F.col("owner_id").alias("list_owner"), F.col("pin_count").cast("long").alias("pin_count"), F.col("name").alias("list_name"))
     pins = frame(spark, sf_dir, "pins").select("pin_id", F.col("user_id").alias("pin_owner"), F.lit(True).alias("_p"))
-    named = frame(spark, sf_dir, "pin_lists").groupBy("pin_id").agg(F.to_json(F.collect_list("list_id")).alias("_l"))
+    named = frame(spark, sf_dir, "pin_lists").groupBy("pin_id").agg(F.to_variant_object(F.collect_list("list_id")).alias("pin_list_ids"))
     out = m.join(lists, "list_id", "left").join(pins, "pin_id", "left").join(named, "pin_id", "left")
     caller = F.when(F.substring("list_id", 2, 9).cast("long") % 3 == 0, F.lit("U999")).otherwise(F.col("list_owner"))
-    return out.select("list_id", "pin_id", caller.alias("caller"), F.try_parse_json(F.lit("false")).alias("freeze"), "list_owner", F.try_parse_json(F.lit('["U999"]')).alias("collaborators"), F.try_parse_json(F.when(F.substring("list_id", 2, 9).cast("long") % 2 == 0, F.lit('["U999"]'))).alias("viewers"),
-                      "pin_count", F.col("pin_id").alias("member_pin"), "member_owner", F.coalesce("_p", F.lit(False)).alias("pin_exists"), "pin_owner", F.try_parse_json("_l").alias("pin_list_ids"))
+    return out.select("list_id", "pin_id", caller.alias("caller"), F.try_parse_json(F.lit("false")).alias("freeze"), "list_owner", "list_name", F.try_parse_json(F.lit('["U999"]')).alias("collaborators"), F.try_parse_json(F.when(F.substring("list_id", 2, 9).cast("long") % 2 == 0, F.lit('["U999"]'))).alias("viewers"),
+                      "pin_count", F.col("pin_id").alias("member_pin"), "member_owner", F.coalesce("_p", F.lit(False)).alias("pin_exists"), "pin_owner", "pin_list_ids")
 
 
 _DECIDED = """(SELECT m.list_id, m.pin_id, CASE WHEN l.list_id IS NULL THEN '404:no_list' WHEN k % 3 = 0 AND l.owner_id <> 'U999' AND k % 2 = 0 THEN '403:not_editor' WHEN p.pin_id IS NULL THEN '409:no_pin' WHEN n.pin_id IS NULL THEN '409:bad_lists' WHEN x.pin_id IS NULL THEN '409:not_listed'
@@ -233,8 +233,7 @@ UNION ALL SELECT 'events', list_id, pin_id, 'list_member_removed_by_editor|' ||
 def member_removal_deltas(spark, sf_dir):
     """Every member's removal asked for, some twice: the rows that change, by table."""
     k = F.coalesce(F.substring("pin_id", 2, 20).try_cast("long"), F.lit(0))
-    names = frame(spark, sf_dir, "lists").select("list_id", F.col("name").alias("list_name"))
-    asked = requests(spark, sf_dir).join(names, "list_id", "left").withColumn("pin_name", F.when(k % 5 == 0, F.concat(F.lit("<"), "pin_id")).otherwise(F.concat(F.lit("Place "), "pin_id")))
+    asked = requests(spark, sf_dir).withColumn("pin_name", F.when(k % 5 == 0, F.concat(F.lit("<"), "pin_id")).otherwise(F.concat(F.lit("Place "), "pin_id")))
     again = F.explode(F.when(k % 7 == 0, F.array(k, k + 10**12)).otherwise(F.array(k)))
     out = M.removal_outcomes(asked.withColumn("pos", again)).filter("decision = 'ok'")
     shown = F.concat_ws("|", F.lit("list_member_removed_by_editor"), "pin_owner", "caller", X.event_field(F.coalesce("list_name", F.lit(""))), X.event_field(F.coalesce("pin_name", F.lit(""))))

@@ -102,3 +102,21 @@ def test_removals_by_a_loop(spark):
 def test_plan_of_removals(spark, small):
     text = QUERIES["member_removal_deltas"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("Relation [") <= 10
+
+
+def test_lists_are_read_in_one_place(spark):
+    """The pin's lists are a column before the ladder, whose tests don't read them again, and a list's two windows share one exchange."""
+    asked_ = requests(spark, asked(1)).drop("body", "stored")
+    plan = M.removals(asked_)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get(pin_list_ids") <= 3
+    out = M.removal_outcomes(asked_)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(list_id") <= 2
+    assert not [c for c in out.columns if c.startswith("_")]
+    # an item that is no string with characters, an array with too many, no array, no lists: all refused
+    v = lambda x: F.try_parse_json(F.lit(x))
+    for given, want in (('["L0","L1","L2"]', None), ('["L0","L1","L2",null]', "409:bad_lists"), ('["L0","L1","L2",""]', "409:bad_lists"), ('["L0",7]', "409:bad_lists"), ('"L0"', "409:bad_lists"), (None, "409:bad_lists"), ("[]", "409:not_listed")):
+        seen = {r.decision for r in M.removals(asked_.withColumn("pin_list_ids", v(given)).withColumn("caller", F.col("list_owner"))).collect()}
+        assert (want in seen) if want else not seen & {"409:bad_lists", "409:not_listed"}
+    for roles, want in ((("7", "[]"), "409:bad_roles"), ((None, None), "403:not_editor"), (('["x"]', '["x"]'), "403:not_editor"), (('["x"]', "{}"), "409:bad_roles")):
+        seen = {r.decision for r in M.removals(asked_.withColumn("collaborators", v(roles[0])).withColumn("viewers", v(roles[1])).withColumn("caller", F.lit("x"))).collect()}
+        assert seen == {want}
